@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import nbsvm, nnpu, simhash
 from .common import table
 
 
@@ -14,5 +14,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def _fold(n: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def _classified(scored: DataFrame, held_out: F.Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = nbsvm.fit(docs, labels.where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label")))
+    return _classified(model.score(docs, "doc_id"), _fold(5) == 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = nnpu.fit(docs, labels.where(_fold(4) != 2).select("doc_id", F.col("toxic").alias("label")))
+    return _classified(model.score(docs, "doc_id"), _fold(4) == 2)
+
+
+QUERIES = {"op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}

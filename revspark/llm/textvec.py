@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             step = base
             while have < size:  # out[have:2*have] = out[:have] * base**have
                 out[have : 2 * have] = out[:have] * step
-                step = step * step
+                step = np.uint64(int(step) ** 2 % (1 << 64))
                 have *= 2
             _powers[k] = out
     return _powers[0], _powers[1]
