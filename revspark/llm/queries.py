@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nbsvm, nnpu, simhash
-from .common import table
+from . import decontaminate, nbsvm, nnpu, packing, simhash, training_order
+from .common import stored, table
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,19 @@ def _classified(scored: DataFrame, held_out: F.Column) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = stored(training_order.shards(table(spark, sf_dir, "documents"), key=20240607), "training-shards")
+    return training_order.read(written).drop("ids")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = nbsvm.fit(docs, labels.where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label")))
@@ -34,5 +47,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(model.score(docs, "doc_id"), _fold(4) == 2)
 
 
-QUERIES = {"op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}

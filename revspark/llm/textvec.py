@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP = 1 << 20  # bytes of text handled at once, to bound temporary arrays
+STEP = 1 << 18  # bytes of text handled at once, to bound temporary arrays
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
