@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, nbsvm, nnpu, packing, simhash, training_order
+from . import decontaminate, licenses, nbsvm, nnpu, packing, simhash, telephony, training_order
 from .common import stored, table
 
 
@@ -22,6 +22,10 @@ def _classified(scored: DataFrame, held_out: F.Column) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = stored(training_order.shards(table(spark, sf_dir, "documents"), key=20240607), "training-shards")
     return training_order.read(written).drop("ids")
@@ -35,6 +39,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(telephony.encode(table(spark, sf_dir, "documents")), "telephony-media")
+    return telephony.decode(media, with_pcm=False)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = nbsvm.fit(docs, labels.where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label")))
@@ -47,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(model.score(docs, "doc_id"), _fold(4) == 2)
 
 
-QUERIES = {"op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_licenses": op1_licenses, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}
