@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, nbsvm, nnpu, packing, simhash, telephony, training_order
+from . import decontaminate, licenses, nbsvm, nnpu, packing, pii, simhash, telephony, training_order
 from .common import stored, table
 
 
@@ -26,6 +26,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"), "doc_id")
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = stored(training_order.shards(table(spark, sf_dir, "documents"), key=20240607), "training-shards")
     return training_order.read(written).drop("ids")
@@ -56,5 +62,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(model.score(docs, "doc_id"), _fold(4) == 2)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_licenses": op1_licenses, "op2_personal_data": op2_personal_data, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}
