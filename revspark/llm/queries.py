@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, nbsvm, nnpu, packing, pii, simhash, telephony, training_order
+from . import decontaminate, licenses, nbsvm, nnpu, packing, passages, pii, simhash, telephony, training_order
 from .common import stored, table
 
 
@@ -56,11 +56,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(model.score(docs, "doc_id"), _fold(5) == 0)
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classes(passages.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = nnpu.fit(docs, labels.where(_fold(4) != 2).select("doc_id", F.col("toxic").alias("label")))
     return _classified(model.score(docs, "doc_id"), _fold(4) == 2)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_personal_data": op2_personal_data, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_licenses": op1_licenses, "op2_personal_data": op2_personal_data, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_passages": op9_passages, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}
