@@ -50,6 +50,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     rows once and stays columnar and compressed.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)

@@ -217,32 +217,49 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, seed_words: int
     `seed_words` words are sought by all their words.
     """
     out = None
+    for block in _item_blocks(docs, items, seed_words, chance, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            for batch in batches:
+                for b in slices(batch, "text"):
+                    got = _scan(b.column(0).to_pylist(), words_of(b.column(1)), block, least)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
+
+        found = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _item_blocks(docs: DataFrame, items: DataFrame, seed_words: int, chance: float, block_words: int) -> Iterator[Block]:
+    """The items in blocks of bounded size, those shorter than a seed in blocks of their own."""
     for rows in _blocks(items, block_words):
+        sizes = np.diff(_item_words([r["text"] for r in rows]).first)
         for n in range(1, seed_words + 1):
-            sizes = np.diff(_item_words([r["text"] for r in rows]).first)
             part = [r for r, size in zip(rows, sizes) if min(size, seed_words) == n]
-            if not part:
-                continue
-            ids, texts = [r["item_id"] for r in part], [r["text"] for r in part]
-            common, total = _frequencies(docs, np.unique(_item_words(texts).hash))
-            block = make_block(ids, texts, n, common, total, chance)
-
-            def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                for batch in batches:
-                    for b in slices(batch, "text"):
-                        got = _scan(b.column(0).to_pylist(), words_of(b.column(1)), block, least)
-                        if got:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
-
-            found = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+            if part:
+                texts = [r["text"] for r in part]
+                common, total = _frequencies(docs, np.unique(_item_words(texts).hash))
+                yield make_block([r["item_id"] for r in part], texts, n, common, total, chance)
 
 
-def clean(docs: DataFrame, items: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents without any passage that copies an item; all their columns stay."""
-    from .common import stored
+def clean(docs: DataFrame, items: DataFrame, least: float = 0.4, seed_words: int = 3, chance: float = 1e-3, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without any passage that copies an item; all their columns stay.
 
-    hits = stored(leaks(docs, items, least), "decontaminate").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    Rows are judged one by one in the scan itself, so that nothing is joined or shuffled.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    blocks = list(_item_blocks(docs, items, seed_words, chance, block_words))
+    for block in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, "text"):
+                    got = _scan(list(range(b.num_rows)), words_of(b.column(b.schema.get_field_index("text"))), block, least)
+                    keep = np.ones(b.num_rows, bool)
+                    keep[[g[0] for g in got]] = False
+                    yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, fields)
+    return docs

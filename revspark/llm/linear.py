@@ -155,11 +155,10 @@ class LinearModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in slices(batch, "text"):
+                for b in slices(batch, "_text"):
                     got = self.scores(self.extract(*flat(b.column(b.num_columns - 1))))
                     yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], [*b.schema.names[:-1], "score"])
 
-        rows = docs.select(*keep, "text")
-        kept = rows.drop("text") if "text" not in keep else docs.select(*keep)
+        kept = docs.select(*keep)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-        return rows.mapInArrow(run, f"{fields}, score double")
+        return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, score double")

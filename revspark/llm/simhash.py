@@ -124,6 +124,10 @@ def clusters(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id."""
-    kept = clusters(docs, words, radius).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """The documents without near copies: of each component those with its smallest doc_id.
+
+    Rows that repeat a doc_id stand or fall together; rows without doc_id, which can't be
+    told apart, stay. All columns of docs are returned.
+    """
+    kept = clusters(docs.where("doc_id is not null"), words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
