@@ -1,4 +1,5 @@
 """All queries of the review engine and their SQL oracles."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
