@@ -15,6 +15,9 @@ from .textvec import Words, flat, mix, once, slices
 #: Feature extractor: (flat bytes, offsets) to one array of distinct feature ids per text.
 Extract = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
 
+#: A name that tables are unlikely to have.
+_TEXT = "_linear_model_text"
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -150,15 +153,15 @@ class LinearModel:
         # Feature ids are sorted, so that sums, and thus scores, of equal texts are equal.
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins([np.sort(r) for r in rows]) + self.offset, -40, 40)))
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """(keep columns, score) for every row of docs; a null or empty text gets a score too."""
+    def score(self, docs: DataFrame, *keep: str, name: str = "score") -> DataFrame:
+        """(keep columns, score) for every row of docs; a null or empty text gets a score too. name: of the new column."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in slices(batch, "_text"):
+                for b in slices(batch, _TEXT):
                     got = self.scores(self.extract(*flat(b.column(b.num_columns - 1))))
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], [*b.schema.names[:-1], "score"])
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], [*b.schema.names[:-1], name])
 
         kept = docs.select(*keep)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-        return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, score double")
+        return docs.select(*keep, F.col("text").alias(_TEXT)).mapInArrow(run, f"{fields}, `{name}` double")

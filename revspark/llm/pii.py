@@ -102,21 +102,24 @@ def _mentions(text: Column, kind: str, pattern: str, holds: Callable[[Column], C
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
+def _all_base(text: Column) -> Column:
+    """Mentions of all base kinds; cheap tests spare most texts the patterns."""
+    none = F.array().cast(MENTION)
+    digit = F.rlike(text, F.lit("[0-9]"))
+    needed = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")) & digit}
+    return F.concat(*(F.when(needed[k], _base(text, k)).otherwise(none) for k in KINDS))
+
+
 def mentions(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep columns, base, candidates): mentions of base kinds, and of identifier-like strings that overlap none of them."""
 
     def row(text: Column) -> Column:
-        none = F.array().cast(MENTION)
-        digit = F.rlike(text, F.lit("[0-9]"))
-        needed = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")) & digit}
-        found = [F.when(needed[k], _base(text, k)).otherwise(none) for k in KINDS]
-
         def with_candidates(base: Column) -> Column:
-            others = F.when(digit, _mentions(text, "", CANDIDATE, lambda h: F.rlike(h, F.lit("[0-9].*[0-9].*[0-9]"))))
+            others = F.when(F.rlike(text, F.lit("[0-9]")), _mentions(text, "", CANDIDATE, lambda h: F.rlike(h, F.lit("[0-9].*[0-9].*[0-9]"))))
             free = F.filter(others, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-            return F.struct(base.alias("base"), F.coalesce(free, none).alias("candidates"))
+            return F.struct(base.alias("base"), F.coalesce(free, F.array().cast(MENTION)).alias("candidates"))
 
-        return let(F.concat(*found), with_candidates)
+        return let(_all_base(text), with_candidates)
 
     return docs.select(*keep, let(F.coalesce(F.col("text"), F.lit("")), row).alias("_r")).select(*keep, "_r.base", "_r.candidates")
 
@@ -168,49 +171,69 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+SPAN = "array<struct<start:bigint,kind:string,end:bigint>>"
+
+
+def _spans(mentions: Column) -> Column:
+    return F.transform(mentions, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+
+
+def _discovered(found: DataFrame, known: DataFrame, *key: str) -> DataFrame:
+    """(key, extra): spans of discovered strings, of texts that have any. What is gathered is part of one text's own mentions."""
+    loose = found.select(*key, F.explode("candidates").alias("m")).select(*key, "m.token", "m.start", "m.end")
+    rows = loose.join(known, "token").select(*key, F.struct("start", F.concat(F.lit("like_"), "kind").alias("kind"), "end").alias("s"))
+    return rows.groupBy(*key).agg(F.collect_set("s").alias("extra"))
+
+
 def scan(docs: DataFrame, *keep: str, rounds: int = 2) -> DataFrame:
     """(keep columns, base, spans): ordered spans (start, rank, kind, end) of base kinds, and of all kinds.
 
     Places are code points, ends exclusive. One row per row of docs, repeated ids included;
     a null text is empty and has no spans.
     """
-    found = mentions(docs.withColumn("_at", F.monotonically_increasing_id()), *keep, "_at")
-    found = stored(found, "pii-mentions")
-    known = discover(found, rounds)
-    loose = found.select("_at", F.explode("candidates").alias("m")).select("_at", "m.token", "m.start", "m.end")
-    extra = loose.join(known, "token").select("_at", F.struct("start", F.concat(F.lit("like_"), "kind").alias("kind"), "end").alias("s"))
-    extra = extra.groupBy("_at").agg(F.collect_list("s").alias("extra"))  # of one text: part of its own mentions
-    rows = found.join(extra, "_at", "left")
-    base = F.transform("base", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    none = F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>")
-    return rows.select(*keep, _ordered(base).alias("base"), _ordered(F.concat(base, F.coalesce("extra", none))).alias("spans"))
+    found = stored(mentions(docs, *keep).withColumn("_pii_at", F.monotonically_increasing_id()), "pii-mentions")
+    extra = _discovered(found, discover(found, rounds), "_pii_at")
+    base = _spans(F.col("base"))
+    rows = found.join(extra, "_pii_at", "left")
+    return rows.select(*keep, _ordered(base).alias("base"), _ordered(F.concat(base, F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+
+
+def _merged(spans: Column) -> Column:
+    """Of each run of overlapping spans the first's kind and start and the greatest end; spans are ordered by start."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        same = (F.size(out) > 0) & (last["end"] > s["start"])
+        grown = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+        return F.when(same, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(own)))
+
+    return F.aggregate(spans, F.array().cast(SPAN), step)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """text with each of the ordered, disjoint spans replaced by <kind>."""
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, F.get(ends, i) + 1, s["start"] - F.get(ends, i)), F.lit("<"), s["kind"], F.lit(">")))
+    return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
 
 def redact(docs: DataFrame, rounds: int = 2) -> DataFrame:
-    """docs with every span replaced by <kind>; overlapping spans become one. Other columns stay as they are."""
+    """docs with every span replaced by <kind>; overlapping spans become one. Other columns and null texts stay as they are.
+
+    Base kinds are found and replaced in the scan itself. Only spans of discovered strings, of the texts that have any,
+    are joined to the documents, by doc_id and the text's hash, so that rows that repeat an id each get their own.
+    """
     names = docs.columns
-    held = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    spans = scan(held, "_row", rounds=rounds).where(F.size("spans") > 0).select("_row", "spans")
-
-    def merged(spans: Column) -> Column:
-        """Of each run of overlapping spans the first's kind and start and the greatest end; spans are ordered by start."""
-        start = F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>")
-
-        def step(out: Column, s: Column) -> Column:
-            last = F.element_at(out, -1)
-            same = (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] > s["start"])
-            grown = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-            own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-            return F.when(same, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(own)))
-
-        return F.aggregate(spans, start, step)
-
-    def masked(m: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(m, lambda s: s["end"]))
-        parts = F.transform(m, lambda s, i: F.concat(F.substring(F.col("text"), F.get(ends, i) + 1, s["start"] - F.get(ends, i)), F.lit("<"), s["kind"], F.lit(">")))
-        tail = F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text"))
-        return F.concat(F.array_join(parts, ""), tail)
-
-    rows = held.join(spans, "_row", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(let(merged(F.col("spans")), masked))
-    return rows.withColumn("text", text).select(*names)
+    keyed = docs.withColumn("_pii_hash", F.xxhash64("text"))
+    found = stored(mentions(keyed, "doc_id", "_pii_hash"), "pii-mentions")
+    extra = stored(_discovered(found, discover(found, rounds), "doc_id", "_pii_hash"), "pii-extra")
+    extra = extra.select(F.col("doc_id").alias("_pii_doc"), F.col("_pii_hash").alias("_pii_text"), F.col("extra").alias("_pii_extra"))
+    rows = keyed.join(extra, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_text")), "left")
+    text = F.col("text")
+
+    def masked(spans: Column) -> Column:
+        return F.when(F.size(spans) == 0, text).otherwise(let(_merged(_ordered(spans)), lambda m: _masked(text, m)))
+
+    every = F.concat(_spans(_all_base(text)), F.coalesce("_pii_extra", F.array().cast(SPAN)))
+    return rows.withColumn("text", F.when(text.isNotNull(), let(every, masked))).select(*names)
