@@ -70,7 +70,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def significant_words(text: Column) -> Column:
     """Lower-cased words of three bytes and more without stop words, repeats kept."""
     words = F.split(F.lower(text), r"[ ,.:;()\[\]\"'\-_/\\]+")
-    return F.filter(F.transform(words, F.trim), lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOP_WORDS))
+    return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOP_WORDS))
 
 
 def message_overlap(a: Column, b: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import estimate_tokens
+from ..plans.fold import fold
 
 
 def file_tokens(files: DataFrame, hunks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -25,21 +28,18 @@ def chunk(sized: DataFrame, available: int) -> DataFrame:
 
     A new chunk begins where the current one would overflow, which no running sum expresses; the fold is per diff.
     """
-    cols = sized.columns
+    at = sized.columns.index("tokens")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("file_idx", kind="stable", ignore_index=True)
-        out, n, used, held = [], 0, 0, False
-        for t in part["tokens"].tolist():
-            if used + t > available and held:
+    def fill(rows: Iterator[tuple]) -> Iterator[tuple]:
+        n = used = 0
+        held = False
+        for row in rows:
+            if held and used + row[at] > available:
                 n, used = n + 1, 0
-            used += t
-            held = True
-            out.append(n)
-        return part.assign(chunk=pd.array(out, dtype="int32"))[[*cols, "chunk"]]
+            used, held = used + row[at], True
+            yield (*row, n)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema.fields)
-    return sized.groupBy("diff_id").applyInPandas(fold, f"{fields}, chunk int")
+    return fold(sized, ["diff_id"], ["file_idx"], fill, StructType(list(sized.schema.fields)).add("chunk", "integer"))
 
 
 def prefix_within(rows: DataFrame, key: str, order: str, size: str, budget: int, at_least_one: bool = True) -> DataFrame:

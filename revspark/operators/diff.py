@@ -173,7 +173,7 @@ def new_side(diffs: DataFrame) -> DataFrame:
 
             return let(rows, numbered)
 
-        return F.flatten(F.transform(F.filter(pieces, lambda p: p != ""), of_piece))
+        return F.flatten(F.transform(pieces, of_piece))
 
     rows = F.flatten(F.transform(parts, of_part))
     return diffs.select("diff_id", F.posexplode(rows).alias("seq", "r")).select("diff_id", F.col("seq").cast("long").alias("seq"), "r.file", "r.line", "r.text", "r.added")

@@ -5,12 +5,15 @@ Everything is keyed by diff_id, so that one partitioning by it can serve a chain
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import digest, jaccard, looks_like_code, message_overlap, word_set
+from ..plans.fold import fold
 from ..schemas import SEVERITIES, parse_severity, severity_name
 
 DOUBLE = "double"
@@ -44,17 +47,15 @@ def near_dedup(findings: DataFrame, distance: int = 5, threshold: float = 0.8, s
     The representative has the greatest confidence, the first among equals. The order makes this sequential
     within a diff; diffs are independent, and within one only findings of equal word sets are compared once.
     """
-    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in findings.schema.fields]
     names = findings.columns
+    seq, file, line, conf = (names.index(c) for c in ("seq", "file", "line", "confidence"))
 
-    def group(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq", kind="stable", ignore_index=True)
-        n = len(part)
-        sets = [frozenset(w) for w in part.pop("_words")]
+    def group(rows: Iterator[tuple]) -> Iterator[tuple]:
+        rows = list(rows)
+        n = len(rows)
+        sets = [frozenset(r[-1]) for r in rows]
         known: dict[tuple, bool] = {}
-        files, lines = part["file"].tolist(), part["line"].tolist()
         member = [-1] * n
-        sizes = [1] * n
 
         def alike(a: frozenset, b: frozenset) -> bool:
             if (a, b) not in known:
@@ -63,29 +64,24 @@ def near_dedup(findings: DataFrame, distance: int = 5, threshold: float = 0.8, s
                 known[a, b] = known[b, a] = (every == 0) if not a or not b else both / every >= threshold
             return known[a, b]
 
-        for i in range(n):
+        for i, x in enumerate(rows):
             if member[i] >= 0:
                 continue
             for j in range(i + 1, n):
+                y = rows[j]
                 if member[j] < 0 and alike(sets[i], sets[j]):
-                    if (not same_file_only and files[i] != files[j]) or (files[i] == files[j] and abs(lines[i] - lines[j]) <= distance):
-                        member[j] = i
-                        sizes[i] += 1
-            if sizes[i] > 1:
-                member[i] = i
-        seqs, confs = part["seq"].tolist(), part["confidence"].tolist()
+                    if (not same_file_only and x[file] != y[file]) or (x[file] == y[file] and abs(x[line] - y[line]) <= distance):
+                        member[j] = member[i] = i
         reps: dict[int, int] = {}
         for k, m in enumerate(member):
-            if m >= 0 and (m not in reps or confs[k] > confs[reps[m]]):
+            if m >= 0 and (m not in reps or rows[k][conf] > rows[reps[m]][conf]):
                 reps[m] = k
-        out = part[names].copy()
-        out["group_id"] = pd.array([seqs[m] if m >= 0 else None for m in member], dtype="Int64")
-        out["is_rep"] = [m >= 0 and reps[m] == k for k, m in enumerate(member)]
-        out["is_unique"] = [m < 0 or reps[m] == k for k, m in enumerate(member)]
-        return out
+        for k, (r, m) in enumerate(zip(rows, member)):
+            yield (*r[:-1], rows[m][seq] if m >= 0 else None, m >= 0 and reps[m] == k, m < 0 or reps[m] == k)
 
     rows = findings.withColumn("_words", word_set(F.concat_ws(" ", "concern", "message")))
-    return rows.groupBy("diff_id").applyInPandas(group, ", ".join(cols) + ", group_id bigint, is_rep boolean, is_unique boolean")
+    schema = StructType(list(findings.schema.fields)).add("group_id", "long").add("is_rep", "boolean").add("is_unique", "boolean")
+    return fold(rows, ["diff_id"], ["seq"], group, schema)
 
 
 def similar_pairs(findings: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -7,16 +7,17 @@ function, not by diff, and folded in order inside each group, however large a di
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.regex import java_pattern
+from ..plans.fold import fold
 from ..schemas import SEVERITIES
 
 # Sources, sinks (name, weakness, severity, type, fix, pattern) and sanitizers, in RE2 dialect.
@@ -113,12 +114,9 @@ def track(rows: DataFrame) -> DataFrame:
     sinks = [(s, _python(s[5])) for s in SINKS]
     clean = re.compile("|".join(SANITIZERS), re.ASCII)
     sig, assign = _python(SIGNATURE), _python(ASSIGNMENT)
-    schema = "diff_id bigint, file string, line int, variable string, source string, sink string, cwe string, severity int, sink_type string, message string, fix string"
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def follow(rows: Iterator[tuple]) -> Iterator[tuple]:
         tainted: dict[str, str] = {}
-        out = []
-        for diff, file, line, text, added in part.sort_values("seq")[["diff_id", "file", "line", "text", "added"]].itertuples(index=False):
+        for diff, file, _, _, line, text, added in rows:
             if m := sig.search(text):
                 names = [w[0] for w in (p.split() for p in m[2].split(",")) if w and w[0] not in BUILTIN_TYPES]
                 source = ([n for n, p in sources[1:] if p.search(text)] or [PARAMETER])[-1]
@@ -134,16 +132,17 @@ def track(rows: DataFrame) -> DataFrame:
                     tainted[name] = found
                 else:
                     tainted.pop(name, None)
-            if not added or clean.search(text):
+            if not added or not tainted or clean.search(text):
                 continue
             for s, p in sinks:
                 if p.search(text):
                     for v in sorted(tainted):
                         if v in text:
-                            out.append((diff, file, line, v, tainted[v], s[0], s[1], SEVERITIES.index(s[2]), s[3], f"Tainted data from {tainted[v]} flows to {s[0]} without sanitization", s[4]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                            yield diff, file, line, v, tainted[v], s[0], s[1], SEVERITIES.index(s[2]), s[3], f"Tainted data from {tainted[v]} flows to {s[0]} without sanitization", s[4]
 
-    return blocks.groupBy("diff_id", "file", "_block").applyInPandas(fold, schema)
+    rows = blocks.select("diff_id", "file", "_block", "seq", "line", "text", "added")
+    schema = "diff_id bigint, file string, line int, variable string, source string, sink string, cwe string, severity int, sink_type string, message string, fix string"
+    return fold(rows, ["diff_id", "file", "_block"], ["seq"], follow, schema)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, keep, max_rounds: int = 100) -> DataFrame:

@@ -17,7 +17,7 @@ def _f(spark, sf):
 
 
 def _sides(spark, sf):
-    """Scanner's and model's findings; the model's come from the next line's place."""
+    """Scanner's and model's findings."""
     f = _f(spark, sf)
     return f.where("sast_source"), f.where("not sast_source")
 
@@ -49,9 +49,6 @@ def word_jaccard_pairs(spark, sf):
     return O.similar_pairs(_f(spark, sf))
 
 
-_STOP = None
-
-
 def _overlap(a: str, b: str) -> str:
     from ..functions.text import STOP_WORDS
 
@@ -70,26 +67,32 @@ def message_overlap(spark, sf):
 
 
 def _fusion_sql(kind: str) -> str:
-    mine, theirs = ("sast_source", "NOT sast_source") if kind != "beside" else ("NOT sast_source", "sast_source")
+    mine, theirs = ("{}.seq % 2 = 0", "{}.seq % 2 = 1") if kind != "beside" else ("{}.seq % 2 = 1", "{}.seq % 2 = 0")
     test = _overlap("s.message", "o.message")
     test = f"NOT {test}" if kind == "beside" else test
-    exists = f"EXISTS (SELECT 1 FROM {{f}} o WHERE ({theirs.replace('sast', 'o.sast')}) AND o.diff_id = s.diff_id AND o.file = s.file AND o.line = s.line AND {test})"
-    return f"SELECT diff_id, seq, message FROM {{f}} s WHERE ({mine.replace('sast', 's.sast')}) AND {'NOT ' if kind == 'dismissed' else ''}{exists}"
+    exists = f"EXISTS (SELECT 1 FROM {{f}} o WHERE ({theirs.format('o')}) AND o.diff_id = s.diff_id AND o.file = s.file AND o.line = s.line AND {test})"
+    return f"SELECT diff_id, seq, message FROM {{f}} s WHERE ({mine.format('s')}) AND {'NOT ' if kind == 'dismissed' else ''}{exists}"
+
+
+def _parties(spark, sf):
+    """Findings taken in turn as the scanner's and the model's, so that places coincide."""
+    f = _f(spark, sf)
+    return f.where("seq % 2 = 0"), f.where("seq % 2 = 1")
 
 
 @query("fusion_confirmed", _fusion_sql("confirmed"))
 def fusion_confirmed(spark, sf):
-    return O.fusion(*_sides(spark, sf))[0].select("diff_id", "seq", "message")
+    return O.fusion(*_parties(spark, sf))[0].select("diff_id", "seq", "message")
 
 
 @query("fusion_dismissed", _fusion_sql("dismissed"))
 def fusion_dismissed(spark, sf):
-    return O.fusion(*_sides(spark, sf))[1].select("diff_id", "seq", "message")
+    return O.fusion(*_parties(spark, sf))[1].select("diff_id", "seq", "message")
 
 
 @query("fusion_unaddressed", _fusion_sql("beside"))
 def fusion_unaddressed(spark, sf):
-    return O.fusion(*_sides(spark, sf))[2].select("diff_id", "seq", "message")
+    return O.fusion(*_parties(spark, sf))[2].select("diff_id", "seq", "message")
 
 
 _HUNKS = "(SELECT diff_id, path, hunk, new_start AS s, new_start + CAST(count(*) FILTER (WHERE mark <> '-') AS INT) AS e FROM {l} h GROUP BY diff_id, path, hunk, new_start)"

@@ -45,8 +45,8 @@ def checks(spark: SparkSession, folder: str) -> DataFrame:
     def key(name: str) -> Column:
         return F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
 
-    languages = F.filter(F.transform(F.split(F.regexp_replace(key("languages"), r"[\[\]\"']", ""), ","), F.trim), lambda x: x != "")
-    got = rows.select("path", F.when(key("severity") == "", "medium").otherwise(F.lower(key("severity"))).alias("severity"), languages.alias("languages"), (F.lower(key("enabled")) != "false").alias("enabled"), F.trim(F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?", "")).alias("body"))
+    languages = F.filter(F.transform(F.split(F.regexp_replace(key("languages"), r"[\[\]\"']", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+    got = rows.select("path", F.when(key("severity") == "", "medium").otherwise(F.lower(key("severity"))).alias("severity"), languages.alias("languages"), (F.lower(key("enabled")) != "false").alias("enabled"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?|\A\s+|\s+\z", "").alias("body"))
     return got.where("enabled")
 
 
