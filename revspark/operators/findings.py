@@ -341,3 +341,13 @@ def graph_spec(nodes: DataFrame) -> DataFrame:
 
 def severity_rank(name: str) -> int:
     return SEVERITIES.index(name) if name in SEVERITIES else 0
+
+
+def contract(findings: DataFrame) -> DataFrame:
+    """Findings under the names of the exchange format."""
+    return findings.select("diff_id", "seq", F.col("concern").alias("category"), severity_name(F.col("severity")).alias("severity"), F.col("file").alias("path"), F.col("line").alias("start_line"), "end_line", "message", F.col("fix").alias("suggestion"), "cwe", "confidence")
+
+
+def observed(nodes: DataFrame, at: str) -> DataFrame:
+    """(id, subject): one event for each node's observation at a time given as text."""
+    return nodes.select(F.concat(F.lit("observed/"), digest(F.col("id"), F.lit(at))).alias("id"), F.col("id").alias("subject"))

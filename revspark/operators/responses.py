@@ -108,16 +108,19 @@ def findings(responses: DataFrame, repair: bool = True) -> DataFrame:
 
 
 def filter_verdict(content: Column) -> Column:
-    """confirmed, confidence and reasoning of an answer in lines CONFIRMED:, CONFIDENCE:, REASONING:."""
+    """confirmed, confidence and reasoning of an answer with CONFIRMED:, CONFIDENCE:, REASONING:.
 
-    def line(name: str) -> Column:
-        return F.trim(F.regexp_extract(content, rf"(?im)^\s*{name}:[ \t]*(.*)$", 1))
-
-    value = F.regexp_extract(line("CONFIDENCE"), r"\A([01](?:\.[0-9]+)?)", 1)
+    A finding is confirmed unless the answer says `confirmed: no` or `false positive`; confidence is 0.7 unless a
+    number from 0 to 1 is given.
+    """
+    low = F.lower(content)
+    value = F.regexp_extract(low, r"(?s)\A.*?confidence:\s*([0-9]+(?:\.[0-9]*)?|\.[0-9]+)", 1)
+    number = F.when(value != "", value.cast("double"))
+    reason = F.regexp_extract(content, r"(?is)\A.*?reasoning:\s*([^\n]*)", 1)
     return F.struct(
-        F.lower(line("CONFIRMED")).isin("true", "yes").alias("confirmed"),
-        F.coalesce(F.when(value != "", value.cast("double")), F.lit(0.0)).alias("confidence"),
-        line("REASONING").alias("reasoning"),
+        (~(F.contains(low, F.lit("confirmed: no")) | F.contains(low, F.lit("false positive")))).alias("confirmed"),
+        F.when(number <= 1, number).otherwise(F.lit(0.7)).alias("confidence"),
+        F.regexp_replace(reason, r"\s+\z", "").alias("reasoning"),
     )
 
 

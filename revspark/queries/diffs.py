@@ -164,23 +164,3 @@ def truncate_files(spark, sf):
 def truncate_memory(spark, sf):
     rows = S.table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("text").alias("content"))
     return budget.truncate_memory(rows, 200)
-
-
-@query(
-    "context_enrich",
-    """SELECT diff_id, hunk AS hunk_idx, CAST(b AS INT) AS line FROM (SELECT DISTINCT diff_id, hunk, new_start FROM {l} t) h, generate_series(1, 3) g(k), LATERAL (SELECT new_start - k AS b) x WHERE b >= 1""",
-)
-def context_enrich(spark, sf):
-    rows = diff.hunks(S.diffs(spark, sf)).select("diff_id", "hunk_idx", "new_start")
-    before = F.sequence(F.greatest(F.lit(1), F.col("new_start") - 3), F.col("new_start") - 1)
-    return rows.where("new_start > 1").select("diff_id", "hunk_idx", F.explode(before).alias("line"))
-
-
-@query(
-    "relevant_diff",
-    """SELECT diff_id, string_agg(mark || text, chr(10) ORDER BY n) AS part FROM {l} t WHERE n BETWEEN 1 AND 3 GROUP BY diff_id""",
-)
-def relevant_diff(spark, sf):
-    near = S.line_items(spark, sf).where("n between 1 and 3")
-    rows = near.groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat("mark", "text").alias("t")))).alias("r"))
-    return rows.select("diff_id", F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("part"))

@@ -395,3 +395,44 @@ def prompt_limit(spark, sf):
 
     rows = _sides(spark, sf)[0].withColumn("n", F.row_number().over(W.partitionBy("diff_id").orderBy("seq")))
     return rows.where("n <= 2").select("diff_id", "seq", F.substring("message", 1, 20).alias("evidence"))
+
+
+@query("export_limit", "SELECT diff_id, seq FROM (SELECT diff_id, seq, row_number() OVER (PARTITION BY diff_id ORDER BY seq) AS n FROM {f} t) u WHERE n <= 2")
+def export_limit(spark, sf):
+    from pyspark.sql import Window as W
+
+    return _f(spark, sf).withColumn("n", F.row_number().over(W.partitionBy("diff_id").orderBy("seq"))).where("n <= 2").select("diff_id", "seq")
+
+
+@query("duplicate_id_dedup", "SELECT id, seq FROM (SELECT file || ':' || CAST(line AS STRING) || ':' || concern AS id, seq, row_number() OVER (PARTITION BY file, line, concern ORDER BY seq) AS n FROM {f} t) u WHERE n = 1")
+def duplicate_id_dedup(spark, sf):
+    return O.first_by(_f(spark, sf).select(O.finding_id().alias("id"), "seq"), ["id"], ["seq"])
+
+
+@query("memory_sort", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS INT) AS place FROM conversations")
+def memory_sort(spark, sf):
+    from pyspark.sql import Window as W
+
+    rows = S.table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn")).alias("place"))
+
+
+@query("contract_convert", f"SELECT diff_id, seq, concern AS category, {_SEV} AS severity, file AS path, line AS start_line, end_line, message, fix AS suggestion, cwe, confidence FROM {{f}} t")
+def contract_convert(spark, sf):
+    return O.contract(_f(spark, sf))
+
+
+@query("quality_events", f"SELECT 'observed/' || {_digest('id', literal('2024-01-01T00:00:00Z'))} AS id, id AS subject FROM (SELECT {_REPORT} AS id FROM {{f}} t GROUP BY diff_id) u")
+def quality_events(spark, sf):
+    nodes, _ = O.quality_graph(_f(spark, sf), "corpus")
+    return O.observed(nodes.where("kind = 'report'"), "2024-01-01T00:00:00Z")
+
+
+@query("git_context", "SELECT c_name AS path, array_to_string((list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey))[1:5], ' ') AS recent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")
+def git_context(spark, sf):
+    from pyspark.sql import Window as W
+
+    commits = S.table(spark, sf, "orders").join(S.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = F.row_number().over(W.partitionBy("c_name").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    last = commits.select(F.col("c_name").alias("path"), "o_orderkey", n.alias("n")).where("n <= 5")
+    return last.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("o_orderkey").cast("string").alias("k")))), lambda x: x["k"]), " ").alias("recent"))

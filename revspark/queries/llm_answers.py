@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assist as A
+from ..operators import diff
 from ..operators import responses as R
 from ..sources import synthetic as S
 from . import query
@@ -47,7 +49,7 @@ def lenient_json(spark, sf):
 
 @query("parse_filter_response", "SELECT diff_id, seq, severity > 1 AS confirmed, CAST(severity AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence, 'because ' || message AS reasoning FROM {f} t")
 def parse_filter_response(spark, sf):
-    text = F.format_string("CONFIRMED: %s\nCONFIDENCE: 0.%d\nREASONING: because %s", F.when(F.col("severity") > 1, "true").otherwise("false"), "severity", "message")
+    text = F.format_string("CONFIRMED: %s\nCONFIDENCE: 0.%d\nREASONING: because %s", F.when(F.col("severity") > 1, "yes").otherwise("no"), "severity", "message")
     return S.findings(spark, sf).select("diff_id", "seq", R.filter_verdict(text).alias("v")).select("diff_id", "seq", "v.*")
 
 
@@ -77,3 +79,71 @@ def review_stats(spark, sf):
 
     r = Review(provider=echo_provider)
     return r.stats(r.run(S.diffs(spark, sf)))
+
+
+@query("filter_code_context", "SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(k - 5, 0) + 1 : least(k + 5, len(string_split(text, chr(10))))], chr(10)) AS context FROM (SELECT doc_id, text, CAST(doc_id % 9 AS INT) AS k FROM documents) t")
+def filter_code_context(spark, sf):
+    return S.documents(spark, sf).select("doc_id", A.code_context(F.col("text"), (F.col("doc_id") % 9).cast("int")).alias("context"))
+
+
+@query(
+    "relevant_diff",
+    """SELECT diff_id, substr(string_agg(t, chr(10) ORDER BY hunk, n), 1, 500) AS part FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY hunk, n) AS k FROM (
+    SELECT diff_id, hunk, n, mark || text AS t FROM {l} a UNION ALL SELECT diff_id, hunk, 0, '@@ -' || CAST(old_start AS STRING) || ',' || CAST(count(*) FILTER (WHERE mark <> '+') AS STRING) || ' +' || CAST(new_start AS STRING) || ',' ||
+      CAST(count(*) FILTER (WHERE mark <> '-') AS STRING) || ' @@ part ' || CAST(hunk AS STRING) FROM {l} b GROUP BY diff_id, hunk, old_start, new_start) u) v WHERE k <= 8 GROUP BY diff_id""",
+)
+def relevant_diff(spark, sf):
+    return S.diffs(spark, sf).select("diff_id", A.relevant_diff(F.col("raw"), F.expr(S.PATH), F.lit(3)).alias("part"))
+
+
+@query("context_enrich", "SELECT diff_id, hunk AS hunk_idx, CAST(b AS INT) AS line FROM (SELECT DISTINCT diff_id, hunk, new_start FROM {l} t) h, generate_series(1, 3) g(k), LATERAL (SELECT new_start - k AS b) x WHERE b >= 1")
+def context_enrich(spark, sf):
+    return A.context_lines(diff.hunks(S.diffs(spark, sf))).select("diff_id", "hunk_idx", "line")
+
+
+@query("parse_fix_response", "SELECT p_partkey, 'x := ' || CAST(p_partkey AS STRING) AS fixed_code, 'because' AS explanation FROM part WHERE p_partkey % 3 > 0")
+def parse_fix_response(spark, sf):
+    text = F.expr("case when p_partkey % 3 = 0 then 'sorry' else 'FIXED: x := ' || cast(p_partkey as string) || char(10) || 'EXPLANATION: because' end")
+    return S.table(spark, sf, "part").select("p_partkey", A.parse_fix(text).alias("f")).where("f is not null").select("p_partkey", "f.fixed_code", "f.explanation")
+
+
+@query("parse_improvements", "SELECT p_partkey, 'a' || CAST(p_partkey AS STRING) AS file FROM part")
+def parse_improvements(spark, sf):
+    text = F.format_string('[{"file": "a%d", "description": "d", "after": "x"}, {"file": "b", "description": "d"}]', "p_partkey")
+    return S.table(spark, sf, "part").select("p_partkey", F.explode(A.parse_improvements(text)).alias("i")).select("p_partkey", "i.file")
+
+
+@query("parse_description", "SELECT diff_id, CASE WHEN diff_id % 2 = 0 THEN 'T' ELSE 'Update ' || path END AS title, CASE WHEN diff_id % 2 = 0 THEN 'high' ELSE 'low' END AS risk FROM (SELECT DISTINCT diff_id, path FROM {l} t) u")
+def parse_description(spark, sf):
+    text = F.expr("""case when diff_id % 2 = 0 then '{"title": "T", "risk": "high"}' else 'none' end""")
+    d = diff.files(S.diffs(spark, sf))
+    return d.select("diff_id", A.parse_description(text, F.col("path"), F.lit("s")).alias("d")).select("diff_id", "d.title", "d.risk")
+
+
+@query("fused_prompt", "SELECT diff_id, 'head' || chr(10) || section || chr(10) || '<diff_content>' AS prompt FROM (SELECT diff_id, string_agg('- ' || file || ':' || CAST(line AS STRING) || ' ' || message, chr(10) ORDER BY seq) AS section FROM {f} t WHERE sast_source GROUP BY diff_id) u")
+def fused_prompt(spark, sf):
+    from ..operators.prompts import sast_section
+
+    rows = sast_section(S.findings(spark, sf).where("sast_source"))
+    return rows.select("diff_id", A.fused_prompt(F.lit("head\n<diff_content>"), F.col("section")).alias("prompt"))
+
+
+@query("describe_truncate")
+def describe_truncate(spark, sf):
+    docs = S.documents(spark, sf).select((F.col("doc_id") % 50).alias("diff_id"), F.col("doc_id").alias("file_idx"), "text")
+    return A.sections_within(docs, 4000).select("diff_id", "file_idx")
+
+
+@query("filter_findings")
+def filter_findings(spark, sf):
+    from ..operators.findings import gate
+    from ..plans.review import ask
+
+    f = S.findings(spark, sf)
+    asked = f.withColumns({"code_context": F.lit(""), "system_prompt": F.lit("")}).withColumn("prompt", A.validation_prompt())
+    answers = ask(asked.select("diff_id", "seq", "system_prompt", "prompt"), _doubtful)
+    return gate(f, A.verdicts(answers)).select("diff_id", "seq", "place")
+
+
+def _doubtful(system: str, prompt: str) -> str:
+    return "CONFIRMED: no" if "md5" in prompt else "CONFIRMED: yes\nCONFIDENCE: 0.9"

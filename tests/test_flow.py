@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from revspark.operators import budget, diff, responses, symbols, taint
+from revspark.operators import assist, budget, diff, responses, symbols, taint
 from revspark.plans.review import Review, ask, echo_provider
 from revspark.plans.store import stored
 from revspark.sources import files, git
@@ -134,8 +134,36 @@ def test_verdicts(spark):
     def verdict(t):
         return tuple(spark.range(1).select(responses.filter_verdict(F.lit(t)).alias("v")).first()["v"])
 
-    assert verdict("CONFIRMED: true\nCONFIDENCE: 0.8\nREASONING: sure") == (True, 0.8, "sure")
-    assert verdict("confirmed: No") == (False, 0.0, "") and verdict("") == (False, 0.0, "")
+    assert verdict("CONFIRMED: yes\nCONFIDENCE: 0.8\nREASONING: sure \nmore") == (True, 0.8, "sure")
+    assert verdict("confirmed: No") == (False, 0.7, "") and verdict("") == (True, 0.7, "")
+    assert verdict("A false positive.\nconfidence: 3") == (False, 0.7, "")
+
+
+def test_assist(spark):
+    def one(c):
+        return spark.range(1).select(c).first()[0]
+
+    text = "\n".join(str(k) for k in range(1, 21))
+    assert one(assist.code_context(F.lit(text), F.lit(3))) == "1\n2\n3\n4\n5\n6\n7\n8"
+    assert one(assist.code_context(F.lit(text), F.lit(19))) == "15\n16\n17\n18\n19\n20" and one(assist.code_context(F.lit(text), F.lit(99))) == ""
+    assert one(assist.relevant_diff(F.lit(DIFF + "diff --git a/z b/z\n--- a/z\n+z"), F.lit("q.go"), F.lit(2))) == "\n".join(DIFF.rstrip("\n").split("\n")[3:])
+    assert one(assist.relevant_diff(F.lit(DIFF), F.lit("nope"), F.lit(2))) == "" and one(assist.relevant_diff(F.lit(DIFF), F.lit("q.go"), F.lit(7))).startswith("+q :=") is False
+    assert tuple(one(assist.parse_fix(F.lit("FIXED:\n x \nEXPLANATION: y ")))) == ("x", "y", 0.7) and one(assist.parse_fix(F.lit("EXPLANATION: y"))) is None and tuple(one(assist.parse_fix(F.lit("FIXED: z")))) == ("z", "", 0.7)
+    assert len(one(assist.parse_improvements(F.lit('[{"file": "a", "description": "d", "after": "x"}, {"file": "a"}]')))) == 1
+    assert tuple(one(assist.parse_description(F.lit("no json"), F.lit("p"), F.lit("s")))) == ("Update p", "s", "chore", "low")
+    assert one(assist.fused_prompt(F.lit("a<diff_content>b"), F.lit("S"))) == "aS\n<diff_content>b" and one(assist.fused_prompt(F.lit("ab"), F.lit("S"))) == "S\nab" and one(assist.fused_prompt(F.lit("ab"), F.lit(""))) == "ab"
+
+
+def test_validation(spark):
+    f = spark.createDataFrame([(1, 0, "security", 3, "a.go", 2, "m", "", "x\ny")], "diff_id long, seq long, concern string, severity int, file string, line int, message string, fix string, content string")
+    asked = f.withColumn("code_context", assist.code_context(F.col("content"), F.col("line"))).withColumn("prompt", assist.validation_prompt()).withColumn("system_prompt", F.lit(""))
+    no = ask(asked.drop("content"), lambda s, p: "CONFIRMED: no" if "a.go:2" in p and "high" in p else "?")
+    assert assist.verdicts(no).first()["confirmed"] is False
+
+    def broken(s, p):
+        raise OSError("x")
+
+    assert tuple(assist.verdicts(ask(asked.drop("content"), broken)).first())[2:4] == (True, 0.5)
 
 
 DIFF = 'diff --git a/q.go b/q.go\n--- a/q.go\n+++ b/q.go\n@@ -1,2 +10,4 @@\n ctx\n+q := fmt.Sprintf("SELECT * FROM t WHERE id=%s", x)\n+// TODO later\n+cmd := exec.Command(x)\n'
