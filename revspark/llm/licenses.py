@@ -120,7 +120,7 @@ def _places(words: Column, at: Column, t: Template, idf: dict[str, float], least
     return F.filter(found, lambda x: x["share"] >= least)
 
 
-def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, least: float = 0.25) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and places to doc_id.
 
     n_base counts all places of base templates, first_word and last_word are the least and

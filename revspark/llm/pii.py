@@ -31,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Strings that may be identifiers: 6 to 80 characters with a digit, bounded by other characters.
-CANDIDATE = r"(?<![A-Za-z0-9._@+/=-])[A-Za-z0-9._@+/=-]{5,79}+[A-Za-z0-9](?![A-Za-z0-9._@+/=-])"
+CANDIDATE = r"(?<![A-Za-z0-9._@+/=-])[A-Za-z0-9._@+/=-]{5,79}[A-Za-z0-9](?![A-Za-z0-9._@+/=-])"
 CONTEXT = 40  # characters of context that words are taken from
 BLOCK = 64
 

@@ -126,6 +126,8 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
     """Twice the samples per second: between two samples goes the cubic through the four nearest, (-1, 9, 9, -1) / 16."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
+    if not len(pcm):
+        return out
     x = np.pad(pcm.astype(np.int32), (1, 2), mode="edge")
     n = len(pcm)
     out[1::2] = np.clip((9 * (x[1 : n + 1] + x[2 : n + 2]) - x[:n] - x[3 : n + 3] + 8) >> 4, -32768, 32767)
