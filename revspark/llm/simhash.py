@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
+from .textvec import Words, flat, mix, slices
 
 BITS = 64
 SEED = 42
@@ -70,10 +71,10 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
 
     In buckets of up to `bucket` members these are the pairs themselves; in larger ones every
     fingerprint is linked with the least fingerprint of each point that it shares.
-    radius must be 2 or less; the segment balls are of radius 1.
+    radius may be 3, which two balls of radius 1 still find; in large buckets links then reach 2 only.
     """
-    if radius > 2:
-        raise ValueError("two segments with balls of radius 1 find distances up to 2")
+    if not 2 <= radius <= 3:
+        raise ValueError("two segments with balls of radius 1 find distances up to 3, large buckets 2")
     fps = fps.select("fp").distinct()
     halves = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
 
@@ -99,8 +100,6 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
         return pairs
     members = probes.join(hot, "key", "left_semi").select("fp").distinct()
     points = members.select("fp", F.explode(F.array(F.col("fp"), *[_flip(F.col("fp"), i) for i in range(BITS)])).alias("point"))
-    if radius < 2:
-        raise ValueError("large buckets are linked at distance 2")
     least = points.groupBy("point").agg(F.min("fp").alias("v"))
     star = points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return pairs.union(star)
@@ -123,11 +122,131 @@ def clusters(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The documents without near copies: of each component those with its smallest doc_id.
+#: Coarse views that similar texts are sought by: (words of a shingle, seed).
+VIEWS = ((1, 42), (1, 43), (1, 44), (2, 42))
+_NOT_SPACE = np.ones(256, bool)
+_NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
+
+
+def _sequence(words: Words, k: int) -> np.ndarray:
+    return words.hash[words.first[k] : words.first[k + 1]]
+
+
+def views(docs: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
+    """(doc_id, content, v0, v1, ...): a hash of the text's words in order, and a fingerprint for each view.
+
+    Views take shingles of one or two words: an edit touches few of these, so that a similarity
+    of 0.8 over five words, about one word in forty-five replaced, is a few bits here.
+    """
+    names = ["doc_id", "content", *(f"v{k}" for k in range(len(kinds)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                words = Words(*flat(b.column(1)), _NOT_SPACE)
+                out = [np.zeros(b.num_rows, np.uint64) for _ in names[1:]]
+                for k in range(b.num_rows):
+                    h = _sequence(words, k)
+                    place = np.arange(1, len(h) + 1, dtype=np.uint64)
+                    out[0][k] = np.bitwise_xor.reduce(mix(h + mix(place))) if len(h) else 0
+                    for v, (n, seed) in enumerate(kinds):
+                        g = h if n == 1 or len(h) < n else mix(h[:-1] * np.uint64(3) + h[1:])
+                        out[1 + v][k] = _majority(mix(g + np.uint64(seed))) if len(g) else 0
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.view(np.int64)) for c in out)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _majority(h: np.ndarray) -> np.uint64:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), CHUNK):
+        counts += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def candidates(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
+    """(a, b): pairs of texts, by their smallest doc_id, that some view places close; found: rows of `views`.
+
+    Of the texts that share a fingerprint the first stands for all, and the others are paired with it.
+    """
+    texts = stored(found.groupBy("content", *(f"v{k}" for k in range(len(kinds)))).agg(F.min("doc_id").alias("doc")), "simhash-texts")
+    out = None
+    for k in range(len(kinds)):
+        mine = texts.select("doc", F.col(f"v{k}").alias("fp"))
+        first = stored(mine.groupBy("fp").agg(F.min("doc").alias("first")), f"simhash-view-{k}")
+        same = mine.join(first, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+        near = links(first.select("fp"), radius=3)
+        near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+        both = same.unionByName(near)
+        out = both if out is None else out.unionByName(both)
+    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, shingles) of the documents named in ids (doc_id): sorted distinct hashes of shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                w = Words(*flat(b.column(1)), _NOT_SPACE)
+                grams, whole = w.grams(words)
+                out = []
+                for k in range(b.num_rows):
+                    part = slice(w.first[k], w.first[k + 1])
+                    g = grams[part][whole[part]]
+                    if not len(g):  # fewer words than a shingle has: the whole sequence
+                        g = np.array([mix(np.append(w.hash[part], np.uint64(7))).sum(dtype=np.uint64)])
+                    out.append(np.unique(g).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+
+    # Ids grow with the corpus: they are never broadcast, at any size.
+    return docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id").mapInArrow(run, "doc_id bigint, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity."""
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, q in zip(batch.column(2), batch.column(3)):
+                s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(t) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) of every document with a doc_id: near copies have one group, named by its smallest doc_id.
+
+    Texts that some coarse view places within three bits are compared by their sets of shingles of `words` words, and
+    linked from `similarity` on. Texts whose words are the same, whatever their white space and case, are one.
+    Rows that repeat a doc_id are compared by one of their texts.
+    """
+    docs = docs.where("doc_id is not null")
+    found = stored(views(docs), "simhash-views")
+    pairs = stored(candidates(found), "simhash-candidates")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    sets = stored(shingle_sets(docs, ids, words).dropDuplicates(["doc_id"]), "simhash-sets")
+    comp = components(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-groups")
+    first = found.groupBy("content", *(f"v{k}" for k in range(len(VIEWS)))).agg(F.min("doc_id").alias("first"))
+    keys = ["content", *(f"v{k}" for k in range(len(VIEWS)))]
+    rows = found.join(first, keys).select("doc_id", "first")
+    return rows.join(comp, rows["first"] == comp["node"], "left").select("doc_id", F.coalesce("root", "first").alias("group_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """The documents without near copies: of each component, or with `similarity` of each similar group, those with its smallest doc_id.
 
     Rows that repeat a doc_id stand or fall together; rows without doc_id, which can't be
     told apart, stay. All columns of docs are returned.
     """
-    kept = clusters(docs.where("doc_id is not null"), words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    if similarity is None:
+        kept = clusters(docs.where("doc_id is not null"), words, radius).where("doc_id = component_id")
+    else:
+        kept = similar_groups(docs, words, similarity).where("doc_id = group_id")
+    kept = kept.select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -125,7 +125,7 @@ def test_cluster_edges(spark):
     assert kept.columns == ["doc_id", "text", "fp", "component_id", "key"]
     assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept.collect()) == [(-1, ""), (-1, "a b c"), (2, "a b c"), (9, "d e f")]
     with pytest.raises(ValueError):
-        simhash.links(same.selectExpr("doc_id as fp"), radius=3)
+        simhash.links(same.selectExpr("doc_id as fp"), radius=4)
 
 
 def test_components(spark):
@@ -238,3 +238,51 @@ def test_passage_edges(spark):
     got = passages.classes(passages.near_duplicates(frame(spark, [t, t, t], [4, None, 4])))
     assert got.count() == 0
     assert passages.segments(np.zeros(0, "<u4"), np.arange(9, dtype="<u4"), 3, 0.8) == []
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({k: k + 32 for k in range(65, 91)}))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups(spark):
+    """Nothing under a similarity of 0.8 is grouped, and nearly all texts with one word in sixty replaced are."""
+    r = random.Random(11)
+    texts = ["", None, " \t", "one", "ONE", "two words", "two  WORDS"]
+    pairs = []
+    for k in range(60):
+        p = sentences(r, r.randint(120, 500)).split()
+        q = list(p)
+        for i in range(r.randrange(60), len(q), 60 if k % 2 else 12):
+            q[i] = "edited" + sentences(r, 1)
+        if k % 2:
+            pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(p), " ".join(q)]
+    texts += [texts[20].upper(), texts[21]]
+    got = {x["doc_id"]: x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[1] == got[2] == 0 and got[4] == 3 and got[6] == 5 and got[len(texts) - 2] == got[20] and got[len(texts) - 1] == got[21]
+    groups = defaultdict(list)
+    for k, g in got.items():
+        groups[g].append(k)
+    for members in groups.values():
+        assert len(members) == 1 or all(any(similarity(texts[a], texts[b]) >= 0.8 for b in members if b != a) for a in members)
+        assert min(members) == got[members[0]]
+    close = [(a, b) for a, b in pairs if similarity(texts[a], texts[b]) >= 0.8]
+    assert len(close) > 20 and sum(got[a] == got[b] for a, b in close) >= 0.9 * len(close)
+    kept = {x["doc_id"] for x in simhash.keep_one(frame(spark, texts), words=5, similarity=0.8).collect()}
+    assert kept == set(got.values())
+
+
+def test_similar_group_of_many(spark):
+    """A group of hundreds of near copies becomes one group with links in proportion to its size."""
+    r = random.Random(12)
+    texts = near_copies(r, 400)
+    found = simhash.views(frame(spark, texts))
+    assert simhash.candidates(found).count() < 60 * len(texts)
+    assert {x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()} == {0}
+    assert simhash.similar_groups(frame(spark, [])).count() == 0
