@@ -4,7 +4,8 @@ Documents become pieces of at most one sequence. Pieces are dealt evenly to part
 size; each is packed by best-fit decreasing, and dual-feasible functions give a lower bound
 of its number of sequences. A partition that meets its bound is certified: no packing of its
 pieces is smaller. The others give the pieces of their unfilled sequences away, which are
-dealt anew and packed again.
+dealt anew and packed again; where best-fit decreasing again misses the bound, sequences are filled by exact
+sums instead if that takes fewer.
 """
 
 from __future__ import annotations
@@ -121,6 +122,50 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(left, np.int64)
 
 
+def tightest_fill(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_fit_decreasing, but each sequence takes the longest piece left and then the set of others that fills it best.
+
+    Sums that sets of pieces can reach are bits of an integer; lengths enter from the longest on, at most as often as
+    they fit, until the room is met exactly.
+    """
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in np.argsort(-np.arange(len(lengths)), kind="stable").tolist():
+        stacks[int(lengths[i])].append(i)
+    bins = np.empty(len(lengths), np.int64)
+    offsets = np.empty(len(lengths), np.int64)
+    left: list[int] = []
+    present = sorted({int(n) for n in lengths}, reverse=True)
+    while present:
+        taken = [present[0]]
+        room = capacity - present[0]
+        limit = (1 << (room + 1)) - 1
+        sums, steps = 1, []
+        for n in present:
+            if n > room:
+                continue
+            for _ in range(min(len(stacks[n]) - (n == present[0]), room // n)):
+                more = (sums | sums << n) & limit
+                if more == sums:
+                    break
+                steps.append((n, sums))
+                sums = more
+            if sums >> room & 1:
+                break
+        rest = sums.bit_length() - 1
+        left.append(room - rest)
+        for n, before in reversed(steps):
+            if not before >> rest & 1:
+                taken.append(n)
+                rest -= n
+        at = 0
+        for n in taken:
+            i = stacks[n].pop()
+            bins[i], offsets[i] = len(left) - 1, at
+            at += n
+        present = [n for n in present if stacks[n]]
+    return bins, offsets, np.array(left, np.int64)
+
+
 def _packed(rows: DataFrame, turn: int, groups: int, capacity: int) -> DataFrame:
     """One round: deals rows to `groups` partitions and packs each."""
     kept = [f for f in rows.schema.fields if f.name not in ("sequence_id", "offset", "certified", "open")]
@@ -131,6 +176,10 @@ def _packed(rows: DataFrame, turn: int, groups: int, capacity: int) -> DataFrame
         part = part.sort_values(["length", "doc_id", "piece"], kind="stable", ignore_index=True)
         lengths = part["length"].to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
+        if turn and len(left) > lower_bound(lengths, capacity):
+            tight = tightest_fill(lengths, capacity)
+            if len(tight[2]) < len(left):
+                bins, offsets, left = tight
         out = part[names].copy()
         out["sequence_id"] = bins + (int(part["_group"].iloc[0]) << 32 if len(part) else 0) + (turn << 60)
         out["offset"] = offsets
@@ -144,7 +193,7 @@ def _packed(rows: DataFrame, turn: int, groups: int, capacity: int) -> DataFrame
     return salted.groupBy("_group").applyInPandas(run, schema + ", sequence_id bigint, offset bigint, certified boolean, open boolean")
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, rounds: int = 2) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, rounds: int = 3) -> DataFrame:
     """Adds sequence_id, offset and certified to pieces (doc_id, piece, length, ...).
 
     Every piece gets one place; places of a sequence are gapless from 0. certified: the

@@ -86,9 +86,13 @@ def test_bounds():
     for _ in range(200):
         cap = r.choice([10, 17, 64])
         lengths = np.array([r.randint(1, cap) for _ in range(r.randint(0, 9))], int)
-        bins, offsets, left = packing.best_fit_decreasing(lengths, cap)
-        load = np.bincount(bins, weights=lengths, minlength=len(left)) if len(left) else np.zeros(0)
-        assert (load <= cap).all() and (cap - load == left).all()
+        for pack in (packing.tightest_fill, packing.best_fit_decreasing):
+            bins, offsets, left = pack(lengths, cap)
+            load = np.bincount(bins, weights=lengths, minlength=len(left)) if len(left) else np.zeros(0)
+            assert (load <= cap).all() and (cap - load == left).all()
+            for b in range(len(left)):
+                inside = sorted(zip(offsets[bins == b], lengths[bins == b]))
+                assert [o for o, _ in inside] == [0, *np.cumsum([n for _, n in inside])[:-1]]
 
         def optimum(rest, open_bins):
             if not rest:
