@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import stored
 from ..shipping import ship
 
-_made: list = []
+__all__ = ["components", "fold", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,43 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where a session has none (local tests) a folder under the warehouse is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return found.rstrip("/")
-
-
-@atexit.register
-def _remove() -> None:
-    """Deletes this application's intermediates while its session is still alive."""
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may be gone; the folder is the cluster's scratch space
-            return
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it again.
-
-    This cuts lineage, survives lost executors, and unlike an RDD checkpoint computes the
-    rows once and stays columnar and compressed.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: int, n: int) -> int:
     """crc32 of the id as text, modulo n; equals SQL crc32(cast(doc_id as string)) % n."""
     return zlib.crc32(str(doc_id).encode()) % n

@@ -17,6 +17,8 @@ point if and only if they differ in at most two bits, and no point has more than
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -135,8 +137,9 @@ def _sequence(words: Words, k: int) -> np.ndarray:
 def views(docs: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
     """(doc_id, content, v0, v1, ...): a hash of the text's words in order, and a fingerprint for each view.
 
-    Views take shingles of one or two words: an edit touches few of these, so that a similarity
-    of 0.8 over five words, about one word in forty-five replaced, is a few bits here.
+    Views take distinct shingles of one or two words: an edit touches few of these, so that a similarity
+    of 0.8 over five words, about one word in forty-five replaced, is a few bits here. Counted with repeats,
+    common words would place all texts of a language close.
     """
     names = ["doc_id", "content", *(f"v{k}" for k in range(len(kinds)))]
 
@@ -151,7 +154,7 @@ def views(docs: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
                     out[0][k] = np.bitwise_xor.reduce(mix(h + mix(place))) if len(h) else 0
                     for v, (n, seed) in enumerate(kinds):
                         g = h if n == 1 or len(h) < n else mix(h[:-1] * np.uint64(3) + h[1:])
-                        out[1 + v][k] = _majority(mix(g + np.uint64(seed))) if len(g) else 0
+                        out[1 + v][k] = _majority(mix(np.unique(g) + np.uint64(seed))) if len(g) else 0
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.view(np.int64)) for c in out)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
@@ -167,19 +170,20 @@ def _majority(h: np.ndarray) -> np.uint64:
 def candidates(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
     """(a, b): pairs of texts, by their smallest doc_id, that some view places close; found: rows of `views`.
 
-    Of the texts that share a fingerprint the first stands for all, and the others are paired with it.
+    All views share one index: two bits of each fingerprint give way to the number of its view. Of
+    the texts that share a fingerprint the first stands for all, and the others are paired with it.
     """
-    texts = stored(found.groupBy("content", *(f"v{k}" for k in range(len(kinds)))).agg(F.min("doc_id").alias("doc")), "simhash-texts")
-    out = None
-    for k in range(len(kinds)):
-        mine = texts.select("doc", F.col(f"v{k}").alias("fp"))
-        first = stored(mine.groupBy("fp").agg(F.min("doc").alias("first")), f"simhash-view-{k}")
-        same = mine.join(first, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-        near = links(first.select("fp"), radius=3)
-        near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-        both = same.unionByName(near)
-        out = both if out is None else out.unionByName(both)
-    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    if len(kinds) > 4:
+        raise ValueError("two bits number four views")
+    texts = found.groupBy("content", *(f"v{k}" for k in range(len(kinds)))).agg(F.min("doc_id").alias("doc"))
+    marked = [F.shiftrightunsigned(f"v{k}", 2).bitwiseOR(F.lit((k << 62) - (1 << 64) if k > 1 else k << 62)) for k in range(len(kinds))]
+    mine = stored(texts.select("doc", F.explode(F.array(*marked)).alias("fp")), "simhash-texts")
+    first = stored(mine.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-firsts")
+    same = mine.join(first, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    near = links(first.select("fp"), radius=3)
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    both = same.unionByName(near).where("a <> b")
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
@@ -232,9 +236,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     sets = stored(shingle_sets(docs, ids, words).dropDuplicates(["doc_id"]), "simhash-sets")
     comp = components(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-groups")
-    first = found.groupBy("content", *(f"v{k}" for k in range(len(VIEWS)))).agg(F.min("doc_id").alias("first"))
-    keys = ["content", *(f"v{k}" for k in range(len(VIEWS)))]
-    rows = found.join(first, keys).select("doc_id", "first")
+    kinds = [f"v{k}" for k in range(len(VIEWS))]
+    first = found.groupBy("content", *kinds).agg(F.min("doc_id").alias("first")).select(F.col("content").alias("_content"), *(F.col(v).alias(f"_{v}") for v in kinds), "first")
+    # One long is the key; that all views agree too is tested on the rows it brings together.
+    equal = reduce(and_, (F.col(v).bitwiseXOR(F.col(f"_{v}")) == 0 for v in kinds), F.col("content") == F.col("_content"))
+    rows = found.join(first, equal).select("doc_id", "first")
     return rows.join(comp, rows["first"] == comp["node"], "left").select("doc_id", F.coalesce("root", "first").alias("group_id"))
 
 
