@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..shipping import ship
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where a session has none (local tests) a folder under the warehouse is used.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table in the folder that driver and executors share and reads it again.
+    """Writes `df` as a table in the shared folder and reads it again.
 
-    The folder is spark.checkpoint.dir; a session without one (local tests) uses its warehouse.
+    This cuts lineage, survives lost executors, and unlike an RDD checkpoint computes the
+    rows once and stays columnar and compressed.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    ship(spark)
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove() -> None:
+    """Deletes this application's intermediates while its session is still alive."""
+    for spark, path in _made:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone; the folder is the cluster's scratch space
+            return
