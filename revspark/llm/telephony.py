@@ -144,7 +144,10 @@ def summary(tag: int, rate: int, pcm: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with spaces, as the codes of a WAV file. Null is empty."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with spaces, as the codes of a WAV file.
+
+    One row per row of docs, repeated ids included; a null text is empty, and an empty one is a block of spaces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

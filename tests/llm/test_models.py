@@ -235,3 +235,20 @@ def test_pipeline(spark):
                 assert rows[k]["text"] == x["text"] or "<" in x["text"]
         rows = out
     assert corpus_pipeline.run(spark, SF).where(F.col("offset") == 0).count() > 0
+
+
+def test_pipeline_edges(spark):
+    """Empty tables, nulls, repeated rows and further columns with the stages' own names pass through every stage."""
+    import corpus_pipeline
+    from revspark.llm.common import stored
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    odd = docs.limit(5).union(spark.createDataFrame([(None, None, None, None, None), (None, "x", None, None, 1), (7, "", None, None, 0), (7, None, None, None, 0)], docs.schema))
+    odd = odd.withColumns({"score": F.lit(1), "fp": F.lit("a"), "spans": F.lit(2), "_text": F.lit(3), "group_id": F.lit(4)})
+    for df, n in ((odd.where("false"), 0), (odd, 9)):
+        now = df
+        for name, stage in corpus_pipeline.STAGES:
+            now = stored(stage(spark, now, "/root/testdata/sf0.001"), f"edge-{name}")
+            if name != "packing":
+                assert now.columns == df.columns and (now.count() == 0 if n == 0 else now.where("doc_id is null").count() == 2)
+        assert (now.count() > 0) == (n > 0)
