@@ -23,8 +23,8 @@ def rows_of(df):
     def plain(v):
         if v is None or v is pd.NA or v != v:
             return None
-        if isinstance(v, float):
-            return round(v, 9)
+        if isinstance(v, float):  # whole numbers beside nulls arrive as floats
+            return int(v) if v.is_integer() else round(v, 9)
         return int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else v
 
     df = df[sorted(df.columns)]
