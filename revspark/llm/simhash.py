@@ -75,6 +75,12 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
     fingerprint is linked with the least fingerprint of each point that it shares.
     radius may be 3, which two balls of radius 1 still find; in large buckets links then reach 2 only.
     """
+    pairs, probing, _ = _near(fps, radius, bucket)
+    return pairs if probing is None else pairs.union(_star(probing))
+
+
+def _near(fps: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Pairs (u, v) in buckets of up to `bucket` members; of the larger ones (fp, key) of those who look them up and of those in them."""
     if not 2 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 find distances up to 3, large buckets 2")
     fps = fps.select("fp").distinct()
@@ -99,12 +105,16 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
     near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     pairs = a.join(b, (a["key"] == b["key"]) & near).select("u", "v")
     if not some_hot:
-        return pairs
-    members = probes.join(hot, "key", "left_semi").select("fp").distinct()
+        return pairs, None, None
+    return pairs, probes.join(hot, "key", "left_semi"), index.join(hot, "key", "left_semi")
+
+
+def _star(probing: DataFrame) -> DataFrame:
+    """(u, v): every fingerprint that looks a large bucket up, and the least one of each point it shares."""
+    members = probing.select("fp").distinct()
     points = members.select("fp", F.explode(F.array(F.col("fp"), *[_flip(F.col("fp"), i) for i in range(BITS)])).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("v"))
-    star = points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    return pairs.union(star)
+    return points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def clusters(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -167,23 +177,73 @@ def _majority(h: np.ndarray) -> np.uint64:
     return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
 
 
-def candidates(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
-    """(a, b): pairs of texts, by their smallest doc_id, that some view places close; found: rows of `views`.
+def _marked(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
+    """(doc, fp): texts, by their smallest doc_id, with one fingerprint for each view; found: rows of `views`.
 
-    All views share one index: two bits of each fingerprint give way to the number of its view. Of
-    the texts that share a fingerprint the first stands for all, and the others are paired with it.
+    All views share one index: two bits of each fingerprint give way to the number of its view.
     """
     if len(kinds) > 4:
         raise ValueError("two bits number four views")
     texts = found.groupBy("content", *(f"v{k}" for k in range(len(kinds)))).agg(F.min("doc_id").alias("doc"))
     marked = [F.shiftrightunsigned(f"v{k}", 2).bitwiseOR(F.lit((k << 62) - (1 << 64) if k > 1 else k << 62)) for k in range(len(kinds))]
-    mine = stored(texts.select("doc", F.explode(F.array(*marked)).alias("fp")), "simhash-texts")
+    return stored(texts.select("doc", F.explode(F.array(*marked)).alias("fp")), "simhash-texts")
+
+
+def _paired(mine: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b): the first text of each fingerprint with the others, and the first texts of fingerprints linked in near (u, v)."""
     first = stored(mine.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-firsts")
     same = mine.join(first, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    near = links(first.select("fp"), radius=3)
     near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    both = same.unionByName(near).where("a <> b")
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _ordered(same.unionByName(near))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def candidates(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
+    """(a, b): pairs of texts, by their smallest doc_id, that some view places close: the first that are compared.
+
+    Of the texts that share a fingerprint the first stands for all, and the others are paired with it. `remaining`
+    has the other pairs.
+    """
+    mine = _marked(found, kinds)
+    return _paired(mine, links(mine, radius=3))
+
+
+def remaining(mine: DataFrame, comp: DataFrame, pairs: DataFrame, probing: DataFrame | None, members: DataFrame | None, radius: int = 3) -> DataFrame:
+    """(a, b): all pairs of texts that share a fingerprint or have two at distance <= radius, and that comp (node, root) doesn't join yet.
+
+    mine: rows of `_marked`; pairs, probing, members: those of `_near`. In a bucket only texts outside its largest
+    component are held against the others, so that a large group already joined makes no pairs with itself.
+    """
+    texts = mine.join(comp, mine["doc"] == comp["node"], "left").select("doc", "fp", F.coalesce("root", "doc").alias("comp"))
+    texts = stored(texts, "simhash-comps")
+    spread = texts.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    u, v = (spread.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "n"))) for x in "uv")
+    # The only texts of two fingerprints have been compared.
+    several = (pairs.join(u.where("n_u > 1"), "u").join(v, "v"), pairs.join(v.where("n_v > 1"), "v").join(u, "u"))
+    open_pairs = reduce(DataFrame.union, (x.where("least(lo_u, lo_v) < greatest(hi_u, hi_v)").select("u", "v") for x in several)).distinct()
+    groups = open_pairs.union(spread.where("lo < hi").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    groups = stored(groups, "simhash-open")
+    keys = ["kind", "k1", "k2"]
+
+    def rows(fps: DataFrame, kind: int, k1: str, k2: F.Column, fp: str) -> DataFrame:
+        named = fps.select(F.lit(kind).alias("kind"), F.col(k1).alias("k1"), k2.alias("k2"), F.col(fp).alias("fp"))
+        return named.join(texts, "fp").select(*keys, "fp", "doc", "comp")
+
+    left, right = rows(groups, 0, "u", F.col("v"), "u"), rows(groups, 0, "u", F.col("v"), "v")
+    if probing is not None:
+        left, right = left.union(rows(probing, 1, "key", F.lit(0).cast("long"), "fp")), right.union(rows(members, 1, "key", F.lit(0).cast("long"), "fp"))
+    sizes = left.select(*keys, "comp").union(right.select(*keys, "comp")).groupBy(*keys, "comp").agg(F.count("*").alias("n"))
+    most = stored(sizes.groupBy(*keys).agg(F.max(F.struct("n", "comp"))["comp"].alias("most"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "simhash-most")
+    left, right = (stored(x.join(most, keys), f"simhash-{side}") for x, side in ((left, "left"), (right, "right")))
+    other = right.select(*keys, F.col("fp").alias("fp2"), F.col("doc").alias("b"), F.col("comp").alias("comp2"), F.col("most").alias("most2"))
+    apart = (F.col("comp") != F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
+    on = reduce(and_, (left[k] == other[k] for k in keys), apart)
+    both = left.where("comp <> most").join(other, on).select(F.col("doc").alias("a"), "b")
+    both = both.union(left.where("comp = most").join(other.where("comp2 <> most2"), on).select(F.col("doc").alias("a"), "b"))
+    return _ordered(both)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
@@ -223,19 +283,32 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
     """(doc_id, group_id) of every document with a doc_id: near copies have one group, named by its smallest doc_id.
 
     Texts that some coarse view places within three bits are compared by their sets of shingles of `words` words, and
-    linked from `similarity` on. Texts whose words are the same, whatever their white space and case, are one.
+    linked from `similarity` on. Texts whose words are the same, whatever their white space and case, are one. First texts
+    are compared first; then all close texts that these links leave apart, in buckets of any size.
     Rows that repeat a doc_id are compared by one of their texts.
     """
     docs = docs.where("doc_id is not null")
     found = stored(views(docs), "simhash-views")
-    pairs = stored(candidates(found), "simhash-candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    sets = stored(shingle_sets(docs, ids, words).dropDuplicates(["doc_id"]), "simhash-sets")
-    comp = components(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-groups")
+    mine = _marked(found)
+    near, probing, members = _near(mine, radius=3, bucket=bucket)
+    near = stored(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-near")
+    if probing is not None:
+        probing, members = stored(probing, "simhash-probing"), stored(members, "simhash-members")
+
+    def verified(pairs: DataFrame, what: str) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+        sets = stored(shingle_sets(docs, ids, words).dropDuplicates(["doc_id"]), "simhash-sets")
+        return stored(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), what)
+
+    pairs = stored(_paired(mine, near if probing is None else near.union(_star(probing))), "simhash-candidates")
+    joined = verified(pairs, "simhash-joined")
+    more = remaining(mine, components(joined, "simhash-groups"), near, probing, members)
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "simhash-remaining")
+    comp = components(joined.union(verified(more, "simhash-joined")), "simhash-groups")
     kinds = [f"v{k}" for k in range(len(VIEWS))]
     first = found.groupBy("content", *kinds).agg(F.min("doc_id").alias("first")).select(F.col("content").alias("_content"), *(F.col(v).alias(f"_{v}") for v in kinds), "first")
     # One long is the key; that all views agree too is tested on the rows it brings together.

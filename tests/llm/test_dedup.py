@@ -286,3 +286,19 @@ def test_similar_group_of_many(spark):
     assert simhash.candidates(found).count() < 60 * len(texts)
     assert {x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()} == {0}
     assert simhash.similar_groups(frame(spark, [])).count() == 0
+
+
+def test_similar_behind_a_representative(spark, monkeypatch):
+    """Near copies are compared though a dissimilar text is the first of their fingerprint or bucket, at three bits too."""
+    r = random.Random(13)
+    upper = [r.getrandbits(28) for _ in range(80)]
+    texts = [sentences(r, 80) for _ in upper]
+    for k in range(10):  # a near copy three bits away, another behind a text with the same fingerprint
+        upper += [upper[40 + k] ^ 0b1110, upper[k], upper[k]]
+        near = sentences(r, 80)
+        texts += [texts[40 + k] + " end", near, near + " end"]
+    rows = [(k, 1000 + k, u << 34, *(r.getrandbits(62) for _ in range(3))) for k, u in enumerate(upper)]
+    monkeypatch.setattr(simhash, "views", lambda docs: spark.createDataFrame(rows, "doc_id long, content long, v0 long, v1 long, v2 long, v3 long"))
+    want = {k: k for k in range(len(texts))} | {80 + 3 * k: 40 + k for k in range(10)} | {82 + 3 * k: 81 + 3 * k for k in range(10)}
+    for bucket in (64, 1000):
+        assert {x["doc_id"]: x["group_id"] for x in simhash.similar_groups(frame(spark, texts), bucket=bucket).collect()} == want
