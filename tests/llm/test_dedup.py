@@ -231,6 +231,18 @@ def test_hot_passage(spark):
     assert len(got) == 300 and {x["class_id"] for x in got} == {0}
 
 
+def test_passage_of_a_covered_document(spark):
+    """A passage shared with whole copies is found though smaller documents hold fragments of all of it."""
+    r = random.Random(14)
+    whole = sentences(r, 300).split()
+    fragments = [sentences(r, 60).split() + whole[k : k + 40] + sentences(r, 60).split() for k in range(90, 190, 10)]
+    mine = whole[110:170]
+    texts = [" ".join(w) for w in fragments + [whole, whole, sentences(r, 60).split() + mine + sentences(r, 60).split()]]
+    got = {x["doc_id"]: x["class_id"] for x in passages.classes(passages.near_duplicates(frame(spark, texts))).collect()}
+    n = len(fragments)
+    assert got == {n: n, n + 1: n, n + 2: n}
+
+
 def test_passage_edges(spark):
     assert passages.classes(passages.near_duplicates(frame(spark, []))).count() == 0
     r = random.Random(3)
