@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session has none (local tests) a folder under the warehouse is used.
+    Only where a local session has none (tests, a laptop) a folder under its warehouse is used; on a cluster
+    that might be the driver's own disk, so that the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return found.rstrip("/")
 
@@ -27,22 +31,41 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it again.
 
     This cuts lineage, survives lost executors, and unlike an RDD checkpoint computes the
-    rows once and stays columnar and compressed.
+    rows once and stays columnar and compressed. Shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of `stored` that nothing will read again; others and None are passed over."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path in _made:
+            _delete(_made.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _remove() -> None:
     """Deletes this application's intermediates while its session is still alive."""
-    for spark, path in _made:
+    for path, spark in list(_made.items()):
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone; the folder is the cluster's scratch space
             return
