@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import stored
+from ..plans.store import release, stored
 from ..shipping import ship
 
-__all__ = ["components", "fold", "stored", "table"]
+__all__ = ["components", "fold", "mapped", "release", "ship", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def fold(doc_id: int, n: int) -> int:
     """crc32 of the id as text, modulo n; equals SQL crc32(cast(doc_id as string)) % n."""
     return zlib.crc32(str(doc_id).encode()) % n
@@ -52,7 +60,8 @@ def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = stored(small(large(now)), what)
+        last, now = now, stored(small(large(now)), what)
+        release(last)
         was, seen = seen, mark(now)
         if was == seen:
             break

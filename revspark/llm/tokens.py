@@ -31,7 +31,8 @@ class Encoder:
 
     The merges run in the faster `tiktoken`, built from the same file. Its ids equal the
     library's when ranks and ids are in the same order, which is tried on a few strings at
-    load; otherwise, and for texts that hold one of the file's special strings, the library itself is used.
+    load; otherwise, for texts that hold one of the file's special strings, and for texts on which
+    `tiktoken` gives up, the library itself is used.
     """
 
     TRIALS = ("", " a  b\n\n\tc ", "It's 12,345.67€ — naïve Ünïcode x", "aaaaaaaaaaaaaaaa\r\n   z", "日本語 текст 🙂👍🏽")
@@ -56,9 +57,17 @@ class Encoder:
             self.fast = None
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except Exception:  # its pattern engine has a bounded stack, which a million blanks in a row exceed
+                pass
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    @property
+    def id_bytes(self) -> int:
+        """Bytes that hold any id: 2 or 4."""
+        return 2 if self.plain.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
 def encoder(path: str) -> Encoder:

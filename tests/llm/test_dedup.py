@@ -220,6 +220,75 @@ def test_edited_passages(spark):
     assert got <= close and len(got) >= 0.9 * len(close)
 
 
+def edited(r, words, n):
+    """n words replaced, left out or put in, anywhere."""
+    out = list(words)
+    for _ in range(n):
+        k = r.randrange(len(out))
+        out[k : k + 1] = r.choice([["x" + sentences(r, 1)], [], [out[k], "y" + sentences(r, 1)]])
+    return out
+
+
+def word_grams(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def holds_copy(a, b, least=50, similarity=0.8):
+    """Brute force: whether some passage of words a and some of b, `least` words or more each, are similar enough."""
+    x, y = plain_words(a), plain_words(b)
+    for i in range(0, len(x) - least + 1):
+        for n in range(least, min(len(x) - i, 3 * least) + 1, 5):
+            s = word_grams(x[i : i + n])
+            for j in range(max(0, i - 3), min(len(y) - least, i + 3) + 1):
+                t = word_grams(y[j : j + n])
+                if len(s & t) >= similarity * len(s | t):
+                    return True
+    return False
+
+
+def test_edited_passages_of_all_lengths(spark):
+    """Of passages of 50 to 200 words with a similarity of 0.8 to 0.95, edits anywhere, nine in ten are found; texts without any are left alone."""
+    r = random.Random(21)
+    texts, want, band = [], set(), []
+    for k in range(220):
+        p = sentences(r, r.choice([50, 55, 60, 70, 80, 90, 120, 150, 200])).split()
+        q = edited(r, p, r.randint(1, 1 + len(p) // 60))
+        s, t = word_grams(p), word_grams(q)
+        share = len(s & t) / len(s | t)
+        texts += [" ".join([sentences(r, 40), *p, sentences(r, 40)]), " ".join([sentences(r, 70), *q, sentences(r, 20)])]
+        if share >= 0.8 and len(q) >= 50:
+            want.add((2 * k, 2 * k + 1))
+            band.append(share)
+    got = {x["doc_id"]: x["class_id"] for x in passages.classes(passages.near_duplicates(frame(spark, texts))).collect()}
+    found = sum(got.get(a, -1) == got.get(b, -2) for a, b in want)
+    assert len(want) > 120 and min(band) < 0.82 and found >= 0.9 * len(want)
+    assert all(got[k] == min(k, k ^ 1) for k in got)
+
+
+def test_segments():
+    """One word replaced in the middle leaves a similarity over 0.8 from 50 words on; brute force agrees on whole texts."""
+    r = random.Random(22)
+    for n in range(50, 130, 5):
+        p = sentences(r, n).split()
+        q = p[: n // 2] + ["zzz"] + p[n // 2 + 1 :]
+        ids = {}
+        a, b = (np.array([ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(n - 4)], "<u4") for w in (p, q))
+        found = passages.segments(a, b, 46, 0.8)
+        assert len(found) == 1 and found[0][:4] == (0, n - 4, 0, n - 4)
+    r = random.Random(23)
+    for _ in range(25):
+        p = sentences(r, r.randint(40, 75)).split()
+        q = edited(r, p, r.randint(0, 4))
+        ids = {}
+        a, b = (np.array([ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(max(0, len(w) - 4))], "<u4") for w in (p, q))
+        if holds_copy(" ".join(p), " ".join(q)):
+            assert passages.segments(a, b, 46, 0.8)
+    for _ in range(200):
+        hit = np.array([r.random() < 0.85 for _ in range(r.randint(0, 60))], bool)
+        for s, e in passages._stretches(hit, 3.0, 5):
+            assert hit[s] and hit[e - 1] and e - s >= 5 and hit[s:e].sum() >= 3 * (~hit[s:e]).sum() - 3 * 5
+
+
 def test_hot_passage(spark):
     """A passage in every document gives links in proportion to the documents."""
     r = random.Random(6)
