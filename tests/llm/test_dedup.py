@@ -275,6 +275,8 @@ def test_segments():
         a, b = (np.array([ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(n - 4)], "<u4") for w in (p, q))
         found = passages.segments(a, b, 46, 0.8)
         assert len(found) == 1 and found[0][:4] == (0, n - 4, 0, n - 4)
+    few, many = np.array([1] * 50 + [2, 3] * 20 + [1] * 70, "<u4"), np.array([9, 8, 7, 6, 5, 4, 1, 2, 3] * 30 + [1] * 60, "<u4")
+    assert passages.segments(few, many, 46, 0.8) and passages.segments(many, few, 46, 0.8)
     r = random.Random(23)
     for _ in range(25):
         p = sentences(r, r.randint(40, 75)).split()
