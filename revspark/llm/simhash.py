@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, mapped, release, stored
 from .textvec import Words, flat, mix, slices
 
 BITS = 64
@@ -61,28 +61,19 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, fp bigint")
 
 
 def _flip(value: F.Column, bit: int) -> F.Column:
     return value.bitwiseXOR(F.lit((1 << bit) - (1 << 64) if bit == 63 else 1 << bit))
 
 
-def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
-    """(u, v): links whose components are those of all pairs of the distinct `fp` at distance <= radius.
+def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of the distinct `fp` that differ in at most two bits.
 
     In buckets of up to `bucket` members these are the pairs themselves; in larger ones every
     fingerprint is linked with the least fingerprint of each point that it shares.
-    radius may be 3, which two balls of radius 1 still find; in large buckets links then reach 2 only.
     """
-    pairs, probing, _ = _near(fps, radius, bucket)
-    return pairs if probing is None else pairs.union(_star(probing))
-
-
-def _near(fps: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Pairs (u, v) in buckets of up to `bucket` members; of the larger ones (fp, key) of those who look them up and of those in them."""
-    if not 2 <= radius <= 3:
-        raise ValueError("two segments with balls of radius 1 find distances up to 3, large buckets 2")
     fps = fps.select("fp").distinct()
     halves = [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)]
 
@@ -102,31 +93,26 @@ def _near(fps: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, DataFram
     some_hot = not hot.isEmpty()
     cool = index.join(hot, "key", "left_anti") if some_hot else index
     a, b = probes.select(F.col("fp").alias("u"), "key"), cool.select(F.col("fp").alias("v"), "key")
-    near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
     pairs = a.join(b, (a["key"] == b["key"]) & near).select("u", "v")
     if not some_hot:
-        return pairs, None, None
-    return pairs, probes.join(hot, "key", "left_semi"), index.join(hot, "key", "left_semi")
-
-
-def _star(probing: DataFrame) -> DataFrame:
-    """(u, v): every fingerprint that looks a large bucket up, and the least one of each point it shares."""
-    members = probing.select("fp").distinct()
+        return pairs
+    members = probes.join(hot, "key", "left_semi").select("fp").distinct()
     points = members.select("fp", F.explode(F.array(F.col("fp"), *[_flip(F.col("fp"), i) for i in range(BITS)])).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("v"))
-    return points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return pairs.union(points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct())
 
 
-def clusters(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def clusters(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
-    component_id is the smallest doc_id that can be reached over links of at most `radius`
+    component_id is the smallest doc_id that can be reached over links of at most two
     differing bits. Null and empty texts have fingerprint zero and link as any other. Rows
     that repeat a doc_id are kept. Other columns are ignored; an empty table gives no rows.
     """
     fps = stored(fingerprints(docs, words), "simhash-fp")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(nodes, radius), "simhash-cc")
+    comp = components(links(nodes), "simhash-cc")
     joined = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = stored(joined, "simhash-roots")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -134,8 +120,10 @@ def clusters(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Coarse views that similar texts are sought by: (words of a shingle, seed).
-VIEWS = ((1, 42), (1, 43), (1, 44), (2, 42))
+#: Segments of the long fingerprint that similar texts are sought by, 32 bits each, and the bits in which such texts may differ.
+SEGMENTS, DISTANCE = 10, 80
+#: Rounds of comparing texts with the first, then with the first of another group, of each segment value that they look up.
+ROUNDS = 2
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
@@ -144,14 +132,22 @@ def _sequence(words: Words, k: int) -> np.ndarray:
     return words.hash[words.first[k] : words.first[k + 1]]
 
 
-def views(docs: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
-    """(doc_id, content, v0, v1, ...): a hash of the text's words in order, and a fingerprint for each view.
+def _majority(h: np.ndarray) -> np.uint64:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), CHUNK):
+        counts += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def long_fingerprints(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(doc_id, content, f0, f1, ...): a hash of the text's words in order, and a SimHash fingerprint of 32 bits for each of `segments`, two in a long.
 
-    Views take distinct shingles of one or two words: an edit touches few of these, so that a similarity
-    of 0.8 over five words, about one word in forty-five replaced, is a few bits here. Counted with repeats,
-    common words would place all texts of a language close.
+    Features are the distinct words: an edit touches few of these, so that a similarity of 0.8 over five words, about
+    one word in forty-five replaced, is one bit in fifteen. Counted with repeats, common words would place all texts of a
+    language close.
     """
-    names = ["doc_id", "content", *(f"v{k}" for k in range(len(kinds)))]
+    longs = -(-segments // 2)
+    names = ["doc_id", "content", *(f"f{k}" for k in range(longs))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,88 +158,61 @@ def views(docs: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
                     h = _sequence(words, k)
                     place = np.arange(1, len(h) + 1, dtype=np.uint64)
                     out[0][k] = np.bitwise_xor.reduce(mix(h + mix(place))) if len(h) else 0
-                    for v, (n, seed) in enumerate(kinds):
-                        g = h if n == 1 or len(h) < n else mix(h[:-1] * np.uint64(3) + h[1:])
-                        out[1 + v][k] = _majority(mix(np.unique(g) + np.uint64(seed))) if len(g) else 0
+                    g = np.unique(h)
+                    for v in range(longs):
+                        out[1 + v][k] = _majority(mix(g + np.uint64(42 + v))) if len(g) else 0
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.view(np.int64)) for c in out)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return mapped(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names))
 
 
-def _majority(h: np.ndarray) -> np.uint64:
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), CHUNK):
-        counts += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _marked(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
-    """(doc, fp): texts, by their smallest doc_id, with one fingerprint for each view; found: rows of `views`.
+def looked_up(texts: DataFrame, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
+    """(doc, key) of texts under each segment's value, and of texts that look such a value up; both only where two texts meet.
 
-    All views share one index: two bits of each fingerprint give way to the number of its view.
+    texts: (doc, f0, f1, ...). A text looks up the ball of radius 1 around each of its segments: the value, and the values
+    with one bit cleared, as of two values that differ in one bit one is the other with a bit cleared.
     """
-    if len(kinds) > 4:
-        raise ValueError("two bits number four views")
-    texts = found.groupBy("content", *(f"v{k}" for k in range(len(kinds)))).agg(F.min("doc_id").alias("doc"))
-    marked = [F.shiftrightunsigned(f"v{k}", 2).bitwiseOR(F.lit((k << 62) - (1 << 64) if k > 1 else k << 62)) for k in range(len(kinds))]
-    return stored(texts.select("doc", F.explode(F.array(*marked)).alias("fp")), "simhash-texts")
-
-
-def _paired(mine: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b): the first text of each fingerprint with the others, and the first texts of fingerprints linked in near (u, v)."""
-    first = stored(mine.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-firsts")
-    same = mine.join(first, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    return _ordered(same.unionByName(near))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    values = [(F.col(f"f{k // 2}") if k % 2 == 0 else F.shiftrightunsigned(f"f{k // 2}", 32)).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(segments)]
+    index = texts.select("doc", F.explode(F.array(*[v.bitwiseOR(F.lit(k << 32)) for k, v in enumerate(values)])).alias("key"))
+    ball = F.array_compact(F.array(F.col("key"), *[F.when(F.col("key").bitwiseAND(F.lit(1 << b)) != 0, _flip(F.col("key"), b)) for b in range(32)]))
+    index = stored(index, "simhash-index")
+    first = stored(index.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "simhash-values")
+    probes = index.select("doc", F.explode(ball).alias("key"))
+    hits = stored(probes.join(first, "key").where("doc <> first or n > 1").select("doc", "key"), "simhash-hits")
+    members = stored(index.join(stored(hits.select("key").distinct(), "simhash-keys"), "key", "left_semi"), "simhash-members")
+    release(index, first)
+    return members, hits
 
 
-def candidates(found: DataFrame, kinds: tuple = VIEWS) -> DataFrame:
-    """(a, b): pairs of texts, by their smallest doc_id, that some view places close: the first that are compared.
+def against_first(members: DataFrame, hits: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(a, b): each text that looks a value up, with the first text of that value; with groups comp (node, root), with the first of the value's second group.
 
-    Of the texts that share a fingerprint the first stands for all, and the others are paired with it. `remaining`
-    has the other pairs.
+    A value's second group is the one with the smallest text beside the group of its first. Texts of the same group aren't paired.
     """
-    mine = _marked(found, kinds)
-    return _paired(mine, links(mine, radius=3))
+    if comp is None:
+        first = stored(members.groupBy("key").agg(F.min("doc").alias("b")), "simhash-firsts")
+        return _ordered(hits.join(first, "key").select(F.col("doc").alias("a"), "b"))
 
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(comp, rows["doc"] == comp["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
 
-def remaining(mine: DataFrame, comp: DataFrame, pairs: DataFrame, probing: DataFrame | None, members: DataFrame | None, radius: int = 3) -> DataFrame:
-    """(a, b): all pairs of texts that share a fingerprint or have two at distance <= radius, and that comp (node, root) doesn't join yet.
+    groups = stored(grouped(members).groupBy("key", "root").agg(F.min("doc").alias("b")), "simhash-key-groups")
+    first = stored(groups.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "simhash-firsts")
+    others = stored(groups.join(first, "key").where("b <> first").select("key", "root", "b"), "simhash-others")
+    second = stored(others.groupBy("key").agg(F.min(F.struct("b", "root")).alias("s")).select("key", "s.b", F.col("s.root").alias("other")), "simhash-seconds")
+    return _ordered(grouped(hits).join(second, "key").where("root <> other").select(F.col("doc").alias("a"), "b"))
 
-    mine: rows of `_marked`; pairs, probing, members: those of `_near`. In a bucket only texts outside its largest
-    component are held against the others, so that a large group already joined makes no pairs with itself.
-    """
-    texts = mine.join(comp, mine["doc"] == comp["node"], "left").select("doc", "fp", F.coalesce("root", "doc").alias("comp"))
-    texts = stored(texts, "simhash-comps")
-    spread = texts.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    u, v = (spread.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "n"))) for x in "uv")
-    # The only texts of two fingerprints have been compared.
-    several = (pairs.join(u.where("n_u > 1"), "u").join(v, "v"), pairs.join(v.where("n_v > 1"), "v").join(u, "u"))
-    open_pairs = reduce(DataFrame.union, (x.where("least(lo_u, lo_v) < greatest(hi_u, hi_v)").select("u", "v") for x in several)).distinct()
-    groups = open_pairs.union(spread.where("lo < hi").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
-    groups = stored(groups, "simhash-open")
-    keys = ["kind", "k1", "k2"]
-
-    def rows(fps: DataFrame, kind: int, k1: str, k2: F.Column, fp: str) -> DataFrame:
-        named = fps.select(F.lit(kind).alias("kind"), F.col(k1).alias("k1"), k2.alias("k2"), F.col(fp).alias("fp"))
-        return named.join(texts, "fp").select(*keys, "fp", "doc", "comp")
-
-    left, right = rows(groups, 0, "u", F.col("v"), "u"), rows(groups, 0, "u", F.col("v"), "v")
-    if probing is not None:
-        left, right = left.union(rows(probing, 1, "key", F.lit(0).cast("long"), "fp")), right.union(rows(members, 1, "key", F.lit(0).cast("long"), "fp"))
-    sizes = left.select(*keys, "comp").union(right.select(*keys, "comp")).groupBy(*keys, "comp").agg(F.count("*").alias("n"))
-    most = stored(sizes.groupBy(*keys).agg(F.max(F.struct("n", "comp"))["comp"].alias("most"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "simhash-most")
-    left, right = (stored(x.join(most, keys), f"simhash-{side}") for x, side in ((left, "left"), (right, "right")))
-    other = right.select(*keys, F.col("fp").alias("fp2"), F.col("doc").alias("b"), F.col("comp").alias("comp2"), F.col("most").alias("most2"))
-    apart = (F.col("comp") != F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
-    on = reduce(and_, (left[k] == other[k] for k in keys), apart)
-    both = left.where("comp <> most").join(other, on).select(F.col("doc").alias("a"), "b")
-    both = both.union(left.where("comp = most").join(other.where("comp2 <> most2"), on).select(F.col("doc").alias("a"), "b"))
-    return _ordered(both)
+
+def close(pairs: DataFrame, texts: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """The pairs (a, b) whose complete fingerprints differ in at most `distance` bits."""
+    names = [f"f{k}" for k in range(-(-segments // 2))]
+    x, y = (texts.select(F.col("doc").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in "ab")
+    bits = reduce(add, (F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names))
+    return pairs.join(x, "a").join(y, "b").where(bits <= distance).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
@@ -264,7 +233,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
 
     # Ids grow with the corpus: they are never broadcast, at any size.
-    return docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id").mapInArrow(run, "doc_id bigint, shingles binary")
+    return mapped(docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id"), run, "doc_id bigint, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -280,51 +249,51 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, group_id) of every document with a doc_id: near copies have one group, named by its smallest doc_id.
 
-    Texts that some coarse view places within three bits are compared by their sets of shingles of `words` words, and
-    linked from `similarity` on. Texts whose words are the same, whatever their white space and case, are one. First texts
-    are compared first; then all close texts that these links leave apart, in buckets of any size.
-    Rows that repeat a doc_id are compared by one of their texts.
+    Texts that some segment of the long fingerprint places within one bit, and the whole of it within `DISTANCE`, are compared by
+    their sets of shingles of `words` words, and linked from `similarity` on. Each text is compared with the first text of
+    every segment value that it looks up, and in further rounds with the first one that no group joins with that first, so that
+    comparisons grow with the texts and not with the square of a group, at every size of a group alike. Texts whose words are the
+    same, whatever their white space and case, are one. Rows that repeat a doc_id are compared by one of their texts.
     """
     docs = docs.where("doc_id is not null")
-    found = stored(views(docs), "simhash-views")
-    mine = _marked(found)
-    near, probing, members = _near(mine, radius=3, bucket=bucket)
-    near = stored(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-near")
-    if probing is not None:
-        probing, members = stored(probing, "simhash-probing"), stored(members, "simhash-members")
-
-    def verified(pairs: DataFrame, what: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-        sets = stored(shingle_sets(docs, ids, words).dropDuplicates(["doc_id"]), "simhash-sets")
-        return stored(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), what)
-
-    pairs = stored(_paired(mine, near if probing is None else near.union(_star(probing))), "simhash-candidates")
-    joined = verified(pairs, "simhash-joined")
-    more = remaining(mine, components(joined, "simhash-groups"), near, probing, members)
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "simhash-remaining")
-    comp = components(joined.union(verified(more, "simhash-joined")), "simhash-groups")
-    kinds = [f"v{k}" for k in range(len(VIEWS))]
-    first = found.groupBy("content", *kinds).agg(F.min("doc_id").alias("first")).select(F.col("content").alias("_content"), *(F.col(v).alias(f"_{v}") for v in kinds), "first")
-    # One long is the key; that all views agree too is tested on the rows it brings together.
-    equal = reduce(and_, (F.col(v).bitwiseXOR(F.col(f"_{v}")) == 0 for v in kinds), F.col("content") == F.col("_content"))
+    found = stored(long_fingerprints(docs), "simhash-long")
+    names = [f"f{k}" for k in range(-(-SEGMENTS // 2))]
+    texts = stored(found.groupBy("content", *names).agg(F.min("doc_id").alias("doc")), "simhash-texts")
+    members, hits = looked_up(texts)
+    sets, linked, comp, tested = None, None, None, None
+    for k in range(rounds):
+        pairs = close(against_first(members, hits, comp), texts)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, f"simhash-pairs-{k}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if sets is None:
+            sets = stored(shingle_sets(docs, hits.select(F.col("doc").alias("doc_id")).union(members.select("doc")), words).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
+        new = stored(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), f"simhash-joined-{k}")
+        linked = new if linked is None else linked.unionByName(new)
+        comp = components(linked, "simhash-groups")
+    release(sets, members, hits)
+    first = texts.select(F.col("content").alias("_content"), *(F.col(v).alias(f"_{v}") for v in names), F.col("doc").alias("first"))
+    # One long is the key; that the fingerprints agree too is tested on the rows it brings together.
+    equal = reduce(and_, (F.col(v).bitwiseXOR(F.col(f"_{v}")) == 0 for v in names), F.col("content") == F.col("_content"))
     rows = found.join(first, equal).select("doc_id", "first")
     return rows.join(comp, rows["first"] == comp["node"], "left").select("doc_id", F.coalesce("root", "first").alias("group_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """The documents without near copies: of each component, or with `similarity` of each similar group, those with its smallest doc_id.
 
     Rows that repeat a doc_id stand or fall together; rows without doc_id, which can't be
     told apart, stay. All columns of docs are returned.
     """
     if similarity is None:
-        kept = clusters(docs.where("doc_id is not null"), words, radius).where("doc_id = component_id")
+        kept = clusters(docs.where("doc_id is not null"), words).where("doc_id = component_id")
     else:
         kept = similar_groups(docs, words, similarity).where("doc_id = group_id")
     kept = kept.select("doc_id").distinct()

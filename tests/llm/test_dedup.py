@@ -124,8 +124,6 @@ def test_cluster_edges(spark):
     kept = simhash.keep_one(frame(spark, ["a b c", "a b c", "d e f", None, "a b c"], [3, 2, 9, None, None]))
     assert kept.columns == ["doc_id", "text", "fp", "component_id", "key"]
     assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept.collect()) == [(-1, ""), (-1, "a b c"), (2, "a b c"), (9, "d e f")]
-    with pytest.raises(ValueError):
-        simhash.links(same.selectExpr("doc_id as fp"), radius=4)
 
 
 def test_components(spark):
@@ -361,27 +359,54 @@ def test_similar_groups(spark):
     assert kept == set(got.values())
 
 
+def test_similar_recall_of_all_degrees(spark):
+    """Against brute force over all pairs: of pairs from 0.8 on, down to its edge, nine in ten are grouped; no text without a partner is."""
+    r = random.Random(31)
+    texts = []
+    for _ in range(60):
+        p = sentences(r, r.choice([60, 100, 200, 400, 900])).split()
+        texts += [" ".join(p)] + [" ".join(edited(r, p, r.randint(1, 1 + len(p) // 40))) for _ in range(3)]
+    texts += [sentences(r, r.randint(5, 300)) for _ in range(60)]
+    sets = [shingles(t) for t in texts]
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] & sets[b]}
+    close = [p for p, x in share.items() if x >= 0.8]
+    assert len(close) > 60 and min(share[p] for p in close) < 0.81
+    got = {x["doc_id"]: x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
+    partner = {k for p in close for k in p}
+    assert all(k in partner for k, g in got.items() if g != k)
+
+
 def test_similar_group_of_many(spark):
-    """A group of hundreds of near copies becomes one group with links in proportion to its size."""
+    """A group of hundreds of near copies becomes one group with comparisons in proportion to its size."""
     r = random.Random(12)
     texts = near_copies(r, 400)
-    found = simhash.views(frame(spark, texts))
-    assert simhash.candidates(found).count() < 60 * len(texts)
-    assert {x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()} == {0}
+    docs = frame(spark, texts)
+    found = simhash.long_fingerprints(docs).withColumnRenamed("doc_id", "doc")
+    assert simhash.against_first(*simhash.looked_up(found), None).count() < 60 * len(texts)
+    assert {x["group_id"] for x in simhash.similar_groups(docs).collect()} == {0}
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
 def test_similar_behind_a_representative(spark, monkeypatch):
-    """Near copies are compared though a dissimilar text is the first of their fingerprint or bucket, at three bits too."""
+    """Near copies are compared though a dissimilar text is the first of every value that they share."""
     r = random.Random(13)
-    upper = [r.getrandbits(28) for _ in range(80)]
-    texts = [sentences(r, 80) for _ in upper]
-    for k in range(10):  # a near copy three bits away, another behind a text with the same fingerprint
-        upper += [upper[40 + k] ^ 0b1110, upper[k], upper[k]]
+    texts, rows = [], []
+    for k in range(30):  # a text unlike the others, and two near copies behind it
         near = sentences(r, 80)
-        texts += [texts[40 + k] + " end", near, near + " end"]
-    rows = [(k, 1000 + k, u << 34, *(r.getrandbits(62) for _ in range(3))) for k, u in enumerate(upper)]
-    monkeypatch.setattr(simhash, "views", lambda docs: spark.createDataFrame(rows, "doc_id long, content long, v0 long, v1 long, v2 long, v3 long"))
-    want = {k: k for k in range(len(texts))} | {80 + 3 * k: 40 + k for k in range(10)} | {82 + 3 * k: 81 + 3 * k for k in range(10)}
-    for bucket in (64, 1000):
-        assert {x["doc_id"]: x["group_id"] for x in simhash.similar_groups(frame(spark, texts), bucket=bucket).collect()} == want
+        texts += [sentences(r, 80), near, near + " end"]
+        print_of = [r.getrandbits(62) for _ in range(5)]
+        rows += [(3 * k + i, 100 * k + i, print_of[0] ^ i, *print_of[1:]) for i in range(3)]
+    fields = ", ".join(["doc_id long", "content long", *(f"f{k} long" for k in range(5))])
+    monkeypatch.setattr(simhash, "long_fingerprints", lambda docs: spark.createDataFrame(rows, fields))
+    got = {x["doc_id"]: x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert got == {k: k - k % 3 + min(k % 3, 1) for k in range(len(texts))}
+
+
+def test_similar_edges(spark):
+    """Rows that repeat an id, equal texts and null ids and texts."""
+    docs = frame(spark, ["a b c d e f", "a b c d e f", "other words here", None, "", "a b c d e f"], [5, 3, 5, 9, 8, None])
+    rows = sorted((x["doc_id"], x["group_id"]) for x in simhash.similar_groups(docs).collect())
+    assert rows == [(3, 3), (5, 3), (5, 5), (8, 8), (9, 8)]
+    kept = simhash.keep_one(docs, words=5, similarity=0.8)
+    assert kept.columns == docs.columns and sorted((x["doc_id"] or -1) for x in kept.collect()) == [-1, 3, 5, 5, 8]
