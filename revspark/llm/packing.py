@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mapped, release, stored
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 1024
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
                 yield _batch(cols, names)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def _batch(cols: list[list], names: list[str]) -> pa.RecordBatch:

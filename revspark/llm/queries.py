@@ -33,8 +33,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = stored(training_order.shards(table(spark, sf_dir, "documents"), key=20240607), "training-shards")
-    return training_order.read(written).drop("ids")
+    return training_order.read(training_order.written(table(spark, sf_dir, "documents"), key=20240607)).drop("ids")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +46,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(telephony.encode(table(spark, sf_dir, "documents")), "telephony-media")
-    return telephony.decode(media, with_pcm=False)
+    pcm = stored(telephony.decode(media), "telephony-pcm")
+    return telephony.features(pcm)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .textvec import slices
 
 UNIT = 192  # bytes of codes in an ADPCM block, and what payloads are padded to a multiple of
@@ -134,13 +135,13 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def summary(tag: int, rate: int, pcm: np.ndarray) -> str:
+def summary(codec: str, rate: int, pcm: np.ndarray) -> str:
     """Number of samples, peak, energy, zero crossings and checksum of resampled PCM, as text."""
     wide = pcm.astype(np.int32)
     peak = int(np.abs(wide).max()) if len(wide) else 0
-    power = int(np.dot(wide.astype(np.float64), wide) // max(len(wide), 1))  # sums of squares below 2**53 are exact for 2**23 samples
+    power = int(np.dot(wide.astype(np.int64), wide.astype(np.int64))) // max(len(wide), 1)
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"codec={NAMES[tag]};rate={rate};samples={len(pcm)};peak={peak};power={power};crossings={crossings};crc={zlib.crc32(pcm.tobytes()):08x}"
+    return f"codec={codec};rate={rate};samples={len(pcm)};peak={peak};power={power};crossings={crossings};crc={zlib.crc32(pcm.tobytes()):08x}"
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -160,13 +161,16 @@ def encode(docs: DataFrame) -> DataFrame:
                     out.append(wav(payload, pick(payload)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def decode(media: DataFrame, with_pcm: bool = True) -> DataFrame:
-    """Adds what the stored bytes hold: payload and media digests, feature, and the resampled 16-bit PCM if asked for."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["pcm"] * with_pcm
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+def decode(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, rate, pcm): what the stored bytes hold.
+
+    pcm: the expanded samples at twice the rate, 16 bits each, little-endian.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "pcm"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,14 +190,27 @@ def decode(media: DataFrame, with_pcm: bool = True) -> DataFrame:
                         used[align] += n
                     else:
                         pcm = EXPAND[tag][data]
-                    pcm = double_rate(pcm)
-                    values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), summary(tag, 2 * rate, pcm)]
-                    for c, v in zip(rows, values + [pcm.tobytes()] * with_pcm):
+                    values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), NAMES[tag], 2 * rate, double_rate(pcm).astype("<i2").tobytes()]
+                    for c, v in zip(rows, values):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(rows, kinds[2:]))], names)
 
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema + ", pcm binary" * with_pcm)
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, rate int, pcm binary"
+    return mapped(media.select("doc_id", "n_bytes", "media"), run, schema)
+
+
+def features(decoded: DataFrame) -> DataFrame:
+    """The rows of `decode` with a feature, computed from the stored PCM, in place of codec, rate and pcm."""
+    kept = [c for c in decoded.columns if c not in ("codec", "rate", "pcm")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codec, rate = b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 2).to_pylist()
+            found = [summary(c, r, np.frombuffer(p.as_buffer(), "<i2")) for c, r, p in zip(codec, rate, b.column(b.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(found, pa.string())], [*kept, "feature"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decoded.schema.fields if f.name in kept)
+    return mapped(decoded.select(*kept, "codec", "rate", "pcm"), run, f"{fields}, feature string")
 
 
 def total_seconds(decoded: DataFrame, rate: int = 2 * RATE) -> DataFrame:

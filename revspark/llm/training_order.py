@@ -1,8 +1,9 @@
 """Training order: every sequence gets a global slot; slots are written as fixed-stride shards.
 
-A keyed Feistel network over the least even number of bits that holds all N sequence
-numbers, walked on until it lands below N, is a bijection of 0..N-1 that needs no sort and no
-state. A shard is a range of slots: its records have equal length, so that slot s of any run
+Sequences are numbered in the order of (doc_id, text, piece), which the content alone decides, so that a key gives the
+same order however the table is laid out. A keyed Feistel network over the least even number of bits that
+holds all N numbers, walked on until it lands below N, is a bijection of 0..N-1 that needs no
+state. A shard is a range of slots, and a file a range of shards: records have equal length, so that slot s of any run
 is found by arithmetic and reading can resume anywhere.
 """
 
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mapped, release, ship, stored
 from .textvec import mix
 from .tokens import encoder, vocabulary_path
 
 LENGTH, SHARD_SLOTS, END, PAD = 512, 4096, 2, 0
-#: Of each record: doc_id int64, piece int32, number of ids int32; then `length` ids of 16 bits, padded.
+#: Shards of one file, about 128 MB.
+FILE_SHARDS = 32
+#: Of each record: doc_id int64, piece int32, number of ids int32; then `length` ids of 16 bits (32 if the vocabulary is larger), padded.
 HEADER = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4")])
 
 
@@ -59,9 +62,17 @@ class Permutation:
         return self._walk(slot, self.keys[::-1])
 
 
+def _kind(id_bytes: int) -> str:
+    return f"<u{id_bytes}"
+
+
 def token_sequences(docs: DataFrame, length: int = LENGTH, end: int = END, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, n, ids): each document's ids and `end`, cut into pieces of up to `length` 16-bit ids."""
+    """(doc_id, piece, n, ids): each document's ids and `end`, cut into pieces of up to `length` ids of 16 bits, or 32 if the vocabulary needs them.
+
+    Rows come in the order of docs.
+    """
     path = path or vocabulary_path()
+    size = encoder(path).id_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path).ids
@@ -70,17 +81,26 @@ def token_sequences(docs: DataFrame, length: int = LENGTH, end: int = END, path:
                 part = b.slice(at, 512)
                 out: list[list] = [[], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.append(ids_of(text.as_py() or ""), np.uint32(end))
-                    if ids.max() > 0xFFFF:
-                        raise ValueError("ids of this vocabulary don't fit 16 bits")
-                    raw = ids.astype("<u2").tobytes()
-                    for k, s in enumerate(range(0, len(raw), 2 * length)):
-                        for c, v in zip(out, (doc, k, len(raw[s : s + 2 * length]) // 2, raw[s : s + 2 * length])):
+                    raw = np.append(ids_of(text.as_py() or ""), np.uint32(end)).astype(_kind(size)).tobytes()
+                    for k, s in enumerate(range(0, len(raw), size * length)):
+                        piece = raw[s : s + size * length]
+                        for c, v in zip(out, (doc, k, len(piece) // size, piece)):
                             c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, n int, ids binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, piece int, n int, ids binary")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ranges of (doc_id, hash of the text), sorted within.
+
+    The row's own number takes part in the ranges, so that rows that repeat one document are dealt to several; being equal
+    in all that counts, they may stand in any order. Null ids come first.
+    """
+    keys = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    rows = docs.select("doc_id", "text", keys[1].alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    return rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
 
 
 def numbered(table: DataFrame) -> tuple[DataFrame, int]:
@@ -88,43 +108,79 @@ def numbered(table: DataFrame) -> tuple[DataFrame, int]:
 
     Only one row per file is gathered, and no row moves.
     """
-    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    before = files.select("_file", (F.sum("_n").over(W.orderBy("_file")) - F.col("_n")).alias("_before"), "_n")
+    part = F.regexp_extract("_file", "part-([0-9]+)", 1).cast("long")  # beyond 99,999 files names no longer sort as numbers
+    before = files.select("_file", (F.sum("_n").over(W.orderBy(part, "_file")) - F.col("_n")).alias("_before"), "_n")
     before = stored(before, "training-files")
     total = before.agg(F.sum("_n")).first()[0] or 0
     return rows.join(before.drop("_n"), "_file").withColumn("number", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before"), total
 
 
-def shards(docs: DataFrame, key: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, path: str | None = None) -> DataFrame:
-    """(shard, first_slot, slots, stride, payload): the whole corpus in training order.
+def shards(docs: DataFrame, key: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, path: str | None = None, file_shards: int = FILE_SHARDS) -> DataFrame:
+    """(shard, first_slot, slots, stride, id_bytes, payload): the whole corpus in training order.
 
-    Shard k holds slots k * shard_slots and on; only the last may hold fewer. Null doc_ids are
-    written as -1, null texts as their end id alone. An empty table gives no shards.
+    Shard k holds slots k * shard_slots and on; only the last may hold fewer. Partitions are ranges of shards, in order.
+    Null doc_ids are written as -1, null texts as their end id alone, repeated rows as often as they occur. An empty table
+    gives no shards. The same rows and key give the same shards on any layout of the table.
     """
-    rows, total = numbered(stored(token_sequences(docs, length, path=path), "training-tokens"))
+    path = path or vocabulary_path()
+    ship(docs.sparkSession)
+    tokens = stored(token_sequences(in_order(docs), length, path=path), "training-tokens")
+    rows, total = numbered(tokens)
     order = Permutation(total, key)
-    stride = HEADER.itemsize + 2 * length
+    size = encoder(path).id_bytes
+    stride = HEADER.itemsize + size * length
+    count = max(1, -(-total // shard_slots))
+    parts = min(count, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-count // file_shards)))
+    per = -(-count // parts)  # shards of a partition
 
     @F.pandas_udf("bigint")
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(order.slot(number.to_numpy()))
 
-    def write(t: pa.Table) -> pa.Table:
-        t = t.sort_by("slot")
+    def shard(t: pa.Table) -> pa.RecordBatch:
         head = np.zeros(t.num_rows, HEADER)
         head["doc_id"] = t["doc_id"].fill_null(-1).to_numpy()
         head["piece"], head["n"] = t["piece"].to_numpy(), t["n"].to_numpy()
-        body = np.full((t.num_rows, length), PAD, "<u2")
+        body = np.full((t.num_rows, length), PAD, _kind(size))
         for k, ids in enumerate(t["ids"]):
-            got = np.frombuffer(ids.as_buffer(), "<u2")
+            got = np.frombuffer(ids.as_buffer(), _kind(size))
             body[k, : len(got)] = got
         out = np.concatenate([head.view(np.uint8).reshape(t.num_rows, -1), body.view(np.uint8)], axis=1).tobytes()
         first = t["slot"][0].as_py()
-        return pa.table({"shard": [first // shard_slots], "first_slot": [first], "slots": pa.array([t.num_rows], pa.int32()), "stride": pa.array([stride], pa.int32()), "payload": pa.array([out], pa.binary())})
-
-    placed = rows.withColumn("slot", slot("number")).drop("number")
-    return placed.groupBy(F.floor(F.col("slot") / shard_slots).alias("_shard")).applyInArrow(write, "shard bigint, first_slot bigint, slots int, stride int, payload binary")
+        values = [[first // shard_slots], [first], pa.array([t.num_rows], pa.int32()), pa.array([stride], pa.int32()), pa.array([size], pa.int32()), pa.array([out], pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["shard", "first_slot", "slots", "stride", "id_bytes", "payload"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slots come in order; a shard is written when its last slot has come."""
+        held: list[pa.RecordBatch] = []
+        for b in filter(len, batches):
+            held.append(b)
+            if (held[0].column(0)[0].as_py()) // shard_slots == b.column(0)[-1].as_py() // shard_slots:
+                continue
+            t = pa.Table.from_batches(held)
+            of = t["slot"].to_numpy() // shard_slots
+            edges = np.flatnonzero(np.diff(of)) + 1
+            for s, e in zip([0, *edges[:-1]], edges):
+                yield shard(t.slice(s, e - s))
+            held = t.slice(edges[-1]).combine_chunks().to_batches()
+        if held:
+            yield shard(pa.Table.from_batches(held))
+
+    placed = rows.withColumn("slot", slot("number")).select("slot", "doc_id", "piece", "n", "ids")
+    placed = placed.repartitionById(-(-count // per), F.floor(F.col("slot") / (shard_slots * per)).cast("int")).sortWithinPartitions("slot")
+    out = mapped(placed, write, "shard bigint, first_slot bigint, slots int, stride int, id_bytes int, payload binary")
+    out._training_tokens = tokens
+    return out
+
+
+def written(docs: DataFrame, key: int, **how: int) -> DataFrame:
+    """`shards`, stored, one file for each range of shards; what it was made from is deleted."""
+    made = shards(docs, key, **how)
+    out = stored(made, "training-shards")
+    release(made._training_tokens)
+    return out
 
 
 def read(shard_table: DataFrame, start: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -135,23 +191,23 @@ def read(shard_table: DataFrame, start: int = 0, shard_slots: int = SHARD_SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, first, n, stride, payload in zip(*(b.column(k) for k in range(5))):
-                first, n, stride = first.as_py(), n.as_py(), stride.as_py()
+            for shard, first, n, stride, size, payload in zip(*(b.column(k) for k in range(6))):
+                first, n, stride, size = first.as_py(), n.as_py(), stride.as_py(), size.as_py()
                 raw = np.frombuffer(payload.as_buffer(), np.uint8).reshape(n, stride)
                 head = raw[:, : HEADER.itemsize].copy().view(HEADER)[:, 0]
                 at = np.arange(max(0, start - first), n)
-                ids = [raw[k, HEADER.itemsize : HEADER.itemsize + 2 * int(head["n"][k])].tobytes() for k in at]
+                ids = [raw[k, HEADER.itemsize : HEADER.itemsize + size * int(head["n"][k])].tobytes() for k in at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first + at), pa.array(np.full(len(at), shard.as_py())), pa.array(at * stride), pa.array(head["doc_id"][at]), pa.array(head["piece"][at]), pa.array(head["n"][at].astype(np.int64)), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                     ["slot", "shard", "byte_offset", "doc_id", "piece", "length", "ids", "ids_crc32"],
                 )
 
-    left = shard_table.where(F.col("shard") >= start // shard_slots).select("shard", "first_slot", "slots", "stride", "payload")
-    return left.mapInArrow(run, "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, piece int, length bigint, ids binary, ids_crc32 bigint")
+    left = shard_table.where(F.col("shard") >= start // shard_slots).select("shard", "first_slot", "slots", "stride", "id_bytes", "payload")
+    return mapped(left, run, "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, piece int, length bigint, ids binary, ids_crc32 bigint")
 
 
 def export(shard_table: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard as folder/shard-<number>.bin on a file system that all nodes mount; returns (shard, file).
+    """Writes each shard as folder/shard-<number>.bin on a file system that all nodes mount, never a disk of one machine; returns (shard, file).
 
     Files appear whole by renaming, so that a repeated task does no harm.
     """
@@ -169,4 +225,4 @@ def export(shard_table: DataFrame, folder: str) -> DataFrame:
                 names.append(name)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names)], ["shard", "file"])
 
-    return shard_table.select("shard", "payload").mapInArrow(run, "shard bigint, file string")
+    return mapped(shard_table.select("shard", "payload"), run, "shard bigint, file string")

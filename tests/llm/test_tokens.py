@@ -4,9 +4,11 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revspark.llm import packing, telephony, tokens, training_order
 from revspark.llm.common import stored
@@ -40,6 +42,26 @@ def test_encoder(library):
         assert e.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.fixture(scope="module")
+def extreme():
+    """Texts on which the fast path gives up or may be slow, and a random walk through all of Unicode."""
+    r = random.Random(9)
+    sweep = "".join(chr(r.choice([r.randrange(32, 0x3000), r.randrange(0x3000, 0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(200_000))
+    return [" " * 2_000_000, "a" * 1_000_000, "x" + "\n" * 1_200_000 + "y", sweep, "the end"]
+
+
+def test_extreme_texts(spark, library, extreme):
+    """Every text is encoded as the library encodes it, whatever its length."""
+    want = [library.encode(t, add_special_tokens=False).ids + [2] for t in extreme]
+    docs = frame(spark, extreme)
+    found = packing.pieces(docs, with_ids=True).collect()
+    rows = training_order.read(training_order.written(docs, key=1)).collect()
+    for got, kind in ((found, "<u4"), (rows, "<u2")):
+        for k, ids in enumerate(want):
+            parts = sorted((x["piece"], bytes(x["ids"])) for x in got if x["doc_id"] == k)
+            assert np.frombuffer(b"".join(p for _, p in parts), kind).tolist() == ids
+
+
 def test_pieces(spark, library):
     docs = texts()
     want = {}
@@ -122,7 +144,7 @@ def test_permutation(n):
 
 def test_training_order(spark, library, tmp_path):
     docs = texts(50)
-    made = stored(training_order.shards(frame(spark, docs).repartition(3), key=5, length=64, shard_slots=32), "test-shards")
+    made = training_order.written(frame(spark, docs).repartition(3), key=5, length=64, shard_slots=32)
     rows = training_order.read(made, shard_slots=32).collect()
     assert sorted(x["slot"] for x in rows) == list(range(len(rows)))
     got = defaultdict(dict)
@@ -134,6 +156,11 @@ def test_training_order(spark, library, tmp_path):
         assert sum((got[k][p] for p in sorted(got[k])), []) == ids
     later = training_order.read(made, start=40, shard_slots=32).collect()
     assert sorted(x["slot"] for x in later) == list(range(40, len(rows)))
+    files = [sorted(x["shard"] for x in g) for _, g in groupby(made.select("shard", F.col("_metadata.file_name").alias("f")).orderBy("f").collect(), lambda x: x["f"])]
+    assert sum(files, []) == list(range(-(-len(rows) // 32)))  # a file holds a range of shards, in order
+    for n in (1, 5):  # another layout, the same shards
+        again = training_order.written(frame(spark, docs[::-1], range(len(docs) - 1, -1, -1)).repartition(n), key=5, length=64, shard_slots=32)
+        assert sorted(again.collect()) == sorted(made.collect())
     files = training_order.export(made, str(tmp_path)).collect()
     by_slot = {x["slot"]: x for x in rows}
     for f in files:
@@ -146,7 +173,7 @@ def test_training_order(spark, library, tmp_path):
 
 def test_training_edges(spark):
     assert training_order.shards(frame(spark, []), key=1).count() == 0
-    rows = training_order.read(stored(training_order.shards(frame(spark, ["a", "a"], [None, None]), key=1), "x")).collect()
+    rows = training_order.read(training_order.written(frame(spark, ["a", "a"], [None, None]), key=1)).collect()
     assert [(x["doc_id"], x["slot"]) for x in sorted(rows, key=lambda x: x["slot"])] == [(-1, 0), (-1, 1)]
 
 
@@ -203,7 +230,9 @@ def test_double_rate():
 
 def test_audio(spark):
     docs = texts(40) + ["z" * 100_000, "a"]
-    rows = {x["doc_id"]: x for x in telephony.decode(stored(telephony.encode(frame(spark, docs)), "test-media")).collect()}
+    decoded = stored(telephony.decode(stored(telephony.encode(frame(spark, docs)), "test-media")), "test-pcm")
+    rows = {x["doc_id"]: x for x in decoded.collect()}
+    feature = {x["doc_id"]: x["feature"] for x in telephony.features(decoded).collect()}
     media = {x["doc_id"]: bytes(x["media"]) for x in telephony.encode(frame(spark, docs)).collect()}
     seen = set()
     for k, t in enumerate(docs):
@@ -220,8 +249,10 @@ def test_audio(spark):
         else:
             pcm = np.array([(scalar_mulaw if tag == telephony.MULAW else scalar_alaw)(v) for v in data[:600].tolist()], np.int16)
         got = np.frombuffer(x["pcm"], np.int16)
+        wide = got.astype(object)
+        assert f"samples={len(got)};peak={max(abs(wide))};power={sum(wide * wide) // len(got)};" in feature[k] and f"codec={x['codec']};rate=16000" in feature[k]
         assert got[::2][: len(pcm)].tolist() == pcm.tolist()
-    assert seen == set(telephony.NAMES) and rows[2]["feature"] == rows[len(docs) - 1]["feature"]
+    assert seen == set(telephony.NAMES) and feature[2] == feature[len(docs) - 1]
     assert telephony.decode(telephony.encode(frame(spark, []))).count() == 0
     with pytest.raises(ValueError):
         telephony.parse(b"not audio")
