@@ -1,12 +1,13 @@
 """License scans by a positional index of rare words, with DataFrame functions only.
 
-Templates are passages of license notices. Document frequencies of their words over all documents give
-inverse document frequencies; the rarest word of a template's mandatory phrase is its anchor.
-In each text the places of anchors are looked up; a place is kept if the template's next rarest
-words stand at the same relative positions (an intersection of postings), the mandatory phrase stands
-there word for word, and the aligned words carry enough of the template's weight.
-
-A text is read as one array of words in one narrow pass; nothing but the word counts is shuffled.
+Templates are passages of license notices, each with a mandatory phrase. Document frequencies of their words over all
+documents give inverse document frequencies. Of each template the phrase's words of highest IDF are postings: (word,
+template, place). A file's licence words of highest IDF are looked up there, with the places where they stand; each
+posting says where the template would begin, and only beginnings on which all of a template's postings agree
+remain. There the mandatory phrase is compared word for word, and the words that stand where the passage has them
+must carry enough of its weight.
+
+Only texts that hold some template's rarest word are read as arrays of words; nothing but word counts is shuffled.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words: digits, letters (lower-cased) and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from ..functions.arrays import let
+
+#: Characters of words, in texts of any case: digits, letters and everything beyond ASCII; and all others, between which texts are split.
+_IN, _OUT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Words of a phrase whose postings are intersected.
+POSTINGS = 3
 
 
 @dataclass(frozen=True)
@@ -67,18 +70,42 @@ TEMPLATES = [
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute"),
     Template("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it under the terms of the gnu general public license"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "modify it under the terms of the gnu lesser general public license"),
+    Template("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "the names of its contributors may be used to endorse or promote products"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "in no event will the authors be held liable for any damages"),
+    Template("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    Template("epl", "made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    Template("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    Template("artistic", "you may use this package under the terms of the artistic license 2 0", "artistic license"),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "may not use this file except in compliance with the license"),
 ]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, wherever and however often body uses it."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text, lower-casing A-Z only; a null text has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, f"{_OUT}+"), "")
+
+
+def count_words(text: Column) -> Column:
+    """How many words a text has: splitting leaves an empty part at most at either end."""
+
+    def count(parts: Column) -> Column:
+        inner = F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - (F.element_at(parts, -1) == "").cast("int")
+        return F.greatest(inner, F.lit(0)).cast("long")
+
+    return let(F.split(text, f"{_OUT}+"), count)
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words standing alone, in any case; words of one first letter share a branch."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    branches = "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in by_letter.items())
+    return f"(?i)(?<!{_IN})(?:{branches})(?!{_IN})"
 
 
 def document_frequencies(docs: DataFrame, templates: list[Template] = TEMPLATES) -> tuple[dict[str, int], int]:
@@ -86,34 +113,39 @@ def document_frequencies(docs: DataFrame, templates: list[Template] = TEMPLATES)
 
     What is gathered has a row for each template word at most.
     """
-    vocabulary = sorted({w for t in templates for w in t.words()})
-    seen = F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w.isin(vocabulary)))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(any_of([w for t in templates for w in t.words()])), F.lit(0))
+    seen = F.array_distinct(F.transform(F.array_distinct(found), F.lower))
     rows = docs.select(F.explode(F.array_append(seen, F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found, found.pop("", 0)
+    counts = {r["word"]: r["n"] for r in rows}
+    return counts, counts.pop("", 0)
+
+
+def rarest(t: Template, idf: dict[str, float], n: int = POSTINGS) -> list[int]:
+    """Places in the passage of the n words of highest IDF of the mandatory phrase, the rarest first; each word once."""
+    begin, size = t.phrase_at()
+    tw = t.words()
+    places: dict[str, int] = {}
+    for k in range(begin, begin + size):
+        places.setdefault(tw[k], k)
+    return sorted(places.values(), key=lambda k: (-idf[tw[k]], k))[:n]
 
 
-def _places(words: Column, at: Column, t: Template, idf: dict[str, float], least: float) -> Column:
-    """(label, start of phrase, share of weight, base) of every place of the template, from the places `at` of all anchors."""
+def _places(words: Column, index: Column, t: Template, idf: dict[str, float], least: float) -> Column:
+    """(label, start of phrase, share of weight, base) of every place of the template; index: (word, at) of the file's rare licence words."""
     tw = t.words()
     begin, size = t.phrase_at()
-    rarest = sorted(range(begin, begin + size), key=lambda k: (-idf[tw[k]], k))
-    anchor = rarest[0]
-    others = sorted((k for k in range(len(tw)) if k != anchor), key=lambda k: (-idf[tw[k]], k))[:2]
     total = sum(idf[w] for w in tw)
 
-    def word(start: Column, k: int) -> Column:
-        return F.get(words, start + F.lit(k))
+    def beginnings(k: int) -> Column:
+        """Where the passage would begin, by every place of its word k."""
+        return F.transform(F.filter(index, lambda x: x["word"] == tw[k]), lambda x: x["at"] - k)
 
-    starts = F.transform(F.filter(at, lambda p: F.get(words, p) == tw[anchor]), lambda p: p - anchor)
-    # Postings of the next rarest words, intersected by relative position; what the phrase holds must agree.
-    needed = [k for k in others if begin <= k < begin + size]
-    starts = F.filter(starts, lambda s: reduce(and_, (word(s, k) == tw[k] for k in needed), F.lit(True)))
+    starts = reduce(F.array_intersect, map(beginnings, rarest(t, idf)))
     phrase = F.array(*map(F.lit, tw[begin : begin + size]))
     starts = F.filter(starts, lambda s: (s + begin >= 0) & (F.slice(words, F.greatest(s + begin + 1, F.lit(1)), size) == phrase))
 
     def share(s: Column) -> Column:
-        held = sum((F.when((s + k >= 0) & (word(s, k) == tw[k]), F.lit(idf[tw[k]])).otherwise(F.lit(0.0)) for k in range(len(tw))), F.lit(0.0))
+        held = sum((F.when((s + k >= 0) & (F.get(words, s + F.lit(k)) == tw[k]), F.lit(idf[tw[k]])).otherwise(F.lit(0.0)) for k in range(len(tw))), F.lit(0.0))
         return F.least(held / F.lit(total), F.lit(1.0))
 
     found = F.transform(starts, lambda s: F.struct(F.lit(t.label).alias("label"), (s + begin).cast("long").alias("start"), share(s).alias("share"), F.lit(t.base).alias("base")))
@@ -130,24 +162,17 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, least: float =
     """
     counts, n = document_frequencies(docs, templates)
     idf = {w: math.log((n + 2) / (counts.get(w, 0) + 1)) for t in templates for w in t.words()}
-    anchors = set()
-    for t in templates:
-        begin, size = t.phrase_at()
-        tw = t.words()
-        anchors.add(tw[min(range(begin, begin + size), key=lambda k: (-idf[tw[k]], k))])
-
-    def row(words: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(sorted(anchors)))
-        at = F.when(F.size(words) > 0, at).otherwise(F.array().cast("array<int>"))
-
-        def found(p: Column) -> Column:
-            kinds = [_places(words, p, t, idf, 0.0 if t.base else least) for t in templates]
-            return F.when(F.size(p) > 0, F.concat(*kinds))
+    anchors = [t.words()[rarest(t, idf)[0]] for t in templates]
+    indexed = sorted({t.words()[k] for t in templates for k in rarest(t, idf)})
+    none = F.array().cast("array<struct<label:string,start:bigint,share:double,base:boolean>>")
 
-        return F.struct(F.size(words).cast("long").alias("n_words"), let(at, found).alias("places"))
+    def of_words(words: Column) -> Column:
+        index = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(indexed))
+        return let(index, lambda index: F.concat(*[_places(words, index, t, idf, 0.0 if t.base else least) for t in templates]))
 
-    got = docs.select("doc_id", let(words_of(F.col("text")), row).alias("r"))
-    got = got.select("doc_id", "r.n_words", F.coalesce("r.places", F.array().cast("array<struct<label:string,start:bigint,share:double,base:boolean>>")).alias("places"))
+    text = F.coalesce("text", F.lit(""))
+    places = F.when(F.rlike(text, F.lit(any_of(anchors))), let(words_of(text), of_words)).otherwise(none)
+    got = docs.select("doc_id", count_words(text).alias("n_words"), places.alias("places"))
 
     def labels(places: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: x["label"]))), ",")

@@ -4,7 +4,7 @@ Entities that fixed patterns find (e-mail and IP addresses, card and phone numbe
 seeds. The words around them induce lexical patterns. Patterns and identifier-like strings form a
 bipartite graph on which Spark scores both sides in turns: a pattern by the scores of the
 strings it surrounds, a string by its best patterns. Strings that reliable patterns surround are
-reported too, as kind `like_<kind>`.
+reported too, as kind `like_<kind>`, and support patterns in their turn, until no more are found.
 
 Texts are read in one narrow pass; only mentions, a few words each, are shuffled.
 """
@@ -16,7 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..functions.arrays import let, running_sums
+from .common import release, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -30,32 +31,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Strings that may be identifiers: 6 to 80 characters with a digit, bounded by other characters.
-CANDIDATE = r"(?<![A-Za-z0-9._@+/=-])[A-Za-z0-9._@+/=-]{5,79}[A-Za-z0-9](?![A-Za-z0-9._@+/=-])"
-CONTEXT = 40  # characters of context that words are taken from
-BLOCK = 64
+_C = "A-Za-z0-9._@+/=-"
+#: In place of spans already found: no character of any pattern, but one that keeps a string beside it from being a candidate.
+_HIDDEN = "\ufdd0"
+#: Strings that may be identifiers, of any length: groups of digits with blanks, brackets, dots or hyphens between, or else a whole run of the characters in _C with a digit or an at sign.
+CANDIDATE = rf"(?<![{_HIDDEN}{_C}])(?:\(?[0-9]++(?:[\x20().-]{{1,2}}+[0-9]++)++(?![._@+/=-]*+[{_HIDDEN}A-Za-z0-9])|(?=[A-Za-z._+/=-]*+[0-9@])[{_C}]{{5,}}+(?!{_HIDDEN}))"
+CONTEXT = 200  # characters of context that words are taken from
 
 MENTION = "array<struct<start:bigint,end:bigint,kind:string,token:string,left:string,right:string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, wherever and however often body uses it."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def _running_sums(steps: Column) -> Column:
-    """Sums of an array's elements up to and with each; block sums keep this far below quadratic."""
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-
-    def sums(steps: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(steps, b * BLOCK + 1, BLOCK)))
-        return let(blocks, lambda bs: F.transform(steps, lambda _, i: total(F.slice(bs, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1))))
-
-    return let(steps, sums)
-
-
 def _luhn(digits: Column) -> Column:
     def term(i: Column) -> Column:
         twice = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int") * (i % 2 + 1)
@@ -78,8 +63,8 @@ def _holds(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _mentions(text: Column, kind: str, pattern: str, holds: Callable[[Column], Column]) -> Column:
-    """All matches of a pattern that hold, with places in code points and the words around them."""
+def _mentions(text: Column, kind: str, pattern: str, holds: Callable[[Column], Column], trim: str = "") -> Column:
+    """All matches of a pattern that hold, with places in code points and the words around them; trim: characters taken off their ends."""
 
     def found(hits: Column) -> Column:
         def placed(gaps: Column) -> Column:
@@ -88,6 +73,7 @@ def _mentions(text: Column, kind: str, pattern: str, holds: Callable[[Column], C
             def rows(starts: Column) -> Column:
                 def row(h: Column, i: Column) -> Column:
                     before, after = F.right(F.get(gaps, i), F.lit(CONTEXT)), F.left(F.get(gaps, i + 1), F.lit(CONTEXT))
+                    h = F.rtrim(h, F.lit(trim)) if trim else h
                     return F.struct(
                         F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(h)).alias("end"), F.lit(kind).alias("kind"), F.lower(h).alias("token"),
                         F.lower(F.regexp_extract(before, r"(?:\S+\s+)?\S+\s*$", 0)).alias("left"), F.lower(F.regexp_extract(after, r"^\s*\S+", 0)).alias("right"),
@@ -95,7 +81,7 @@ def _mentions(text: Column, kind: str, pattern: str, holds: Callable[[Column], C
 
                 return F.filter(F.transform(hits, row), lambda m: holds(m["token"]))
 
-            return let(_running_sums(steps), rows)
+            return let(running_sums(steps), rows)
 
         return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), placed)).otherwise(F.array().cast(MENTION))
 
@@ -110,18 +96,25 @@ def _all_base(text: Column) -> Column:
     return F.concat(*(F.when(needed[k], _base(text, k)).otherwise(none) for k in KINDS))
 
 
-def mentions(docs: DataFrame, *keep: str) -> DataFrame:
-    """(keep columns, base, candidates): mentions of base kinds, and of identifier-like strings that overlap none of them."""
+def _is_candidate(token: Column) -> Column:
+    """Five characters or more with a digit or an at sign; groups of digits have seven digits or more."""
+    grouped = F.rlike(token, F.lit(r"^\(?[0-9][0-9\x20().-]*$")) & F.rlike(token, F.lit(r"[\x20()]"))
+    return (F.length(token) >= 5) & F.when(grouped, F.length(F.regexp_replace(token, "[^0-9]", "")) >= 7).otherwise(F.rlike(token, F.lit("[0-9@]")))
 
-    def row(text: Column) -> Column:
-        def with_candidates(base: Column) -> Column:
-            others = F.when(F.rlike(text, F.lit("[0-9]")), _mentions(text, "", CANDIDATE, lambda h: F.rlike(h, F.lit("[0-9].*[0-9].*[0-9]"))))
-            free = F.filter(others, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-            return F.struct(base.alias("base"), F.coalesce(free, F.array().cast(MENTION)).alias("candidates"))
 
-        return let(_all_base(text), with_candidates)
+def mentions(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep columns, base, candidates): mentions of base kinds, and of identifier-like strings beside them.
+
+    Base spans are hidden before candidates are looked for, so that no candidate touches one.
+    """
 
-    return docs.select(*keep, let(F.coalesce(F.col("text"), F.lit("")), row).alias("_r")).select(*keep, "_r.base", "_r.candidates")
+    text, rest = F.col("_pii_text"), F.col("_pii_rest")
+    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_pii_text"))
+    rows = rows.withColumn("_pii_base", _all_base(text)).withColumn("_pii_merged", _merged(_ordered(_spans(F.col("_pii_base")))))
+    hidden = _replaced(text, F.col("_pii_merged"), lambda s: F.repeat(F.lit(_HIDDEN), (s["end"] - s["start"]).cast("int")))
+    rows = rows.withColumn("_pii_rest", F.when(F.size("_pii_base") > 0, hidden).otherwise(text))
+    others = F.when(F.rlike(rest, F.lit("[0-9@]")), _mentions(rest, "", CANDIDATE, _is_candidate, "._@+/=-"))
+    return rows.select(*keep, F.col("_pii_base").alias("base"), F.coalesce(others, F.array().cast(MENTION)).alias("candidates"))
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -136,12 +129,13 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.array_distinct(F.array(F.concat(l, F.lit(" _")), F.concat(one, F.lit(" _ "), r)))
 
 
-def discover(found: DataFrame, rounds: int = 2, min_seeds: int = 3, least: float = 0.5) -> DataFrame:
+def discover(found: DataFrame, rounds: int = 8, min_support: int = 3, least: float = 0.5) -> DataFrame:
     """(token, kind, confidence) of strings beyond the seeds that reliable patterns surround.
 
     found: base and candidates of `mentions`. A pattern's score for a kind is the sum of its strings'
-    scores over their number plus one; it counts if it is `least` or more and at least min_seeds different seeds
-    support it. A string's score is one minus the product of its patterns' doubts, at most.
+    scores over their number plus one; it counts if it is `least` or more and at least min_support different strings, seeds or
+    such as score `least`, support it. A string's score is one minus the product of its patterns' doubts, at most. Rounds end when no
+    further string reaches `least`, after `rounds` at most.
     """
     cells = found.select(F.explode(F.concat("base", "candidates")).alias("m"))
     edges = cells.select(F.col("m.token").alias("token"), F.col("m.kind").alias("seed"), F.explode(_patterns(F.col("m.left"), F.col("m.right"))).alias("pattern"))
@@ -149,13 +143,19 @@ def discover(found: DataFrame, rounds: int = 2, min_seeds: int = 3, least: float
     spread = edges.groupBy("pattern").agg(F.count("*").alias("strings"))
     scores = edges.where("seed <> ''").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit(True).alias("is_seed")).distinct()
     seeds = scores
+    had = 0
     for k in range(rounds):
-        support = edges.join(scores, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if("is_seed").alias("seeds"))
-        rated = support.join(spread, "pattern").withColumn("rate", F.col("mass") / (F.col("strings") + 1))
-        good = rated.where((F.col("rate") >= least) & (F.col("seeds") >= min_seeds)).select("pattern", "kind", "rate")
+        support = edges.join(scores, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("is_seed") | (F.col("score") >= least)).alias("backing"))
+        rated = support.where(F.col("backing") >= min_support).join(spread, "pattern").withColumn("rate", F.col("mass") / (F.col("strings") + 1))
+        good = rated.where(F.col("rate") >= least).select("pattern", "kind", "rate")
         fresh = edges.where("seed = ''").select("pattern", "token").join(good, "pattern")
         fresh = fresh.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("rate"))))).alias("score"))
-        scores = stored(seeds.unionByName(fresh.select("token", "kind", "score", F.lit(False).alias("is_seed"))), f"pii-scores-{k}")
+        last, scores = scores, stored(seeds.unionByName(fresh.select("token", "kind", "score", F.lit(False).alias("is_seed"))), f"pii-scores-{k}")
+        release(last)
+        now = scores.where((~F.col("is_seed")) & (F.col("score") >= least)).count()
+        if now == had:
+            break
+        had = now
     best = scores.where((~F.col("is_seed")) & (F.col("score") >= least)).groupBy("token").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("token", F.col("b.kind").alias("kind"), F.col("b.score").alias("confidence"))
 
@@ -185,40 +185,90 @@ def _discovered(found: DataFrame, known: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.collect_set("s").alias("extra"))
 
 
-def scan(docs: DataFrame, *keep: str, rounds: int = 2) -> DataFrame:
+def scan(docs: DataFrame, *keep: str, rounds: int = 8) -> DataFrame:
     """(keep columns, base, spans): ordered spans (start, rank, kind, end) of base kinds, and of all kinds.
 
     Places are code points, ends exclusive. One row per row of docs, repeated ids included;
-    a null text is empty and has no spans.
+    a null text is empty and has no spans; an empty table gives no rows. Kept columns may have any names but base and spans.
     """
-    found = stored(mentions(docs, *keep).withColumn("_pii_at", F.monotonically_increasing_id()), "pii-mentions")
+    named = [F.col(k).alias(f"_pii_keep_{i}") for i, k in enumerate(keep)]
+    rows = docs.select(*named, "text", F.monotonically_increasing_id().alias("_pii_at"))
+    found = stored(mentions(rows, *(f"_pii_keep_{i}" for i in range(len(keep))), "_pii_at"), "pii-mentions")
     extra = _discovered(found, discover(found, rounds), "_pii_at")
     base = _spans(F.col("base"))
     rows = found.join(extra, "_pii_at", "left")
-    return rows.select(*keep, _ordered(base).alias("base"), _ordered(F.concat(base, F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+    back = [F.col(f"_pii_keep_{i}").alias(k) for i, k in enumerate(keep)]
+    return rows.select(*back, _ordered(base).alias("base"), _ordered(F.concat(base, F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+
+
+def _running_max(numbers: Column) -> Column:
+    """The greatest of an array's elements up to and with each; two levels of blocks keep this near linear."""
+    size = 64
+
+    def of(numbers: Column) -> Column:
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int")), lambda b: F.array_max(F.slice(numbers, b * size + 1, size)))
+
+        def with_tops(tops: Column) -> Column:
+            before = F.transform(tops, lambda _, b: F.array_max(F.slice(tops, F.lit(1), b)))
+
+            def each(before: Column) -> Column:
+                return F.transform(numbers, lambda _, i: F.greatest(F.get(before, F.floor(i / size).cast("int")), F.array_max(F.slice(numbers, F.floor(i / size).cast("int") * size + 1, i % size + 1))))
+
+            return let(before, each)
+
+        return let(tops, with_tops)
+
+    return F.when(F.size(numbers) > 0, let(numbers, of)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _merged(spans: Column) -> Column:
     """Of each run of overlapping spans the first's kind and start and the greatest end; spans are ordered by start."""
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        same = (F.size(out) > 0) & (last["end"] > s["start"])
-        grown = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-        return F.when(same, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(own)))
+    def of(spans: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(ends, i - 1) <= F.get(spans, i)["start"]))
+
+            def each(heads: Column) -> Column:
+                def row(h: Column, k: Column) -> Column:
+                    last = F.coalesce(F.get(heads, k + 1), F.size(spans)) - 1
+                    return F.struct(F.get(spans, h)["start"].alias("start"), F.get(spans, h)["kind"].alias("kind"), F.get(ends, last).alias("end"))
+
+                return F.transform(heads, row)
+
+            return let(heads, each)
+
+        return let(_running_max(F.transform(spans, lambda s: s["end"])), with_ends)
+
+    return F.when(F.size(spans) > 0, let(spans, of)).otherwise(F.array().cast(SPAN))
+
+
+CHUNK = 4096
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """text with each of the ordered, disjoint spans replaced.
+
+    Parts are cut from chunks of the text, as a substring is counted off from the beginning.
+    """
+
+    def with_chunks(chunks: Column) -> Column:
+        def part(begin: Column, end: Column) -> Column:
+            a, b = (F.floor(x / CHUNK).cast("int") for x in (begin, end))
+            head = F.substring(F.get(chunks, a), (begin % CHUNK + 1).cast("int"), F.when(a == b, (end - begin).cast("int")).otherwise(CHUNK))
+            middle = F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+            tail = F.coalesce(F.substring(F.get(chunks, b), F.lit(1), (end % CHUNK).cast("int")), F.lit(""))
+            return F.when(begin >= end, "").when(a == b, head).otherwise(F.concat(head, middle, tail))
 
-    return F.aggregate(spans, F.array().cast(SPAN), step)
+        def with_ends(ends: Column) -> Column:
+            parts = F.transform(spans, lambda s, i: F.concat(part(F.get(ends, i), s["start"]), by(s)))
+            return F.concat(F.array_join(parts, ""), part(F.element_at(ends, -1), F.length(text).cast("long")))
 
+        return let(F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"])), with_ends)
 
-def _masked(text: Column, spans: Column) -> Column:
-    """text with each of the ordered, disjoint spans replaced by <kind>."""
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
-    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, F.get(ends, i) + 1, s["start"] - F.get(ends, i)), F.lit("<"), s["kind"], F.lit(">")))
-    return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    return let(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda k: F.substring(text, k * CHUNK + 1, F.lit(CHUNK))), with_chunks)
 
 
-def redact(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def redact(docs: DataFrame, rounds: int = 8) -> DataFrame:
     """docs with every span replaced by <kind>; overlapping spans become one. Other columns and null texts stay as they are.
 
     Base kinds are found and replaced in the scan itself. Only spans of discovered strings, of the texts that have any,
@@ -233,7 +283,7 @@ def redact(docs: DataFrame, rounds: int = 2) -> DataFrame:
     text = F.col("text")
 
     def masked(spans: Column) -> Column:
-        return F.when(F.size(spans) == 0, text).otherwise(let(_merged(_ordered(spans)), lambda m: _masked(text, m)))
+        return F.when(F.size(spans) == 0, text).otherwise(let(_merged(_ordered(spans)), lambda m: _replaced(text, m, lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))))
 
     every = F.concat(_spans(_all_base(text)), F.coalesce("_pii_extra", F.array().cast(SPAN)))
     return rows.withColumn("text", F.when(text.isNotNull(), let(every, masked))).select(*names)

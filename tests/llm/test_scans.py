@@ -1,5 +1,6 @@
 """License scans and personal data against brute force."""
 
+import math
 import random
 import re
 
@@ -49,6 +50,48 @@ def test_license_method(spark):
     assert rows[0]["score"] == 1.0 and rows[3]["score"] == 0.0
 
 
+def plain_labels(texts, least=0.25):
+    """Every place of every template by comparing word for word; labels and score of each text."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({k: k + 32 for k in range(65, 91)})) for t in texts]
+    idf = {w: math.log((len(texts) + 2) / (sum(w in x for x in split) + 1)) for t in licenses.TEMPLATES for w in t.words()}
+    out = []
+    for words in split:
+        labels, score = set(), 0.0
+        for t in licenses.TEMPLATES:
+            begin, size = t.phrase_at()
+            tw = t.words()
+            for k in range(len(words)):
+                if words[k : k + size] == tw[begin : begin + size]:
+                    held = sum(idf[w] for i, w in enumerate(tw) if 0 <= k - begin + i < len(words) and words[k - begin + i] == w)
+                    share = min(held / sum(idf[w] for w in tw), 1.0)
+                    if t.base or share >= least:
+                        labels.add(t.label)
+                        score = max(score, share)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_license_labels(spark):
+    """Labels and scores against brute force, on passages cut, joined and edited."""
+    r = random.Random(5)
+    texts = [""]
+    for _ in range(250):
+        words = []
+        for _ in range(r.randint(0, 4)):
+            w = r.choice(licenses.TEMPLATES).passage.split()
+            a = r.randint(0, len(w) // 3)
+            w = w[a : r.randint(2 * len(w) // 3, len(w))]
+            if r.random() < 0.3 and w:
+                w[r.randrange(len(w))] = r.choice(["other", "license", "public"])
+            words += w + ["x"] * r.randint(0, 3)
+        texts.append(r.choice([" ", " - ", "\n"]).join(words).title())
+    rows = {x["doc_id"]: x for x in licenses.scan(frame(spark, texts)).collect()}
+    want = plain_labels(texts)
+    assert len({x for x, _ in want}) > 25
+    for k, (labels, score) in enumerate(want):
+        assert rows[k]["labels"] == labels and abs(rows[k]["score"] - score) < 1e-9
+
+
 def test_license_edges(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
     same = licenses.scan(frame(spark, ["mit license", "mit license"], [None, None])).collect()
@@ -104,6 +147,40 @@ def test_discovery(spark):
     assert new[0][s["start"] : s["end"]] == "contact-777-box"
 
 
+def test_discovery_goes_on(spark):
+    """Strings found in one context support a further one, spaced and bracketed numbers among them; a string of any length is found."""
+    long = "k" * 200 + "7"
+    seeds = [f"ring me at +44 20 7946 {k:03} please" for k in range(9)]
+    new = [f"ring me at 020 7946 1{k:03} please" for k in range(6)] + [f"desk line 020 7946 1{k:03} open" for k in range(6)]
+    far = ["desk line (555) 123-4567 open", f"ring me at {long} please"]
+    rows = pii.scan(frame(spark, seeds + new + far + ["about 1999 people"]), "doc_id").orderBy("doc_id").collect()
+    kinds = [[s["kind"] for s in x["spans"]] for x in rows]
+    assert kinds == [["phone"]] * 9 + [["like_phone"]] * 14 + [[]]
+    s = rows[21]["spans"][0]
+    assert far[0][s["start"] : s["end"]] == "(555) 123-4567"
+
+
+def test_long_text_in_time(spark):
+    """A megabyte of addresses takes time in proportion."""
+    import time
+
+    text = "u1@a.bc " * 125_000
+    docs = frame(spark, [text, "x@y.zz"])
+    began = time.time()
+    rows = {x["doc_id"]: x for x in pii.scan(docs, "doc_id").select("doc_id", F.size("base").alias("n"), F.element_at("base", -1).alias("last")).collect()}
+    assert rows[0]["n"] == 125_000 and rows[0]["last"]["end"] == len(text) - 1
+    out = {x["doc_id"]: x["text"] for x in pii.redact(docs).collect()}
+    assert out[0] == "<email> " * 125_000 and out[1] == "<email>"
+    assert time.time() - began < 120
+
+
+def test_scan_edges(spark):
+    assert pii.scan(frame(spark, []), "doc_id").count() == 0
+    docs = frame(spark, ["a@b.cd", "x", "a@b.cd", None], [1, 1, None, None]).selectExpr("doc_id", "text", "doc_id as candidates", "label")
+    rows = pii.scan(docs, "doc_id", "candidates", "label").collect()
+    assert sorted((x["doc_id"] or 0, x["candidates"] or 0, x["label"], len(x["spans"])) for x in rows) == [(0, 0, "x", 0), (0, 0, "x", 1), (1, 1, "x", 0), (1, 1, "x", 1)]
+
+
 def test_redaction(spark):
     r = random.Random(3)
     texts = [random_text(r) for _ in range(200)] + [None, "", "no data"]
