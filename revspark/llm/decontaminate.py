@@ -6,6 +6,9 @@ how often the seed itself occurs doesn't matter, so that an item that was copied
 times is still found. Seeds join the words of every passage; seed matches of an item that lie near one another
 mark a region, and local alignment with gaps scores the region against the whole item.
 
+An item of more than PIECE words is aligned piece by piece, pieces overlapping by half, so that a passage copied out of a long
+item counts by its own length and tables stay small.
+
 Texts are never shuffled: items travel to the documents in blocks of bounded size.
 """
 
@@ -20,11 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .textvec import Words, flat, slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of items that one scan carries; a longer benchmark is scanned for in several blocks.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 1_000_000
+#: Words of the parts that longer items are aligned by; each begins half as many on.
+PIECE = 128
 #: Cells of one alignment step, to bound its memory.
 CELLS = 1 << 19
 
@@ -33,9 +39,11 @@ SCHEMA = "doc_id bigint, item_id bigint, score double, matched int, item_words i
 
 @dataclass
 class Block:
-    """Items as word hashes, and their seeds sorted by hash."""
+    """Items, or pieces of them, as word hashes, and their seeds sorted by hash; item and size of a part: its item's place in names and words."""
 
-    ids: np.ndarray
+    names: np.ndarray
+    item: np.ndarray
+    size: np.ndarray
     words: np.ndarray
     first: np.ndarray
     seeds: np.ndarray
@@ -52,28 +60,34 @@ def _item_words(texts: list) -> Words:
     return words_of(pa.array(texts, pa.string()))
 
 
+def pieces_of(n: int, piece: int = PIECE) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an item of n words: the whole, or pieces that overlap by half and cover it."""
+    if n <= piece:
+        return [(0, n)]
+    return [(s, s + piece) for s in range(0, n - piece, piece // 2)] + [(n - piece, n)]
+
+
 def make_block(ids: list[int], texts: list, n: int, common: dict[int, int], docs: int, chance: float) -> Block:
     """Seeds are all n-grams (whole items if shorter) expected, by their words' frequencies, in under `chance` places a document."""
-    w = _item_words(texts)
-    grams, whole = w.grams(n)
-    share = np.array([(common.get(int(h), 0) + 1) / (docs + 1) for h in w.hash])
+    whole = _item_words(texts)
+    parts = [(k, whole.first[k] + s, whole.first[k] + e) for k in range(len(ids)) for s, e in pieces_of(int(whole.first[k + 1] - whole.first[k]))]
+    item = np.array([p[0] for p in parts], int)
+    words = np.concatenate([np.zeros(0, np.uint64), *(whole.hash[s:e] for _, s, e in parts)])
+    first = np.concatenate(([0], np.cumsum([e - s for _, s, e in parts]))).astype(int)
+    grams, _ = whole.grams(n)
+    share = np.array([(common.get(int(h), 0) + 1) / (docs + 1) for h in whole.hash])
     logs = np.concatenate(([0.0], np.cumsum(np.log(np.minimum(share, 1.0)))))
-    keep, item, pos = [], [], []
-    for k in range(len(ids)):
-        a, b = w.first[k], w.first[k + 1]
-        if b <= a:
-            continue
-        at = np.arange(a, b)[whole[a:b]]
+    seeds, owner, pos = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
+    for k, (_, s, e) in enumerate(parts):
+        at = np.arange(s, e - n + 1)
         rare = at[logs[at + n] - logs[at] < np.log(chance)]
         at = rare if len(rare) else at
-        keep.append(grams[at])
-        item.append(np.full(len(at), k))
-        pos.append(at - a)
-    if not keep:
-        return Block(np.array(ids), w.hash, w.first, np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), n)
-    seeds, item, pos = np.concatenate(keep), np.concatenate(item), np.concatenate(pos)
-    order = np.lexsort((pos, item, seeds))
-    return Block(np.array(ids), w.hash, w.first, seeds[order], item[order], pos[order], n)
+        seeds.append(grams[at])
+        owner.append(np.full(len(at), k))
+        pos.append(at - s)
+    seeds, owner, pos = np.concatenate(seeds), np.concatenate(owner), np.concatenate(pos)
+    order = np.lexsort((pos, owner, seeds))
+    return Block(np.array(ids, np.int64), item, np.diff(whole.first)[item], words, first, seeds[order], owner[order], pos[order], n)
 
 
 def align(items: list[np.ndarray], regions: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -163,11 +177,12 @@ def _scan(doc_ids: list, w: Words, block: Block, least: float) -> list[tuple]:
             n = int(block.first[x + 1] - block.first[x])
             share = score / (MATCH * n)
             begin_word = int(l - w.first[d]) + s
-            row = (share, matched, n, begin_word, int(l - w.first[d]) + e)
-            was = out.get((int(d), int(x)))
+            row = (share, matched, int(block.size[x]), begin_word, int(l - w.first[d]) + e)
+            key = int(d), int(block.item[x])
+            was = out.get(key)
             if share >= least and (was is None or (share, -begin_word) > (was[0], -was[3])):
-                out[int(d), int(x)] = row
-    return [(doc_ids[d], int(block.ids[x]), *row) for (d, x), row in sorted(out.items())]
+                out[key] = row
+    return [(doc_ids[d], int(block.names[x]), *row) for (d, x), row in sorted(out.items())]
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list]:
@@ -201,7 +216,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int
         ids = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.append(total[ids[:-1]], n))], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select("text"), run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     count = {r["word"]: r["n"] for r in rows}  # at most as many rows as the block has words
     return {int(vocabulary[k]): n for k, n in count.items() if k >= 0}, count.get(-1, 0)
 
@@ -214,34 +229,33 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, seed_words: int
     (exclusive) bound the best passage, the first among equals. Words are runs of digits, ASCII
     letters and non-ASCII characters, in any case. Null or empty texts match nothing;
     rows that repeat an id each give rows. Other columns are ignored. Items shorter than
-    `seed_words` words are sought by all their words.
+    `seed_words` words are sought by all their words. Of an item of more than PIECE words the score is that of its best piece.
     """
     out = None
-    for block in _item_blocks(docs, items, seed_words, chance, block_words):
+    for blocks in _item_blocks(docs, items, seed_words, chance, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks: list[Block] = blocks) -> Iterator[pa.RecordBatch]:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             for batch in batches:
                 for b in slices(batch, "text"):
-                    got = _scan(b.column(0).to_pylist(), words_of(b.column(1)), block, least)
+                    ids, words = b.column(0).to_pylist(), words_of(b.column(1))
+                    got = [row for block in blocks for row in _scan(ids, words, block, least)]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        found = mapped(docs.select("doc_id", "text"), run, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def _item_blocks(docs: DataFrame, items: DataFrame, seed_words: int, chance: float, block_words: int) -> Iterator[Block]:
-    """The items in blocks of bounded size, those shorter than a seed in blocks of their own."""
+def _item_blocks(docs: DataFrame, items: DataFrame, seed_words: int, chance: float, block_words: int) -> Iterator[list[Block]]:
+    """The items in sets of bounded size, each a block of items as long as a seed and blocks of shorter ones; frequencies are counted in one scan a set."""
     for rows in _blocks(items, block_words):
-        sizes = np.diff(_item_words([r["text"] for r in rows]).first)
-        for n in range(1, seed_words + 1):
-            part = [r for r, size in zip(rows, sizes) if min(size, seed_words) == n]
-            if part:
-                texts = [r["text"] for r in part]
-                common, total = _frequencies(docs, np.unique(_item_words(texts).hash))
-                yield make_block([r["item_id"] for r in part], texts, n, common, total, chance)
+        words = _item_words([r["text"] for r in rows])
+        sizes = np.diff(words.first)
+        common, total = _frequencies(docs, np.unique(words.hash))
+        parts = ((n, [r for r, size in zip(rows, sizes) if min(size, seed_words) == n]) for n in range(1, seed_words + 1))
+        yield [make_block([r["item_id"] for r in part], [r["text"] for r in part], n, common, total, chance) for n, part in parts if part]
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = 0.4, seed_words: int = 3, chance: float = 1e-3, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -250,16 +264,16 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.4, seed_words: int
     Rows are judged one by one in the scan itself, so that nothing is joined or shuffled.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    blocks = list(_item_blocks(docs, items, seed_words, chance, block_words))
-    for block in blocks:
+    for blocks in list(_item_blocks(docs, items, seed_words, chance, block_words)):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks: list[Block] = blocks) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in slices(batch, "text"):
-                    got = _scan(list(range(b.num_rows)), words_of(b.column(b.schema.get_field_index("text"))), block, least)
+                    words = words_of(b.column(b.schema.get_field_index("text")))
                     keep = np.ones(b.num_rows, bool)
-                    keep[[g[0] for g in got]] = False
+                    for block in blocks:
+                        keep[[g[0] for g in _scan(list(range(b.num_rows)), words, block, least)]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, fields)
+        docs = mapped(docs, run, fields)
     return docs

@@ -8,13 +8,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .textvec import Words, flat, mix, once, slices
 
 #: Feature extractor: (flat bytes, offsets) to one array of distinct feature ids per text.
 Extract = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
 
+#: Documented bound of a fit, beside its rows: characters of text that are taken for each tag.
+SAMPLE_CHARACTERS = 64_000_000
+
 #: A name that tables are unlikely to have.
 _TEXT = "_linear_model_text"
 
@@ -90,10 +95,17 @@ def sampled_ids(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def gather(docs: DataFrame, ids: DataFrame, extract: Extract) -> tuple[np.ndarray, list[np.ndarray]]:
+def one_label(labelled: DataFrame) -> DataFrame:
+    """(doc_id, tag): one row for every doc_id whose labels, 0 or 1, agree; nulls count for nothing."""
+    rows = labelled.select("doc_id", F.col("label").cast("int").alias("tag")).where("doc_id is not null and tag in (0, 1)")
+    return rows.groupBy("doc_id").agg(F.min("tag").alias("tag"), F.max("tag").alias("_most")).where("tag = _most").select("doc_id", "tag")
+
+
+def gather(docs: DataFrame, ids: DataFrame, extract: Extract, characters: int = SAMPLE_CHARACTERS) -> tuple[np.ndarray, list[np.ndarray]]:
     """Tag and features of the documents named in `ids` (doc_id, tag), which the caller has bounded.
 
-    Feature ids of a text are distinct and below 2**bits, so that a text of any length stays bounded.
+    Of rows that repeat a doc_id the least text counts. A tag's texts are taken in the order of the hashed doc_id while they hold
+    `characters` at most together, one text at least, so that what reaches the driver is bounded in bytes too.
     Rows come in the order of doc_id and features, so that a fit doesn't depend on partitions.
     """
 
@@ -103,8 +115,12 @@ def gather(docs: DataFrame, ids: DataFrame, extract: Extract) -> tuple[np.ndarra
                 found = [np.sort(x).astype(np.int32).tobytes() for x in extract(*flat(b.column(2)))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["doc_id", "tag", "ids"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "tag")), "doc_id").select("doc_id", "tag", "text")
-    got = chosen.mapInArrow(run, "doc_id bigint, tag int, ids binary").toArrow().to_pydict()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "tag")), "doc_id")  # thousands of ids at most
+    chosen = chosen.groupBy("doc_id", "tag").agg(F.min("text").alias("text"))
+    before = F.sum(F.length(F.coalesce("text", F.lit("")))).over(W.partitionBy("tag").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    first = F.row_number().over(W.partitionBy("tag").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = chosen.withColumns({"_held": before, "_first": first}).where((F.col("_held") <= characters) | (F.col("_first") == 1)).select("doc_id", "tag", "text")
+    got = mapped(chosen, run, "doc_id bigint, tag int, ids binary").toArrow().to_pydict()
     rows = sorted(zip(got["doc_id"], got["tag"], got["ids"]), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.int32) for r in rows]
 
@@ -164,4 +180,4 @@ class LinearModel:
 
         kept = docs.select(*keep)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-        return docs.select(*keep, F.col("text").alias(_TEXT)).mapInArrow(run, f"{fields}, `{name}` double")
+        return mapped(docs.select(*keep, F.col("text").alias(_TEXT)), run, f"{fields}, `{name}` double")

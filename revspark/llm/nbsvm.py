@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import LinearModel, ShapeAndCharacterGrams, gather, platt, sampled_ids
+from .linear import LinearModel, ShapeAndCharacterGrams, gather, one_label, platt, sampled_ids
 
 #: Documented bound of the fit: labelled rows taken of each class.
 ROWS_PER_CLASS = 4000
@@ -54,14 +54,14 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = ROWS_PER_CLASS, c
     """Fits on at most `per_class` rows of each class of `labelled` (doc_id, label 0/1).
 
     The rows are those with the least hashed doc_id, so that the sample is the same on any
-    cluster. Rows with a null in either column are ignored. With one class or none the model
+    cluster. Rows with a null in either column are ignored, and a doc_id with both labels teaches nothing. With one class or none the model
     scores every text alike, by the share of class 1.
     """
     extract = extract or ShapeAndCharacterGrams()
-    labelled = labelled.select("doc_id", F.col("label").cast("int").alias("tag")).where("doc_id is not null and tag in (0, 1)")
+    labelled = one_label(labelled)
     totals = {r["tag"]: r["n"] for r in labelled.groupBy("tag").agg(F.count("*").alias("n")).collect()}  # two rows at most
     chosen = [sampled_ids(labelled.where(F.col("tag") == k), per_class, 7) for k in (0, 1)]
-    tags, rows = gather(docs, chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"]), extract)
+    tags, rows = gather(docs, chosen[0].unionByName(chosen[1]), extract)
     size = 1 << extract.bits
     if not (tags == 0).any() or not (tags == 1).any():
         p = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)

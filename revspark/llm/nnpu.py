@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import LinearModel, WordGrams, gather, platt, sampled_ids
+from .linear import LinearModel, WordGrams, gather, one_label, platt, sampled_ids
 
 #: Documented bounds of the fit.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4000, 8000
@@ -45,9 +45,12 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int,
     the positives puts into its gradient, so that chance differences get no weight. Features seen
     in fewer than min_rows texts have none either.
     """
-    p, u = _Rows(pos), _Rows(unl)
-    seen = np.bincount(np.concatenate([p.ids, u.ids]), minlength=size)
-    usable = seen >= min_rows
+    seen = np.bincount(np.concatenate([*pos, *unl, np.zeros(0, np.int32)]), minlength=size)
+    usable = np.flatnonzero(seen >= min_rows)
+    at = np.full(size, -1, np.int64)  # steps run over usable features alone
+    at[usable] = np.arange(len(usable))
+    p, u = (_Rows([k[k >= 0] for k in (at[r] for r in rows)]) for rows in (pos, unl))
+    whole, size, seen = np.zeros(size), len(usable), seen[usable]
     rate_seen = np.minimum((seen + 1) / (p.n + u.n + 2), 0.5)
     l1 = sigmas * prior * np.sqrt(rate_seen * (1 - rate_seen) * (1 / p.n + 1 / u.n))
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
@@ -66,9 +69,10 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int,
         velocity = 0.9 * velocity + grad
         vb = 0.9 * vb + cp.sum() + cu.sum()
         w = w - rate * velocity
-        w = np.where(usable, np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
         b -= rate * 0.1 * vb
-    return w, b
+    whole[usable] = w
+    return whole, b
 
 
 def fit(docs: DataFrame, labelled: DataFrame, positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS, extract: WordGrams | None = None) -> LinearModel:
@@ -77,10 +81,10 @@ def fit(docs: DataFrame, labelled: DataFrame, positives: int = POSITIVE_ROWS, un
     The class prior is the share of label 1 over all of `labelled`; labels of the unlabelled
     sample aren't read. Sampled rows are those of least hashed doc_id. Margins are turned into
     probabilities on a quarter of the sampled positives and as many sampled labelled rows of class 0.
-    Without any row of class 1 every text gets the same low score.
+    A doc_id with both labels teaches nothing. Without any row of class 1 every text gets the same low score.
     """
     extract = extract or WordGrams()
-    labelled = labelled.select("doc_id", F.col("label").cast("int").alias("tag")).where("doc_id is not null and tag in (0, 1)")
+    labelled = one_label(labelled)
     totals = {r["tag"]: r["n"] for r in labelled.groupBy("tag").agg(F.count("*").alias("n")).collect()}  # two rows at most
     size = 1 << extract.bits
     prior = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)

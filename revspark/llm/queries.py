@@ -66,5 +66,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(model.score(docs, "doc_id"), _fold(4) == 2)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_personal_data": op2_personal_data, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_passages": op9_passages, "op10_toxicity": op10_toxicity}
-SQL: dict[str, str] = {}
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that its base phrases decide."""
+    return op1_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that its base patterns decide."""
+    return op2_personal_data(spark, sf_dir).drop("spans")
+
+
+def telephony_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that the payload read back decides."""
+    return op6_telephony(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def _licenses_sql() -> str:
+    base = [(t.label, t.words()) for t in licenses.TEMPLATES if t.base]
+    found = " UNION ALL ".join(
+        f"SELECT row, unnest(list_filter(range(0, len(w) - {len(phrase) - 1}), lambda i : {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase))})) AS pos, '{label}' AS label FROM words" for label, phrase in base
+    )
+    return f"""WITH words AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x : x <> '') AS w FROM documents), found AS ({found}),
+    places AS (SELECT row, count(*) AS n, min(pos) AS a, max(pos) AS b, array_to_string(list_sort(list_distinct(list(label))), ',') AS l FROM found GROUP BY row)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM words LEFT JOIN places USING (row)""".replace("\\\\", "\\")
+
+
+def _personal_data_sql() -> str:
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+    doubled = "CAST(digits[len(digits) - i] AS INT) * (1 + i % 2)"
+    luhn = f"list_sum(list_transform(range(0, len(digits)), lambda i : {doubled} - CASE WHEN {doubled} > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+    holds = {"email": "true", "ip": "list_max(list_transform(string_split(hit, '.'), lambda p : CAST(p AS HUGEINT))) <= 255", "card": f"len(digits) BETWEEN 12 AND 19 AND {luhn}", "phone": "len(digits) BETWEEN 9 AND 15"}
+    hits = " UNION ALL ".join(
+        f"SELECT row, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(h) + 1)) AS k, unnest(h) AS hit, g FROM (SELECT row, regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS g FROM texts) x WHERE len(h) > 0"
+        for rank, (kind, p) in enumerate(patterns.items())
+    )
+    checks = " OR ".join(f"(kind = '{kind}' AND CASE WHEN kind = '{kind}' THEN {test} END)" for kind, test in holds.items())
+    return f"""WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), hits AS ({hits}),
+    placed AS (SELECT row, kind, rank, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, sum(len(g[k])) OVER w + coalesce(sum(len(hit)) OVER (PARTITION BY row, kind ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM hits WINDOW w AS (PARTITION BY row, kind ORDER BY k)),
+    good AS (SELECT row, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + len(hit) AS BIGINT) AS e FROM placed WHERE {checks}),
+    spans AS (SELECT row, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in patterns)} FROM good GROUP BY row)
+    SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in patterns)}, sha256(coalesce(spans, '')) AS base_sha256 FROM texts LEFT JOIN spans USING (row)"""
+
+
+_TELEPHONY_SQL = f"""SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(t || repeat(' ', CAST(p - n AS INT))) AS payload_sha256
+FROM (SELECT doc_id, t, n, greatest(1, (n + {telephony.UNIT - 1}) // {telephony.UNIT}) * {telephony.UNIT} AS p FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents) a) b"""
+
+QUERIES = {"op1_licenses": op1_licenses, "op2_personal_data": op2_personal_data, "op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op6_telephony": op6_telephony, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_passages": op9_passages, "op10_toxicity": op10_toxicity,
+    "licenses_base": licenses_base, "personal_data_base": personal_data_base, "telephony_payload": telephony_payload}
+#: SQL says what the contracts' fixed rules decide; no SQL has the methods' own columns, hashes of words or token ids.
+SQL: dict[str, str] = {"licenses_base": _licenses_sql(), "personal_data_base": _personal_data_sql(), "telephony_payload": _TELEPHONY_SQL}

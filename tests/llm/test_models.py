@@ -98,6 +98,66 @@ def test_toxicity(spark):
     assert np.mean([(rows[k] >= 0.3) == bool(y[k]) for k in held]) > 0.97
 
 
+def test_conflicting_and_repeated_labels(spark):
+    """A doc_id with both labels teaches nothing, a repeated row counts once, and a sample is bounded in characters."""
+    r = random.Random(4)
+    texts = [words(r, 20) if k % 2 else words(r, 20).upper() + " !!" for k in range(80)]
+    docs = frame(spark, texts)
+    pairs = [(k, k % 2) for k in range(60)]
+    plain = spark.createDataFrame(pairs, "doc_id long, label int")
+    noisy = spark.createDataFrame(pairs + pairs[:20] + [(70, 0), (70, 1), (71, 1), (71, 0)], "doc_id long, label int")
+    twice = docs.union(docs.where("doc_id < 9"))
+    for fit in (nbsvm.fit, nnpu.fit):
+        want = fit(docs, plain).score(docs, "doc_id").collect()
+        assert sorted(fit(twice, noisy).score(docs, "doc_id").collect()) == sorted(want)
+    ids = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, tag int")
+    tags, rows = linear.gather(docs, ids, linear.WordGrams(), characters=300)
+    assert 2 <= len(rows) < 12 and {*tags.tolist()} == {0, 1}
+
+
+def test_plain_scores(spark):
+    """Scores of all documents against a scorer that works word by word, very long, empty and repeated texts among them."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    labels = table(spark, SF, "labels")
+    long = "word scumm " * 50_000
+    docs = docs.union(spark.createDataFrame([(10**6, long), (10**6, long), (10**6 + 1, ""), (10**6 + 2, None)], "doc_id long, text string"))
+    texts = [(x["doc_id"], x["text"] or "") for x in docs.collect()]
+    for fit, label in ((nnpu.fit, "toxic"), (nbsvm.fit, "quality")):
+        model = fit(docs, labels.select("doc_id", F.col(label).alias("label")))
+        got = sorted((x["doc_id"], x["score"]) for x in model.score(docs, "doc_id").collect())
+        want = []
+        of_word = {}
+        for k, t in texts:
+            data = t.encode()
+            raw = np.frombuffer(data, np.uint8)
+            if fit is nnpu.fit:
+                tokens = set(re.findall(rb"[0-9a-z\x80-\xff]+", data.lower()))
+                for w in tokens - of_word.keys():
+                    of_word[w] = int(model.extract(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+                margin = sum(float(model.weights[i]) for i in {of_word[w] for w in tokens})
+            else:
+                ids = set(model.extract(raw, np.array([0, len(raw)]))[0].tolist())
+                grams = {(int.from_bytes(data[i : i + 3]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(raw) - 2)}
+                assert grams <= ids
+                margin = sum(float(model.weights[i]) for i in ids) / max(sum(float(model.scales[i]) ** 2 for i in ids) ** 0.5, 1e-9) if ids else 0.0
+            want.append((k, 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -40, 40)))))
+        assert len(got) == len(want) and all(a == b and abs(x - y) < 1e-6 for (a, x), (b, y) in zip(got, sorted(want)))
+
+
+def test_long_items(spark):
+    """A passage copied out of a long item is found by its own length, however long the item is; shorter or edited beyond use, it isn't."""
+    r = random.Random(6)
+    item, huge = words(r, 1000).split(), words(r, 30_000).split()
+    texts = [" ".join([words(r, 50), *item[k : k + 60], words(r, 50)]) for k in (0, 333, 940)] + [" ".join([words(r, 30), *huge[20_000:20_080], words(r, 30)]), words(r, 300), " ".join(item[100:120]), "", None]
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(huge)), (9, ""), (10, None)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.leaks(frame(spark, texts), items).collect()}
+    assert set(got) == {(0, 7), (1, 7), (2, 7), (3, 8)} and got[0, 7]["item_words"] == 1000
+    assert {x["doc_id"] for x in decontaminate.clean(frame(spark, texts), items).collect()} == {4, 5, 6, 7}
+    for n in range(400):
+        parts = decontaminate.pieces_of(n)
+        assert parts[0][0] == 0 and parts[-1][1] == n and all(b - a <= decontaminate.PIECE for a, b in parts) and all(c <= a + decontaminate.PIECE // 2 for (a, _), (c, _) in zip(parts, parts[1:]))
+
+
 def test_risk_is_corrected():
     """Unlabelled positives don't drag the positive feature down, as they would if unlabelled meant negative."""
     rng = np.random.default_rng(1)
@@ -107,7 +167,7 @@ def test_risk_is_corrected():
     assert w[0] + b > 0 > w[21] + b
 
 
-@pytest.mark.parametrize("query, column, n, out, least", [("op7_quality", "quality", 5, 0, 0.97), ("op10_toxicity", "toxic", 4, 2, 0.9)])
+@pytest.mark.parametrize("query, column, n, out, least", [("op7_quality", "quality", 5, 0, 0.97), ("op10_toxicity", "toxic", 4, 2, 0.92)])
 def test_held_out(spark, query, column, n, out, least):
     from revspark.llm.queries import QUERIES
 
