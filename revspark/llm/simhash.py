@@ -139,6 +139,16 @@ def _majority(h: np.ndarray) -> np.uint64:
     return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
 
 
+def _longs(segments: int = SEGMENTS) -> list[str]:
+    """Names of the columns that hold a long fingerprint, two segments each."""
+    return [f"f{k}" for k in range(-(-segments // 2))]
+
+
+def _long_fingerprint(h: np.ndarray, longs: int) -> list[np.uint64]:
+    g = np.unique(h)
+    return [_majority(mix(g + np.uint64(42 + v))) if len(g) else np.uint64(0) for v in range(longs)]
+
+
 def long_fingerprints(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, content, f0, f1, ...): a hash of the text's words in order, and a SimHash fingerprint of 32 bits for each of `segments`, two in a long.
 
@@ -146,8 +156,7 @@ def long_fingerprints(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     one word in forty-five replaced, is one bit in fifteen. Counted with repeats, common words would place all texts of a
     language close.
     """
-    longs = -(-segments // 2)
-    names = ["doc_id", "content", *(f"f{k}" for k in range(longs))]
+    names = ["doc_id", "content", *_longs(segments)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +167,8 @@ def long_fingerprints(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
                     h = _sequence(words, k)
                     place = np.arange(1, len(h) + 1, dtype=np.uint64)
                     out[0][k] = np.bitwise_xor.reduce(mix(h + mix(place))) if len(h) else 0
-                    g = np.unique(h)
-                    for v in range(longs):
-                        out[1 + v][k] = _majority(mix(g + np.uint64(42 + v))) if len(g) else 0
+                    for c, f in zip(out[1:], _long_fingerprint(h, len(names) - 2)):
+                        c[k] = f
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.view(np.int64)) for c in out)], names)
 
     return mapped(docs.select("doc_id", "text"), run, ", ".join(f"{n} bigint" for n in names))
@@ -207,38 +215,40 @@ def against_first(members: DataFrame, hits: DataFrame, comp: DataFrame | None) -
     return _ordered(grouped(hits).join(second, "key").where("root <> other").select(F.col("doc").alias("a"), "b"))
 
 
-def close(pairs: DataFrame, texts: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """The pairs (a, b) whose complete fingerprints differ in at most `distance` bits."""
-    names = [f"f{k}" for k in range(-(-segments // 2))]
-    x, y = (texts.select(F.col("doc").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in "ab")
-    bits = reduce(add, (F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names))
-    return pairs.join(x, "a").join(y, "b").where(bits <= distance).select("a", "b")
-
-
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, shingles) of the documents named in ids (doc_id): sorted distinct hashes of shingles, 8 bytes each."""
+    """(doc_id, shingles, f0, f1, ...) of the documents named in ids (doc_id): sorted distinct hashes of shingles, 8 bytes each, and the long fingerprint.
+
+    Of rows that repeat a doc_id the one with the least shingles counts.
+    """
+    names = _longs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
                 w = Words(*flat(b.column(1)), _NOT_SPACE)
                 grams, whole = w.grams(words)
-                out = []
+                out: list[list] = [[] for _ in range(1 + len(names))]
                 for k in range(b.num_rows):
                     part = slice(w.first[k], w.first[k + 1])
                     g = grams[part][whole[part]]
                     if not len(g):  # fewer words than a shingle has: the whole sequence
                         g = np.array([mix(np.append(w.hash[part], np.uint64(7))).sum(dtype=np.uint64)])
-                    out.append(np.unique(g).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+                    out[0].append(np.unique(g).tobytes())
+                    for c, f in zip(out[1:], _long_fingerprint(w.hash[part], len(names))):
+                        c.append(f)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.binary()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[1:])], ["doc_id", "shingles", *names])
 
     # Ids grow with the corpus: they are never broadcast, at any size.
-    return mapped(docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id"), run, "doc_id bigint, shingles binary")
+    rows = docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id")
+    sets = mapped(rows, run, ", ".join(["doc_id bigint, shingles binary", *(f"{n} bigint" for n in names)]))
+    return sets.groupBy("doc_id").agg(F.min(F.struct("shingles", *names)).alias("s")).select("doc_id", "s.*")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity."""
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float, distance: int = DISTANCE) -> DataFrame:
+    """The pairs (a, b) whose complete fingerprints differ in at most `distance` bits and whose shingle sets have at least the given Jaccard similarity."""
+    names = _longs()
+    x, y = (sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"{side}_set"), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in "ab")
+    bits = reduce(add, (F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +259,8 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return mapped(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a bigint, b bigint")
+    rows = pairs.join(x, "a").join(y, "b").where(bits <= distance).select("a", "b", "a_set", "b_set")
+    return mapped(rows, run, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
@@ -263,18 +274,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rou
     """
     docs = docs.where("doc_id is not null")
     found = stored(long_fingerprints(docs), "simhash-long")
-    names = [f"f{k}" for k in range(-(-SEGMENTS // 2))]
+    names = _longs()
     texts = stored(found.groupBy("content", *names).agg(F.min("doc_id").alias("doc")), "simhash-texts")
     members, hits = looked_up(texts)
     sets, linked, comp, tested = None, None, None, None
     for k in range(rounds):
-        pairs = close(against_first(members, hits, comp), texts)
+        pairs = against_first(members, hits, comp)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"simhash-pairs-{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if sets is None:
-            sets = stored(shingle_sets(docs, hits.select(F.col("doc").alias("doc_id")).union(members.select("doc")), words).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
+            sets = stored(shingle_sets(docs, hits.select(F.col("doc").alias("doc_id")).union(members.select("doc")), words), "simhash-sets")
         new = stored(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), f"simhash-joined-{k}")
         linked = new if linked is None else linked.unionByName(new)
         comp = components(linked, "simhash-groups")
