@@ -38,17 +38,22 @@ def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> Data
     edges: columns u, v (long). Returns (node, root): root is the smallest node of the
     component; nodes without any edge are absent. Every round is two aggregations joined
     back to the edges; the neighbours of a node are never gathered in one task, and the
-    aggregated side of each join has one row per key, so that a hub's rows may be split.
+    aggregated side of each join has one row per key and is written first, so that a hub's rows may be split.
     """
+    used: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        used.append(stored(df, f"{what}-least"))
+        return used[-1]
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = kept(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+        least = kept(down.groupBy("u").agg(F.min("v").alias("m")))
         moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -61,7 +66,8 @@ def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> Data
         if not seen[0]:
             break
         last, now = now, stored(small(large(now)), what)
-        release(last)
+        release(last, *used)
+        used.clear()
         was, seen = seen, mark(now)
         if was == seen:
             break
