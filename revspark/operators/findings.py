@@ -39,6 +39,21 @@ def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def recall(questions: DataFrame, memory: DataFrame, question: str, entry: str, k: int) -> DataFrame:
+    """(question, entry, score, place): the k entries of memory that share most distinct words with each question's text.
+
+    Both sides have an id column and text; rows of one id count together. Ties go to the least entry. The join is on the
+    word, with one row for each word of an entry, and is aggregated before it is ranked.
+    """
+
+    def words(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(F.split(F.lower("text"), " ")).alias("_word")).where("_word <> ''").distinct()
+
+    score = words(questions, question).join(words(memory, entry), "_word").groupBy(question, entry).agg(F.count("*").alias("score"))
+    place = F.row_number().over(W.partitionBy(question).orderBy(F.desc("score"), entry))
+    return score.withColumn("place", place).where(F.col("place") <= k)
+
+
 def near_dedup(findings: DataFrame, distance: int = 5, threshold: float = 0.8, same_file_only: bool = False) -> DataFrame:
     """findings with group_id (seq of the group's first, null outside), is_rep and is_unique.
 

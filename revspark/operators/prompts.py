@@ -9,10 +9,10 @@ from .diff import ADDED, REMOVED
 
 CONCERNS = {
     "security": "Look for injection, leaked secrets, broken access checks and unsafe input handling.",
-    "correctness": "Look for logic errors, unchecked errors, races and boundary mistakes.",
+    "bugs": "Look for null values, boundary mistakes, leaked resources, swallowed errors and races.",
     "performance": "Look for needless work, repeated queries and unbounded memory.",
-    "maintainability": "Look for duplication, unclear names and missing structure.",
-    "style": "Look for departures from the conventions of the code around.",
+    "correctness": "Look for code that differs from its intent, unchecked results and broken contracts.",
+    "style": "Look for departures from the conventions of the code around, duplication, unclear names and missing structure.",
 }
 # What a security review looks for.
 SECURITY_CONCERNS = [

@@ -372,21 +372,14 @@ def memory_store(spark, sf):
 
 @query(
     "memory_recall",
-    """SELECT item_id, doc_id, score, place FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS place FROM (
-    SELECT b.item_id, d.doc_id, count(*) AS score FROM (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) b
-    JOIN (SELECT conv_id AS doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM conversations WHERE turn = 0) d ON b.w = d.w AND length(b.w) > 8 GROUP BY 1, 2) s) u WHERE place <= 5""",
+    """SELECT item_id, memory_id, score, place FROM (SELECT item_id, memory_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, memory_id) AS INT) AS place FROM (
+    SELECT b.item_id, d.memory_id, count(*) AS score FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) b
+    JOIN (SELECT DISTINCT conv_id AS memory_id, unnest(string_split(lower(text), ' ')) AS w FROM conversations) d ON b.w = d.w AND b.w <> '' GROUP BY 1, 2) s) u WHERE place <= 5""",
 )
 def memory_recall(spark, sf):
-    from pyspark.sql import Window as W
-
-    def words(df, key, name):
-        return df.select(F.col(key).alias(name), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).where("length(w) > 8")
-
-    b = words(S.table(spark, sf, "benchmark"), "item_id", "item_id")
-    d = words(S.table(spark, sf, "conversations").where("turn = 0"), "conv_id", "doc_id")
-    score = b.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return score.withColumn("place", place).where("place <= 5")
+    items = S.table(spark, sf, "benchmark").select("item_id", "text")
+    memory = S.table(spark, sf, "conversations").select(F.col("conv_id").alias("memory_id"), "text")
+    return O.recall(items, memory, "item_id", "memory_id", 5)
 
 
 @query("prompt_limit", "SELECT diff_id, seq, substr(message, 1, 20) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY seq) AS n FROM {f} t WHERE sast_source) u WHERE n <= 2")

@@ -194,18 +194,18 @@ def taint_message_parts(spark, sf):
 
 
 def _flow_tables(spark, sf):
-    """Values are parts; an order's consecutive line items are uses of one by the next."""
+    """Values are parts; an order's consecutive line items are uses of one by the next; parts of size 1 are parameters."""
     li = S.line_items(spark, sf).select("diff_id", "n", "part", "mark")
     a, b = li.alias("a"), li.alias("b")
     e = a.join(b, F.expr("a.diff_id = b.diff_id and a.n + 1 = b.n")).selectExpr("a.part as src", "b.part as dst", "case when b.part % 7 = 0 then 'sanitizer' when b.part % 11 = 0 then 'sink' else 'passthrough' end as kind")
-    return e.where("src % 3 = 1").distinct().withColumn("sink_kind", F.when(F.col("kind") == "sink", "SQL_INJECTION"))
+    return e.distinct().withColumn("sink_kind", F.when(F.col("kind") == "sink", "SQL_INJECTION"))
 
 
 _FLOW = """e AS (SELECT DISTINCT a.part AS src, b.part AS dst, CASE WHEN b.part % 7 = 0 THEN 'sanitizer' WHEN b.part % 11 = 0 THEN 'sink' ELSE 'passthrough' END AS kind
-  FROM {l} a JOIN {l} b ON a.diff_id = b.diff_id AND a.n + 1 = b.n WHERE a.part % 3 = 1)"""
+  FROM {l} a JOIN {l} b ON a.diff_id = b.diff_id AND a.n + 1 = b.n)"""
 
 
-@query("ssa_reachability", f"WITH RECURSIVE {_FLOW}, r(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 50 = 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE e.kind = 'passthrough') SELECT DISTINCT node FROM r")
+@query("ssa_reachability", f"WITH RECURSIVE {_FLOW}, r(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE e.kind = 'passthrough') SELECT DISTINCT node FROM r")
 def ssa_reachability(spark, sf):
     return _reached(spark, sf)[0].select("node")
 
@@ -214,11 +214,11 @@ def _reached(spark, sf):
     from ..plans.store import stored
 
     edges = stored(_flow_tables(spark, sf), "ssa-edges")
-    seeds = S.table(spark, sf, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("node"), F.lit("function-parameter").alias("source"))
+    seeds = S.table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.lit("function-parameter").alias("source"))
     return taint.reach(seeds, edges, lambda df: stored(df, "ssa")), edges
 
 
-@query("ssa_sort_cap", f"WITH RECURSIVE {_FLOW}, r(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 50 = 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE e.kind = 'passthrough') SELECT DISTINCT 'f.go' AS file, CAST(e.dst AS INT) AS line, 'SQL_INJECTION' AS kind FROM e JOIN r ON e.src = r.node WHERE e.kind = 'sink' ORDER BY line LIMIT 20")
+@query("ssa_sort_cap", f"WITH RECURSIVE {_FLOW}, r(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE e.kind = 'passthrough') SELECT DISTINCT 'f.go' AS file, CAST(e.dst AS INT) AS line, 'SQL_INJECTION' AS kind FROM e JOIN r ON e.src = r.node WHERE e.kind = 'sink' ORDER BY line LIMIT 20")
 def ssa_sort_cap(spark, sf):
     reached, edges = _reached(spark, sf)
     values = edges.select(F.col("dst").alias("value_id")).distinct().withColumns({"pos_file": F.lit("f.go"), "pos_line": F.col("value_id").cast("int")})

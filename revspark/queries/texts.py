@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import symbols
 from ..sources import synthetic as S
+from ..operators.prompts import SECURITY_CONCERNS
 from . import literal, query
 
 
@@ -43,9 +44,9 @@ def cwe_name(spark, sf):
     return S.findings(spark, sf).select("diff_id", "seq", T.cwe_name(F.col("cwe")).alias("name"))
 
 
-@query("extract_words", "SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w : trim(w, '.,;:!?\"''()[]{}')), lambda w : w <> ''))) AS w FROM documents WHERE lang = 'en') t GROUP BY doc_id, w".replace("\\\\", "\\"))
+@query("extract_words", "SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w : trim(w, '.,;:!?\"''()[]{}')), lambda w : w <> ''))) AS w FROM documents) t GROUP BY doc_id, w".replace("\\\\", "\\"))
 def extract_words(spark, sf):
-    docs = S.documents(spark, sf).where("lang = 'en'")
+    docs = S.documents(spark, sf)
     return docs.select("doc_id", F.explode(T.word_set(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
@@ -95,18 +96,17 @@ def symbol_end_line(spark, sf):
     return symbols.search(_sources(spark, sf), ".go", "f", "function").select("path", "symbol", "end_line")
 
 
-@query("security_concerns", "SELECT 10 AS n")
+@query("security_concerns", "SELECT unnest([" + ", ".join(map(literal, SECURITY_CONCERNS)) + "]) AS concern")
 def security_concerns(spark, sf):
-    from ..operators.prompts import SECURITY_CONCERNS
+    return spark.createDataFrame([(x,) for x in SECURITY_CONCERNS], "concern string")
 
-    return spark.createDataFrame([(x,) for x in SECURITY_CONCERNS], "concern string").agg(F.count("*").cast("int").alias("n"))
 
-
-@query("build_concerns", "SELECT unnest(['security', 'correctness']) AS name")
+@query("build_concerns", "SELECT unnest(['security', 'bugs', 'performance', 'correctness', 'style']) AS name, 'all' AS asked UNION ALL SELECT unnest(['bugs', 'style']), 'two'")
 def build_concerns(spark, sf):
     from ..operators.prompts import concerns
 
-    return concerns(spark, ["security", "correctness", "no such concern"]).select("name")
+    two = concerns(spark, ["bugs", "style", "no such concern"])
+    return concerns(spark).select("name", F.lit("all").alias("asked")).unionByName(two.select("name", F.lit("two").alias("asked")))
 
 
 @query(
@@ -140,9 +140,20 @@ def sast_prompt(spark, sf):
     return sast_section(S.findings(spark, sf).where("sast_source"))
 
 
-@query("incremental_cursor", "SELECT user_id, max(ts) AS cursor, count(*) AS seen FROM events WHERE event_id % 10 < 8 GROUP BY user_id")
+@query("incremental_cursor", "SELECT user_id, max(ts) AS cursor, count(*) AS seen FROM events GROUP BY user_id")
 def incremental_cursor(spark, sf):
-    return S.table(spark, sf, "events").where("event_id % 10 < 8").groupBy("user_id").agg(F.max("ts").alias("cursor"), F.count("*").alias("seen"))
+    """Streams the events through the incremental module: each batch leaves its users' last times, which are merged."""
+    import uuid
+
+    from ..plans.store import shared_dir
+    from ..streaming import incremental
+
+    folder = f"{shared_dir(spark)}/cursor-{uuid.uuid4().hex}"
+    schema = S.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    seen = incremental.review(stream, lambda batch: batch.groupBy("user_id").agg(F.max("ts").alias("cursor"), F.count("*").alias("seen")), f"{folder}/out", f"{folder}/checkpoint")
+    seen.awaitTermination()
+    return incremental.cursors(spark, f"{folder}/out", "user_id")
 
 
 @query("blame_author_counts", "SELECT c_name AS author, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")

@@ -37,3 +37,8 @@ def latest(spark: SparkSession, out: str) -> DataFrame:
 
     rows = spark.read.parquet(out)
     return rows.withColumn("_last", F.max("batch").over(W.partitionBy("diff_id"))).where("batch = _last").drop("_last", "batch")
+
+
+def cursors(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """(key, cursor, seen) over all batches so far: the last time and the number of rows of each key."""
+    return spark.read.parquet(out).groupBy(key).agg(F.max("cursor").alias("cursor"), F.sum("seen").alias("seen"))
