@@ -40,10 +40,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     ids, if asked for, are little-endian unsigned 32-bit numbers. Each text ends with the id `end`.
     """
     path = path or vocabulary_path()
+    tried = encoder(path).fast is not None
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).ids
+        ids_of = encoder(path, tried).ids
         for b in batches:
             cols: list[list] = [[] for _ in names]
             size = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 
@@ -37,13 +38,13 @@ class Encoder:
 
     TRIALS = ("", " a  b\n\n\tc ", "It's 12,345.67€ — naïve Ünïcode x", "aaaaaaaaaaaaaaaa\r\n   z", "日本語 текст 🙂👍🏽")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.plain = Tokenizer.from_file(path)
+    def __init__(self, path: str, tried: bool = False):
+        """tried: the trials have been passed elsewhere; then the library is loaded only for a text that needs it, which spares workers memory."""
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
         symbols = _byte_symbols()
         self.fast = None
         try:
@@ -51,27 +52,36 @@ class Encoder:
 
             ranks = {bytes(symbols[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            if any(self.fast.encode_ordinary(t) != self.plain.encode(t, add_special_tokens=False).ids for t in self.TRIALS):
+            if not tried and any(self.fast.encode_ordinary(t) != self._plain_ids(t) for t in self.TRIALS):
                 self.fast = None
         except (ImportError, KeyError, ValueError):
             self.fast = None
 
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _plain_ids(self, text: str) -> list[int]:
+        return self.plain.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not any(s in text for s in self.special):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=())
             except Exception:  # its pattern engine has a bounded stack, which a million blanks in a row exceed
                 pass
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._plain_ids(text), np.uint32)
 
     @property
     def id_bytes(self) -> int:
         """Bytes that hold any id: 2 or 4."""
-        return 2 if self.plain.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        return 2 if self.size <= 1 << 16 else 4
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
+def encoder(path: str, tried: bool = False) -> Encoder:
+    """One encoder for each process and file."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, tried)
     return _loaded[path]

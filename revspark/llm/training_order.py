@@ -72,10 +72,10 @@ def token_sequences(docs: DataFrame, length: int = LENGTH, end: int = END, path:
     Rows come in the order of docs.
     """
     path = path or vocabulary_path()
-    size = encoder(path).id_bytes
+    size, tried = encoder(path).id_bytes, encoder(path).fast is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).ids
+        ids_of = encoder(path, tried).ids
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
