@@ -45,9 +45,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(telephony.encode(table(spark, sf_dir, "documents")), "telephony-media")
-    pcm = stored(telephony.decode(media), "telephony-pcm")
-    return telephony.features(pcm)
+    """The resampled PCM is a column of the result, and so stored wherever that is written."""
+    return telephony.decode(stored(telephony.encode(table(spark, sf_dir, "documents")), "telephony-media"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,12 +165,12 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, rate, pcm): what the stored bytes hold.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm): what the stored bytes hold.
 
-    pcm: the expanded samples at twice the rate, 16 bits each, little-endian.
+    pcm: the expanded samples at twice the rate, 16 bits each, little-endian; feature: a summary of them.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "rate", "pcm"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,29 +190,16 @@ def decode(media: DataFrame) -> DataFrame:
                         used[align] += n
                     else:
                         pcm = EXPAND[tag][data]
-                    values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), NAMES[tag], 2 * rate, double_rate(pcm).astype("<i2").tobytes()]
+                    pcm = double_rate(pcm).astype("<i2", copy=False)
+                    values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), summary(NAMES[tag], 2 * rate, pcm), pcm.tobytes()]
                     for c, v in zip(rows, values):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(rows, kinds[2:]))], names)
 
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, rate int, pcm binary"
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm binary"
     return mapped(media.select("doc_id", "n_bytes", "media"), run, schema)
 
 
-def features(decoded: DataFrame) -> DataFrame:
-    """The rows of `decode` with a feature, computed from the stored PCM, in place of codec, rate and pcm."""
-    kept = [c for c in decoded.columns if c not in ("codec", "rate", "pcm")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codec, rate = b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 2).to_pylist()
-            found = [summary(c, r, np.frombuffer(p.as_buffer(), "<i2")) for c, r, p in zip(codec, rate, b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(found, pa.string())], [*kept, "feature"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decoded.schema.fields if f.name in kept)
-    return mapped(decoded.select(*kept, "codec", "rate", "pcm"), run, f"{fields}, feature string")
-
-
 def total_seconds(decoded: DataFrame, rate: int = 2 * RATE) -> DataFrame:
     """One row: the number of files and their length in seconds."""
     samples = F.regexp_extract("feature", "samples=([0-9]+)", 1).cast("long")
