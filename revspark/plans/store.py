@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it again.
+def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Writes `df` as a table in the shared folder, in parts by the values of column `by`, and reads it again.
 
     This cuts lineage, survives lost executors, and unlike an RDD checkpoint computes the
     rows once and stays columnar and compressed. Shuffle files of the write go when it ends.
@@ -40,7 +40,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -56,6 +56,13 @@ def release(*tables: DataFrame | None) -> None:
             _delete(_made.pop(path), path)
 
 
+def release_part(table: DataFrame, part: str) -> None:
+    """Deletes one part, `column=value`, of a table stored in parts; what is still read of it must leave that part out."""
+    path = getattr(table, "_stored_at", None)
+    if path in _made:
+        _delete(_made[path], f"{path}/{part}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
