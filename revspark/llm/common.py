@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import release, stored
+from ..plans.store import release, release_part, stored
 from ..shipping import ship
 
-__all__ = ["components", "fold", "mapped", "release", "ship", "stored", "table"]
+__all__ = ["components", "fold", "mapped", "release", "release_part", "ship", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
