@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 _made: dict[str, SparkSession] = {}
+_tables: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -27,10 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
-    """Writes `df` as a table in the shared folder, in parts by the values of column `by`, and reads it again.
+def stored(df: DataFrame, what: str, by: str | None = None, bucket: tuple[int, str] | None = None) -> DataFrame:
+    """Writes `df` as a table in the shared folder and reads it again.
 
-    This cuts lineage, survives lost executors, and unlike an RDD checkpoint computes the
+    by: a column whose values make parts that can be deleted one by one. bucket: number of buckets and the column whose
+    hash deals rows to them, so that a join on that column leaves them where they are. This cuts lineage, survives lost executors, and unlike an RDD checkpoint computes the
     rows once and stays columnar and compressed. Shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
@@ -40,10 +42,16 @@ def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+        writer = df.write.option("compression", "zstd")
+        writer = writer.partitionBy(by) if by else writer
+        if bucket:
+            _tables[path] = f"stored_{path.rsplit('-', 1)[1]}"
+            writer.bucketBy(*bucket).saveAsTable(_tables[path], format="parquet", path=path)
+        else:
+            writer.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.table(_tables[path]) if bucket else spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -61,9 +69,13 @@ def release_part(table: DataFrame, part: str) -> None:
     path = getattr(table, "_stored_at", None)
     if path in _made:
         _delete(_made[path], f"{path}/{part}")
+        if path in _tables:
+            _made[path].catalog.refreshTable(_tables[path])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
