@@ -128,7 +128,7 @@ def blocks(docs: DataFrame, cut: Cut, block_bytes: int = BLOCK_BYTES, shards: in
             yield block(name, ids, counts, strings)
 
     rows = mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), run, SCHEMA)
-    return stored(rows.withColumn("of_docs", F.col("shard") < 0), "dictionary-blocks", by="of_docs")
+    return stored(rows.withColumn("of_docs", F.col("shard") < 0), "dictionary-blocks", by="of_docs", bucket=(shards, "block"))
 
 
 def asked(coded: DataFrame) -> DataFrame:
@@ -173,7 +173,10 @@ Build = Callable[[list, np.ndarray, np.ndarray, np.ndarray, list[bytes]], Iterat
 
 
 def joined(coded: DataFrame, answers: DataFrame, build: Build, schema: str) -> DataFrame:
-    """build(doc_ids, strings of each, codes, order, answers) of every block; answers, one after the other, are those of codes `order`."""
+    """build(doc_ids, strings of each, codes, order, answers) of every block; answers, one after the other, are those of codes `order`.
+
+    Blocks are stored in buckets, so that only the answers move.
+    """
 
     def whole(docs: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, null, counts, codes, of = unpack(docs, np.int64, np.uint8, np.int64, np.uint32, np.uint32)
@@ -181,17 +184,10 @@ def joined(coded: DataFrame, answers: DataFrame, build: Build, schema: str) -> D
         return build(names, counts, codes, np.argsort(of, kind="stable"), answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, got = None, []
         for b in batches:
-            for shard, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if shard < 0:
-                    if docs is not None:
-                        yield from whole(docs, got)
-                    docs, got = payload, []
-                else:
-                    got.append(payload)
-        if docs is not None:
-            yield from whole(docs, got)
-
-    rows = coded.where("of_docs").select("block", "shard", "payload").unionByName(answers).repartition("block").sortWithinPartitions("block", "shard")
-    return mapped(rows, run, schema)
+            for docs, got in zip(*b.columns):
+                yield from whole(docs.as_py(), got.as_py() or [])
+
+    parts = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "payload"))).alias("_parts"))
+    rows = coded.where("of_docs").select("block", F.col("payload").alias("docs")).hint("merge").join(parts.select("block", F.col("_parts.payload").alias("answers")), "block", "left")
+    return mapped(rows.select("docs", "answers"), run, schema)

@@ -77,8 +77,8 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"))
-    out = stored(sentencepieces.decode(encoded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")), "sentencepiece-digests")
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), decoded=True)
+    out = stored(encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")), "sentencepiece-digests")
     release(*encoded._parts)
     return out
 

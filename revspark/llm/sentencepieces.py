@@ -81,8 +81,8 @@ def whole(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return strings_of(*bytes_of(pc.fill_null(texts.cast(pa.large_binary()), b""))), np.ones(len(texts), np.int64)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of every whole text with begin and end ids, as little-endian unsigned 32-bit numbers.
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids of every whole text with begin and end ids, as little-endian unsigned 32-bit numbers; decoded: also what `decode` adds.
 
     docs: doc_id, text. A null text is empty and has the two ends alone; rows that repeat give rows each; an empty table gives none; null
     doc_ids stay null; other columns are ignored. Ids equal those of the library for the whole text. The tables
@@ -117,10 +117,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             flat_ids = ids[np.repeat(at[of] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
             cuts = np.concatenate(([0], ends))[first[k : k + step + 1] - first[k]]
             out = [np.concatenate((begin, flat_ids[s:e], end)).astype("<u4") for s, e in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(names[k : k + step], pa.int64()), pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns = [pa.array(names[k : k + step], pa.int64()), pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+            if decoded:
+                columns.append(pa.array(pieces(path).model.decode([x.tolist() for x in out]), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"][: len(columns)])
 
     answers = answered(coded, make)
-    out = joined(coded, answers, build, "doc_id bigint, n_tokens bigint, ids binary")
+    out = joined(coded, answers, build, "doc_id bigint, n_tokens bigint, ids binary" + ", text string" * decoded)
     out._parts = coded, answers
     return out
 
