@@ -5,15 +5,11 @@ Everything is keyed by diff_id, so that one partitioning by it can serve a chain
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ..functions.text import digest, jaccard, looks_like_code, message_overlap, word_set
-from ..plans.fold import fold
+from ..functions.text import digest, looks_like_code, message_overlap
 from ..schemas import SEVERITIES, parse_severity, severity_name
 
 DOUBLE = "double"
@@ -54,58 +50,6 @@ def recall(questions: DataFrame, memory: DataFrame, question: str, entry: str, k
     return score.withColumn("place", place).where(F.col("place") <= k)
 
 
-def near_dedup(findings: DataFrame, distance: int = 5, threshold: float = 0.8, same_file_only: bool = False) -> DataFrame:
-    """findings with group_id (seq of the group's first, null outside), is_rep and is_unique.
-
-    Greedy, in order: a finding that belongs to no group takes all later ones whose words of concern
-    and message are as similar as threshold and that stand within distance lines, or in another file.
-    The representative has the greatest confidence, the first among equals. The order makes this sequential
-    within a diff; diffs are independent, and within one only findings of equal word sets are compared once.
-    """
-    names = findings.columns
-    seq, file, line, conf = (names.index(c) for c in ("seq", "file", "line", "confidence"))
-
-    def group(rows: Iterator[tuple]) -> Iterator[tuple]:
-        rows = list(rows)
-        n = len(rows)
-        sets = [frozenset(r[-1]) for r in rows]
-        known: dict[tuple, bool] = {}
-        member = [-1] * n
-
-        def alike(a: frozenset, b: frozenset) -> bool:
-            if (a, b) not in known:
-                both = len(a & b)
-                every = len(a) + len(b) - both
-                known[a, b] = known[b, a] = (every == 0) if not a or not b else both / every >= threshold
-            return known[a, b]
-
-        for i, x in enumerate(rows):
-            if member[i] >= 0:
-                continue
-            for j in range(i + 1, n):
-                y = rows[j]
-                if member[j] < 0 and alike(sets[i], sets[j]):
-                    if (not same_file_only and x[file] != y[file]) or (x[file] == y[file] and abs(x[line] - y[line]) <= distance):
-                        member[j] = member[i] = i
-        reps: dict[int, int] = {}
-        for k, m in enumerate(member):
-            if m >= 0 and (m not in reps or rows[k][conf] > rows[reps[m]][conf]):
-                reps[m] = k
-        for k, (r, m) in enumerate(zip(rows, member)):
-            yield (*r[:-1], rows[m][seq] if m >= 0 else None, m >= 0 and reps[m] == k, m < 0 or reps[m] == k)
-
-    rows = findings.withColumn("_words", word_set(F.concat_ws(" ", "concern", "message")))
-    schema = StructType(list(findings.schema.fields)).add("group_id", "long").add("is_rep", "boolean").add("is_unique", "boolean")
-    return fold(rows, ["diff_id"], ["seq"], group, schema)
-
-
-def similar_pairs(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(diff_id, a, b, similarity) of findings a before b of one diff that are similar enough and share a word."""
-    words = findings.select("diff_id", "seq", word_set(F.concat_ws(" ", "concern", "message")).alias("w"))
-    x, y = words.select("diff_id", F.col("seq").alias("a"), F.col("w").alias("wa")), words.select("diff_id", F.col("seq").alias("b"), F.col("w").alias("wb"))
-    return x.join(y, "diff_id").where("a < b").withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold).select("diff_id", "a", "b", "similarity")
-
-
 def fusion(sast: DataFrame, llm: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Confirmed and dismissed findings of the scanner, and findings of the model at a scanner's place about something else."""
     keys = ["diff_id", "file", "line"]

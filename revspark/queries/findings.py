@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff
 from ..operators import findings as O
+from ..operators import similar
 from ..sources import synthetic as S
 from . import literal, query
 
@@ -32,12 +33,25 @@ def document_exact_dedup(spark, sf):
     return S.documents(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("near_dedup")
-def near_dedup(spark, sf):
-    return O.near_dedup(_f(spark, sf)).select("diff_id", "seq", "group_id", "is_rep", "is_unique")
+_WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(concern || ' ' || message), '\\s+'), lambda w : trim(w, '.,;:!?\"''()[]{}')), lambda w : w <> ''))"
 
 
-_WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(concern || ' ' || message), '\\s+'), lambda w : trim(w, '.,;:!?\"''()[]{}')), lambda w : w <> ''))"
+_LEADER = "{'seq': x.seq, 'file': x.file, 'line': x.line, 'w': x.w}"
+_TAKES = """((len(l.w) = 0 AND len(x.w) = 0) OR (len(l.w) > 0 AND len(x.w) > 0 AND CAST(len(list_intersect(l.w, x.w)) AS DOUBLE) / CAST(len(list_distinct(list_concat(l.w, x.w))) AS DOUBLE) >= 0.8))
+      AND (l.file <> x.file OR abs(l.line - x.line) <= 5)"""
+
+
+@query(
+    "near_dedup",
+    f"""WITH RECURSIVE rows AS (SELECT diff_id, seq, file, line, confidence, {_WORDS} AS w, row_number() OVER (PARTITION BY diff_id ORDER BY seq) AS k FROM {{f}} t),
+    steps AS (SELECT diff_id, k, seq, confidence, seq AS lead, [{_LEADER}] AS leaders FROM rows x WHERE k = 1
+      UNION ALL SELECT diff_id, k, seq, confidence, coalesce(hit, seq), CASE WHEN hit IS NULL THEN list_append(leaders, me) ELSE leaders END FROM (
+        SELECT x.diff_id, x.k, x.seq, x.confidence, s.leaders, {_LEADER} AS me, list_min(list_transform(list_filter(s.leaders, lambda l : {_TAKES}), lambda l : l.seq)) AS hit FROM steps s JOIN rows x ON x.diff_id = s.diff_id AND x.k = s.k + 1) y),
+    marked AS (SELECT diff_id, seq, lead, count(*) OVER (PARTITION BY diff_id, lead) AS n, row_number() OVER (PARTITION BY diff_id, lead ORDER BY confidence DESC, seq) AS place FROM steps)
+    SELECT diff_id, seq, CASE WHEN n > 1 THEN lead END AS group_id, n > 1 AND place = 1 AS is_rep, place = 1 AS is_unique FROM marked""",
+)
+def near_dedup(spark, sf):
+    return similar.near_dedup(_f(spark, sf)).select("diff_id", "seq", "group_id", "is_rep", "is_unique")
 
 
 @query(
@@ -46,7 +60,7 @@ _WORDS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(c
     CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) AS similarity FROM w x JOIN w y ON x.diff_id = y.diff_id AND x.seq < y.seq) p WHERE similarity >= 0.8""",
 )
 def word_jaccard_pairs(spark, sf):
-    return O.similar_pairs(_f(spark, sf))
+    return similar.similar_pairs(_f(spark, sf))
 
 
 def _overlap(a: str, b: str) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from revspark.functions import text as T
 from revspark.operators import findings as O
+from revspark.operators import similar
 from revspark.schemas import FINDING
 
 BASE = {"diff_id": 1, "seq": 0, "concern": "security", "severity": 2, "file": "a.go", "line": 1, "end_line": 0, "message": "m", "fix": "", "reasoning": "", "cwe": "", "confidence": 0.5, "sast_source": False}
@@ -45,7 +46,7 @@ def plain_near(rows, distance=5, threshold=0.8, same=False):
 def test_near_dedup(spark, same):
     r = random.Random(3)
     rows = [{"diff_id": r.randint(1, 6), "concern": r.choice(["", "sec"]), "message": " ".join(r.choices(["a", "b", "c", "(a)"], k=r.randint(0, 4))), "file": r.choice(["x", "y"]), "line": r.randint(1, 15), "confidence": r.choice([0.1, 0.5, 0.9])} for _ in range(150)]
-    got = {x["seq"]: (x["group_id"], x["is_rep"], x["is_unique"]) for x in O.near_dedup(frame(spark, *rows), same_file_only=same).collect()}
+    got = {x["seq"]: (x["group_id"], x["is_rep"], x["is_unique"]) for x in similar.near_dedup(frame(spark, *rows), same_file_only=same).collect()}
     for d in range(1, 7):
         mine = [(k, x) for k, x in enumerate(rows) if x["diff_id"] == d]
         group = plain_near([x for _, x in mine], same=same)
@@ -58,6 +59,49 @@ def test_near_dedup(spark, same):
             assert [mine[q][0] for q in members if got[mine[q][0]][1]] == [mine[best][0]]
 
 
+def groups_of(spark, rows, **how):
+    return {x["seq"]: x["group_id"] for x in similar.near_dedup(frame(spark, *rows), **how).collect()}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_near_dedup_of_edited_messages(spark, seed):
+    """Messages of 8 to 12 words with a word changed, dropped or added: similar ones are no classes, and order, files and lines mix."""
+    r = random.Random(seed)
+    base = [[f"w{r.randint(0, 40)}" for _ in range(r.randint(8, 12))] for _ in range(4)]
+    rows = []
+    for _ in range(200):
+        words = list(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(len(words))] = r.choice(["", "x", "y", f"w{r.randint(0, 40)}"])
+        rows.append({"concern": "c", "message": " ".join(words), "file": r.choice("abc"), "line": r.randint(1, 60), "confidence": r.random()})
+    for how, plain in (({}, {}), ({"same_file_only": True}, {"same": True}), ({"distance": 0}, {"distance": 0})):
+        assert {k: g for k, g in groups_of(spark, rows, **how).items() if g is not None} == plain_near(rows, **plain)
+
+
+def test_near_dedup_long_chain(spark):
+    """One message on every line of a file: each leader takes the five lines after it, in two rounds however long the file."""
+    n = 3000
+    got = groups_of(spark, [{"line": k} for k in range(n)])
+    assert all(got[k] == k - k % 6 for k in range(n))
+
+
+def test_near_dedup_edges(spark):
+    assert similar.near_dedup(frame(spark)).count() == 0
+    rows = [{"concern": "", "message": ""}, {"concern": "", "message": "."}, {"concern": "", "message": "x"}, {"file": None}, {"file": None}, {"diff_id": 2}]
+    got = groups_of(spark, rows)
+    assert [got[k] for k in range(6)] == [0, 0, None, 3, 3, None]
+    assert [tuple(x)[1:3] for x in similar.similar_pairs(frame(spark, *rows)).orderBy("a").collect()] == [(0, 1), (3, 4)]
+
+
+def test_similar_sets_finds_all_pairs(spark):
+    r = random.Random(5)
+    sets = [sorted(set(r.choices("abcdefghijklmnop", k=r.randint(1, 12)))) for _ in range(150)]
+    df = spark.createDataFrame([(k % 2, k, s) for k, s in enumerate(sets)], "g int, k int, words array<string>")
+    for t in (0.5, 0.8, 1.0):
+        got = {(x["a"], x["b"]) for x in similar.similar_sets(df, "g", "k", t).collect()}
+        assert got == {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and a % 2 == b % 2 and len(set(x) & set(y)) / len(set(x) | set(y)) >= t}
+
+
 def test_bands_and_rounding(spark):
     f = frame(spark, {"confidence": 0.7}, {"confidence": 0.5}, {"confidence": 0.49})
     assert [r[0] for r in f.orderBy("seq").select(O.band(F.col("confidence"))).collect()] == ["high", "medium", "low"]
