@@ -1,11 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the test items are seeds. A seed is rare if its words make it unlikely to
-occur by chance in the corpus, judged by document frequencies of the items' words over all documents;
-how often the seed itself occurs doesn't matter, so that an item that was copied a million
-times is still found. Seeds join the words of every passage; seed matches of an item that lie near one another
+occur by chance in the corpus, judged by document frequencies of the items' words over all documents, where
+occurrences inside an item's n-gram don't count: an item that was copied a million times doesn't make its own words
+look frequent. Besides, each stretch of STRETCH words keeps its rarest n-gram as a seed however frequent it is; that one
+counts where the words around it agree for a whole stretch. So a copy that has a stretch word for word is found
+whatever the number of its holders and the size of the table. Seeds join the words of every passage; seed matches of an item that lie near one another
 mark a region, and local alignment with gaps scores the region against the whole item.
 
+A passage is a copy by its share of the item, or by its own length: OWN_WORDS equal words in an alignment of OWN_SHARE of the best score.
+
 An item of more than PIECE words is aligned piece by piece, pieces overlapping by half, so that a passage copied out of a long
 item counts by its own length and tables stay small.
 
@@ -31,6 +35,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000
 #: Words of the parts that longer items are aligned by; each begins half as many on.
 PIECE = 128
+#: Words of a stretch, each of which has a seed; an n-gram that isn't rare counts only in a whole stretch of equal words.
+STRETCH = 8
+#: Equal words, and share of the greatest score over the passage's length, of passages that count whatever the item's length.
+OWN_WORDS, OWN_SHARE = 32, 0.6
 #: Cells of one alignment step, to bound its memory.
 CELLS = 1 << 19
 
@@ -49,6 +57,7 @@ class Block:
     seeds: np.ndarray
     seed_item: np.ndarray
     seed_pos: np.ndarray
+    seed_rare: np.ndarray
     n: int
 
 
@@ -68,7 +77,7 @@ def pieces_of(n: int, piece: int = PIECE) -> list[tuple[int, int]]:
 
 
 def make_block(ids: list[int], texts: list, n: int, common: dict[int, int], docs: int, chance: float) -> Block:
-    """Seeds are all n-grams (whole items if shorter) expected, by their words' frequencies, in under `chance` places a document."""
+    """Seeds are all n-grams (whole items if shorter) expected, by their words' frequencies, in under `chance` places a document, and the rarest of each stretch."""
     whole = _item_words(texts)
     parts = [(k, whole.first[k] + s, whole.first[k] + e) for k in range(len(ids)) for s, e in pieces_of(int(whole.first[k + 1] - whole.first[k]))]
     item = np.array([p[0] for p in parts], int)
@@ -77,17 +86,26 @@ def make_block(ids: list[int], texts: list, n: int, common: dict[int, int], docs
     grams, _ = whole.grams(n)
     share = np.array([(common.get(int(h), 0) + 1) / (docs + 1) for h in whole.hash])
     logs = np.concatenate(([0.0], np.cumsum(np.log(np.minimum(share, 1.0)))))
-    seeds, owner, pos = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)]
+    seeds, owner, pos, rares = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, bool)]
     for k, (_, s, e) in enumerate(parts):
         at = np.arange(s, e - n + 1)
-        rare = at[logs[at + n] - logs[at] < np.log(chance)]
-        at = rare if len(rare) else at
-        seeds.append(grams[at])
-        owner.append(np.full(len(at), k))
-        pos.append(at - s)
-    seeds, owner, pos = np.concatenate(seeds), np.concatenate(owner), np.concatenate(pos)
+        likely = logs[at + n] - logs[at]
+        rare = likely < np.log(chance)
+        width = min(STRETCH - n + 1, len(at))
+        if width > 0:
+            views = np.lib.stride_tricks.sliding_window_view(likely, width)
+            rarest = np.zeros(len(at), bool)
+            rarest[np.arange(len(views)) + views.argmin(1)] = True
+            keep = np.flatnonzero(rare | rarest)
+        else:
+            keep = np.zeros(0, int)
+        seeds.append(grams[at[keep]])
+        owner.append(np.full(len(keep), k))
+        pos.append(keep)
+        rares.append(rare[keep] | (e - s < STRETCH))
+    seeds, owner, pos, rares = np.concatenate(seeds), np.concatenate(owner), np.concatenate(pos), np.concatenate(rares)
     order = np.lexsort((pos, owner, seeds))
-    return Block(np.array(ids, np.int64), item, np.diff(whole.first)[item], words, first, seeds[order], owner[order], pos[order], n)
+    return Block(np.array(ids, np.int64), item, np.diff(whole.first)[item], words, first, seeds[order], owner[order], pos[order], rares[order], n)
 
 
 def align(items: list[np.ndarray], regions: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -132,6 +150,22 @@ def align(items: list[np.ndarray], regions: list[np.ndarray]) -> list[tuple[int,
     return [(int(s >> 40), int(s & (mid - 1)), int(cols - ((s & low) >> 20)), int(e)) for s, e in zip(best, end)]
 
 
+def _in_stretch(w: Words, block: Block, at: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Whether a stretch of STRETCH equal words, all of one text and one item, holds the match of a seed at word `at`."""
+    doc = np.searchsorted(w.first, at, "right") - 1
+    item = block.seed_item[seed]
+    there = block.first[item] + block.seed_pos[seed]
+    length = np.full(len(at), block.n)
+    for step, begin in ((1, block.n), (-1, -1)):
+        alive = np.ones(len(at), bool)
+        for k in range(STRETCH - block.n):
+            x, y = at + begin + step * k, there + begin + step * k
+            alive &= (x >= w.first[doc]) & (x < w.first[doc + 1]) & (y >= block.first[item]) & (y < block.first[item + 1])
+            alive[alive] = w.hash[x[alive]] == block.words[y[alive]]
+            length += alive
+    return length >= STRETCH
+
+
 def _scan(doc_ids: list, w: Words, block: Block, least: float) -> list[tuple]:
     """Alignments of at least `least` of all texts of one slice."""
     grams, whole = w.grams(block.n)
@@ -145,6 +179,11 @@ def _scan(doc_ids: list, w: Words, block: Block, least: float) -> list[tuple]:
     many = hi - lo
     at = np.repeat(found, many)
     seed = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    counts = block.seed_rare[seed]
+    counts[~counts] = _in_stretch(w, block, at[~counts], seed[~counts])
+    at, seed = at[counts], seed[counts]
+    if not len(at):
+        return []
     item = block.seed_item[seed]
     doc = np.searchsorted(w.first, at, "right") - 1
     size = np.diff(block.first)[item]
@@ -180,7 +219,8 @@ def _scan(doc_ids: list, w: Words, block: Block, least: float) -> list[tuple]:
             row = (share, matched, int(block.size[x]), begin_word, int(l - w.first[d]) + e)
             key = int(d), int(block.item[x])
             was = out.get(key)
-            if share >= least and (was is None or (share, -begin_word) > (was[0], -was[3])):
+            own = matched >= OWN_WORDS and score >= OWN_SHARE * MATCH * (e - s)
+            if (share >= least or own) and (was is None or (share, -begin_word) > (was[0], -was[3])):
                 out[key] = row
     return [(doc_ids[d], int(block.names[x]), *row) for (d, x), row in sorted(out.items())]
 
@@ -199,8 +239,8 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list]:
         yield part
 
 
-def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
-    """Document frequency over all documents of the given sorted word hashes, and the number of documents."""
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray, grams: np.ndarray, n_words: int) -> tuple[dict[int, int], int]:
+    """Number of all documents with each of the given sorted word hashes outside the given n-grams, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(vocabulary), np.int64), 0
@@ -210,7 +250,12 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int
                 w = words_of(b.column(0))
                 if len(w.hash) and len(vocabulary):
                     k = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-                    hit = np.flatnonzero(vocabulary[k] == w.hash)
+                    own, whole = w.grams(n_words)
+                    copied = np.flatnonzero(whole & (grams[np.minimum(np.searchsorted(grams, own), len(grams) - 1)] == own)) if len(grams) else np.zeros(0, int)
+                    outside = np.ones(len(w.hash), bool)
+                    for step in range(n_words):
+                        outside[copied + step] = False
+                    hit = np.flatnonzero(outside & (vocabulary[k] == w.hash))
                     doc = np.searchsorted(w.first, hit, "right") - 1
                     total += np.bincount(np.unique(doc * len(vocabulary) + k[hit]) % len(vocabulary), minlength=len(vocabulary))
         ids = np.append(np.flatnonzero(total), -1)
@@ -225,7 +270,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, seed_words: int
     """One row per document and test item that a passage of the document copies.
 
     docs: doc_id, text; items: item_id, text. score is the alignment's score over that of a full copy
-    (1.0: word for word); rows below `least` are left out. start_word and end_word
+    (1.0: word for word); rows below `least` are left out unless the passage is a copy by its own length. start_word and end_word
     (exclusive) bound the best passage, the first among equals. Words are runs of digits, ASCII
     letters and non-ASCII characters, in any case. Null or empty texts match nothing;
     rows that repeat an id each give rows. Other columns are ignored. Items shorter than
@@ -253,7 +298,8 @@ def _item_blocks(docs: DataFrame, items: DataFrame, seed_words: int, chance: flo
     for rows in _blocks(items, block_words):
         words = _item_words([r["text"] for r in rows])
         sizes = np.diff(words.first)
-        common, total = _frequencies(docs, np.unique(words.hash))
+        grams, within = words.grams(seed_words)
+        common, total = _frequencies(docs, np.unique(words.hash), np.unique(grams[within]), seed_words)
         parts = ((n, [r for r, size in zip(rows, sizes) if min(size, seed_words) == n]) for n in range(1, seed_words + 1))
         yield [make_block([r["item_id"] for r in part], [r["text"] for r in part], n, common, total, chance) for n, part in parts if part]
 

@@ -243,6 +243,29 @@ def test_leaks(spark):
     assert clean.columns == docs.columns and {x["doc_id"] for x in clean.collect()} == set(range(len(texts))) - {k for k, _ in got}
 
 
+@pytest.mark.parametrize("holders, n", [(1, 12), (15, 300), (30, 300), (60, 300), (300, 300)])
+def test_popular_partial_copies(spark, holders, n):
+    """100 of an item's 128 words, verbatim or with every sixth word changed, are found whether few or all documents hold them, and clean documents stay."""
+    r = random.Random(holders)
+    item = words(r, 128)
+    part = " ".join(item.split()[14:114])
+    texts = [f"{words(r, 60)} {part if k % 2 else edited(r, part, 6)} {words(r, 60)}" if k < holders else words(r, 220) for k in range(n)]
+    items = spark.createDataFrame([(1, item), (2, words(r, 40))], "item_id long, text string")
+    docs = frame(spark, texts)
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs, items).collect()} == {(k, 1) for k in range(holders)}
+    assert {x["doc_id"] for x in decontaminate.clean(docs, items).collect()} == set(range(holders, n))
+
+
+def test_passages_count_by_their_own_length(spark):
+    """50 words of an item of 128, or from the middle of one of 900, are copies; 20 of them aren't. Words common everywhere, as copies hold them, are no hindrance."""
+    r = random.Random(9)
+    short, long = words(r, 128), " ".join(r.choices([f"c{k}" for k in range(12)], k=900))
+    texts = [f"{words(r, 40)} {' '.join(t.split()[s : s + m])} {words(r, 40)}" for t, s, m in ((short, 30, 50), (long, 425, 50), (short, 5, 20), (long, 100, 20))]
+    texts += [f"{words(r, 30)} {' '.join(r.choices([f'c{k}' for k in range(12)], k=40))}" for _ in range(30)]
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(frame(spark, texts), items).collect()} == {(0, 1), (1, 2)}
+
+
 def test_leak_edges(spark):
     docs = frame(spark, ["one two three four five"] * 3, [None, 1, 1])
     bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
