@@ -1,13 +1,15 @@
 """Data flow of user input: a line-by-line tracker, and reachability over call and use edges.
 
-The tracker's state begins anew at every function signature. Lines are therefore grouped by
-function, not by diff, and folded in order inside each group, however large a diff is.
+What the tracker does to its state in a line is a function from states to states, and so is what a chunk of lines does:
+each name's source becomes that of the first of some names that has one, or a fixed one, or none. Such functions
+compose. A file of more than one chunk is therefore tracked by a parallel prefix scan: chunks are summed up side by
+side, the states at their starts follow from the summaries, and all chunks are then tracked side by side. Patterns run as
+Spark expressions, once a line; what is folded is names only.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from ..functions.regex import java_pattern
 from ..plans.fold import fold
+from ..plans.store import stored
 from ..schemas import SEVERITIES
 
 # Sources, sinks (name, weakness, severity, type, fix, pattern) and sanitizers, in RE2 dialect.
@@ -46,16 +49,15 @@ SANITIZERS = [
 ]
 SIGNATURE = r"func\s+(?:\(\s*\w+\s+\*?\w+\s*\)\s+)?(\w+)\s*\(([^)]*)\)"
 ASSIGNMENT = r"^\s*(?:(?:var|const)\s+)?(\w+)\s*(?::=|=\s*)(.+)$"
-BUILTIN_TYPES = """int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 float32 float64 complex64 complex128 bool string byte rune
-uintptr error any interface{}""".split()
+# Types that stand alone in a parameter list.
+BUILTIN_TYPES = [
+    "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "complex64",
+    "complex128", "bool", "string", "byte", "rune", "uintptr", "error", "any", "interface{}",
+]
 ONE_STEP = ["request-body-read", "http-form-value", "json-decode"]
 DIRECT = [PARAMETER, "os.Args", "os.Getenv", "flag-arg", "stdin-read"]
 
 
-def _python(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace("$", r"\Z"), re.ASCII)
-
-
 def is_sanitized(text: Column) -> Column:
     return F.rlike(text, F.lit("|".join(java_pattern(p).removeprefix("(?d)") for p in SANITIZERS)))
 
@@ -95,54 +97,180 @@ def message_parts(message: Column) -> Column:
     return F.struct(F.coalesce(source, F.lit("unknown")).alias("source"), F.coalesce(F.substring_index(after, " via variable", 1), F.lit("unknown")).alias("sink"))
 
 
-def track(rows: DataFrame) -> DataFrame:
-    """(diff_id, file, line, variable, source, sink, cwe, severity, sink_type, message, fix) of input that reaches a sink.
+#: Lines of a chunk, and chunks whose states one task works out from their summaries; beyond, groups of chunks are summed up first.
+CHUNK_LINES, CHUNKS = 1024, 1024
 
-    rows: new-side lines (diff_id, seq, file, line, text, added); only Go files are read. Names match as parts of
-    a line. Every tainted name in an added line with a sink and without sanitizer gives a finding for each sink. Where
-    several tainted names could explain an assignment the least counts.
-    """
+State = dict[str, str]
+#: What becomes of each name: the names whose first source it takes, and the source that it has if none of them has one.
+Change = dict[str, tuple[tuple[str, ...], str | None]]
+
+_CHANGE = "resets boolean, changes array<struct<name:string,of:array<string>,source:string>>"
+_LINE = "diff_id bigint, file string, line int, variable string, source string, sink string, cwe string, severity int, sink_type string, message string, fix string"
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Lines that matter, with what the patterns say: params and entry of a signature; name, value, known and clean of an assignment; sinks that it may reach."""
     text = F.trim(F.regexp_replace(F.col("text"), r"\A\s+|\s+\z", ""))
-    go = rows.where(F.endswith(F.lower("file"), F.lit(".go"))).withColumn("text", text)
-    signature = F.rlike("text", F.lit(java_pattern(SIGNATURE)))
-    assigns = F.rlike("text", F.lit(java_pattern(ASSIGNMENT)))
-    # Only signatures, assignments and lines with a sink matter; the rest never reaches the fold.
-    go = go.withColumn("_sig", signature).where(F.col("_sig") | assigns | ((F.size(sinks_of(F.col("text"))) > 0) & F.col("added")))
-    block = F.sum(F.col("_sig").cast("int")).over(W.partitionBy("diff_id", "file").orderBy("seq"))
-    blocks = go.withColumn("_block", block)
-    sources = [(n, _python(p)) for n, p in SOURCES]
-    sinks = [(s, _python(s[5])) for s in SINKS]
-    clean = re.compile("|".join(SANITIZERS), re.ASCII)
-    sig, assign = _python(SIGNATURE), _python(ASSIGNMENT)
+    go = rows.where(F.endswith(F.lower("file"), F.lit(".go"))).select("diff_id", "file", "seq", "line", text.alias("text"), "added")
+    starts = F.rlike("text", F.lit(java_pattern(SIGNATURE)))
+    entry = F.coalesce(*(F.when(F.rlike("text", F.lit(java_pattern(p))), F.lit(name)) for name, p in reversed(SOURCES[1:])), F.lit(PARAMETER))
+    assigns = ~starts & F.rlike("text", F.lit(java_pattern(ASSIGNMENT)))
+    sinks = F.when(~starts & F.col("added") & ~is_sanitized(F.col("text")), sinks_of(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    go = go.withColumn("params", F.when(starts, parameters(F.col("text")))).withColumn("name", F.when(assigns, F.regexp_extract("text", java_pattern(ASSIGNMENT), 1)))
+    go = go.withColumn("value", F.when(assigns, F.regexp_extract("text", java_pattern(ASSIGNMENT), 2))).withColumn("sinks", sinks)
+    go = go.where(F.col("params").isNotNull() | F.col("name").isNotNull() | (F.size("sinks") > 0))
+    return go.select("diff_id", "file", "seq", "line", "text", "params", F.when(F.col("params").isNotNull(), entry).alias("entry"), "name", "value", source_of(F.col("value")).alias("known"), is_sanitized(F.col("value")).alias("clean"), "sinks")
+
+
+def _first(names: Iterable[str], of: Change, known: str | None = None) -> tuple[tuple[str, ...], str | None]:
+    """The names and source that a choice among `names`, then `known`, comes to before the change `of`."""
+    out: dict[str, None] = {}
+    for n in names:
+        inner, source = of.get(n, ((), None))
+        out.update(dict.fromkeys(inner))
+        if source is not None:
+            return tuple(out), source
+    return tuple(out), known
+
+
+def _change(lines: Iterable[tuple], names: Iterable[str]) -> tuple[bool, Change]:
+    """What lines (params, entry, name, value, known, clean) do to the sources of `names`, and whether they begin a function."""
+    now: Change = {n: ((n,), None) for n in names}
+    resets = False
+    for params, entry, name, value, known, clean in lines:
+        if params is not None:
+            now, resets = {n: ((), entry) for n in params}, True
+        elif name is not None:
+            new = ((), None) if clean else ((), known) if known else _first([v for v in sorted(now) if v in value], now)
+            now[name] = new
+    return resets, now
+
+
+def _then(first: tuple[bool, Change], second: tuple[bool, Change]) -> tuple[bool, Change]:
+    """The second change after the first."""
+    if second[0]:
+        return second
+    resets, before = first
+    names = {v for of, _ in second[1].values() for v in of}
+    known = before if resets else {n: ((n,), None) for n in names} | before
+    return resets, before | {n: _first(of, known, source) for n, (of, source) in second[1].items()}
+
+
+def _applied(change: tuple[bool, Change], state: State) -> State:
+    resets, changes = change
+    out = {} if resets else {n: s for n, s in state.items() if n not in changes}
+    for n, (of, source) in changes.items():
+        found = next((state[v] for v in of if v in state), source)
+        if found is not None:
+            out[n] = found
+    return out
+
+
+def _row(change: tuple[bool, Change]) -> tuple:
+    resets, changes = change
+    kept = {n: x for n, x in changes.items() if (x[1] is not None if resets else x != ((n,), None))}
+    return resets, [{"name": n, "of": list(of), "source": source} for n, (of, source) in kept.items()]
+
+
+def _read(resets: bool, changes: list[dict]) -> tuple[bool, Change]:
+    return resets, {c["name"]: (tuple(c["of"]), c["source"]) for c in changes}
+
+
+def _starts(changes: DataFrame, chunks: int) -> DataFrame:
+    """(diff_id, file, chunk, state): the sources at the start of every chunk. changes: diff_id, file, chunk and the change of each.
+
+    Files of more than `chunks` chunks are summed up by groups first, whose starts come from the same function.
+    """
+    state = "diff_id bigint, file string, chunk bigint, state map<string,string>"
+
     def follow(rows: Iterator[tuple]) -> Iterator[tuple]:
-        tainted: dict[str, str] = {}
-        for diff, file, _, _, line, text, added in rows:
-            if m := sig.search(text):
-                names = [w[0] for w in (p.split() for p in m[2].split(",")) if w and w[0] not in BUILTIN_TYPES]
-                source = ([n for n, p in sources[1:] if p.search(text)] or [PARAMETER])[-1]
-                tainted = dict.fromkeys(names, source)
-                continue
-            if m := assign.search(text):
-                name, value = m[1], m[2]
-                found = None
-                if not clean.search(value):
-                    found = next((n for n, p in sources if p.search(value)), None)
-                    found = found or next((tainted[v] for v in sorted(tainted) if v in value), None)
+        now: State | None = None
+        for diff, file, chunk, resets, change, given in rows:
+            now = dict(given or []) if now is None else now
+            yield diff, file, chunk, list(now.items())
+            now = _applied(_read(resets, change), now)
+
+    fields = ["diff_id", "file", "chunk", "resets", "changes"]
+    group = F.floor(F.col("chunk") / chunks)
+    if (changes.agg(F.max("chunk")).first()[0] or 0) < chunks:
+        return fold(changes.select(*fields, F.lit(None).cast("map<string,string>").alias("state")), ["diff_id", "file"], ["chunk"], follow, state)
+
+    def summed(rows: Iterator[tuple]) -> Iterator[tuple]:
+        total = None
+        for diff, file, group, _, resets, change in rows:
+            total = _read(resets, change) if total is None else _then(total, _read(resets, change))
+        yield diff, file, group, *_row(total)
+
+    grouped = changes.select("diff_id", "file", group.alias("group"), *fields[2:])
+    whole = fold(grouped, ["diff_id", "file", "group"], ["chunk"], summed, f"diff_id bigint, file string, chunk bigint, {_CHANGE}")
+    given = _starts(stored(whole, "taint-groups"), chunks).withColumnRenamed("chunk", "group")
+    rows = grouped.join(given, ["diff_id", "file", "group"], "left")
+
+    def inside(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return follow((diff, file, chunk, resets, change, given) for diff, file, _, chunk, resets, change, given in rows)
+
+    return fold(rows.select("diff_id", "file", "group", *fields[2:], "state"), ["diff_id", "file", "group"], ["chunk"], inside, state)
+
+
+def _states(rows: DataFrame, chunks: int) -> DataFrame:
+    """(diff_id, file, chunk, state) for the chunks of files that have several."""
+    keys = ["diff_id", "file"]
+    names = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("params").isNotNull(), F.col("params")).otherwise(F.array_compact(F.array("name"))))))
+    per = rows.groupBy(*keys, "chunk").agg(names.alias("names"), F.bool_or(F.col("params").isNotNull()).alias("begins"))
+    # A name can only have a source at a chunk's start if it occurs since the last chunk that begins a function.
+    order = W.partitionBy(*keys).orderBy("chunk")
+    spans = per.withColumn("_after", F.sum(F.col("begins").cast("int")).over(order)).withColumn("_before", F.col("_after") - F.col("begins").cast("int"))
+    spans = stored(spans.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n > 1"), "taint-chunks")
+    alive = spans.groupBy(*keys, F.col("_after").alias("_before")).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("alive"))
+    heads = spans.join(alive, [*keys, "_before"], "left").select(*keys, "chunk", F.lit(-1).cast("long").alias("seq"), "alive")
+
+    def summed(lines: Iterator[tuple]) -> Iterator[tuple]:
+        head = next(lines)
+        yield *head[:3], *_row(_change((x[5:] for x in lines), head[4] or []))
+
+    fields = ["params", "entry", "name", "value", "known", "clean"]
+    lines = rows.join(spans.select(*keys, "chunk"), [*keys, "chunk"], "left_semi").select(*keys, "chunk", "seq", F.lit(None).cast("array<string>").alias("alive"), *fields)
+    both = heads.unionByName(lines, allowMissingColumns=True).select(*keys, "chunk", "seq", "alive", *fields)
+    changes = fold(both, [*keys, "chunk"], ["seq"], summed, f"diff_id bigint, file string, chunk bigint, {_CHANGE}")
+    return _starts(stored(changes, "taint-changes"), chunks)
+
+
+def track(rows: DataFrame, chunk_lines: int = CHUNK_LINES, chunks: int = CHUNKS) -> DataFrame:
+    """(diff_id, file, line, variable, source, sink, cwe, severity, sink_type, message, fix) of input that reaches a sink.
+
+    rows: new-side lines (diff_id, seq, file, line, text, added), seq from 0 or 1 in order within a diff; only Go files are read. Names match as parts of
+    a line. The state begins anew at every function signature. Every tainted name in an added line with a sink and without sanitizer gives a
+    finding for each sink. Where several tainted names could explain an assignment the least counts. The result doesn't depend on
+    chunk_lines and chunks, which bound what one task follows in order.
+    """
+    judged = _judged(rows).withColumn("chunk", F.floor(F.col("seq") / chunk_lines))
+    about = {s[0]: s for s in SINKS}
+
+    def follow(lines: Iterator[tuple]) -> Iterator[tuple]:
+        tainted: State = {}
+        for diff, file, _, _, line, text, params, entry, name, value, known, clean, sinks, state in lines:
+            if state is not None:
+                tainted = dict(state)
+            elif params is not None:
+                tainted = dict.fromkeys(params, entry)
+            elif name is not None:
+                found = None if clean else known or next((tainted[v] for v in sorted(tainted) if v in value), None)
                 if found:
                     tainted[name] = found
                 else:
                     tainted.pop(name, None)
-            if not added or not tainted or clean.search(text):
-                continue
-            for s, p in sinks:
-                if p.search(text):
-                    for v in sorted(tainted):
-                        if v in text:
-                            yield diff, file, line, v, tainted[v], s[0], s[1], SEVERITIES.index(s[2]), s[3], f"Tainted data from {tainted[v]} flows to {s[0]} without sanitization", s[4]
-
-    rows = blocks.select("diff_id", "file", "_block", "seq", "line", "text", "added")
-    schema = "diff_id bigint, file string, line int, variable string, source string, sink string, cwe string, severity int, sink_type string, message string, fix string"
-    return fold(rows, ["diff_id", "file", "_block"], ["seq"], follow, schema)
+            for sink in sinks or ():
+                s = about[sink]
+                for v in sorted(tainted):
+                    if v in text:
+                        yield diff, file, line, v, tainted[v], s[0], s[1], SEVERITIES.index(s[2]), s[3], f"Tainted data from {tainted[v]} flows to {s[0]} without sanitization", s[4]
+
+    fields = ["diff_id", "file", "chunk", "seq", "line", "text", "params", "entry", "name", "value", "known", "clean", "sinks"]
+    lines = judged.select(*fields, F.lit(None).cast("map<string,string>").alias("state"))
+    if not judged.where("chunk > 0").isEmpty():
+        starts = _states(judged, chunks).withColumn("seq", F.lit(-1).cast("long"))
+        lines = lines.unionByName(starts, allowMissingColumns=True)
+    return fold(lines, ["diff_id", "file", "chunk"], ["seq"], follow, _LINE)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, keep, max_rounds: int = 100) -> DataFrame:

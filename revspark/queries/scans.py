@@ -153,7 +153,28 @@ def route_concerns(spark, sf):
     return rules.route_concerns(S.diffs(spark, sf))
 
 
-@query("taint_track")
+def _source_sql(text: str, names: list) -> str:
+    return f"CASE {' '.join(f'WHEN regexp_matches({text}, {literal(p)}) THEN {literal(n)}' for n, p in names)} END"
+
+
+_CLEAN = literal("|".join(taint.SANITIZERS))
+_SINKS = ", ".join(f"({literal(n)}, {literal(cwe)}, {SEVERITIES.index(sev)}, {literal(kind)}, {literal(fix)}, {literal(p)})" for n, cwe, sev, kind, fix, p in taint.SINKS)
+_TRACK = f"""WITH RECURSIVE rows AS MATERIALIZED (
+      SELECT diff_id, file, line, text, added, k, sig, name, value, {_source_sql("value", taint.SOURCES)} AS known, regexp_matches(value, {_CLEAN}) AS clean, regexp_matches(text, {_CLEAN}) AS safe,
+        coalesce({_source_sql("text", taint.SOURCES[:0:-1])}, '{taint.PARAMETER}') AS entry,
+        list_filter(list_transform(string_split(inner_, ','), lambda p : string_split(trim(regexp_replace(p, '\\s+', ' ', 'g')), ' ')[1]), lambda n : n <> '' AND NOT list_contains([{', '.join(map(literal, taint.BUILTIN_TYPES))}], n)) AS params
+      FROM (SELECT *, regexp_matches(text, {literal(taint.SIGNATURE)}) AS sig, regexp_extract(text, {literal(taint.SIGNATURE)}, 2) AS inner_, regexp_extract(text, {literal(taint.ASSIGNMENT)}, 1) AS name, regexp_extract(text, {literal(taint.ASSIGNMENT)}, 2) AS value
+        FROM (SELECT diff_id, path AS file, CAST(new_start - 1 + rel_new AS INT) AS line, trim(text) AS text, mark = '+' AS added, row_number() OVER (PARTITION BY diff_id ORDER BY n) AS k FROM {{l}} t WHERE mark <> '-' AND path LIKE '%.go') a) b),
+    steps AS (SELECT diff_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(n VARCHAR, s VARCHAR)[]) AS state FROM (SELECT DISTINCT diff_id FROM rows) d
+      UNION ALL SELECT r.diff_id, r.k, CASE WHEN sig THEN list_transform(params, lambda p : {{'n': p, 's': entry}}) WHEN name = '' THEN state ELSE list_concat(list_filter(state, lambda e : e.n <> name),
+          CASE WHEN clean THEN [] WHEN known IS NOT NULL THEN [{{'n': name, 's': known}}] ELSE list_transform(list_filter(list_sort(state), lambda e : contains(value, e.n))[1:1], lambda e : {{'n': name, 's': e.s}}) END) END
+        FROM steps s JOIN rows r ON r.diff_id = s.diff_id AND r.k = s.k + 1)
+    SELECT r.diff_id, r.file, r.line, e.n AS variable, e.s AS source, x.sink, x.cwe, x.severity, x.sink_type, 'Tainted data from ' || e.s || ' flows to ' || x.sink || ' without sanitization' AS message, x.fix
+    FROM (SELECT diff_id, k, unnest(state) AS e FROM steps) s JOIN rows r ON r.diff_id = s.diff_id AND r.k = s.k JOIN (VALUES {_SINKS}) x(sink, cwe, severity, sink_type, fix, pattern) ON regexp_matches(r.text, x.pattern)
+    WHERE NOT r.sig AND r.added AND NOT r.safe AND contains(r.text, e.n)"""
+
+
+@query("taint_track", _TRACK)
 def taint_track(spark, sf):
     return taint.track(diff.new_side(S.diffs(spark, sf)))
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,48 @@ def test_context_lines_carry_but_do_not_report(spark):
     assert track(spark, "+x := os.Args[1]", "+os.Open(x)", file="a.py") == [] and track(spark, "") == []
 
 
+def plain_track(lines):
+    """The tracker line by line, over (file, line, text, added) in order."""
+    clean = re.compile("|".join(taint.SANITIZERS), re.ASCII)
+    state, out, of_file = {}, [], None
+    for file, line, text, added in lines:
+        state = {} if file != of_file else state
+        of_file, text = file, text.strip()
+        if m := re.search(taint.SIGNATURE, text, re.ASCII):
+            names = [w[0] for w in (p.split() for p in m[2].split(",")) if w and w[0] not in taint.BUILTIN_TYPES]
+            state = dict.fromkeys(names, ([n for n, p in taint.SOURCES[1:] if re.search(p, text, re.ASCII)] or [taint.PARAMETER])[-1])
+            continue
+        if m := re.search(taint.ASSIGNMENT, text, re.ASCII):
+            found = None if clean.search(m[2]) else next((n for n, p in taint.SOURCES if re.search(p, m[2], re.ASCII)), None) or next((state[v] for v in sorted(state) if v in m[2]), None)
+            state.pop(m[1], None)
+            if found:
+                state[m[1]] = found
+        if added and not clean.search(text):
+            out += [(file, line, v, state[v], s[0]) for s in taint.SINKS if re.search(s[5], text, re.ASCII) for v in state if v in text]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk_lines, chunks", [(1, 2), (3, 2), (7, 3), (1024, 1024)])
+def test_track_in_chunks(spark, chunk_lines, chunks):
+    """Chunks of any size give what one pass over the lines gives: names that contain one another, long functions, resets, clears and copies."""
+    r = random.Random(chunk_lines)
+    names = ["a", "ab", "b", "c", "cd", "d"]
+    kinds = [lambda: f"func f{r.randint(0, 9)}({r.choice(names)} string, r *http.Request) error {{", lambda: f'{r.choice(names)} := r.FormValue("x")', lambda: f"{r.choice(names)} = os.Args[1]", lambda: f"{r.choice(names)} := {r.choice(names)} + {r.choice(names)}",
+        lambda: f"{r.choice(names)} := 1", lambda: f"{r.choice(names)} := filepath.Clean({r.choice(names)})", lambda: f"exec.Command({r.choice(names)})", lambda: f"db.Query({r.choice(names)}).Execute({r.choice(names)})", lambda: "}"]
+    weights = [1, 2, 2, 12, 4, 2, 8, 6, 3]
+    rows, want = [], {}
+    for diff_id in range(3):
+        mine = []
+        for file in ("x.go", "y.go"):
+            mine += [(file, k, r.choices(kinds, weights)[0](), r.random() < 0.8) for k in range(60)]
+        rows += [(diff_id, seq, *x) for seq, x in enumerate(mine)]
+        want[diff_id] = plain_track(mine)
+    lines = spark.createDataFrame(rows, "diff_id long, seq long, file string, line int, text string, added boolean")
+    got = taint.track(lines, chunk_lines, chunks).collect()
+    for d in want:
+        assert sorted((x["file"], x["line"], x["variable"], x["source"], x["sink"]) for x in got if x["diff_id"] == d) == want[d] and want[d]
+
+
 def test_reachability(spark):
     r = random.Random(1)
     for _ in range(3):
