@@ -9,6 +9,7 @@ every document weighs no more than any other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, release_part, stored
-from .textvec import mix, powers, slices
+from .textvec import slices
 
 #: Bytes of text of a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -66,12 +67,8 @@ def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _shard_of(data: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
-    ends = np.cumsum(sizes, dtype=np.int64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return (mix((total[ends] - total[ends - sizes]) * down[ends - sizes]) % np.uint64(shards)).astype(np.uint32)
+def _shard_of(strings: pa.Array, shards: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(s) % shards for s in strings.to_pylist()), np.uint32, len(strings))
 
 
 Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
@@ -96,7 +93,7 @@ def blocks(docs: DataFrame, cut: Cut, block_bytes: int = BLOCK_BYTES, shards: in
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         often, words = often[order], words.take(pa.array(order))
-        of = _shard_of(*bytes_of(words), shards)
+        of = _shard_of(words, shards)
         null = np.array([i is None for i in ids], np.uint8)
         rows = [(-1, pack(np.array([i or 0 for i in ids], np.int64), null, np.concatenate(counts).astype(np.int64), rank[at], of))]
         by = np.argsort(of, kind="stable")
