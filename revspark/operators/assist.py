@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.text import estimate_tokens
-from ..plans.fold import fold
 from ..schemas import severity_name
 from .diff import lines_of
 from .responses import filter_verdict, json_array, json_object
@@ -96,23 +92,3 @@ def fused_prompt(prompt: Column, section: Column, marker: str = "<diff_content>"
     at = F.instr(prompt, marker)
     merged = F.concat(F.substring(prompt, F.lit(1), F.greatest(at - 1, F.lit(0))), section, F.lit("\n"), F.substring(prompt, F.greatest(at, F.lit(1)), F.length(prompt)))
     return F.when(F.coalesce(section, F.lit("")) == "", prompt).otherwise(merged)
-
-
-def sections_within(sections: DataFrame, budget: int) -> DataFrame:
-    """Sections (diff_id, file_idx, text), in order, up to the first that overflows the budget.
-
-    What is spent is the estimate of all text so far, which isn't the sum of its parts' estimates; the fold keeps the
-    counts that the estimate needs, not the text.
-    """
-    sized = sections.withColumn("_own", estimate_tokens(F.col("text")))
-    at = len(sections.columns)
-
-    def take(rows: Iterator[tuple]) -> Iterator[tuple]:
-        spent = 0
-        for row in rows:
-            if budget > 0 and spent + row[at] > budget:
-                return
-            spent += row[at]
-            yield row[:at]
-
-    return fold(sized, ["diff_id"], ["file_idx"], take, sections.schema)

@@ -38,6 +38,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def tokens_sql(n: str, code: str) -> str:
+    """Tokens of n > 0 words of which `code` look like code."""
+    return f"CAST(greatest(1, floor(({n}) * CASE WHEN CAST(({code}) AS DOUBLE) / ({n}) > CAST(0.3 AS DOUBLE) THEN CAST(2.0 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END + CAST(0.5 AS DOUBLE))) AS BIGINT)"
+
+
+def estimated(rows: str) -> str:
+    """A query that adds n, code and tokens, the estimate of its column text, to another one."""
+    upper, lower, digit = (f"regexp_matches(x, '\\p{{{k}}}')" for k in ("Lu", "Ll", "Nd"))
+    return f"""SELECT * EXCLUDE (w, sym), CASE WHEN n = 0 THEN (strlen(text) + 3) // 4 ELSE {tokens_sql('n', 'code')} END AS tokens FROM (
+      SELECT *, len(w) + sym AS n, len(list_filter(w, lambda x : ({upper} AND {lower} AND regexp_matches(x, '^(?s:.)(?s:.*)\\p{{Lu}}')) OR contains(x, '_') OR ({digit} AND ({upper} OR {lower})))) + sym AS code
+      FROM (SELECT *, regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}_$]+') AS w, length(regexp_replace(text, '[\\p{{L}}\\p{{Nd}}_$\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', '', 'g')) AS sym FROM ({rows}) r0) r1) r2"""
+
+
 def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import budget, diff
 from ..sources import synthetic as S
-from . import query
+from . import estimated, query
 
 FLAGS = "CAST(false AS BOOLEAN) AS added, CAST(false AS BOOLEAN) AS deleted, CAST(false AS BOOLEAN) AS renamed"
 
@@ -130,7 +130,12 @@ def _sized(spark, sf):
     return budget.file_tokens(diff.files(d), diff.hunks(d), diff.lines(d))
 
 
-@query("file_tokens")
+@query(
+    "file_tokens",
+    f"""SELECT diff_id, 0 AS file_idx, path, CAST(false AS BOOLEAN) AS deleted, CAST(p + 20 + 10 * hunks + lines AS BIGINT) AS tokens FROM
+    (SELECT diff_id, count(DISTINCT hunk) AS hunks, sum(tokens + 1) AS lines FROM ({estimated("SELECT diff_id, hunk, text FROM {l} t")}) a GROUP BY diff_id) x
+    JOIN (SELECT diff_id, text AS path, tokens AS p FROM ({estimated("SELECT DISTINCT diff_id, path AS text FROM {l} t")}) b) y USING (diff_id)""",
+)
 def file_tokens(spark, sf):
     return _sized(spark, sf)
 
@@ -141,7 +146,13 @@ def _corpus(spark, sf):
     return sized
 
 
-@query("chunk_files")
+@query(
+    "chunk_files",
+    """WITH RECURSIVE rows AS MATERIALIZED (SELECT o_custkey AS diff_id, o_orderkey AS file_idx, CAST(floor(o_totalprice / 1000) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+    steps AS (SELECT diff_id, file_idx, tokens, k, tokens AS used, 0 AS chunk FROM rows WHERE k = 1
+      UNION ALL SELECT r.diff_id, r.file_idx, r.tokens, r.k, CASE WHEN s.used + r.tokens > 400 THEN r.tokens ELSE s.used + r.tokens END, CASE WHEN s.used + r.tokens > 400 THEN s.chunk + 1 ELSE s.chunk END
+      FROM steps s JOIN rows r ON r.diff_id = s.diff_id AND r.k = s.k + 1) SELECT diff_id, file_idx, tokens, chunk FROM steps""",
+)
 def chunk_files(spark, sf):
     return budget.chunk(_corpus(spark, sf).drop("deleted"), 400)
 

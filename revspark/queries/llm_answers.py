@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assist as A
-from ..operators import diff
+from ..operators import budget, diff
 from ..operators import responses as R
 from ..sources import synthetic as S
-from . import query
+from . import estimated, query, tokens_sql
 
 
 def _responses(spark, sf):
@@ -128,10 +128,16 @@ def fused_prompt(spark, sf):
     return rows.select("diff_id", A.fused_prompt(F.lit("head\n<diff_content>"), F.col("section")).alias("prompt"))
 
 
-@query("describe_truncate")
+@query(
+    "describe_truncate",
+    f"""WITH RECURSIVE rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY file_idx) AS k FROM ({estimated("SELECT doc_id % 50 AS diff_id, doc_id AS file_idx, coalesce(text, '') AS text FROM documents")}) t),
+    steps AS (SELECT diff_id, CAST(0 AS BIGINT) AS file_idx, CAST(0 AS BIGINT) AS k, CAST(7 AS BIGINT) AS n, CAST(5 AS BIGINT) AS code, true AS fits FROM (SELECT DISTINCT diff_id FROM rows) d
+      UNION ALL SELECT r.diff_id, r.file_idx, r.k, s.n + r.n, s.code + r.code, {tokens_sql("s.n", "s.code")} + r.tokens <= 4000 FROM steps s JOIN rows r ON r.diff_id = s.diff_id AND r.k = s.k + 1 WHERE s.fits)
+    SELECT diff_id, file_idx FROM steps WHERE fits AND k > 0""",
+)
 def describe_truncate(spark, sf):
     docs = S.documents(spark, sf).select((F.col("doc_id") % 50).alias("diff_id"), F.col("doc_id").alias("file_idx"), "text")
-    return A.sections_within(docs, 4000).select("diff_id", "file_idx")
+    return budget.sections_within(docs, 4000).select("diff_id", "file_idx")
 
 
 @query("filter_findings")

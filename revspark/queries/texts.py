@@ -8,15 +8,10 @@ from ..functions import text as T
 from ..operators import symbols
 from ..sources import synthetic as S
 from ..operators.prompts import SECURITY_CONCERNS
-from . import literal, query
+from . import estimated, literal, query
 
 
-@query(
-    "estimate_tokens",
-    r"""SELECT key, CAST(CASE WHEN n = 0 THEN CASE WHEN strlen(text) = 0 THEN 0 ELSE (strlen(text) + 3) // 4 END ELSE greatest(1, floor(n * CASE WHEN CAST(code AS DOUBLE) / n > CAST(0.3 AS DOUBLE) THEN CAST(2.0 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END + CAST(0.5 AS DOUBLE))) END AS BIGINT) AS tokens
-    FROM (SELECT key, text, len(w) + sym AS n, len(list_filter(w, lambda x : (regexp_matches(x, '\p{Lu}') AND regexp_matches(x, '\p{Ll}') AND regexp_matches(x, '^(?s:.)(?s:.*)\p{Lu}')) OR contains(x, '_') OR (regexp_matches(x, '\p{Nd}') AND (regexp_matches(x, '\p{Lu}') OR regexp_matches(x, '\p{Ll}'))))) + sym AS code
-      FROM (SELECT key, text, regexp_extract_all(text, '[\p{L}\p{Nd}_$]+') AS w, length(regexp_replace(text, '[\p{L}\p{Nd}_$\s\x{0B}\x{85}\p{Z}]+', '', 'g')) AS sym FROM (SELECT doc_id AS key, text FROM documents UNION ALL SELECT -diff_id * 10 - n, text FROM {l} q) a) b) c""",
-)
+@query("estimate_tokens", f"SELECT key, tokens FROM ({estimated('SELECT doc_id AS key, text FROM documents UNION ALL SELECT -diff_id * 10 - n, text FROM {l} q')}) c")
 def estimate_tokens(spark, sf):
     rows = S.documents(spark, sf).select(F.col("doc_id").alias("key"), "text").unionByName(S.line_items(spark, sf).select((-F.col("diff_id") * 10 - F.col("n")).alias("key"), "text"))
     return rows.select("key", T.estimate_tokens(F.col("text")).alias("tokens"))

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from revspark.functions import text as T
 from revspark.operators import assist, budget, diff, responses, symbols, taint
 from revspark.plans.review import Review, ask, echo_provider
 from revspark.plans.store import stored
@@ -140,20 +141,56 @@ def test_symbols(spark):
     assert symbols.body(df, ".go", "run").first()["body"].startswith("func (s *Srv) Run") and symbols.body(df, ".go", "nope").count() == 0
 
 
-def test_chunks(spark):
+@pytest.mark.parametrize("cell", [4, 4096])
+def test_chunks(spark, monkeypatch, cell):
+    """Next-fit of each diff, with files of no size and files over the budget, gaps in the numbers, and cells that split a diff."""
+    monkeypatch.setattr(budget, "CELL", cell)
     r = random.Random(2)
-    rows = [(d, k, r.randint(1, 60)) for d in range(4) for k in range(30)]
+    rows = [(d, 3 * k + d, r.choice([0, 0, r.randint(1, 60), r.randint(1, 60), 130])) for d in range(5) for k in range(1 if d == 4 else 40)]
     df = spark.createDataFrame(rows, "diff_id long, file_idx int, tokens long").repartition(3)
     got = {(x["diff_id"], x["file_idx"]): x["chunk"] for x in budget.chunk(df, 100).collect()}
-    for d in range(4):
-        n = used = 0
+    assert len(got) == len(rows)
+    for d in range(5):
+        n = used = held = 0
         for _, k, t in sorted(x for x in rows if x[0] == d):
-            if used + t > 100 and used:
+            if used + t > 100 and held:
                 n, used = n + 1, 0
-            used += t
+            used, held = used + t, 1
             assert got[d, k] == n
-    kept = budget.prefix_within(df, "diff_id", "file_idx", "tokens", 0)
-    assert kept.count() == 4
+    assert budget.chunk(df.where("false"), 100).count() == 0
+    assert {x["chunk"] for x in budget.chunk(df, None).collect()} == {0}
+    assert (budget.available(1000, 100), budget.available(250, 100), budget.available(0, 1)) == (700, 125, None)
+    kept = budget.prefix_within(df, "diff_id", "file_idx", "tokens", -1)
+    assert kept.count() == 5
+
+
+def test_sections(spark):
+    """Sections up to the first that doesn't fit what the joined text before it leaves."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["word", "fooBar", "x_1", "é", "+", "\n"], k=r.randint(0, 40))) + "\n" for _ in range(60)] + [None]
+    df = spark.createDataFrame([(k % 3, k, t) for k, t in enumerate(texts)], "diff_id long, file_idx long, text string")
+    estimate = {x["t"]: x["n"] for x in spark.createDataFrame([(budget.DIFF_HEADER + "".join(texts[j] or "" for j in range(d, m, 3)),) for d in range(3) for m in range(64)] + [(t or "",) for t in texts], "t string").select("t", T.estimate_tokens(F.col("t")).alias("n")).collect()}
+    for limit in (0, 30, 300, 9999):
+        want = []
+        for d in range(3):
+            text = budget.DIFF_HEADER
+            for k in range(d, len(texts), 3):
+                if limit > 0 and estimate[text] + estimate[texts[k] or ""] > limit:
+                    break
+                text += texts[k] or ""
+                want.append(k)
+        assert sorted(x["file_idx"] for x in budget.sections_within(df, limit).collect()) == sorted(want)
+
+
+def test_estimates(spark):
+    """One pattern counts the words that look like code, as is_code_word judges each."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("aAbB1_$é \tÄ+.", k=r.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = df.select("t", F.filter(F.regexp_extract_all("t", F.lit(T.WORD), F.lit(0)), T.is_code_word).alias("w"), T.token_counts(F.col("t")).alias("c")).collect()
+    for x in plain:
+        symbols = sum(not c.isspace() and not re.fullmatch(r"[\w$]", c) for c in x["t"])
+        assert x["c"]["code"] == len(x["w"]) + symbols
 
 
 RAW = [{"file": "a.go", "line": 3, "severity": "HIGH", "message": "m", "confidence": 0.9}, {"file": "", "message": "dropped"}, {"file": "b", "message": "n", "confidence": 7}]
