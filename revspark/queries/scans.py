@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, rules, taint
+from ..operators import diff, flow, rules, taint
 from ..rules_catalog import RULES
 from ..schemas import SEVERITIES
 from ..sources import synthetic as S
@@ -244,3 +244,40 @@ def ssa_sort_cap(spark, sf):
     reached, edges = _reached(spark, sf)
     values = edges.select(F.col("dst").alias("value_id")).distinct().withColumns({"pos_file": F.lit("f.go"), "pos_line": F.col("value_id").cast("int")})
     return taint.sink_findings(reached, edges, values, 20).drop("source")
+
+
+#: A program made of line items: a part is a function, its line items are instructions over its values 10 k + 1 (parameter) to 10 k + 7 (returned).
+#: Functions call only such of the next of three levels, k % 3.
+_USES = """SELECT CASE l_returnflag WHEN 'R' THEN 'Store' WHEN 'A' THEN 'BinOp' ELSE 'Phi' END AS op, 10 * l_partkey + 1 + l_orderkey % 6 AS src, 10 * l_partkey + 2 + (l_orderkey + l_suppkey) % 6 AS dst,
+  CASE WHEN l_orderkey % 5 = 0 THEN 10 * l_partkey + 7 END AS base FROM lineitem WHERE l_linenumber < 3"""
+_CALLS = """SELECT l_orderkey * 8 + l_linenumber AS site, CASE l_linenumber WHEN 3 THEN CASE WHEN l_partkey % 3 < 2 THEN 'app.f' || CAST(3 * l_suppkey + l_partkey % 3 + 1 AS STRING) ELSE 'strings.Join' END
+    WHEN 4 THEN 'path/filepath.Clean' WHEN 5 THEN '(*database/sql.DB).Query' WHEN 6 THEN 'fmt.Sprintf' ELSE 'os.Getenv' END AS callee, CAST(0 AS INT) AS index, 10 * l_partkey + 1 + l_orderkey % 6 AS arg,
+  CASE WHEN l_linenumber <> 5 THEN 10 * l_partkey + 2 + l_suppkey % 6 END AS result, 'p' || CAST(l_partkey AS STRING) || '.go' AS file, CAST(l_orderkey * 8 + l_linenumber AS INT) AS line FROM lineitem WHERE l_linenumber >= 3"""
+_PARAMS = "SELECT 'app.f' || CAST(p_partkey AS STRING) AS callee, CAST(0 AS INT) AS index, 10 * p_partkey + 1 AS value, CASE WHEN p_size = 1 THEN '*net/http.Request' ELSE 'string' END AS type FROM part"
+_RETURNS = "SELECT 'app.f' || CAST(p_partkey AS STRING) AS callee, 10 * p_partkey + 7 AS value FROM part"
+
+_SSA = f"""WITH RECURSIVE uses AS ({_USES}), calls AS ({_CALLS}), params AS ({_PARAMS}), returns AS ({_RETURNS}),
+    flow AS MATERIALIZED (SELECT src, dst FROM uses UNION SELECT src, base FROM uses WHERE op = 'Store' AND base IS NOT NULL UNION SELECT arg, result FROM calls WHERE callee IN ('strings.Join', 'fmt.Sprintf')),
+    enter AS MATERIALIZED (SELECT DISTINCT arg AS src, value AS dst, site FROM calls JOIN params USING (callee, index)),
+    leave AS MATERIALIZED (SELECT DISTINCT value AS src, result AS dst, site FROM calls JOIN returns USING (callee)),
+    p2(entry, here) AS (SELECT dst, dst FROM enter WHERE (dst // 10) % 3 = 2 UNION SELECT entry, dst FROM p2 JOIN flow ON src = here),
+    s2 AS MATERIALIZED (SELECT DISTINCT e.src, l.dst FROM p2 JOIN leave l ON l.src = here JOIN enter e ON e.dst = entry AND e.site = l.site), with2 AS MATERIALIZED (SELECT * FROM flow UNION SELECT * FROM s2),
+    p1(entry, here) AS (SELECT dst, dst FROM enter WHERE (dst // 10) % 3 = 1 UNION SELECT entry, dst FROM p1 JOIN with2 ON src = here),
+    s1 AS MATERIALIZED (SELECT DISTINCT e.src, l.dst FROM p1 JOIN leave l ON l.src = here JOIN enter e ON e.dst = entry AND e.site = l.site), same AS MATERIALIZED (SELECT * FROM with2 UNION SELECT * FROM s1),
+    moves AS MATERIALIZED (SELECT src, dst, i AS a, i AS b FROM same, (VALUES (0), (1)) v(i) UNION SELECT src, dst, i, 1 FROM enter, (VALUES (0), (1)) v(i) UNION SELECT src, dst, 0, 0 FROM leave),
+    r(node, inside, source) AS (SELECT value, 0, 'http.Request parameter' FROM params WHERE type LIKE '%net/http.Request%' UNION SELECT result, 0, 'os.Getenv' FROM calls WHERE callee = 'os.Getenv'
+      UNION SELECT dst, b, source FROM r JOIN moves ON src = node AND a = inside)
+    SELECT file, line, 'SQL_INJECTION' AS kind, min(source) AS source, 4 AS severity, 'CWE-89' AS cwe, '[SSA-TAINT-SQL_INJECTION] untrusted data from ' || min(source) || ' reaches SQL query execution across function boundaries without sanitization' AS message,
+      {literal(flow.SINKS[0][4])} AS fix FROM calls JOIN r ON arg = node WHERE callee LIKE '%database/sql%' GROUP BY file, line"""
+
+
+@query("ssa_taint", _SSA)
+def ssa_taint(spark, sf):
+    from ..plans.store import stored
+
+    li, parts = S.table(spark, sf, "lineitem"), S.table(spark, sf, "part")
+    uses, calls = (spark.sql(q.replace("FROM lineitem", "FROM {t}"), t=li) for q in (_USES, _CALLS))
+    params, returns = (spark.sql(q.replace("FROM part", "FROM {t}"), t=parts) for q in (_PARAMS, _RETURNS))
+    edges = stored(flow.use_edges(uses).unionByName(flow.call_edges(calls, params, returns)).distinct(), "flow-edges")
+    reached = flow.reach(flow.seeds(calls, params), edges, lambda df: stored(df, "flow"))
+    return flow.findings(reached, calls)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revspark.functions import text as T
-from revspark.operators import assist, budget, diff, responses, symbols, taint
+from revspark.operators import assist, budget, diff, flow, responses, symbols, taint
 from revspark.plans.review import Review, ask, echo_provider
 from revspark.plans.store import stored
 from revspark.sources import files, git
@@ -116,6 +116,65 @@ def test_reachability(spark):
         assert got == set(want.items())
 
 
+def matched(edges, seeds):
+    """Values reached on paths whose returns match their calls, by closing the relation of balanced paths over all pairs of values."""
+    nodes = {x for a, b, *_ in edges for x in (a, b)} | set(seeds)
+    same = {(x, x) for x in nodes} | {(a, b) for a, b, k, _ in edges if k == "flow"}
+    while True:
+        more = {(a, d) for a, b in same for c, d in same if b == c}
+        more |= {(a, x) for a, p, k, s in edges if k == "arg" for r, x, q, t in edges if q == "return" and s == t and (p, r) in same}
+        if more <= same:
+            break
+        same |= more
+    out, todo = {}, [(n, False, s) for n, s in seeds.items()]
+    while todo:
+        node, inside, source = todo.pop()
+        if out.get((node, inside), "~") <= source:
+            continue
+        out[node, inside] = source
+        todo += [(b, inside, source) for a, b in same if a == node]
+        todo += [(b, True, source) for a, b, k, _ in edges if a == node and k == "arg"]
+        todo += [(b, False, source) for a, b, k, _ in edges if a == node and k == "return" and not inside]
+    best = {}
+    for (node, _), source in out.items():
+        best[node] = min(best.get(node, "~"), source)
+    return best
+
+
+def test_matched_calls(spark):
+    """What enters a function at one call leaves at that call alone, also through recursion; sources inside functions go out to all callers."""
+    keep = lambda d: stored(d, "t")
+    one = [(1, 10, "arg", 1), (2, 10, "arg", 2), (10, 11, "flow", None), (11, 3, "return", 1), (11, 4, "return", 2)]
+    schema = "src long, dst long, kind string, site long"
+    for seeds, want in (({1: "s"}, {1, 10, 11, 3}), ({2: "s"}, {2, 10, 11, 4}), ({11: "s"}, {11, 3, 4})):
+        got = flow.reach(spark.createDataFrame(list(seeds.items()), "node long, source string"), spark.createDataFrame(one, schema), keep).collect()
+        assert {x["node"] for x in got} == want == set(matched(one, seeds))
+    r = random.Random(7)
+    for _ in range(2):
+        edges = [(r.randrange(24), r.randrange(24), r.choice(["flow", "flow", "arg", "return"]), r.randrange(4)) for _ in range(34)]
+        seeds = {0: "b", 1: "a", 2: "c"}
+        got = flow.reach(spark.createDataFrame(list(seeds.items()), "node long, source string"), spark.createDataFrame(edges, schema), keep)
+        assert {x["node"]: x["source"] for x in got.collect()} == matched(edges, seeds)
+
+
+def test_calls_by_name(spark):
+    """Sanitizers and sinks pass nothing on, helpers pass to their result, known functions are entered at the first place of a value, others end the flow."""
+    calls = spark.createDataFrame(
+        [(1, "fmt.Sprintf", 0, 1, 2), (2, "app.f", 0, 2, 5), (2, "app.f", 1, 2, 5), (2, "app.f", 2, 2, 5), (3, "net/url.QueryEscape", 0, 2, 6), (4, "other.g", 0, 2, 7), (5, "(*database/sql.DB).QueryRow", 1, 21, None), (6, "os.Getenv", 0, 9, 8), (7, "flag.Parse", 0, 9, 30), (8, "flag.String", 0, 9, 31), (9, "os/exec.Command", 0, 22, 32), (10, "os.Create", 0, 5, 33)],
+        "site long, callee string, index int, arg long, result long",
+    ).withColumns({"file": F.lit("a.go"), "line": F.col("site").cast("int")})
+    params = spark.createDataFrame([("app.f", 0, 20, "*net/http.Request"), ("app.f", 1, 22, "string")], "callee string, index int, value long, type string")
+    assert {tuple(x) for x in flow.seeds(calls, params).collect()} == {(20, "http.Request parameter"), (8, "os.Getenv"), (31, "command-line flag")}
+    edges = flow.call_edges(calls, params, spark.createDataFrame([("app.f", 21)], "callee string, value long"))
+    assert {tuple(x) for x in edges.collect()} == {(1, 2, "flow", 1), (2, 20, "arg", 2), (21, 5, "return", 2)}
+    uses = spark.createDataFrame([("BinOp", 20, 21, None), ("If", 20, 22, None), ("Store", 20, 40, 41), ("Store", 20, 42, None)], "op string, src long, dst long, base long")
+    every = edges.unionByName(flow.use_edges(uses))
+    reached = flow.reach(spark.createDataFrame([(1, "s")], "node long, source string"), every, lambda d: stored(d, "t"))
+    assert {x["node"] for x in reached.collect()} == {1, 2, 20, 21, 5, 40, 41, 42}
+    assert [(x["line"], x["kind"], x["cwe"]) for x in flow.findings(reached, calls).collect()] == [(5, "SQL_INJECTION", "CWE-89"), (10, "PATH_TRAVERSAL", "CWE-22")]
+    assert flow.findings(reached, calls, 1).count() == 1
+
+
 def test_taint_confidence(spark):
     row = spark.range(1).select(taint.confidence(F.lit("unknown")), taint.confidence(F.lit("os.Args")), taint.confidence(F.lit("x"), F.lit(9))).first()
     assert tuple(row) == (0.6000000000000001, 0.8, 0.0)
