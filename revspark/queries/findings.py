@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import diff
 from ..operators import findings as O
 from ..operators import similar
+from ..sources import git
 from ..sources import synthetic as S
 from . import literal, query
 
@@ -437,9 +438,21 @@ def quality_events(spark, sf):
 
 @query("git_context", "SELECT c_name AS path, array_to_string((list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey))[1:5], ' ') AS recent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")
 def git_context(spark, sf):
-    from pyspark.sql import Window as W
+    last = git.recent(_commits(spark, sf), ["path"], [F.desc("o_orderdate"), "o_orderkey"])
+    return last.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("o_orderkey").cast("string").alias("k")))), lambda x: x["k"]), " ").alias("recent"))
+
+
+def _commits(spark, sf):
+    """Orders as commits, customers as files, nations as changes."""
+    joined = S.table(spark, sf, "orders").join(S.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("path"), "o_orderdate", "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("text"))
 
-    commits = S.table(spark, sf, "orders").join(S.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    n = F.row_number().over(W.partitionBy("c_name").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    last = commits.select(F.col("c_name").alias("path"), "o_orderkey", n.alias("n")).where("n <= 5")
-    return last.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("o_orderkey").cast("string").alias("k")))), lambda x: x["k"]), " ").alias("recent"))
+
+@query(
+    "git_context_text",
+    """SELECT key, chr(10) || '## Git Context' || chr(10) || chr(10) || string_agg('### ' || path || ' \u2014 Recent changes:' || chr(10) || lines || chr(10), '' ORDER BY path) AS text FROM (
+      SELECT key, path, string_agg('  - ' || text || chr(10), '' ORDER BY n) AS lines FROM (SELECT c_nationkey AS key, c_name AS path, o_orderkey || ' ' || o_orderpriority AS text, row_number() OVER (PARTITION BY c_name ORDER BY o_orderdate DESC, o_orderkey) AS n
+        FROM orders JOIN customer ON o_custkey = c_custkey) a WHERE n <= 5 GROUP BY key, path) b GROUP BY key""",
+)
+def git_context_text(spark, sf):
+    return git.context_text(git.recent(_commits(spark, sf), ["path"], [F.desc("o_orderdate"), "o_orderkey"]), "key")

@@ -389,16 +389,67 @@ def test_guards(tmp_path):
     assert git.check_ref("HEAD~1") == "HEAD~1"
 
 
-def test_git(tmp_path):
+@pytest.fixture
+def repository(tmp_path):
+    """Two authors, three commits of f and one of g."""
     import subprocess
 
-    def run(*a):
-        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@example.org", *a], check=True, capture_output=True)
+    def run(*a, who="x"):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", f"user.name={who}", "-c", f"user.email={who}@example.org", *a], check=True, capture_output=True)
 
     run("init", "-q", "-b", "main")
-    (tmp_path / "f").write_text("1\n")
+    (tmp_path / "f").write_text("1\nsame\n")
     run("add", "f")
     run("commit", "-qm", "one")
-    (tmp_path / "f").write_text("2\n")
-    run("commit", "-qam", "two")
-    assert "+2" in git.diff_range(str(tmp_path), "HEAD~1", "HEAD") and git.changed_files(str(tmp_path), "HEAD~1", "HEAD") == ["f"] and len(git.recent_commits(str(tmp_path), "f")) == 2
+    for k, who in ((2, "y"), (3, "x")):
+        (tmp_path / "f").write_text(f"{k}\nsame\n")
+        (tmp_path / "g").write_text("é\n")
+        run("add", "-A")
+        run("commit", "-qam", f"change {k}", who=who)
+    return str(tmp_path)
+
+
+def test_git(repository):
+    assert "+3" in git.diff_range(repository, "HEAD~1", "HEAD") and git.changed_files(repository, "HEAD~2", "HEAD") == ["f", "g"] and len(git.recent_commits(repository, "f")) == 3
+    assert git.blame_authors(repository, "f", 1, 2) == [("x", 2)]
+    for bad in ("../x", "", "a/../../x"):
+        with pytest.raises(ValueError):
+            git.check_path(repository, bad)
+
+
+def requests(repo):
+    blank = dict.fromkeys(["repo", "what", "base", "head", "path", "first", "last"])
+    asked = [{"what": "diff", "base": "HEAD~1", "head": "HEAD"}, {"what": "files", "base": "HEAD~2", "head": "HEAD"}, {"what": "files", "base": "HEAD", "head": "HEAD"}, {"what": "commits", "path": "f"}, {"what": "commits", "path": "../f"},
+        {"what": "blame", "path": "f", "first": 1, "last": 2}, {"what": "blame", "path": "f", "first": 50, "last": 99}, {"what": "diff", "base": "-x", "head": "HEAD"}, {"what": "diff", "base": "nowhere", "head": "HEAD"}, {"what": "diff"}, {"what": "?"}, {"what": "files", "base": "HEAD~1", "head": "HEAD", "repo": f"{repo}/none"}]
+    return [blank | {"repo": repo} | r for r in asked]
+
+
+def answers(rows):
+    return sorted((r["what"], r["base"] or "", r["path"] or "", r["last"] or 0, r["place"], r["n"] or 0, (r["text"] or "")[-8:], r["error"] is not None) for r in rows)
+
+
+def test_git_relation(spark, repository):
+    """All kinds of requests, good and bad, in one table: failures are rows, repeats are answered once."""
+    asked = requests(repository)
+    df = spark.createDataFrame([tuple(r.values()) for r in asked + asked[:2]], git.REQUEST)
+    rows = git.relation(df).collect()
+    errors = [(r["what"], r["base"] or r["path"]) for r in rows if r["error"]]
+    assert sorted(errors, key=str) == sorted([("?", None), ("blame", "f"), ("commits", "../f"), ("diff", None), ("diff", "-x"), ("diff", "nowhere"), ("files", "HEAD~1")], key=str)
+    good = {(r["what"], r["place"]): r for r in rows if not r["error"]}
+    assert set(good) == {("diff", 1), ("files", 1), ("files", 2), ("commits", 1), ("commits", 2), ("commits", 3), ("blame", 1)}
+    assert good["diff", 1]["text"].startswith("diff --git") and good["commits", 1]["text"].endswith("change 3") and (good["blame", 1]["text"], good["blame", 1]["n"]) == ("x", 2)
+    assert git.relation(df.select("repo", "what").where("false")).count() == 0
+    text = git.context_text(git.relation(df).withColumn("key", F.lit(1)).where("what = 'commits'"), "key").first()["text"]
+    assert text.startswith("\n## Git Context\n\n### f \u2014 Recent changes:\n  - ") and text.count("  - ") == 3 and text.endswith("one\n\n")
+
+
+def test_git_source(spark, repository):
+    """The data source gives the same rows, one partition a request; equalities on the request's fields leave the other requests alone."""
+    asked = requests(repository)
+    git.register(spark)
+    df = spark.read.format("git").option("requests", json.dumps(asked)).load()
+    assert answers(df.collect()) == answers(git.relation(spark.createDataFrame([tuple(r.values()) for r in asked], git.REQUEST)).collect())
+    assert df.rdd.getNumPartitions() == len(asked)
+    some = df.where(F.col("what").isin("commits", "blame") & (F.col("path") == "f") & (F.col("place") < 3))
+    assert some.rdd.getNumPartitions() == 3 and sorted((r["what"], r["place"]) for r in some.collect()) == [("blame", 0), ("blame", 1), ("commits", 1), ("commits", 2)]
+    assert spark.read.format("git").load().count() == 0
