@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..schemas import severity_name
+from ..sources.files import clean_path
 from .diff import lines_of
 from .responses import filter_verdict, json_array, json_object
 
@@ -46,6 +48,42 @@ def context_lines(hunks: DataFrame, n: int = 3) -> DataFrame:
     return hunks.where("new_start > 1").select("diff_id", "file_idx", "path", "hunk_idx", F.explode(before).alias("line"))
 
 
+_HUNK = r"@@ -([0-9]+),?[0-9]* \+([0-9]+),?[0-9]* @@"
+
+
+def with_context(diffs: DataFrame, contents: DataFrame, n: int = 10, merge: bool = False) -> DataFrame:
+    """diffs (diff_id, raw, ...) with enriched: the text with up to n lines of the old file before each hunk, numbered.
+
+    contents: diff_id, path, content of the files; a file that is missing, too short or outside the repository adds nothing. Lines have their true numbers.
+    merge: lines that the hunk before already shows, or its own context, aren't shown again. A null text stays null.
+
+    Hunks and file lines meet in cells of n lines, so that a hunk is compared with the lines of two cells, not with its file.
+    """
+    parts = diffs.where("raw is not null").select("diff_id", F.posexplode(F.split("raw", r"(?dm)^(?=\+\+\+ b/)", -1)).alias("part", "text"))
+    file = F.when(F.startswith("text", F.lit("+++ b/")), F.regexp_extract("text", r"(?d)\A\+\+\+ b/(.*)", 1)).otherwise("")
+    pieces = parts.select("diff_id", "part", file.alias("path"), F.posexplode(F.split("text", rf"(?dm)^(?={_HUNK})", -1)).alias("piece", "text"))
+    start = F.when(F.rlike("text", F.lit(rf"(?d)\A{_HUNK}")) & (F.col("path") != "") & ~F.contains(clean_path(F.col("path")), F.lit("..")), F.regexp_extract("text", rf"(?d)\A{_HUNK}", 1).cast("long"))
+    first = F.greatest(F.lit(1), F.col("start") - n)
+    pieces = pieces.withColumn("start", start)
+    if merge:
+        # What a hunk shows of the old file: as many lines as it has context and removed lines.
+        shown = F.regexp_count("text", F.lit(r"(?dm)^[ -]"))
+        end = F.lag(F.col("start") + shown).over(W.partitionBy("diff_id", "part").orderBy("piece"))
+        first = F.greatest(first, F.coalesce(end, F.lit(1)))
+    asked = pieces.withColumn("first", first).where("first < start").select("diff_id", "part", "piece", "path", "first", "start")
+    wanted = asked.select("*", F.explode(F.sequence(F.floor(F.col("first") / n), F.floor((F.col("start") - 1) / n))).alias("cell"))
+    lines = contents.join(asked.select("diff_id", "path").distinct(), ["diff_id", "path"], "left_semi").select("diff_id", "path", F.posexplode(lines_of(F.regexp_replace("content", r"\n\z", ""))).alias("line", "code"))
+    lines = lines.withColumn("line", F.col("line") + 1).withColumn("cell", F.floor(F.col("line") / n))
+    got = wanted.join(lines, ["diff_id", "path", "cell"]).where("line between first and start - 1")
+    code = F.format_string("  %d | %s\n", "line", "code")
+    blocks = got.groupBy("diff_id", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("line", code.alias("row")))).alias("rows"))
+    head = F.format_string("\n--- Context before (lines %d-%d) ---\n", F.col("rows")[0]["line"], F.element_at("rows", -1)["line"])
+    blocks = blocks.select("diff_id", "part", "piece", F.concat(head, F.array_join("rows.row", "")).alias("block"))
+    whole = pieces.join(blocks, ["diff_id", "part", "piece"], "left").select("diff_id", F.struct("part", "piece", F.concat(F.coalesce("block", F.lit("")), "text").alias("text")).alias("p"))
+    texts = whole.groupBy("diff_id").agg(F.array_join(F.array_sort(F.collect_list("p"))["text"], "").alias("enriched"))
+    return diffs.join(texts, "diff_id", "left")
+
+
 def validation_prompt() -> Column:
     """What is asked about a finding (with its code_context) before it is kept."""
     return F.format_string(

@@ -5,11 +5,15 @@ Everything is keyed by diff_id, so that one partitioning by it can serve a chain
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, looks_like_code, message_overlap
+from ..plans.store import stored
 from ..schemas import SEVERITIES, parse_severity, severity_name
 
 DOUBLE = "double"
@@ -35,17 +39,47 @@ def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def recall(questions: DataFrame, memory: DataFrame, question: str, entry: str, k: int) -> DataFrame:
+def recall(questions: DataFrame, memory: DataFrame, question: str, entry: str, k: int, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """(question, entry, score, place): the k entries of memory that share most distinct words with each question's text.
 
-    Both sides have an id column and text; rows of one id count together. Ties go to the least entry. The join is on the
-    word, with one row for each word of an entry, and is aggregated before it is ranked.
+    Both sides have an id column and text; rows of one id count together; null texts have no words. Ties go to the least entry.
+
+    A question's words are looked up rarest first, in rounds of those that at most four times as many entries have as the rarest one left. An entry that none of them found shares at most the
+    words that are left; once the k-th best entry has more than that already, the common words are never joined. Of the entries found only
+    those that could still be among the k are compared whole.
     """
 
     def words(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, F.explode(F.split(F.lower("text"), " ")).alias("_word")).where("_word <> ''").distinct()
 
-    score = words(questions, question).join(words(memory, entry), "_word").groupBy(question, entry).agg(F.count("*").alias("score"))
+    entries = keep(words(memory, entry), "recall-entries")
+    often = entries.groupBy("_word").agg(F.count("*").alias("_n"))
+    asked = words(questions, question).join(often, "_word")  # words that no entry has don't matter
+    ordered = asked.groupBy(question).agg(F.array_sort(F.collect_list(F.struct("_n", "_word"))).alias("_words"))
+    ordered = keep(ordered.select(question, "_words", F.size("_words").alias("_left"), F.lit(0).alias("_done")), "recall-questions")
+    open_, parts = ordered, []
+    while not open_.isEmpty():
+        rest = F.slice("_words", F.col("_done") + 1, F.col("_left"))
+        step = F.size(F.filter(rest, lambda w: w["_n"] <= 4 * F.get("_words", F.col("_done"))["_n"]))
+        open_ = open_.withColumn("_step", step)
+        now = open_.select(question, F.explode(F.slice("_words", F.col("_done") + 1, F.col("_step"))).alias("_w")).select(question, F.col("_w._word").alias("_word"))
+        parts.append(keep(now.join(entries, "_word").groupBy(question, entry).agg(F.count("*").alias("score")), "recall-scores"))
+        found = reduce(DataFrame.unionByName, parts).groupBy(question, entry).agg(F.sum("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy(question).orderBy(F.desc("score")))
+        kth = found.withColumn("_r", rank).where(F.col("_r") == k).select(question, F.col("score").alias("_kth"))
+        moved = open_.select(question, "_words", (F.col("_left") - F.col("_step")).alias("_left"), (F.col("_done") + F.col("_step")).alias("_done"))
+        judged = keep(moved.join(kth, question, "left").withColumn("_kth", F.coalesce("_kth", F.lit(0))), "recall-judged")
+        parts_done = judged.where("_left = 0 or _kth > _left").select(question, "_words", "_left", "_kth")
+        settled = parts_done if len(parts) == 1 else settled.unionByName(parts_done)
+        open_ = judged.where("_left > 0 and _kth <= _left").select(question, "_words", "_left", "_done")
+    if not parts:
+        return ordered.select(question, F.lit(None).cast(memory.schema[entry].dataType).alias(entry), F.lit(0).cast("long").alias("score"), F.lit(0).alias("place"))
+    found = reduce(DataFrame.unionByName, parts).groupBy(question, entry).agg(F.sum("score").alias("score"))
+    close = found.join(settled, question).where(F.col("score") + F.col("_left") >= F.col("_kth"))
+    rest = F.slice("_words._word", F.size("_words") - F.col("_left") + 1, F.col("_left"))
+    whole = entries.groupBy(entry).agg(F.collect_list("_word").alias("_has"))
+    exact = close.where("_left > 0").join(whole, entry).select(question, entry, (F.col("score") + F.size(F.array_intersect(rest, "_has"))).alias("score"))
+    score = exact.unionByName(close.where("_left = 0").select(question, entry, "score"))
     place = F.row_number().over(W.partitionBy(question).orderBy(F.desc("score"), entry))
     return score.withColumn("place", place).where(F.col("place") <= k)
 

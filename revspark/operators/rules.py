@@ -23,6 +23,10 @@ PRONE_TO_FALSE_ALARMS = ["COR-GO-001", "COR-GO-002", "PERF-GO-003", "PERF-PY-001
 CONFIRMING_WORDS = ["without", "unsanitized", "injection", "traversal", "hardcoded", "disabled", "deprecated"]
 
 
+#: In place of a language: rules of all languages.
+EVERY = "*"
+
+
 def detect_language(path: Column) -> Column:
     """The language of a file name, `any` for unknown ones."""
     name = F.lower(path)
@@ -65,12 +69,12 @@ def rules_table(spark, rules: list[Rule] = RULES) -> DataFrame:
 def scan(rows: DataFrame, language: str | None = None, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """rows joined with the rules that their text matches, one row each.
 
-    language: only rules of it and of any language. None: each row's `language` column decides.
+    language: only rules of it and of any language; EVERY: all given rules. None: each row's `language` column decides.
     Lines that match nothing leave in the scan; only hits meet the catalogue.
     """
     order = {r.rule_id: k for k, r in enumerate(rules)}
     if language is not None:
-        chosen = [r for r in rules if r.language in (language.lower(), "any")]
+        chosen = [r for r in rules if language == EVERY or r.language in (language.lower(), "any")]
         hits = _hits(F.col(text), chosen, order)
     else:
         parts = [F.when(F.col("language") == name, _hits(F.col(text), [r for r in rules if r.language == name], order)) for name in dict.fromkeys(r.language for r in rules) if name != "any"]

@@ -11,26 +11,64 @@ from ..functions.regex import java_pattern
 from ..functions.text import leading_spaces
 
 # Symbol patterns by file ending, first match first, as (pattern, kind).
-_TS_TAIL = [
-    (r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
-    (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(", "function"),
-    (r"^(?:export\s+)?const\s+(\w+)", "const"),
-]
-_CLASS = (r"^(?:export\s+)?class\s+(\w+)", "class")
-_PUB = r"^(?:pub(?:\([^)]*\))?\s+)?"
-_ACCESS = r"(?:public|private|protected)?\s*"
 PATTERNS = {
     ".go": [
-        (r"^func\s+\(\s*\w+\s+\*?(\w+)\)\s+(\w+)\s*\(", "method"), (r"^func\s+(\w+)\s*\(", "function"), (r"^type\s+(\w+)\s+struct\b", "type"),
-        (r"^type\s+(\w+)\s+interface\b", "type"), (r"^type\s+(\w+)\s+", "type"), (r"^var\s+(\w+)\s", "var"), (r"^const\s+(\w+)\s", "const"),
+        (r"^func\s+\(\s*\w+\s+\*?(\w+)\)\s+(\w+)\s*\(", "method"),
+        (r"^func\s+(\w+)\s*\(", "function"),
+        (r"^type\s+(\w+)\s+struct\b", "type"),
+        (r"^type\s+(\w+)\s+interface\b", "type"),
+        (r"^type\s+(\w+)\s+", "type"),
+        (r"^var\s+(\w+)\s", "var"),
+        (r"^const\s+(\w+)\s", "const"),
     ],
-    ".py": [(r"^class\s+(\w+)", "class"), (r"^async\s+def\s+(\w+)", "function"), (r"^\s{4}async\s+def\s+(\w+)", "method"), (r"^def\s+(\w+)", "function"), (r"^\s{4}def\s+(\w+)", "method")],
-    ".ts": [_CLASS, (r"^(?:export\s+)?interface\s+(\w+)", "type"), (r"^(?:export\s+)?type\s+(\w+)\s*=", "type"), *_TS_TAIL],
-    ".js": [_CLASS, *_TS_TAIL],
-    ".rs": [(_PUB + r"fn\s+(\w+)", "function"), (_PUB + r"struct\s+(\w+)", "type"), (_PUB + r"enum\s+(\w+)", "type"), (_PUB + r"trait\s+(\w+)", "type"), (r"^impl(?:<[^>]*>)?\s+(\w+)", "type")],
-    ".java": [("^" + _ACCESS + r"(?:static\s+)?class\s+(\w+)", "class"), ("^" + _ACCESS + r"interface\s+(\w+)", "type"), (r"^\s+" + _ACCESS + r"(?:static\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\(", "method")],
-}
-PATTERNS |= {".tsx": PATTERNS[".ts"], ".jsx": PATTERNS[".js"]}
+    ".py": [
+        (r"^class\s+(\w+)", "class"),
+        (r"^async\s+def\s+(\w+)", "function"),
+        (r"^\s{4}async\s+def\s+(\w+)", "method"),
+        (r"^def\s+(\w+)", "function"),
+        (r"^\s{4}def\s+(\w+)", "method"),
+    ],
+    ".ts": [
+        (r"^(?:export\s+)?class\s+(\w+)", "class"),
+        (r"^(?:export\s+)?interface\s+(\w+)", "type"),
+        (r"^(?:export\s+)?type\s+(\w+)\s*=", "type"),
+        (r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)", "const"),
+    ],
+    ".tsx": [
+        (r"^(?:export\s+)?class\s+(\w+)", "class"),
+        (r"^(?:export\s+)?interface\s+(\w+)", "type"),
+        (r"^(?:export\s+)?type\s+(\w+)\s*=", "type"),
+        (r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)", "const"),
+    ],
+    ".js": [
+        (r"^(?:export\s+)?class\s+(\w+)", "class"),
+        (r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)", "const"),
+    ],
+    ".jsx": [
+        (r"^(?:export\s+)?class\s+(\w+)", "class"),
+        (r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(", "function"),
+        (r"^(?:export\s+)?const\s+(\w+)", "const"),
+    ],
+    ".rs": [
+        (r"^(?:pub(?:\([^)]*\))?\s+)?fn\s+(\w+)", "function"),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "type"),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "type"),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)", "type"),
+        (r"^impl(?:<[^>]*>)?\s+(\w+)", "type"),
+    ],
+    ".java": [
+        (r"^(?:public|private|protected)?\s*(?:static\s+)?class\s+(\w+)", "class"),
+        (r"^(?:public|private|protected)?\s*interface\s+(\w+)", "type"),
+        (r"^\s+(?:public|private|protected)?\s*(?:static\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\(", "method"),
+    ],
+}
 
 
 def symbol_of(line: Column, ending: str) -> Column:

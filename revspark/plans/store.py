@@ -64,6 +64,11 @@ def release(*tables: DataFrame | None) -> None:
             _delete(_made.pop(path), path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared folder that a query made for itself."""
+    _delete(spark, path)
+
+
 def release_part(table: DataFrame, part: str) -> None:
     """Deletes one part, `column=value`, of a table stored in parts; what is still read of it must leave that part out."""
     path = getattr(table, "_stored_at", None)

@@ -101,6 +101,24 @@ def context_enrich(spark, sf):
     return A.context_lines(diff.hunks(S.diffs(spark, sf))).select("diff_id", "hunk_idx", "line")
 
 
+_OLD = "'old ' || CAST(k AS STRING) || ' of ' || CAST(diff_id AS STRING)"
+
+
+@query(
+    "context_enrich_text",
+    f"""SELECT diff_id, 'diff --git a/' || path || ' b/' || path || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || string_agg(block || head || body, chr(10) ORDER BY hunk) AS enriched FROM (
+      SELECT diff_id, path, hunk, '@@ -' || old_start || ',' || count(*) FILTER (mark <> '+') || ' +' || new_start || ',' || count(*) FILTER (mark <> '-') || ' @@ part ' || hunk || chr(10) AS head, string_agg(mark || text, chr(10) ORDER BY n) AS body,
+        CASE WHEN hunk = 0 THEN chr(10) || '--- Context before (lines ' || greatest(1, old_start - 10) || '-' || (old_start - 1) || ') ---' || chr(10) ||
+          list_aggregate(list_transform(generate_series(greatest(1, old_start - 10), old_start - 1), lambda k : '  ' || k || ' | ' || {_OLD} || chr(10)), 'string_agg', '') ELSE '' END AS block
+      FROM {{l}} t GROUP BY diff_id, path, hunk, old_start, new_start) u GROUP BY diff_id, path""",
+)
+def context_enrich_text(spark, sf):
+    """Files of 24 lines: the first hunk has lines before it, the second lies beyond the end."""
+    d = S.diffs(spark, sf)
+    code = F.expr(f"array_join(transform(sequence(1, 24), k -> {_OLD}), '\n')")
+    return A.with_context(d, d.select("diff_id", F.expr(S.PATH).alias("path"), code.alias("content"))).select("diff_id", "enriched")
+
+
 @query("parse_fix_response", "SELECT p_partkey, 'x := ' || CAST(p_partkey AS STRING) AS fixed_code, 'because' AS explanation FROM part WHERE p_partkey % 3 > 0")
 def parse_fix_response(spark, sf):
     text = F.expr("case when p_partkey % 3 = 0 then 'sorry' else 'FIXED: x := ' || cast(p_partkey as string) || char(10) || 'EXPLANATION: because' end")

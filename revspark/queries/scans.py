@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, flow, rules, taint
+from ..operators import diff, flow, rules, rulesets, taint
 from ..rules_catalog import RULES
 from ..schemas import SEVERITIES
 from ..sources import synthetic as S
@@ -35,6 +35,12 @@ def diff_rule_scan(spark, sf):
     return hits.select("diff_id", "file", "line", *COLUMNS)
 
 
+@query("rule_rows_scan", rule_sql(ADDED, "text", GO, "diff_id, file, line"))
+def rule_rows_scan(spark, sf):
+    hits = rulesets.scan(diff.added_lines(S.diffs(spark, sf)), rulesets.as_rows(spark, RULES), "go")
+    return hits.select("diff_id", "file", "line", "rule_id", "severity", "category", "cwe", "confidence")
+
+
 @query("static_scan", rule_sql(f"(SELECT * FROM {ADDED} b WHERE file LIKE '%.go')", "text", GO, "diff_id, file, line") + " UNION ALL " + rule_sql(f"(SELECT * FROM {ADDED} b WHERE file LIKE '%.py')", "text", [r for r in RULES if r.language in ("python", "any")], "diff_id, file, line") + " UNION ALL " + rule_sql(f"(SELECT * FROM {ADDED} b WHERE file LIKE '%.js')", "text", [r for r in RULES if r.language in ("javascript", "any")], "diff_id, file, line"))
 def static_scan(spark, sf):
     rows = diff.added_lines(S.diffs(spark, sf)).withColumn("language", rules.detect_language(F.col("file")))
@@ -47,11 +53,7 @@ SECRETS = [r for r in RULES if r.rule_id in ("SEC-GO-004", "SEC-PY-007", "SEC-JS
 @query("secret_scan_documents", rule_sql("{dl}", "text", SECRETS, "doc_id, CAST(line AS INT) AS line"))
 def secret_scan_documents(spark, sf):
     docs = S.documents(spark, sf).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    hits = None
-    for r in SECRETS:
-        got = rules.scan(diff.source_lines(docs), r.language, [r])
-        hits = got if hits is None else hits.unionByName(got)
-    return hits.select(F.col("path").alias("doc_id"), "line", *COLUMNS)
+    return rules.scan(diff.source_lines(docs), rules.EVERY, SECRETS).select(F.col("path").alias("doc_id"), "line", *COLUMNS)
 
 
 JAVASCRIPT = [r for r in RULES if r.language in ("javascript", "any")]

@@ -135,20 +135,45 @@ def sast_prompt(spark, sf):
     return sast_section(S.findings(spark, sf).where("sast_source"))
 
 
-@query("incremental_cursor", "SELECT user_id, max(ts) AS cursor, count(*) AS seen FROM events GROUP BY user_id")
-def incremental_cursor(spark, sf):
-    """Streams the events through the incremental module: each batch leaves its users' last times, which are merged."""
+def _scratch(spark) -> str:
     import uuid
 
     from ..plans.store import shared_dir
+
+    return f"{shared_dir(spark)}/cursor-{uuid.uuid4().hex}"
+
+
+def _events(spark, sf):
+    """The events as a stream, whether they are a file or a folder of files: a pattern may name either, a plain path only a folder."""
+    return spark.readStream.schema(S.table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+
+
+@query("incremental_cursor", "SELECT user_id, max(ts) AS cursor, count(*) AS seen FROM events GROUP BY user_id")
+def incremental_cursor(spark, sf):
+    """Streams the events through the incremental module: each batch leaves its users' last times, which are merged."""
+    from ..plans.store import discard, stored
     from ..streaming import incremental
 
-    folder = f"{shared_dir(spark)}/cursor-{uuid.uuid4().hex}"
-    schema = S.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    seen = incremental.review(stream, lambda batch: batch.groupBy("user_id").agg(F.max("ts").alias("cursor"), F.count("*").alias("seen")), f"{folder}/out", f"{folder}/checkpoint")
+    folder = _scratch(spark)
+    seen = incremental.review(_events(spark, sf), lambda batch: batch.groupBy("user_id").agg(F.max("ts").alias("cursor"), F.count("*").alias("seen")), f"{folder}/out", f"{folder}/checkpoint")
     seen.awaitTermination()
-    return incremental.cursors(spark, f"{folder}/out", "user_id")
+    out = stored(incremental.cursors(spark, f"{folder}/out", "user_id"), "cursors")
+    discard(spark, folder)
+    return out
+
+
+@query("cursor_state", "SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS seq, CAST(arg_max(event_id * 7, event_id) AS VARCHAR) AS head FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def cursor_state(spark, sf):
+    """Events as outcomes of reviews, errors as failed ones: the cursors that the stream's state holds in the end."""
+    from ..plans.store import discard, stored
+    from ..streaming import cursors
+
+    folder = _scratch(spark)
+    outcomes = _events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") * 7).cast("string").alias("head"), (F.col("event_type") != "error").alias("ok"))
+    cursors.resolved(None, outcomes).writeStream.format("noop").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = stored(cursors.known(spark, f"{folder}/checkpoint"), "cursors")
+    discard(spark, folder)
+    return out
 
 
 @query("blame_author_counts", "SELECT c_name AS author, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")

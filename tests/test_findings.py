@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from revspark.functions import text as T
 from revspark.operators import findings as O
 from revspark.operators import similar
+from revspark.plans.store import stored
 from revspark.schemas import FINDING
 
 BASE = {"diff_id": 1, "seq": 0, "concern": "security", "severity": 2, "file": "a.go", "line": 1, "end_line": 0, "message": "m", "fix": "", "reasoning": "", "cwe": "", "confidence": 0.5, "sast_source": False}
@@ -204,3 +205,30 @@ def test_match_cwe(spark, message, fix, want):
 def test_jaccard_of_nothing(spark):
     row = spark.range(1).select(T.jaccard(T.word_set(F.lit(" . ")), T.word_set(F.lit(""))), T.jaccard(T.word_set(F.lit("a")), T.word_set(F.lit("")))).first()
     assert tuple(row) == (1.0, 0.0)
+
+
+def test_recall(spark):
+    """The best entries by shared words, as counted for every pair; the words that most entries have are hardly joined."""
+    r = random.Random(3)
+    common, rare = [f"the{k}" for k in range(8)], [f"w{k}" for k in range(300)]
+    families = [r.choices(rare, k=14) for _ in range(50)]
+    texts = [" ".join(r.sample(common, 7) + r.sample(families[k % 50], 12)) for k in range(300)]
+    asked = [" ".join(common + families[k] + ["new"]) for k in range(40)] + ["", None, "only new words", " ".join(common), "the1 the1 w3"]
+    memory = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "entry long, text string")
+    questions = spark.createDataFrame(list(enumerate(asked)), "question long, text string")
+    joined = []
+
+    def keep(df, what):
+        df = stored(df, what)
+        if what == "recall-scores":
+            joined.append(df.agg(F.sum("score")).first()[0] or 0)
+        return df
+
+    got = {(x["question"], x["place"]): (x["entry"], x["score"]) for x in O.recall(questions, memory, "question", "entry", 5, keep).collect()}
+    want, pairs = {}, 0
+    for q, t in enumerate(asked):
+        scores = [(-len(set((t or "").split()) & set(e.split())), k) for k, e in enumerate(texts)]
+        pairs -= sum(s for s, _ in scores)
+        want |= {(q, p): (k, -s) for p, (s, k) in enumerate(sorted(x for x in scores if x[0])[:5], 1)}
+    assert got == want and sum(joined) < pairs / 3
+    assert O.recall(questions.where("false"), memory, "question", "entry", 5).count() == 0 and O.recall(questions, memory.where("false"), "question", "entry", 5).count() == 0

@@ -12,7 +12,7 @@ from revspark.operators import assist, budget, diff, flow, responses, symbols, t
 from revspark.plans.review import Review, ask, echo_provider
 from revspark.plans.store import stored
 from revspark.sources import files, git
-from revspark.streaming import incremental
+from revspark.streaming import cursors, incremental
 
 
 def track(spark, *rows, file="a.go"):
@@ -453,3 +453,47 @@ def test_git_source(spark, repository):
     some = df.where(F.col("what").isin("commits", "blame") & (F.col("path") == "f") & (F.col("place") < 3))
     assert some.rdd.getNumPartitions() == 3 and sorted((r["what"], r["place"]) for r in some.collect()) == [("blame", 0), ("blame", 1), ("commits", 1), ("commits", 2)]
     assert spark.read.format("git").load().count() == 0
+
+
+def test_cursors(spark, repository, tmp_path):
+    """A cursor moves to the head of a review that was written and good, also of an empty range; it stays when a review fails, and a batch that fails is seen again."""
+    heads = [git._git(repository, "rev-parse", r).strip() for r in ("HEAD~2", "HEAD~1", "HEAD")]
+    inbox, out, point = (str(tmp_path / n) for n in ("inbox", "out", "point"))
+    asked = []
+
+    def judge(ok):
+        return lambda changed: changed.select("key", "seq", F.lit(ok).alias("ok"), F.concat(F.lit("seen "), F.regexp_count("raw", F.lit("diff --git")).cast("string")).alias("report"))
+
+    def run(reviewer, *requests):
+        asked.extend(requests)
+        spark.createDataFrame([(repository if k == "r" else k, len(asked), heads[0], h) for k, h in requests], cursors.REQUEST).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(cursors.REQUEST).parquet(inbox)
+        cursors.follow(stream, cursors.ranges(reviewer), out, point).awaitTermination()
+        rows = spark.read.parquet(f"{out}/reviews").where(F.col("seq") == len(asked)).orderBy("key").collect()
+        return [(r["ok"], r["report"]) for r in rows]
+
+    assert run(judge(True), ("r", heads[1])) == [(True, "seen 2")]
+    assert run(judge(False), ("r", heads[2])) == [(False, "seen 1")]  # from heads[1]: only f changed
+    assert [tuple(x)[1:] for x in cursors.known(spark, point).collect()] == [(1, heads[1])]
+    with pytest.raises(Exception):
+        run(lambda changed: changed.select(F.raise_error(F.lit("broken")).alias("key"), "seq", F.lit(True).alias("ok"), F.lit("").alias("report")), ("r", heads[2]))
+    assert run(judge(True), ("/none", heads[2]))[0][0] is False  # the failed batch is seen again first, and is good now
+    assert run(judge(True), ("r", heads[2])) == [(True, cursors.UNCHANGED)]
+    assert run(judge(True), ("r", heads[2])) == [(True, cursors.UNCHANGED)]
+    assert [tuple(x)[1:] for x in cursors.known(spark, point).collect()] == [(5, heads[2])]
+
+
+def test_context_text(spark):
+    """Numbered lines of the old file stand before each hunk of a known file; overlaps are shown once if asked for."""
+    raw = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -3,2 +3,2 @@\n l3\n-l4\n+x\n@@ -8 +8 @@ f()\n-l8\n+y\n--- a/g\n+++ b/g\n@@ -2 +2 @@\n-z\n--- a/../h\n+++ b/../h\n@@ -2 +2 @@\n-z"
+    diffs = spark.createDataFrame([(1, raw, "k"), (2, None, "k"), (3, "@@ -5 +5 @@\n+a", "k"), (4, "", "k")], "diff_id long, raw string, path string")
+    contents = spark.createDataFrame([(1, "f", "".join(f"l{k}\n" for k in range(1, 10))), (1, "../h", "no\nno\n"), (1, "other", "x"), (2, "f", None)], "diff_id long, path string, content string")
+
+    def block(first, last):
+        return f"\n--- Context before (lines {first}-{last}) ---\n" + "".join(f"  {k} | l{k}\n" for k in range(first, last + 1))
+
+    for merge, from_ in ((False, 1), (True, 5)):
+        got = {r["diff_id"]: r["enriched"] for r in assist.with_context(diffs, contents, 10, merge).collect()}
+        want = raw.replace("@@ -3,2", block(1, 2) + "@@ -3,2").replace("@@ -8", block(from_, 7) + "@@ -8")
+        assert got == {1: want, 2: None, 3: "@@ -5 +5 @@\n+a", 4: ""}
+    assert assist.with_context(diffs, contents.where("false")).where("diff_id = 1").first()["enriched"] == raw

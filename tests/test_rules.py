@@ -1,9 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from revspark.functions.regex import java_pattern
-from revspark.operators import diff, rules
-from revspark.rules_catalog import RULES
+from revspark.operators import diff, rules, rulesets
+from revspark.rules_catalog import RULES, Rule
 
 
 def scan(spark, language, *texts):
@@ -99,3 +102,41 @@ def test_translated_patterns_compile(spark):
     patterns = [p for r in RULES for p in (r.pattern, r.antipattern) if p]
     row = spark.range(1).select(*(F.rlike(F.lit("x = 'y' // test"), F.lit(java_pattern(p))).alias(f"c{k}") for k, p in enumerate(patterns))).first()
     assert len(row) == 117
+
+
+def test_required_strings():
+    """One of the strings stands in every match; patterns that need none, or only short ones, are always run."""
+    assert rulesets.required(r"fmt\.Sprintf\s*\(") == ["fmt.sprintf"]
+    assert rulesets.required(r"(?i)(?:SELECT|Insert)\s") == ["insert", "select"]
+    assert rulesets.required(r"a*foo+bar?") == ["foo"] or rulesets.required(r"a*foo+bar?") is None
+    for pattern in (r"\w+", r"(?:abc)?x", r"abc|\d", r"ab", r"\pL(", "[unclosed"):
+        assert rulesets.required(pattern) is None
+    for r in RULES:
+        for word in rulesets.required(r.pattern) or ():
+            assert word == word.casefold() and len(word) >= rulesets.SHORTEST
+
+
+def test_rules_as_rows(spark):
+    """Rules as rows hit what literal rules hit."""
+    lines = [r.pattern.replace("\\", "") for r in RULES] + ['password = "abcdefgh12"', "exec.Command(x)", 'fmt.Sprintf("SELECT %s", x)', "eval(x)", "", None, "PAſſWORD := \"abcdefgh1\"", "h := md5.New()"]
+    rows = spark.createDataFrame([(k, t, lang) for k, t in enumerate(lines) for lang in ("go", "python", "any")], "k int, text string, language string")
+    table = rulesets.as_rows(spark, RULES)
+    for how in ({}, {"language": "go"}):
+        want = sorted((x["k"], x["language"], x["rule_id"], x["confidence"]) for x in rules.scan(rows, **how).collect())
+        assert sorted((x["k"], x["language"], x["rule_id"], x["confidence"]) for x in rulesets.scan(rows, table, **how).collect()) == want and want
+    assert rulesets.scan(rows, table.where("false")).count() == 0 and rulesets.scan(rows.where("false"), table).count() == 0
+
+
+def test_five_thousand_rules(spark):
+    """The hits of many rules are those of each alone; the expressions that run are few, whatever the number of rules."""
+    r = random.Random(1)
+    patterns = [[rf"\bname{k}\s*\(", rf"(?i)key_{k}|token_{k}x", rf"call{k}\.(?:open|read)\w+", rf'"lit{k}"\s*\+'][k % 4] for k in range(5000)]
+    lines = [" ".join(r.choice([f"name{j} (", f"KEY_{j}", f"call{j}.opens", f'"lit{j}" +', "plain words", f"xname{j}("]) for j in r.sample(range(5000), 4)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, text string")
+    made = [Rule(f"R{k}", "n", "any", "low", "c", "", p, rf"plain.*name{k}" if k % 8 == 0 else None, "d", "f") for k, p in enumerate(patterns)]
+    compiled = [(x.rule_id, re.compile(x.pattern, re.ASCII), x.antipattern) for x in made]
+    want = sorted((k, i) for k, t in enumerate(lines) for i, p, no in compiled if p.search(t) and not (no and re.search(no, t)))
+    got = sorted((x["k"], x["rule_id"]) for x in rulesets.scan(rows, rulesets.as_rows(spark, made), "go").collect())
+    assert got == want and len(want) > 300
+    tried = rulesets.candidates(rows, dict(enumerate(patterns))).agg(F.sum(F.size("rule_nos"))).first()[0]
+    assert len(want) <= tried < 30 * len(lines)
