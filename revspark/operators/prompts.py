@@ -53,3 +53,31 @@ def sast_section(findings: DataFrame, limit: int = 50, evidence: int = 200) -> D
     rows = findings.withColumn("_n", F.row_number().over(W.partitionBy("diff_id").orderBy("seq"))).where(F.col("_n") <= limit)
     line = F.concat(F.lit("- "), "file", F.lit(":"), F.col("line").cast("string"), F.lit(" "), F.substring("message", 1, evidence))
     return rows.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda r: r["t"]), "\n").alias("section"))
+
+
+#: Characters of a diff that a reflection shows, and of its whole prompt; a longer one isn't asked.
+REFLECT_DIFF, REFLECT_PROMPT = 8000, 100_000
+REFLECT_SYSTEM = (
+    "You check findings of a code review against the diff. For each finding answer whether it holds.\n"
+    'Answer with a JSON array of objects with index, action (keep, drop or adjust), severity, score from 1 to 10, message and reason.'
+)
+
+
+def reflect_prompt(findings: DataFrame, diffs: DataFrame) -> DataFrame:
+    """(diff_id, system_prompt, prompt): what is asked about all findings of a diff, numbered from 0 in order of seq, with the diff itself.
+
+    Diffs without findings aren't asked about, nor those whose prompt would be too long.
+    """
+    from pyspark.sql import Window as W
+
+    from ..schemas import severity_name
+
+    index = F.row_number().over(W.partitionBy("diff_id").orderBy("seq")) - 1
+    fix = F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit("   Fix: "), "fix", F.lit("\n"))).otherwise("")
+    line = F.concat(F.format_string("%d. [%s][%s] %s:%d \u2014 %s\n", "_i", severity_name(F.col("severity")), "concern", "file", "line", "message"), fix)
+    rows = findings.withColumn("_i", index).select("diff_id", F.struct("_i", line.alias("t")).alias("r"))
+    listed = rows.groupBy("diff_id").agg(F.array_join(F.array_sort(F.collect_list("r"))["t"], "").alias("_listed"))
+    shown = F.when(F.length("raw") > REFLECT_DIFF, F.concat(F.substring("raw", 1, REFLECT_DIFF), F.lit("\n... (truncated)\n"))).otherwise(F.col("raw"))
+    text = F.concat(F.lit("Check these findings against the diff below.\n\n## Findings\n\n"), "_listed", F.lit("\n## Diff\n\n```diff\n"), shown, F.lit("```\n"))
+    prompts = listed.join(diffs.select("diff_id", F.coalesce("raw", F.lit("")).alias("raw")), "diff_id").select("diff_id", F.lit(REFLECT_SYSTEM).alias("system_prompt"), text.alias("prompt"))
+    return prompts.where(F.length("prompt") <= REFLECT_PROMPT)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff, findings, prompts, responses, rules, taint
+from .answers import Provider, answered
 from .store import stored
 
-#: A provider turns (system prompt, prompt) into an answer; it must be picklable. Failures count as empty answers.
-Provider = Callable[[str, str], str]
 
 
 def echo_provider(system: str, prompt: str) -> str:
@@ -31,7 +30,7 @@ def echo_provider(system: str, prompt: str) -> str:
 
 
 def ask(requests: DataFrame, provider: Provider, parallel: int | None = None) -> DataFrame:
-    """requests (diff_id, concern, system_prompt, prompt) with the provider's answer as content.
+    """requests (system_prompt, prompt, ...) with the answer of the provider, which must be picklable, as content; a failure is an empty answer.
 
     parallel bounds concurrent calls by the number of partitions.
     """
@@ -43,8 +42,8 @@ def ask(requests: DataFrame, provider: Provider, parallel: int | None = None) ->
             for s, t in zip(systems, texts):
                 try:
                     out.append(provider(s, t))
-                except Exception as e:  # one failing call must not fail the corpus
-                    out.append(f"error: {e}")
+                except Exception:  # one failing call must not fail the corpus
+                    out.append("")
             yield pd.Series(out)
 
     rows = requests.repartition(parallel) if parallel else requests
@@ -60,9 +59,25 @@ class Review:
     exclude: list[str] = field(default_factory=lambda: list(rules.DEFAULT_EXCLUDE))
     static: bool = True
     data_flow: bool = True
+    #: Folder of the table of answers; with it, what was asked once isn't asked again.
+    answers: str | None = None
+    #: Whether the provider is asked a second time about all findings, and the score that they need then.
+    second_opinion: bool = False
+    min_score: int = 0
+
+    def ask(self, requests: DataFrame) -> DataFrame:
+        """requests (system_prompt, prompt, ...) with content; empty where the provider failed."""
+        if self.answers is None:
+            return ask(requests, self.provider)
+        return answered(requests, self.provider, self.answers).withColumn("content", F.coalesce("content", F.lit(""))).drop("error")
+
+    def reflect(self, found: DataFrame, diffs: DataFrame) -> DataFrame:
+        """Findings after the provider's second opinion; those of diffs without a readable one stay as they are."""
+        said = self.ask(prompts.reflect_prompt(found, diffs)).select("diff_id", F.posexplode(responses.reflections(F.col("content"))).alias("pos", "r"))
+        return findings.reflect(found, said.select("diff_id", "pos", "r.index", "r.action", "r.severity", "r.score", "r.message"), self.min_score)
 
     def run(self, diffs: DataFrame) -> DataFrame:
-        """Findings of all diffs with rank, exact repeats removed."""
+        """Findings of all diffs with rank, exact repeats removed; with second_opinion, those that it leaves."""
         spark = diffs.sparkSession
         new = stored(diff.new_side(diffs).where(~rules.excluded(F.col("file"), self.exclude)), "review-lines")
         parts = []
@@ -80,9 +95,12 @@ class Review:
             topics = prompts.concerns(spark, self.concerns).select(F.col("name").alias("concern"), "system_prompt")
             topics = [(r["concern"], r["system_prompt"]) for r in topics.collect()]  # a handful by definition
             requests = asked.withColumn("t", F.explode(F.array(*(F.struct(F.lit(c).alias("concern"), F.lit(s).alias("system_prompt")) for c, s in topics)))).select("diff_id", "t.concern", "t.system_prompt", "prompt")
-            got = responses.findings(ask(requests, self.provider))
+            got = responses.findings(self.ask(requests))
             parts.append(got.select("diff_id", F.col("pos").cast("long").alias("seq"), "concern", "severity", "file", "line", "end_line", "message", "fix", "reasoning", "cwe", "confidence", F.lit(False).alias("sast_source")))
-        return findings.ranked(findings.exact_dedup(findings.union(*parts)))
+        found = findings.exact_dedup(findings.union(*parts))
+        if self.provider and self.second_opinion:
+            found = self.reflect(stored(found, "review-findings"), diffs)
+        return findings.ranked(found)
 
     def stats(self, found: DataFrame) -> DataFrame:
         """(diff_id, total, max_severity, failed, avg_confidence, high, low) of diffs with findings."""

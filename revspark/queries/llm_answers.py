@@ -59,6 +59,21 @@ def parse_reflect(spark, sf):
     return S.findings(spark, sf).select("diff_id", "seq", F.explode(R.reflections(text)).alias("r")).select("diff_id", "seq", "r.action", "r.score")
 
 
+@query(
+    "reflect_prompt",
+    f"""SELECT diff_id, 'Check these findings against the diff below.' || chr(10) || chr(10) || '## Findings' || chr(10) || chr(10) || listed || chr(10) || '## Diff' || chr(10) || chr(10) || '```diff' || chr(10) || raw || '```' || chr(10) AS prompt FROM
+    (SELECT diff_id, string_agg(i || '. [' || sev || '][' || concern || '] ' || file || ':' || line || ' \u2014 ' || message || chr(10) || CASE WHEN fix <> '' THEN '   Fix: ' || fix || chr(10) ELSE '' END, '' ORDER BY i) AS listed FROM (
+      SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY seq) - 1 AS i, CASE severity WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS sev FROM {{f}} t) a GROUP BY diff_id) b
+    JOIN (SELECT diff_id, 'diff --git a/' || path || ' b/' || path || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || string_agg(part, chr(10) ORDER BY hunk) AS raw FROM (
+      SELECT diff_id, path, hunk, '@@ -' || old_start || ',' || count(*) FILTER (mark <> '+') || ' +' || new_start || ',' || count(*) FILTER (mark <> '-') || ' @@ part ' || hunk || chr(10) || string_agg(mark || text, chr(10) ORDER BY n) AS part
+      FROM {{l}} t GROUP BY diff_id, path, hunk, old_start, new_start) u GROUP BY diff_id, path) c USING (diff_id)""",
+)
+def reflect_prompt(spark, sf):
+    from ..operators.prompts import reflect_prompt
+
+    return reflect_prompt(S.findings(spark, sf), S.diffs(spark, sf)).select("diff_id", "prompt")
+
+
 @query("parse_eval", "SELECT p_partkey, 'case ' || CAST(p_partkey AS STRING) AS name, 'security' AS concern FROM part")
 def parse_eval(spark, sf):
     text = F.format_string('{"name": "s", "cases": [{"name": "case %d", "diff": "", "expect_findings": [{"concern": "security"}], "deny_findings": []}]}', "p_partkey")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revspark.functions import text as T
 from revspark.operators import assist, budget, diff, flow, responses, symbols, taint
+from revspark.plans import answers as answers_table
 from revspark.plans.review import Review, ask, echo_provider
 from revspark.plans.store import stored
 from revspark.sources import files, git
@@ -497,3 +498,69 @@ def test_context_text(spark):
         want = raw.replace("@@ -3,2", block(1, 2) + "@@ -3,2").replace("@@ -8", block(from_, 7) + "@@ -8")
         assert got == {1: want, 2: None, 3: "@@ -5 +5 @@\n+a", 4: ""}
     assert assist.with_context(diffs, contents.where("false")).where("diff_id = 1").first()["enriched"] == raw
+
+
+class Unsure:
+    """Fails at random but repeatably, by a file that counts its calls for each prompt; prompts with `never` are refused."""
+
+    def __init__(self, folder, share):
+        self.folder, self.share = str(folder), share
+
+    def __call__(self, system, prompt):
+        import hashlib
+
+        name = f"{self.folder}/{hashlib.md5(f'{system}|{prompt}'.encode()).hexdigest()}"
+        with open(name, "a") as f:
+            f.write("x")
+        if "never" in prompt:
+            raise ValueError("refused")
+        with open(name) as f:
+            n = len(f.read())
+        if random.Random(f"{prompt}{n}").random() < self.share:
+            raise TimeoutError("busy")
+        with open(f"{name}.done", "a") as f:
+            f.write("x")
+        return f"{system}:{prompt}"
+
+
+def test_answers_are_kept(spark, tmp_path):
+    """A provider that fails at random ends with the same table as one that doesn't; each request is answered once, a refusal is final, and nothing known is asked again."""
+    import os
+
+    calls, folder = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    rows = [("s", f"p{k % 30}") for k in range(60)] + [("s", "never"), (None, "p1"), ("s", None)]
+    asked = spark.createDataFrame(rows, "system_prompt string, prompt string").withColumn("place", F.monotonically_increasing_id())
+    unsure = Unsure(calls, 0.7)
+    for _ in range(12):
+        got = answers_table.answered(asked, unsure, folder, tries=2, pause=0.0, wave=8).collect()
+        if all(r["content"] is not None or r["prompt"] == "never" for r in got):
+            break
+    assert len(got) == len(rows) and len({r["place"] for r in got}) == len(rows)
+    for r in got:
+        want = None if r["prompt"] == "never" else f"{r['system_prompt'] or ''}:{r['prompt'] or ''}"
+        assert r["content"] == want and (r["error"] == "ValueError: refused") == (want is None)
+    done = [f for f in os.listdir(calls) if f.endswith(".done")]
+    assert len(done) == 32 and all((calls / f).read_text() == "x" for f in done)
+    before = {f: (calls / f).read_text() for f in os.listdir(calls)}
+    assert before[next(f for f in before if f + ".done" not in before and not f.endswith(".done"))] == "x"
+    answers_table.answered(asked, unsure, folder).collect()
+    assert {f: (calls / f).read_text() for f in os.listdir(calls)} == before
+    assert answers_table.answered(asked.where("false"), unsure, folder).count() == 0 and answers_table.known(spark, str(tmp_path / "none")).count() == 0
+
+
+class Second:
+    """Reports open tasks, and drops the first finding when asked again."""
+
+    def __call__(self, system, prompt):
+        return json.dumps([{"index": 0, "action": "drop", "score": 9}, {"index": 1, "action": "adjust", "severity": "critical", "score": 8, "message": "worse"}]) if "Check these findings" in prompt else echo_provider(system, prompt)
+
+
+def test_second_opinion(spark, tmp_path):
+    """With a second opinion the review asks about its findings and follows; without provider or answer it stays as it was."""
+    diffs = spark.createDataFrame([(1, DIFF), (2, "")], "diff_id long, raw string")
+    plain = Review(provider=Second()).run(diffs).orderBy("seq").collect()
+    kept = Review(provider=Second(), second_opinion=True, answers=str(tmp_path / "a")).run(diffs).orderBy("seq").collect()
+    assert [r["seq"] for r in kept] == [r["seq"] for r in plain][1:] and (kept[0]["message"], kept[0]["severity"]) == ("worse", 4)
+    assert len(Review(provider=Second(), second_opinion=True, min_score=9).run(diffs).collect()) == len(plain) - 2
+    assert len(Review(provider=echo_provider, second_opinion=True).run(diffs).collect()) == len(plain)
