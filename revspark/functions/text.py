@@ -122,6 +122,16 @@ def leading_spaces(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, r"\A[ \t]*", 0), "\t", "    "))
 
 
+def cap(text: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.substring(text, 1, n)
+
+
+def indent(text: Column, prefix: str = "  ") -> Column:
+    """A text with `prefix` before each line."""
+    return F.concat(F.lit(prefix), F.replace(text, F.lit("\n"), F.lit(f"\n{prefix}")))
+
+
 def looks_like_code(text: Column) -> Column:
     marks = [":=", "func ", "if ", "for ", "return ", "{", "}", "//", "import", "var ", "const "]
     return reduce(or_, (F.contains(text, F.lit(m)) for m in marks))

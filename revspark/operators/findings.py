@@ -183,10 +183,33 @@ def round2(value: Column) -> Column:
     return F.floor(value * F.lit(100.0).cast(DOUBLE) + F.lit(0.5).cast(DOUBLE)) / F.lit(100.0).cast(DOUBLE)
 
 
-def confidence_stats(findings: DataFrame) -> DataFrame:
-    """(diff_id, avg_confidence, high, low): mean rounded to 2 places, counts from 0.7 and under 0.5."""
-    mean = F.sum("confidence") / F.count("*")
-    return findings.groupBy("diff_id").agg(round2(mean).alias("avg_confidence"), F.count_if(F.col("confidence") >= 0.7).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"))
+def confidence_stats(findings: DataFrame, by: str = "diff_id") -> DataFrame:
+    """(by, avg_confidence, high, low): mean rounded to 2 places, counts from 0.7 and under 0.5.
+
+    Millionths are summed as whole numbers, so that the order of addition doesn't show in the mean.
+    """
+    mean = F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")) / F.lit(1_000_000.0) / F.count("confidence")
+    return findings.groupBy(by).agg(round2(mean).alias("avg_confidence"), F.count_if(F.col("confidence") >= 0.7).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"))
+
+
+def at_least(findings: DataFrame, severity: str) -> DataFrame:
+    """Findings of a severity, by name, or worse ones."""
+    return findings.where(F.col("severity") >= SEVERITIES.index(severity))
+
+
+def first_of_diff(findings: DataFrame, n: int) -> DataFrame:
+    """The first n findings of every diff in the order of seq."""
+    return findings.withColumn("_n", F.row_number().over(W.partitionBy("diff_id").orderBy("seq"))).where(F.col("_n") <= n).drop("_n")
+
+
+def sorted_fixes(fixes: DataFrame) -> DataFrame:
+    """fixes with place from 1 within their diff: by priority, then the surer, then the finding's id."""
+    return fixes.withColumn("place", F.row_number().over(W.partitionBy("diff_id").orderBy("priority", F.desc("confidence"), "finding_id")))
+
+
+def placed(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """rows with place from 1 in an order within their key."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
 
 
 def counts(findings: DataFrame) -> DataFrame:
@@ -305,7 +328,7 @@ def quality_graph(findings: DataFrame, source: str, limit: int = 1000) -> tuple[
     limit = limit if 0 < limit <= 1000 else 1000
     place = F.row_number().over(W.partitionBy("diff_id").orderBy("seq")) - 1
     report = F.concat(F.lit("review/"), digest(F.lit(source), F.col("diff_id").cast("string")))
-    rows = findings.withColumn("_at", place).where(F.col("_at") < limit).withColumn("_report", report)
+    rows = first_of_diff(findings, limit).withColumn("_at", place).withColumn("_report", report)
     own = F.concat(F.lit("finding/"), digest(F.col("_report"), F.col("_at").cast("string"), F.col("concern"), severity_name(F.col("severity")), F.col("file"), F.col("line").cast("string"), F.col("end_line").cast("string"), F.col("message"), F.col("fix"), F.col("reasoning"), F.col("cwe")))
     rows = rows.withColumn("_id", own)
     nodes = rows.select(F.col("_id").alias("id"), F.lit("finding").alias("kind"), "diff_id", "severity", "line", digest(F.col("message")).alias("message_digest"), digest(F.col("file")).alias("file_digest"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff
 from ..operators import findings as O
-from ..operators import similar
+from ..operators import reports, similar
 from ..sources import git
 from ..sources import synthetic as S
 from . import literal, query
@@ -186,7 +186,7 @@ def default_llm_conf(spark, sf):
 
 @query("severity_at_least", "SELECT diff_id, seq, severity FROM {f} t WHERE severity >= 3")
 def severity_at_least(spark, sf):
-    return _f(spark, sf).where(F.col("severity") >= O.severity_rank("high")).select("diff_id", "seq", "severity")
+    return O.at_least(_f(spark, sf), "high").select("diff_id", "seq", "severity")
 
 
 @query("max_severity_failed", "SELECT diff_id, max(severity) AS max_severity, bool_or(severity >= 4) AS failed FROM {f} t GROUP BY diff_id")
@@ -206,10 +206,7 @@ def confidence_bands(spark, sf):
 
 @query("confidence_stats", "SELECT concern, floor(sum(k) / CAST(10 AS DOUBLE) / count(*) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(100 AS DOUBLE) AS avg_confidence, count(*) FILTER (WHERE k >= 7) AS high, count(*) FILTER (WHERE k < 5) AS low FROM (SELECT concern, round(confidence * 10) AS k FROM {f} t) u GROUP BY concern")
 def confidence_stats(spark, sf):
-    # Tenths are summed as whole numbers, so that the order of addition doesn't show in the mean.
-    tenths = _f(spark, sf).select("concern", F.round(F.col("confidence") * 10).alias("k"))
-    mean = F.sum("k") / F.lit(10.0) / F.count("*")
-    return tenths.groupBy("concern").agg(O.round2(mean).alias("avg_confidence"), F.count_if(F.col("k") >= 7).alias("high"), F.count_if(F.col("k") < 5).alias("low"))
+    return O.confidence_stats(_f(spark, sf), "concern")
 
 
 @query("stats_by_severity", "SELECT diff_id, severity, concern, count(*) AS n FROM {f} t GROUP BY GROUPING SETS ((diff_id, severity), (diff_id, concern), (diff_id))")
@@ -276,10 +273,7 @@ def best_fix(spark, sf):
 
 @query("sort_fixes", f"SELECT diff_id, finding_id, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY priority, confidence DESC, finding_id) AS INT) AS place FROM ({_fix_sql()}) z")
 def sort_fixes(spark, sf):
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("diff_id").orderBy("priority", F.desc("confidence"), "finding_id"))
-    return O.fixes(_f(spark, sf)).select("diff_id", "finding_id", place.alias("place"))
+    return O.sorted_fixes(O.fixes(_f(spark, sf))).select("diff_id", "finding_id", "place")
 
 
 @query(
@@ -311,11 +305,43 @@ def terminal_report(spark, sf):
     return O.markdown_report(_f(spark, sf))
 
 
-@query("github_review", "SELECT diff_id, string_agg('- **' || upper(" + _SEV + ") || '** `' || file || ':' || CAST(line AS STRING) || '` ' || message, chr(10) ORDER BY seq) AS body FROM {f} t GROUP BY diff_id")
+def _reviewed(spark, sf):
+    """All diffs with their numbers of files and hunks."""
+    return S.line_items(spark, sf).groupBy("diff_id").agg(F.lit(1).alias("files"), F.countDistinct("hunk").alias("hunks"))
+
+
+_REVIEWED = "(SELECT diff_id, count(DISTINCT hunk) AS hunks FROM {l} l GROUP BY diff_id)"
+_UPPER = f"upper({_SEV})"
+
+
+@query(
+    "github_review",
+    f"""SELECT diff_id, coalesce('## Review \u2014 ' || n || ' findings' || chr(10) || chr(10) || entries, '\u2705 No issues found.') AS body FROM {_REVIEWED} r LEFT JOIN (
+    SELECT diff_id, count(*) AS n, string_agg('- **[' || {_UPPER} || ']** `' || file || CASE WHEN line > 0 THEN ':' || line ELSE '' END || '` \u2014 ' || message || chr(10) || CASE WHEN fix <> '' THEN '  - Fix: ' || fix || chr(10) ELSE '' END, '' ORDER BY seq) AS entries FROM {{f}} t GROUP BY diff_id) e USING (diff_id)""",
+)
 def github_review(spark, sf):
-    line = F.concat(F.lit("- **"), F.upper(O.severity_name(F.col("severity"))), F.lit("** `"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "), "message")
-    per = _f(spark, sf).groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))).alias("r"))
-    return per.select("diff_id", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("body"))
+    return reports.pull_request(_f(spark, sf), _reviewed(spark, sf))
+
+
+@query(
+    "terminal_text",
+    f"""SELECT diff_id, '{"=" * 51}' || chr(10) || '  CODE REVIEW' || chr(10) || '  1 files, ' || hunks || ' hunks analyzed' || chr(10) || '{"=" * 51}' || chr(10) || chr(10) ||
+    coalesce(parts || '{"=" * 51}' || chr(10) || '  SUMMARY: ' || n || ' findings (' || counts || ')' || chr(10) || '{"=" * 51}' || chr(10), '  No issues found.' || chr(10) || chr(10)) AS report FROM {_REVIEWED} r LEFT JOIN (
+    SELECT diff_id, sum(n) AS n, string_agg('  ' || sev || ' (' || n || ')' || chr(10) || chr(10) || entries, '' ORDER BY severity DESC) AS parts, string_agg(n || ' ' || sev, ', ' ORDER BY severity DESC) AS counts FROM (
+      SELECT diff_id, severity, {_UPPER} AS sev, count(*) AS n, string_agg('    * ' || message || chr(10) || '      ' || file || CASE WHEN line > 0 THEN ':' || line || CASE WHEN end_line > 0 AND end_line <> line THEN '-' || end_line ELSE '' END ELSE '' END || '  [' || concern || ']' || chr(10) ||
+        CASE WHEN reasoning <> '' THEN '      > ' || reasoning || chr(10) ELSE '' END || CASE WHEN fix <> '' THEN '      Fix: ' || fix || chr(10) ELSE '' END || chr(10), '' ORDER BY seq) AS entries FROM {{f}} t GROUP BY diff_id, severity) p GROUP BY diff_id) e USING (diff_id)""",
+)
+def terminal_text(spark, sf):
+    return reports.terminal(_f(spark, sf), _reviewed(spark, sf))
+
+
+@query(
+    "json_report",
+    f"""SELECT diff_id, coalesce(CAST(report AS VARCHAR), '[]') AS report FROM {_REVIEWED} r LEFT JOIN (SELECT diff_id, to_json(list({{'concern': concern, 'severity': {_SEV}, 'file': file, 'line': line, 'end_line': end_line, 'message': message, 'fix': fix, 'reasoning': reasoning, 'cwe': cwe, 'confidence': confidence}} ORDER BY seq)) AS report
+    FROM {{f}} t GROUP BY diff_id) e USING (diff_id)""",
+)
+def json_report(spark, sf):
+    return reports.as_json(_f(spark, sf), _reviewed(spark, sf))
 
 
 def _digest(*parts: str) -> str:
@@ -399,17 +425,12 @@ def memory_recall(spark, sf):
 
 @query("prompt_limit", "SELECT diff_id, seq, substr(message, 1, 20) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY seq) AS n FROM {f} t WHERE sast_source) u WHERE n <= 2")
 def prompt_limit(spark, sf):
-    from pyspark.sql import Window as W
-
-    rows = _sides(spark, sf)[0].withColumn("n", F.row_number().over(W.partitionBy("diff_id").orderBy("seq")))
-    return rows.where("n <= 2").select("diff_id", "seq", F.substring("message", 1, 20).alias("evidence"))
+    return O.first_of_diff(_sides(spark, sf)[0], 2).select("diff_id", "seq", F.substring("message", 1, 20).alias("evidence"))
 
 
 @query("export_limit", "SELECT diff_id, seq FROM (SELECT diff_id, seq, row_number() OVER (PARTITION BY diff_id ORDER BY seq) AS n FROM {f} t) u WHERE n <= 2")
 def export_limit(spark, sf):
-    from pyspark.sql import Window as W
-
-    return _f(spark, sf).withColumn("n", F.row_number().over(W.partitionBy("diff_id").orderBy("seq"))).where("n <= 2").select("diff_id", "seq")
+    return O.first_of_diff(_f(spark, sf), 2).select("diff_id", "seq")
 
 
 @query("duplicate_id_dedup", "SELECT id, seq FROM (SELECT file || ':' || CAST(line AS STRING) || ':' || concern AS id, seq, row_number() OVER (PARTITION BY file, line, concern ORDER BY seq) AS n FROM {f} t) u WHERE n = 1")
@@ -419,10 +440,7 @@ def duplicate_id_dedup(spark, sf):
 
 @query("memory_sort", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS INT) AS place FROM conversations")
 def memory_sort(spark, sf):
-    from pyspark.sql import Window as W
-
-    rows = S.table(spark, sf, "conversations")
-    return rows.select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn")).alias("place"))
+    return O.placed(S.table(spark, sf, "conversations"), ["conv_id"], [F.desc(F.length("text")), "turn"]).select("conv_id", "turn", "place")
 
 
 @query("contract_convert", f"SELECT diff_id, seq, concern AS category, {_SEV} AS severity, file AS path, line AS start_line, end_line, message, fix AS suggestion, cwe, confidence FROM {{f}} t")

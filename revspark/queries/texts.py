@@ -64,8 +64,8 @@ def leading_spaces(spark, sf):
 
 @query("truncate", "SELECT doc_id, substr(text, 1, 80) AS head, regexp_replace(substr(text, 1, 80), '(?m)^', '  ', 'g') AS indented FROM documents")
 def truncate(spark, sf):
-    head = F.substring("text", 1, 80)
-    return S.documents(spark, sf).select("doc_id", head.alias("head"), F.concat(F.lit("  "), F.replace(head, F.lit("\n"), F.lit("\n  "))).alias("indented"))
+    head = T.cap(F.col("text"), 80)
+    return S.documents(spark, sf).select("doc_id", head.alias("head"), T.indent(head).alias("indented"))
 
 
 _SOURCE = "'package p' || chr(10) || chr(10) || 'func F' || k || '(a int) error {' || chr(10) || chr(9) || 'if a > ' || k || ' {' || chr(10) || chr(9) || chr(9) || 'return nil' || chr(10) || chr(9) || '}' || chr(10) || '}' || chr(10) || 'type T' || k || ' struct {' || chr(10) || chr(9) || 'x int' || chr(10) || '}' || chr(10) || 'func (t *T' || k || ') M() {}' || chr(10)"
