@@ -173,7 +173,7 @@ def describe_truncate(spark, sf):
     return budget.sections_within(docs, 4000).select("diff_id", "file_idx")
 
 
-@query("filter_findings")
+@query("filter_findings", "SELECT diff_id, seq, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY severity < 2 DESC, seq) AS INT) AS place FROM {f} t WHERE severity < 2 OR NOT contains(message, 'md5')")
 def filter_findings(spark, sf):
     from ..operators.findings import gate
     from ..plans.review import ask

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, flow, rules, rulesets, taint
+from ..operators import diff, flow, prompts, rules, rulesets, taint
 from ..rules_catalog import RULES
 from ..schemas import SEVERITIES
 from ..sources import synthetic as S
-from . import literal, query
+from . import SQL, literal, query
 
 
 def rule_sql(rows: str, text: str, chosen: list, columns: str) -> str:
@@ -71,12 +71,27 @@ def rule_hits_by_severity(spark, sf):
     return hits.groupBy("severity").agg(F.count("*").alias("hits"), F.countDistinct("rule_id").alias("rules"))
 
 
-@query("rule_catalog", " UNION ALL ".join(f"SELECT {literal(r.rule_id)} AS rule_id, {literal(r.language)} AS rule_language, {literal(r.cwe)} AS cwe, CAST({rules.confidence(r)!r} AS DOUBLE) AS confidence" for r in RULES))
+_CATALOG = ", ".join(f"({literal(r.rule_id)}, {k}, {literal(r.language)}, {literal(r.cwe)}, CAST({rules.confidence(r)!r} AS DOUBLE), {literal(r.message)}, {literal(r.fix)})" for k, r in enumerate(RULES))
+
+
+@query(
+    "rule_catalog",
+    f"""SELECT language, files, rule_id, rule_language, cwe, confidence FROM (SELECT CASE diff_id % 5 WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' WHEN 4 THEN 'javascript' ELSE 'go' END AS language, count(DISTINCT path) AS files FROM {{l}} t GROUP BY 1) x
+    JOIN (VALUES {_CATALOG}) r(rule_id, rule_no, rule_language, cwe, confidence, message, fix) ON rule_language IN (language, 'any')""",
+)
 def rule_catalog(spark, sf):
-    return rules.rules_table(spark).select("rule_id", "rule_language", "cwe", "confidence")
+    """The rules that the files of all diffs are scanned with, by language."""
+    paths = S.line_items(spark, sf).select("diff_id").distinct().select(F.expr(S.PATH).alias("path"))
+    found = paths.groupBy(rules.detect_language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+    either = found.select("language", "files", F.explode(F.array("language", F.lit("any"))).alias("rule_language"))
+    return either.join(F.broadcast(rules.rules_table(spark)), "rule_language").select("language", "files", "rule_id", "rule_language", "cwe", "confidence")
 
 
-@query("static_findings")
+@query(
+    "static_findings",
+    f"""SELECT diff_id, row_number() OVER (PARTITION BY diff_id ORDER BY file, rule_no, line) AS seq, 'static:' || category AS concern, severity, file, line, 0 AS end_line, message, fix, '' AS reasoning, h.cwe, h.confidence, true AS sast_source
+    FROM ({rule_sql(ADDED, "text", GO, "diff_id, file, line")}) h JOIN (VALUES {_CATALOG}) r(rule_id, rule_no, rule_language, cwe, confidence, message, fix) USING (rule_id)""",
+)
 def static_findings(spark, sf):
     return rules.findings_of(rules.scan(diff.added_lines(S.diffs(spark, sf)), "go"))
 
@@ -155,6 +170,28 @@ def route_concerns(spark, sf):
     return rules.route_concerns(S.diffs(spark, sf))
 
 
+_ROUTED = SQL["route_concerns"]
+
+
+@query("build_concerns", f"SELECT diff_id, concern AS name FROM ({_ROUTED}) r WHERE concern IN ('security', 'performance', 'correctness', 'style')")
+def build_concerns(spark, sf):
+    """The concerns that each diff calls for and that have a prompt."""
+    return _prompted(spark, sf).select("diff_id", "name")
+
+
+def _prompted(spark, sf):
+    known = prompts.concerns(spark).withColumnRenamed("name", "concern")
+    return rules.route_concerns(S.diffs(spark, sf)).join(F.broadcast(known), "concern").select("diff_id", F.col("concern").alias("name"), "system_prompt")
+
+
+@query(
+    "system_prompt",
+    f"SELECT diff_id, concern AS name, 'You review code for ' || concern || '. ' || CASE concern {' '.join(f'WHEN {literal(k)} THEN {literal(v)}' for k, v in prompts.CONCERNS.items())} END || chr(10) || {literal(prompts.ANSWER)} AS system_prompt FROM ({_ROUTED}) r WHERE concern IN ('security', 'performance', 'correctness', 'style')",
+)
+def system_prompt(spark, sf):
+    return _prompted(spark, sf)
+
+
 def _source_sql(text: str, names: list) -> str:
     return f"CASE {' '.join(f'WHEN regexp_matches({text}, {literal(p)}) THEN {literal(n)}' for n, p in names)} END"
 

@@ -91,17 +91,18 @@ def symbol_end_line(spark, sf):
     return symbols.search(_sources(spark, sf), ".go", "f", "function").select("path", "symbol", "end_line")
 
 
-@query("security_concerns", "SELECT unnest([" + ", ".join(map(literal, SECURITY_CONCERNS)) + "]) AS concern")
-def security_concerns(spark, sf):
-    return spark.createDataFrame([(x,) for x in SECURITY_CONCERNS], "concern string")
+def _security_sql() -> str:
+    from .findings import _overlap
 
+    return f"SELECT concern, message, n FROM (SELECT message, count(*) AS n FROM {{f}} t GROUP BY message) m, (SELECT unnest([{', '.join(map(literal, SECURITY_CONCERNS))}]) AS concern) c WHERE {_overlap('concern', 'message')}"
 
-@query("build_concerns", "SELECT unnest(['security', 'bugs', 'performance', 'correctness', 'style']) AS name, 'all' AS asked UNION ALL SELECT unnest(['bugs', 'style']), 'two'")
-def build_concerns(spark, sf):
-    from ..operators.prompts import concerns
 
-    two = concerns(spark, ["bugs", "style", "no such concern"])
-    return concerns(spark).select("name", F.lit("all").alias("asked")).unionByName(two.select("name", F.lit("two").alias("asked")))
+@query("security_concerns", _security_sql())
+def security_concerns(spark, sf):
+    """What a security review looks for, with the findings' messages that speak of it."""
+    said = S.findings(spark, sf).groupBy("message").agg(F.count("*").alias("n"))
+    each = said.withColumn("concern", F.explode(F.array(*map(F.lit, SECURITY_CONCERNS))))
+    return each.where(T.message_overlap(F.col("concern"), F.col("message"))).select("concern", "message", "n")
 
 
 @query(
@@ -117,13 +118,6 @@ def build_prompt(spark, sf):
     return build(diff.hunks(d), diff.lines(d))
 
 
-@query("system_prompt")
-def system_prompt(spark, sf):
-    from ..operators.prompts import concerns
-
-    return concerns(spark).select("name", "system_prompt")
-
-
 @query(
     "sast_prompt",
     """SELECT diff_id, string_agg('- ' || file || ':' || CAST(line AS STRING) || ' ' || message, chr(10) ORDER BY seq) AS section FROM (
