@@ -105,17 +105,17 @@ def truncate_memory(rows: DataFrame, tokens: int) -> DataFrame:
 DIFF_HEADER = "\n## Diff\n\n```diff\n"
 
 
-def sections_within(sections: DataFrame, budget: int, header: str = DIFF_HEADER) -> DataFrame:
+def sections_within(sections: DataFrame, budget: int | Column, header: str = DIFF_HEADER) -> DataFrame:
     """Sections (diff_id, file_idx, text), in order, before the first whose own estimate and that of all text before it overflow the budget.
 
-    The estimate of joined sections is no sum of estimates, but follows from running totals of their words. A budget of 0 or less is none.
+    The estimate of joined sections is no sum of estimates, but follows from running totals of their words. budget: a number, or an
+    expression over the sections' columns; 0 or less is none.
     """
-    if budget <= 0:
-        return sections
+    limit = F.lit(budget) if isinstance(budget, int) else budget
     counts = token_counts(F.coalesce("text", F.lit("")))
-    sized = sections.select("diff_id", "file_idx", estimate_tokens(F.col("text")).alias("_own"), counts.alias("_c")).select("diff_id", "file_idx", "_own", "_c.n", "_c.code")
+    sized = sections.select("diff_id", "file_idx", limit.alias("_limit"), estimate_tokens(F.col("text")).alias("_own"), counts.alias("_c")).select("diff_id", "file_idx", "_limit", "_own", "_c.n", "_c.code")
     totals = running(sized, ["diff_id"], "file_idx", words=F.col("n"), codes=F.col("code"))
     head = token_counts(F.lit(header))
     spent = tokens_of(F.col("words") - F.col("n") + head["n"], F.col("codes") - F.col("code") + head["code"])
-    stops = totals.where(spent + F.col("_own") > budget).groupBy("diff_id").agg(F.min("file_idx").alias("_stop"))
+    stops = totals.where((F.col("_limit") > 0) & (spent + F.col("_own") > F.col("_limit"))).groupBy("diff_id").agg(F.min("file_idx").alias("_stop"))
     return sections.join(stops, "diff_id", "left").where("_stop is null or file_idx < _stop").select(*sections.columns)

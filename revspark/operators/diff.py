@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import last_match, let, running_sums
+from ..functions.arrays import last_match, let, running_sums, total
 
 ADDED, REMOVED, CONTEXT = 1, 2, 0
 NO_NEWLINE = "\\ No newline at end of file"
@@ -211,10 +211,21 @@ def combine(changes: DataFrame) -> DataFrame:
 
 
 def summary(diffs: DataFrame) -> DataFrame:
-    """(diff_id, files, insertions, deletions, summary) of every diff."""
-    per_file = files(diffs).groupBy("diff_id").agg(F.count("*").alias("files"))
-    counts = lines(diffs).groupBy("diff_id").agg(F.count_if(F.col("type") == ADDED).alias("insertions"), F.count_if(F.col("type") == REMOVED).alias("deletions"))
-    rows = diffs.select("diff_id").join(per_file, "diff_id", "left").join(counts, "diff_id", "left").na.fill(0, ["files", "insertions", "deletions"])
+    """(diff_id, files, insertions, deletions, summary) of every diff, counted inside its row."""
+    chunks = F.split(F.coalesce("raw", F.lit("")), r"(?dm)\n(?=diff --git)", -1)
+    kept = F.filter(F.transform(chunks, _file), lambda f: f["path"] != "")
+
+    def changed(sign: str) -> Column:
+        """Lines of all hunks that begin with a sign."""
+
+        def of_file(f: Column) -> Column:
+            hunks = F.filter(F.split(f["chunk"], r"(?dm)(?:\n|\A)(?=@@)", -1), lambda p: F.startswith(p, F.lit("@@")) & (F.instr(p, "\n") > 0))
+            return F.when(f["binary"], 0).otherwise(total(F.transform(hunks, lambda p: F.regexp_count(F.substring(p, F.instr(p, "\n") + 1, F.length(p)), F.lit(rf"(?dm)^{sign}")).cast("long"))))
+
+        return total(F.transform("_files", of_file))
+
+    rows = diffs.select("diff_id", kept.alias("_files"))
+    rows = rows.select("diff_id", F.size("_files").cast("long").alias("files"), changed(r"\+").alias("insertions"), changed("-").alias("deletions"))
     return rows.withColumn("summary", F.format_string("%d files changed, %d insertions(+), %d deletions(-)", "files", "insertions", "deletions"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revspark.functions import text as T
 from revspark.operators import assist, budget, diff, flow, responses, symbols, taint
 from revspark.plans import answers as answers_table
+from revspark.plans import assistants
 from revspark.plans.review import Review, ask, echo_provider
 from revspark.plans.store import stored
 from revspark.sources import files, git
@@ -229,7 +230,7 @@ def test_sections(spark):
     r = random.Random(4)
     texts = [" ".join(r.choices(["word", "fooBar", "x_1", "é", "+", "\n"], k=r.randint(0, 40))) + "\n" for _ in range(60)] + [None]
     df = spark.createDataFrame([(k % 3, k, t) for k, t in enumerate(texts)], "diff_id long, file_idx long, text string")
-    estimate = {x["t"]: x["n"] for x in spark.createDataFrame([(budget.DIFF_HEADER + "".join(texts[j] or "" for j in range(d, m, 3)),) for d in range(3) for m in range(64)] + [(t or "",) for t in texts], "t string").select("t", T.estimate_tokens(F.col("t")).alias("n")).collect()}
+    estimate = {x["t"]: x["n"] for x in spark.createDataFrame([(budget.DIFF_HEADER + "".join(texts[j] or "" for j in range(d, m, 3)),) for d in range(3) for m in range(62)] + [(t or "",) for t in texts], "t string").select("t", T.estimate_tokens(F.col("t")).alias("n")).collect()}
     for limit in (0, 30, 300, 9999):
         want = []
         for d in range(3):
@@ -564,3 +565,41 @@ def test_second_opinion(spark, tmp_path):
     assert [r["seq"] for r in kept] == [r["seq"] for r in plain][1:] and (kept[0]["message"], kept[0]["severity"]) == ("worse", 4)
     assert len(Review(provider=Second(), second_opinion=True, min_score=9).run(diffs).collect()) == len(plain) - 2
     assert len(Review(provider=echo_provider, second_opinion=True).run(diffs).collect()) == len(plain)
+
+
+class Helper:
+    """Answers each kind of request with what it was asked."""
+
+    def __call__(self, system, prompt):
+        if "describe changes" in system:
+            return json.dumps({"title": f"{len(prompt)} characters", "summary": "s", "change_type": "bugfix", "risk": "low"}) if "n.py" in prompt else "nothing"
+        if "working code" in system:
+            return json.dumps([{"file": prompt.split("--- ")[1].split("\n")[0], "description": "d", "after": str(prompt.count("\n+"))}, {"file": "", "description": "d", "after": "x"}])
+        return f"FIXED:\n{prompt.split('Issue: ')[1].splitlines()[0]}!\nEXPLANATION: it was {prompt.splitlines()[1]}" if "fix" not in prompt else "sorry"
+
+
+MANY = DIFF + "diff --git a/n.py b/n.py\nnew file mode 100644\n--- /dev/null\n+++ b/n.py\n@@ -0,0 +1,2 @@\n+a = 1\n+b = 2\ndiff --git a/old b/new\nrename from old\nrename to new\ndiff --git a/d b/d\ndeleted file mode 100644\n--- a/d\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone\n"
+
+
+def test_describe(spark, tmp_path):
+    """A change is described from all its files and as much of its diff as fits; without answer from the diff itself."""
+    diffs = spark.createDataFrame([(1, MANY), (2, ""), (3, "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +0,0 @@\n-a\n")], "diff_id long, raw string")
+    prompts = {r["diff_id"]: r["prompt"] for r in assistants.describe_prompt(diffs, 4096).collect()}
+    assert set(prompts) == {1, 3} and assistants.CUT not in prompts[1]
+    assert "- q.go\n- n.py (new)\n- new (renamed from old)\n- d (deleted)\n" in prompts[1] and "4 files changed, 5 insertions(+), 1 deletions(-)" in prompts[1]
+    assert "--- n.py\n+a = 1\n+b = 2\n" in prompts[1] and "gone" not in prompts[1]
+    short = {r["diff_id"]: r["prompt"] for r in assistants.describe_prompt(diffs, 95).collect()}[1]
+    assert assistants.CUT in short and "- d (deleted)" in short and "--- n.py" not in short
+    got = {r["diff_id"]: (r["title"], r["change_type"]) for r in assistants.Assistant(Helper(), str(tmp_path / "a")).describe(diffs).collect()}
+    assert got == {1: (f"{len(prompts[1])} characters", "bugfix"), 2: ("No changes", ""), 3: ("Update x", "chore")}
+
+
+def test_improve_and_fix(spark):
+    diffs = spark.createDataFrame([(1, MANY), (2, "")], "diff_id long, raw string")
+    helper = assistants.Assistant(Helper())
+    assert [(r["diff_id"], r["pos"], r["file"], r["after"]) for r in helper.improve(diffs).collect()] == [(1, 0, "q.go", "8")]
+    only = assistants.improve_prompt(diffs, 1).first()["prompt"]
+    assert "--- q.go\n+++ q.go\n@@ -1,2 +10,4 @@\n ctx\n" in only and "n.py" not in only
+    found = spark.createDataFrame([(1, 0, 4, "q.go", 2, "bad"), (1, 1, 0, "q.go", 2, "info"), (1, 2, 3, "q.go", 2, "fix me"), (2, 0, 3, "z", 1, "none")], "diff_id long, seq long, severity int, file string, line int, message string")
+    got = {(r["diff_id"], r["seq"]): (r["fixed_code"], r["explanation"]) for r in helper.fix(found, diffs).collect()}
+    assert got == {(1, 0): ("bad!", "it was Severity: critical"), (2, 0): ("none!", "it was Severity: high")}
