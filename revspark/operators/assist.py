@@ -93,10 +93,10 @@ def validation_prompt() -> Column:
 
 
 def verdicts(answers: DataFrame) -> DataFrame:
-    """(diff_id, seq, confirmed, confidence, reasoning) of answers (diff_id, seq, content); errors confirm at 0.5."""
+    """(diff_id, seq, confirmed, confidence, reasoning) of answers (diff_id, seq, content); null and empty ones, as calls that failed leave them, confirm at 0.5."""
     v = filter_verdict(F.col("content"))
     failed = F.struct(F.lit(True).alias("confirmed"), F.lit(0.5).alias("confidence"), F.lit("validation failed, keeping finding").alias("reasoning"))
-    return answers.select("diff_id", "seq", F.when(F.startswith("content", F.lit("error: ")), failed).otherwise(v).alias("v")).select("diff_id", "seq", "v.*")
+    return answers.select("diff_id", "seq", F.when(F.coalesce("content", F.lit("")) == "", failed).otherwise(v).alias("v")).select("diff_id", "seq", "v.*")
 
 
 def _strip(text: Column) -> Column:

@@ -118,6 +118,8 @@ def _leaders(nodes: DataFrame, pairs: DataFrame, distance: int, same_file_only:
         led = judged.where("settled").drop("settled")
         done.append(led)
         waiting = judged.where("not settled").drop("settled")
+        if waiting.isEmpty():
+            break
         if not same_file_only:
             taken = _elsewhere(pairs, led)
             waiting = waiting.join(taken, ["diff_id", "class"], "left").where("file1 is null or (file1 = file and first2 is null)").select(*fields)
