@@ -12,6 +12,7 @@ from ..operators import assist, budget, diff
 from ..schemas import severity_name
 from .answers import Provider
 from .review import Review
+from .store import stored
 
 DESCRIBE = "You describe changes. Answer with a JSON object with title, summary, changes, change_type, risk and test_plan."
 IMPROVE = (
@@ -33,7 +34,8 @@ def sections(diffs: DataFrame, head: Column, headers: bool = False) -> DataFrame
     sign = F.when(F.col("type") == diff.ADDED, "+").when(F.col("type") == diff.REMOVED, "-").otherwise(" ")
     rows = diff.lines(diffs).select("diff_id", "file_idx", "hunk_idx", "line_idx", F.concat(sign, "content", F.lit("\n")).alias("t"))
     if headers:
-        rows = rows.unionByName(diff.hunks(diffs).select("diff_id", "file_idx", "hunk_idx", F.lit(-1).alias("line_idx"), F.concat("header", F.lit("\n")).alias("t")))
+        range_ = F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_count", "new_start", "new_count")
+        rows = rows.unionByName(diff.hunks(diffs).select("diff_id", "file_idx", "hunk_idx", F.lit(-1).alias("line_idx"), F.concat(range_, F.when(F.col("header") != "", F.concat(F.lit(" "), F.trim("header"))).otherwise(""), F.lit("\n")).alias("t")))
     body = rows.groupBy("diff_id", "file_idx").agg(F.array_sort(F.collect_list(F.struct("hunk_idx", "line_idx", "t"))).alias("r"))
     kept = diff.files(diffs).where("not deleted").select("diff_id", "file_idx", "path", head.alias("head"))
     return kept.join(body, ["diff_id", "file_idx"], "left").select("diff_id", "file_idx", "path", F.concat("head", F.coalesce(F.array_join("r.t", ""), F.lit(""))).alias("text"))
@@ -86,7 +88,8 @@ class Assistant:
     max_tokens: int = 4096
 
     def _ask(self, requests: DataFrame) -> DataFrame:
-        return Review(provider=self.provider, answers=self.answers).ask(requests)
+        """Answers, stored, so that no later step calls the provider again."""
+        return stored(Review(provider=self.provider, answers=self.answers).ask(requests), "assistant-answers")
 
     def describe(self, diffs: DataFrame) -> DataFrame:
         """(diff_id, title, summary, change_type, risk) of every diff; without a readable answer from the diff itself, "No changes" for one without files."""
