@@ -122,7 +122,7 @@ def clusters(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Segments of the long fingerprint that similar texts are sought by, 32 bits each, and the bits in which such texts may differ.
 SEGMENTS, DISTANCE = 10, 80
-#: Rounds of comparing texts with the first, then with the first of another group, of each segment value that they look up.
+#: Rounds of comparing texts with the first, then with the first of another group, of each segment value that they look up; all others follow.
 ROUNDS = 2
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
@@ -196,6 +196,10 @@ def looked_up(texts: DataFrame, segments: int = SEGMENTS) -> tuple[DataFrame, Da
     return members, hits
 
 
+def _grouped(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, rows["doc"] == comp["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+
+
 def against_first(members: DataFrame, hits: DataFrame, comp: DataFrame | None) -> DataFrame:
     """(a, b): each text that looks a value up, with the first text of that value; with groups comp (node, root), with the first of the value's second group.
 
@@ -204,15 +208,27 @@ def against_first(members: DataFrame, hits: DataFrame, comp: DataFrame | None) -
     if comp is None:
         first = stored(members.groupBy("key").agg(F.min("doc").alias("b")), "simhash-firsts")
         return _ordered(hits.join(first, "key").select(F.col("doc").alias("a"), "b"))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.join(comp, rows["doc"] == comp["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-
-    groups = stored(grouped(members).groupBy("key", "root").agg(F.min("doc").alias("b")), "simhash-key-groups")
+    groups = stored(_grouped(members, comp).groupBy("key", "root").agg(F.min("doc").alias("b")), "simhash-key-groups")
     first = stored(groups.groupBy("key").agg(F.min("b").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "simhash-firsts")
     others = stored(groups.join(first, "key").where("b <> first").select("key", "root", "b"), "simhash-others")
     second = stored(others.groupBy("key").agg(F.min(F.struct("b", "root")).alias("s")).select("key", "s.b", F.col("s.root").alias("other")), "simhash-seconds")
-    return _ordered(grouped(hits).join(second, "key").where("root <> other").select(F.col("doc").alias("a"), "b"))
+    return _ordered(_grouped(hits, comp).join(second, "key").where("root <> other").select(F.col("doc").alias("a"), "b"))
+
+
+def across_groups(members: DataFrame, hits: DataFrame, comp: DataFrame, texts: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): each text that looks a value up, with every text of that value in another group whose whole fingerprint differs in at most `distance` bits.
+
+    Groups meet before their texts do, so that texts of one group, however large, are never paired.
+    """
+    names = [n for n in texts.columns if n not in ("content", "doc")]
+    # The groups that meet under a value: those without another group leave before their texts are named.
+    a, b = _grouped(hits, comp), _grouped(members, comp).select("key", F.col("doc").alias("b"), F.col("root").alias("other"))
+    met = a.select("key", "root").distinct().join(b.select("key", "other").distinct(), "key").where("root <> other")
+    met = stored(met, "simhash-met")
+    pairs = stored(_ordered(a.join(met, ["key", "root"]).join(b, ["key", "other"]).select(F.col("doc").alias("a"), "b")), "simhash-across")
+    x, y = (texts.select(F.col("doc").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in "ab")
+    bits = reduce(add, (F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names))
+    return pairs.join(x, "a").join(y, "b").where(bits <= distance).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
@@ -269,7 +285,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rou
     Texts that some segment of the long fingerprint places within one bit, and the whole of it within `DISTANCE`, are compared by
     their sets of shingles of `words` words, and linked from `similarity` on. Each text is compared with the first text of
     every segment value that it looks up, and in further rounds with the first one that no group joins with that first, so that
-    comparisons grow with the texts and not with the square of a group, at every size of a group alike. Texts whose words are the
+    groups of any size form without the square of their texts. A last round compares all texts that still stand in different groups, so
+    that no link between two groups is left out. Texts whose words are the
     same, whatever their white space and case, are one. Rows that repeat a doc_id are compared by one of their texts.
     """
     docs = docs.where("doc_id is not null")
@@ -278,8 +295,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rou
     texts = stored(found.groupBy("content", *names).agg(F.min("doc_id").alias("doc")), "simhash-texts")
     members, hits = looked_up(texts)
     sets, linked, comp, tested = None, None, None, None
-    for k in range(rounds):
-        pairs = against_first(members, hits, comp)
+    for k in range(rounds + 1):
+        pairs = against_first(members, hits, comp) if k < rounds else across_groups(members, hits, comp, texts)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"simhash-pairs-{k}")

@@ -403,6 +403,30 @@ def test_similar_behind_a_representative(spark, monkeypatch):
     assert got == {k: k - k % 3 + min(k % 3, 1) for k in range(len(texts))}
 
 
+def test_similar_behind_several_representatives(spark, monkeypatch):
+    """Near copies are compared though texts of three other groups stand before them in every value that they share."""
+    r = random.Random(14)
+    texts, rows = [], []
+    for k in range(10):
+        near = sentences(r, 80)
+        texts += [*(sentences(r, 80) for _ in range(3)), near, near + " end"]
+        print_of = [r.getrandbits(62) for _ in range(5)]
+        rows += [(5 * k + i, 100 * k + i, print_of[0] ^ i, *print_of[1:]) for i in range(5)]
+    fields = ", ".join(["doc_id long", "content long", *(f"f{k} long" for k in range(5))])
+    monkeypatch.setattr(simhash, "long_fingerprints", lambda docs: spark.createDataFrame(rows, fields))
+    got = {x["doc_id"]: x["group_id"] for x in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert got == {k: k - k % 5 + min(k % 5, 3) for k in range(len(texts))}
+
+
+def test_across_groups(spark):
+    """Texts of one group are never paired, nor those whose fingerprints are far from each other."""
+    texts = spark.createDataFrame([(k, 0, 0, 0, 0, -1 if k == 4 else 0) for k in range(5)], "doc long, f0 long, f1 long, f2 long, f3 long, f4 long")
+    rows = spark.createDataFrame([(k, 9) for k in range(5)], "doc long, key long")
+    comp = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "node long, root long")
+    got = {tuple(p) for p in simhash.across_groups(rows, rows, comp, texts, 63).collect()}
+    assert got == {(2, 0), (2, 1), (3, 0), (3, 1)}
+
+
 def test_similar_edges(spark):
     """Rows that repeat an id, equal texts and null ids and texts."""
     docs = frame(spark, ["a b c d e f", "a b c d e f", "other words here", None, "", "a b c d e f"], [5, 3, 5, 9, 8, None])
