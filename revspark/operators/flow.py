@@ -81,15 +81,16 @@ def call_edges(calls: DataFrame, params: DataFrame, returns: DataFrame | None =
     calls: site, callee, index, arg, result (null where there is none); params: callee, index, value; returns: callee, value. Sanitizers
     and sinks pass nothing on; a value that is passed twice enters at its first place. Without `returns` flow only descends.
     """
+    # Parameters and returned values grow with the program: they are never broadcast, at any size.
     name = F.col("callee")
     first = calls.groupBy("site", "callee", "arg", "result").agg(F.min("index").alias("index"))
     live = first.where(~_ends(name, SANITIZERS) & sink_callee(name).isNull())
     through = _ends(name, PASS_THROUGH) & F.col("result").isNotNull()
     flow = live.where(through).select(F.col("arg").alias("src"), F.col("result").alias("dst"), F.lit("flow").alias("kind"), "site")
-    entered = live.where(~through).join(params.select("callee", "index", F.col("value").alias("dst")), ["callee", "index"])
+    entered = live.where(~through).join(params.select("callee", "index", F.col("value").alias("dst")).hint("merge"), ["callee", "index"])
     out = flow.unionByName(entered.select(F.col("arg").alias("src"), "dst", F.lit("arg").alias("kind"), "site"))
     if returns is not None:
-        known = live.where(~through & F.col("result").isNotNull()).select("callee", "site", "result").distinct().join(returns.select("callee", F.col("value").alias("src")), "callee")
+        known = live.where(~through & F.col("result").isNotNull()).select("callee", "site", "result").distinct().join(returns.select("callee", F.col("value").alias("src")).hint("merge"), "callee")
         out = out.unionByName(known.select("src", F.col("result").alias("dst"), F.lit("return").alias("kind"), "site"))
     return out
 

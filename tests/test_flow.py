@@ -177,6 +177,16 @@ def test_calls_by_name(spark):
     assert flow.findings(reached, calls, 1).count() == 1
 
 
+def test_programs_are_not_broadcast(spark, tmp_path):
+    """Parameters and returned values grow with the program: joins with calls leave them out of the driver, however small their files are."""
+    rows = {"calls": ([(1, "app.f", 0, 1, 2)], "site long, callee string, index int, arg long, result long"), "params": ([("app.f", 0, 20)], "callee string, index int, value long"), "returns": ([("app.f", 21)], "callee string, value long")}
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}")
+    edges = flow.call_edges(*(spark.read.parquet(f"{tmp_path}/{name}") for name in rows))
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in edges.collect()} == {(1, 20, "arg", 1), (21, 2, "return", 1)}
+
+
 def test_taint_confidence(spark):
     row = spark.range(1).select(taint.confidence(F.lit("unknown")), taint.confidence(F.lit("os.Args")), taint.confidence(F.lit("x"), F.lit(9))).first()
     assert tuple(row) == (0.6000000000000001, 0.8, 0.0)
