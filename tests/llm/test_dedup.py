@@ -126,6 +126,14 @@ def test_cluster_edges(spark):
     assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept.collect()) == [(-1, ""), (-1, "a b c"), (2, "a b c"), (9, "d e f")]
 
 
+def test_clusters_are_not_broadcast(spark, monkeypatch):
+    """Stored tables of more than BROADCAST_BYTES, here of any size, never go through the driver."""
+    monkeypatch.setattr("revspark.plans.store.BROADCAST_BYTES", 0, raising=False)
+    found = simhash.clusters(frame(spark, ["t t t", "t t t", "a b c d", None]))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["doc_id"]: x["component_id"] for x in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5400)]
