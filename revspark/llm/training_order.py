@@ -27,6 +27,8 @@ from .tokens import encoder, vocabulary_path
 LENGTH, SHARD_SLOTS, END, PAD = 512, 4096, 2, 0
 #: Shards of one file, about 128 MB.
 FILE_SHARDS = 32
+#: Shards that a task writes or reads at once, about 16 MB.
+GROUP_SHARDS = 4
 #: Of each record: doc_id int64, piece int32, number of ids int32; then `length` ids of 16 bits (32 if the vocabulary is larger), padded.
 HEADER = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4")])
 
@@ -114,7 +116,8 @@ def numbered(table: DataFrame) -> tuple[DataFrame, int]:
     before = files.select("_file", (F.sum("_n").over(W.orderBy(part, "_file")) - F.col("_n")).alias("_before"), "_n")
     before = stored(before, "training-files")
     total = before.agg(F.sum("_n")).first()[0] or 0
-    return rows.join(before.drop("_n"), "_file").withColumn("number", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before"), total
+    # A row per file: broadcast, or the hint of a large stored table would have all its rows shuffled.
+    return rows.join(F.broadcast(before.drop("_n")), "_file").withColumn("number", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before"), total
 
 
 def shards(docs: DataFrame, key: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, path: str | None = None, file_shards: int = FILE_SHARDS) -> DataFrame:
@@ -178,7 +181,7 @@ def shards(docs: DataFrame, key: int, length: int = LENGTH, shard_slots: int = S
 def written(docs: DataFrame, key: int, **how: int) -> DataFrame:
     """`shards`, stored, one file for each range of shards; what it was made from is deleted."""
     made = shards(docs, key, **how)
-    out = stored(made, "training-shards")
+    out = stored(made, "training-shards", group_rows=GROUP_SHARDS)
     release(made._training_tokens)
     return out
 

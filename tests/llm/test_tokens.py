@@ -7,6 +7,7 @@ from collections import defaultdict
 from itertools import groupby
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,17 @@ def test_training_order(spark, library, tmp_path):
             assert head["doc_id"] == by_slot[f["shard"] * 32 + 1]["doc_id"]
 
 
+def test_training_order_moves_little(spark, monkeypatch):
+    """Large stored tokens aren't shuffled to be numbered, and a file of shards is read a few shards at a time."""
+    monkeypatch.setattr("revspark.plans.store.BROADCAST_BYTES", 0)
+    tokens = training_order.stored(training_order.token_sequences(frame(spark, texts(9))), "t")
+    plan = training_order.numbered(tokens)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    made = training_order.written(frame(spark, texts(50)).coalesce(1), key=5, length=8, shard_slots=4, file_shards=32)
+    found = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in made.inputFiles()]
+    assert max(m.num_rows for m in found) > 4 and all(m.row_group(k).num_rows <= 4 for m in found for k in range(m.num_row_groups))
+
+
 def test_training_edges(spark):
     assert training_order.shards(frame(spark, []), key=1).count() == 0
     rows = training_order.read(training_order.written(frame(spark, ["a", "a"], [None, None]), key=1)).collect()
