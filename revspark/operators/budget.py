@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, token_counts, tokens_of
 from ..plans.store import release, stored
+from .diff import body_lines, content_of, hunk_texts
 
 
-def file_tokens(files: DataFrame, hunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(diff_id, file_idx, path, deleted, tokens): tokens of the path + 20, 10 a hunk, each line's + 1."""
-    key = ["diff_id", "file_idx"]
-    by_line = lines.groupBy(*key).agg(F.sum(estimate_tokens(F.col("content")) + 1).alias("_l"))
-    by_hunk = hunks.groupBy(*key).agg((F.count("*") * 10).alias("_h"))
-    rows = files.select(*key, "path", "deleted", (estimate_tokens(F.col("path")) + 20).alias("_f"))
-    rows = rows.join(by_hunk, key, "left").join(by_line, key, "left").na.fill(0, ["_h", "_l"])
-    return rows.select(*key, "path", "deleted", (F.col("_f") + F.col("_h") + F.col("_l")).alias("tokens"))
+def file_tokens(files: DataFrame) -> DataFrame:
+    """(diff_id, file_idx, path, deleted, tokens) of parsed files: tokens of the path + 20, 10 a hunk, each line's + 1.
+
+    Files split into their hunks and these into lines on the way to one sum per file; nothing is joined.
+    """
+    key = ["diff_id", "file_idx", "path", "deleted"]
+    pieces = F.when(~F.col("binary"), hunk_texts(F.col("chunk")))
+    hunks = files.select(*key, F.explode_outer(pieces).alias("_hunk"))
+    body = F.when(F.instr("_hunk", "\n") > 0, F.substring("_hunk", F.instr("_hunk", "\n") + 1, F.length("_hunk")))
+    lines = hunks.select(*key, F.col("_hunk").isNotNull().alias("_is_hunk"), F.posexplode_outer(body_lines(body)).alias("_at", "_line"))
+    begins = F.col("_is_hunk") & (F.coalesce("_at", F.lit(0)) == 0)
+    cost = F.when(begins, 10).otherwise(0) + F.when(F.col("_line").isNotNull(), estimate_tokens(content_of(F.col("_line"))) + 1).otherwise(0)
+    return lines.groupBy(*key).agg(F.sum(cost).alias("_sum")).select(*key, (estimate_tokens(F.col("path")) + 20 + F.col("_sum")).alias("tokens"))
 
 
 #: Rows in order that one task adds up; sums of such cells are added up in their turn.

@@ -62,7 +62,7 @@ def describe_prompt(diffs: DataFrame, max_tokens: int) -> DataFrame:
 
 def improve_prompt(diffs: DataFrame, max_tokens: int) -> DataFrame:
     """(diff_id, system_prompt, prompt): the first files that fit in three times max_tokens, one at least."""
-    sized = budget.file_tokens(diff.files(diffs), diff.hunks(diffs), diff.lines(diffs))
+    sized = budget.file_tokens(diff.files(diffs))
     asked = F.lit(IMPROVE)
     limit = diffs.sparkSession.range(1).select(estimate_tokens(asked)).first()[0]  # of a fixed text
     kept = budget.truncate_files(sized, max(1, max_tokens * 3 - limit - 200)).select("diff_id", "file_idx")

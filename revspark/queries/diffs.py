@@ -126,8 +126,7 @@ def hunk_count(spark, sf):
 
 
 def _sized(spark, sf):
-    d = S.diffs(spark, sf)
-    return budget.file_tokens(diff.files(d), diff.hunks(d), diff.lines(d))
+    return budget.file_tokens(diff.files(S.diffs(spark, sf)))
 
 
 @query(
