@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .diff import ADDED, REMOVED
+from .diff import body_lines
 
 CONCERNS = {
     "security": "Look for injection, leaked secrets, broken access checks and unsafe input handling.",
@@ -30,20 +30,17 @@ def concerns(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "name string, system_prompt string")
 
 
-def build(hunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(diff_id, prompt): per file its hunks, new lines and old lines apart."""
-    key = ["diff_id", "file_idx", "hunk_idx"]
+def build(hunks: DataFrame) -> DataFrame:
+    """(diff_id, prompt): per file its hunks, new lines and old lines apart, as their bodies hold them."""
 
-    def side(kind: int, sign: str) -> F.Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("line_idx", F.concat(F.lit(sign), "content").alias("t")))))
-        return F.array_join(F.transform(rows, lambda r: r["t"]), "\n")
+    def side(sign: str) -> F.Column:
+        return F.array_join(F.filter(body_lines(F.col("body")), lambda x: F.startswith(x, F.lit(sign))), "\n")
 
-    parts = lines.groupBy(*key).agg(side(ADDED, "+").alias("new"), side(REMOVED, "-").alias("old"))
-    rows = hunks.select(*key, "path", "new_start").join(parts, key, "left").na.fill("", ["new", "old"])
-    text = F.concat(F.lit("@@ new "), F.col("new_start").cast("string"), F.lit("\n"), "new", F.lit("\n@@ old\n"), "old")
-    per_file = rows.groupBy("diff_id", "file_idx", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk_idx", text.alias("t")))), lambda r: r["t"]), "\n").alias("t"))
+    text = F.concat(F.lit("@@ new "), F.col("new_start").cast("string"), F.lit("\n"), side("+"), F.lit("\n@@ old\n"), side("-"))
+    rows = hunks.select("diff_id", "file_idx", "path", "hunk_idx", text.alias("t"))
+    per_file = rows.groupBy("diff_id", "file_idx", "path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hunk_idx", "t"))), lambda r: r["t"]), "\n").alias("t"))
     body = F.struct("file_idx", F.concat(F.lit("## "), "path", F.lit("\n"), "t").alias("t"))
-    return per_file.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda r: r["t"]), "\n").alias("prompt"))
+    return per_file.groupBy("diff_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(body)), lambda r: r["t"]), "\n").alias("prompt"))
 
 
 def sast_section(findings: DataFrame, limit: int = 50, evidence: int = 200) -> DataFrame:

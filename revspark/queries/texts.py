@@ -114,8 +114,7 @@ def build_prompt(spark, sf):
     from ..operators import diff
     from ..operators.prompts import build
 
-    d = S.diffs(spark, sf)
-    return build(diff.hunks(d), diff.lines(d))
+    return build(diff.hunks(S.diffs(spark, sf)))
 
 
 @query(
