@@ -73,15 +73,20 @@ PATTERNS = {
 
 def symbol_of(line: Column, ending: str) -> Column:
     """(symbol, kind) of a line by the first pattern that it matches, or null; methods are named Receiver.method."""
-    trimmed = F.trim(F.regexp_replace(line, r"\A\s+|\s+\z", ""))
     out = F.lit(None).cast("struct<symbol:string,kind:string>")
-    for pattern, kind in reversed(PATTERNS[ending]):
-        p = java_pattern(pattern)
-        name = F.regexp_extract(trimmed, p, 1)
-        if kind == "method" and ending == ".go":
-            name = F.concat_ws(".", name, F.regexp_extract(trimmed, p, 2))
-        out = F.when(F.rlike(trimmed, F.lit(p)), F.struct(name.alias("symbol"), F.lit(kind).alias("kind"))).otherwise(out)
-    return out
+
+    def of(trimmed: Column) -> Column:
+        found = out
+        for pattern, kind in reversed(PATTERNS[ending]):
+            p = java_pattern(pattern)
+            name = F.regexp_extract(trimmed, p, 1)
+            if kind == "method" and ending == ".go":
+                name = F.concat_ws(".", name, F.regexp_extract(trimmed, p, 2))
+            found = F.when(F.rlike(trimmed, F.lit(p)), F.struct(name.alias("symbol"), F.lit(kind).alias("kind"))).otherwise(found)
+        return found
+
+    # Bound, as every pattern reads it and expressions inside a lambda are worked out anew for each use.
+    return let(F.trim(F.regexp_replace(line, r"\A\s+|\s+\z", "")), of)
 
 
 def _braces(line: Column) -> Column:
