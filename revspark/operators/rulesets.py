@@ -59,12 +59,17 @@ def _needed(parts) -> set[str] | None:
     return max(options, key=lambda s: (min(map(len, s)), -len(s)), default=None)
 
 
-def required(pattern: str) -> list[str] | None:
-    """Case-folded strings one of which stands, case-folded, in every text that a pattern matches; None if there are none of SHORTEST characters or the pattern can't be read."""
+def needed(pattern: str) -> set[str] | None:
+    """Strings one of which every match of a pattern holds; None if there are none or the pattern can't be read."""
     try:
-        found = _needed(_parser.parse(pattern))
+        return _needed(_parser.parse(pattern))
     except (re.error, OverflowError):
         return None
+
+
+def required(pattern: str) -> list[str] | None:
+    """Case-folded strings one of which stands, case-folded, in every text that a pattern matches; None if there are none of SHORTEST characters or the pattern can't be read."""
+    found = needed(pattern)
     folded = {s.casefold() for s in found or ()}
     return sorted(folded) if folded and min(map(len, folded)) >= SHORTEST else None
 
