@@ -79,6 +79,7 @@ class Review:
     def run(self, diffs: DataFrame) -> DataFrame:
         """Findings of all diffs with rank, exact repeats removed; with second_opinion, those that it leaves."""
         spark = diffs.sparkSession
+        diffs = stored(diffs.select("diff_id", "raw"), "review-diffs")  # read by each of the parts
         new = stored(diff.new_side(diffs).where(~rules.excluded(F.col("file"), self.exclude)), "review-lines")
         parts = []
         if self.static:
@@ -91,7 +92,7 @@ class Review:
             parts.append(t.select("diff_id", seq.alias("seq"), F.lit("security").alias("concern"), "severity", "file", "line", F.lit(0).alias("end_line"), names.alias("message"), "fix", F.lit("").alias("reasoning"), "cwe", taint.confidence(F.col("source")).alias("confidence"), F.lit(True).alias("sast_source")))
         if self.provider:
             hunks = diff.hunks(diffs).where(~rules.excluded(F.col("path"), self.exclude))
-            asked = prompts.build(hunks, diff.lines(diffs))
+            asked = prompts.build(hunks)
             topics = prompts.concerns(spark, self.concerns).select(F.col("name").alias("concern"), "system_prompt")
             topics = [(r["concern"], r["system_prompt"]) for r in topics.collect()]  # a handful by definition
             requests = asked.withColumn("t", F.explode(F.array(*(F.struct(F.lit(c).alias("concern"), F.lit(s).alias("system_prompt")) for c, s in topics)))).select("diff_id", "t.concern", "t.system_prompt", "prompt")
