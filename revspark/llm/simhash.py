@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mapped, release, stored
+from .common import components, mapped, merged, release, stored
 from .textvec import Words, flat, mix, slices
 
 BITS = 64
@@ -294,7 +294,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rou
     names = _longs()
     texts = stored(found.groupBy("content", *names).agg(F.min("doc_id").alias("doc")), "simhash-texts")
     members, hits = looked_up(texts)
-    sets, linked, comp, tested = None, None, None, None
+    sets, comp, tested = None, None, None
     for k in range(rounds + 1):
         pairs = against_first(members, hits, comp) if k < rounds else across_groups(members, hits, comp, texts)
         if tested is not None:
@@ -304,8 +304,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rou
         if sets is None:
             sets = stored(shingle_sets(docs, hits.select(F.col("doc").alias("doc_id")).union(members.select("doc")), words), "simhash-sets")
         new = stored(similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), f"simhash-joined-{k}")
-        linked = new if linked is None else linked.unionByName(new)
-        comp = components(linked, "simhash-groups")
+        comp = merged(comp, new, "simhash-groups")
     release(sets, members, hits)
     first = texts.select(F.col("content").alias("_content"), *(F.col(v).alias(f"_{v}") for v in names), F.col("doc").alias("first"))
     # One long is the key; that the fingerprints agree too is tested on the rows it brings together.

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from revspark.llm import passages, simhash
+from revspark.llm import common
 from revspark.llm.common import components
 
 SCHEMA = "doc_id long, text string, fp string, component_id int, key string"
@@ -153,6 +154,34 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars already are written once and not worked on; a chain is."""
+    made = []
+    monkeypatch.setattr(common, "stored", lambda df, what, **more: made.append(what) or df)
+    star = spark.createDataFrame([(9, k) for k in (5, 3)] + [(k, 20) for k in range(21, 40)], "u long, v long")
+    got = {x["node"]: x["root"] for x in components(star.where("u >= 20")).collect()}
+    assert made == ["cc"] and got == dict.fromkeys(range(20, 40), 20)
+    got = {x["node"]: x["root"] for x in components(star.where("u < 20")).collect()}
+    assert len(made) > 2 and got == {3: 3, 5: 3, 9: 3}
+
+
+def test_merged(spark):
+    """Further edges join the groups that there are; without any that do, the groups aren't worked on again."""
+    r = random.Random(10)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(180)]
+
+    def frame_of(part):
+        return spark.createDataFrame(part, "u long, v long")
+
+    comp = common.merged(None, frame_of(edges[:90]))
+    for part in (edges[90:140], edges[140:]):
+        comp = common.merged(comp, frame_of(part))
+    want = {x["node"]: x["root"] for x in components(frame_of(edges)).collect()}
+    rows = comp.collect()
+    assert len(rows) == len(want) and {x["node"]: x["root"] for x in rows} == want
+    assert common.merged(comp, frame_of(edges[::3])) is comp
+
+
 def naive_windows(v, least):
     out = []
     for c in range(len(v)):
