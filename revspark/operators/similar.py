@@ -28,11 +28,32 @@ def _words(findings: DataFrame) -> DataFrame:
     return findings.select("diff_id", "seq", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).cast("long").alias("line"), "confidence", words.alias("words"))
 
 
+#: Names of a key up to which all its pairs are compared within the key's row; keys with more are joined on rare words.
+FEW = 32
+
+
 def similar_sets(sets: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
     """(key, a, b): pairs of different names of one key whose word sets are as similar as threshold, each pair in both directions.
 
-    sets: key, name, words (distinct ones). Empty sets are similar to none here. Only candidates that share one of their rarest words are compared.
+    sets: key, name, words (distinct ones), stored, as it is read several times. Empty sets are similar to none here. Keys of up to `FEW` names
+    have their pairs compared one by one; of the others only candidates that share one of their rarest words are compared.
     """
+    sizes = stored(sets.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"), "similar-sizes")
+    similarity = jaccard(F.col("wa"), F.col("wb"))
+    few = sets.where(F.size("words") > 0).join(sizes.where(F.col("_n") <= FEW), key).groupBy(key).agg(F.collect_list(F.struct(F.col(name).alias("k"), F.col("words").alias("w"))).alias("all"))
+    x = few.where(F.size("all") > 1).select(key, "all", F.explode("all").alias("x"))
+    met = x.select(key, "x", F.explode("all").alias("y")).where("x.k < y.k").select(key, F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.w").alias("wa"), F.col("y.w").alias("wb"))
+    near = met.select(key, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    near = near.select(key, "similarity", ways).select(key, "p.a", "p.b", "similarity")
+    many = sizes.where(F.col("_n") > FEW).select(key)
+    if many.isEmpty():
+        return near
+    return near.unionByName(_by_rare_words(sets.join(many, key, "left_semi"), key, name, threshold))
+
+
+def _by_rare_words(sets: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
+    """similar_sets of keys with many names, by a join on the rarest words of each set."""
     words = sets.select("words").distinct().select("words", F.explode("words").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("n"))
     rare = words.join(often, "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("rare")).select("words", F.col("rare.word").alias("rare"))
@@ -51,8 +72,8 @@ def similar_pairs(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Findings without words are similar to one another. Pairs are listed one by one: their number is the result's, not that of comparisons.
     """
-    rows = _words(findings).select("diff_id", "seq", "words")
-    classes = rows.groupBy("diff_id", "words").agg(F.min("seq").alias("class"))
+    rows = stored(_words(findings).select("diff_id", "seq", "words"), "near-words")
+    classes = stored(rows.groupBy("diff_id", "words").agg(F.min("seq").alias("class")), "near-classes")
     of = rows.join(classes, ["diff_id", "words"]).select("diff_id", "seq", "class")
     same = classes.select("diff_id", F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
     pairs = similar_sets(classes, "diff_id", "class", threshold).unionByName(same)
