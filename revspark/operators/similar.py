@@ -1,6 +1,6 @@
 """Similar findings: a set-similarity join of their words, and greedy groups of near findings.
 
-Findings of a diff with the same set of words are one class. Classes of a diff are joined on their rarest words: two
+Findings of a diff with the same set of words are one class. Few classes of a diff are compared one by one, many are joined on their rarest words: two
 sets of n and s words that are similar enough share so many words that the first few of each, rarest first, must
 meet. How many is worked out for every pair of sizes, so that sets that differ in more than the threshold allows hardly meet.
 
