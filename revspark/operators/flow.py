@@ -9,13 +9,14 @@ From sources, flow then follows uses and summaries, goes out of functions as lon
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import release, stored
 from ..schemas import SEVERITIES
 
 # Names of callees by what they do with a tainted argument, and of sources.
@@ -36,15 +37,19 @@ SINKS = [
 # Instructions that pass what flows into them on to their result.
 PASSING = ["BinOp", "Phi", "UnOp", "Convert", "ChangeType", "ChangeInterface", "MakeInterface", "Slice", "Field", "FieldAddr", "Index", "IndexAddr", "Extract", "TypeAssert"]
 
+#: Edges for which one more bucket is made, up to the number of shuffle partitions, and those that a bucket holds at most.
+_FEW, _MANY = 500_000, 2_000_000
+
 Keep = Callable[[DataFrame], DataFrame]
 
 
 def _ends(name: Column, endings: list[str]) -> Column:
-    return reduce(or_, (F.endswith(name, F.lit(e)) for e in endings))
+    # One pattern: a condition for each ending would work the name out anew, in a method too large to be compiled.
+    return F.rlike(name, F.lit(f"(?:{'|'.join(map(re.escape, endings))})\\z"))
 
 
 def _holds(name: Column, parts: list[str]) -> Column:
-    return reduce(or_, (F.contains(name, F.lit(p)) for p in parts))
+    return F.rlike(name, F.lit("|".join(map(re.escape, parts))))
 
 
 def source_callee(name: Column) -> Column:
@@ -83,11 +88,11 @@ def call_edges(calls: DataFrame, params: DataFrame, returns: DataFrame | None =
     """
     # Parameters and returned values grow with the program: they are never broadcast, at any size.
     name = F.col("callee")
-    first = calls.groupBy("site", "callee", "arg", "result").agg(F.min("index").alias("index"))
-    live = first.where(~_ends(name, SANITIZERS) & sink_callee(name).isNull())
+    live = calls.where(~_ends(name, SANITIZERS) & sink_callee(name).isNull())
     through = _ends(name, PASS_THROUGH) & F.col("result").isNotNull()
     flow = live.where(through).select(F.col("arg").alias("src"), F.col("result").alias("dst"), F.lit("flow").alias("kind"), "site")
-    entered = live.where(~through).join(params.select("callee", "index", F.col("value").alias("dst")).hint("merge"), ["callee", "index"])
+    first = live.where(~through).groupBy("site", "callee", "arg", "result").agg(F.min("index").alias("index"))
+    entered = first.join(params.select("callee", "index", F.col("value").alias("dst")).hint("merge"), ["callee", "index"])
     out = flow.unionByName(entered.select(F.col("arg").alias("src"), "dst", F.lit("arg").alias("kind"), "site"))
     if returns is not None:
         known = live.where(~through & F.col("result").isNotNull()).select("callee", "site", "result").distinct().join(returns.select("callee", F.col("value").alias("src")).hint("merge"), "callee")
@@ -95,49 +100,122 @@ def call_edges(calls: DataFrame, params: DataFrame, returns: DataFrame | None =
     return out
 
 
-def summaries(edges: DataFrame, keep: Keep) -> DataFrame:
-    """(src, dst): arguments and results of calls whose callee passes the one on to the other. edges: src, dst, kind, site; flow, arg and return edges count."""
-    flow = edges.where("kind = 'flow'").select("src", "dst")
-    entries, exits = edges.where("kind = 'arg'"), edges.where("kind = 'return'")
+def _buckets(edges: DataFrame) -> int:
+    """Buckets for tables of edges and values: as many as shuffles have partitions, fewer for few edges, more where a bucket would be large."""
+    rows = edges.count()
+    return max(rows // _MANY, min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // _FEW)) + 1
+
+
+def _dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The rows, each once, in n buckets by columns: joins on these leave them where they are, whatever joins them."""
+    return stored(rows.repartition(n, *by).distinct(), "flow-buckets", bucket=(n, *by))
+
+
+class _Grown:
+    """A table that every round adds rows to: a large part in buckets by `by`, and a recent one that is merged into it when it has a quarter of its rows.
+
+    So a round neither moves nor writes what rounds before it found. Rows of equal `keys` are one, with the least of their other columns.
+    """
+
+    def __init__(self, rows: DataFrame, n: int, keep: Keep, keys: list[str], by: list[str]):
+        self.n, self.keep, self.keys, self.by = n, keep, keys, by
+        self.others = [c for c in rows.columns if c not in keys]
+        self.base, self.recent = self._deal(rows), None
+        self.rows = self.base.count()
+
+    def _merge(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*(F.min(c).alias(c) for c in self.others)) if self.others else rows.distinct()
+
+    def _deal(self, rows: DataFrame) -> DataFrame:
+        return stored(self._merge(rows.repartition(self.n, *self.by)), "flow-buckets", bucket=(self.n, *self.by))
+
+    def parts(self) -> list[DataFrame]:
+        return [self.base] if self.recent is None else [self.base, self.recent]
+
+    def all(self) -> DataFrame:
+        return self.base if self.recent is None else self._merge(self.base.unionByName(self.recent))
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds rows of a stored table."""
+        before = self.parts()
+        recent = rows if self.recent is None else self.keep(self._merge(self.recent.unionByName(rows)))
+        if recent.count() * 4 > self.rows:
+            self.base, self.recent = self._deal(self.base.unionByName(recent)), None
+            self.rows = self.base.count()
+            release(*before)
+        else:
+            self.recent = recent
+            release(*before[1:])
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """Rows with the other columns that the table has for their keys, as _0_<column> and _1_<column> of the two parts, and _0 and _1, which are null without such a row."""
+        for k, part in enumerate(self.parts()):
+            old = part.select(*self.keys, *(F.col(c).alias(f"_{k}_{c}") for c in self.others), F.lit(True).alias(f"_{k}"))
+            rows = rows.hint("shuffle_hash").join(old, self.keys, "left")
+        return rows
+
+
+def _along(rows: DataFrame, at: str, edges: DataFrame) -> DataFrame:
+    """Rows with `dst` (and all else) of the edges that begin at their value `at`. The edges stay in their buckets; the rows are what is moved and hashed."""
+    return rows.hint("shuffle_hash").join(edges.withColumnRenamed("src", at), at)
+
+
+def _summaries(flow: DataFrame, entries: DataFrame, exits: DataFrame, n: int, keep: Keep) -> _Grown:
+    """(src, dst): arguments and results of calls whose callee passes the one on to the other, from edges in buckets."""
+    entered = entries.select("site", F.col("dst").alias("entry"), F.col("src").alias("_in"))
 
     def across(paths: DataFrame) -> DataFrame:
         """Arguments and results that paths from parameters to returned values connect at one site."""
-        left = paths.join(exits.select(F.col("src").alias("at"), F.col("dst").alias("_out"), "site"), "at")
-        return left.join(entries.select(F.col("src").alias("_in"), F.col("dst").alias("entry"), "site"), ["entry", "site"]).select(F.col("_in").alias("src"), F.col("_out").alias("dst")).distinct()
+        left = _along(paths, "at", exits).withColumnRenamed("dst", "_out")
+        return left.hint("shuffle_hash").join(entered, ["site", "entry"]).select(F.col("_in").alias("src"), F.col("_out").alias("dst")).distinct()
 
-    fresh = paths = keep(entries.select(F.col("dst").alias("entry"), F.col("dst").alias("at")).distinct())
-    found = added = keep(across(fresh))
+    paths = _Grown(entries.select(F.col("dst").alias("entry"), F.col("dst").alias("at")), n, keep, ["entry", "at"], ["entry", "at"])
+    fresh, added = paths.base, keep(across(paths.base))
+    found = _Grown(added, n, keep, ["src", "dst"], ["src"])
     while True:
-        every = flow.unionByName(found)
-        ahead = fresh.join(every, fresh["at"] == every["src"]).select("entry", F.col("dst").alias("at"))
-        again = paths.join(added, paths["at"] == added["src"]).select("entry", F.col("dst").alias("at"))
-        fresh = keep(ahead.unionByName(again).distinct().join(paths, ["entry", "at"], "left_anti"))
+        steps = [_along(fresh, "at", e).select("entry", F.col("dst").alias("at")) for e in (flow, *found.parts())]
+        if not added.isEmpty():
+            steps += [p.join(added, F.col("at") == F.col("src")).select("entry", F.col("dst").alias("at")) for p in paths.parts()]
+        step = reduce(DataFrame.unionByName, steps).repartition(n, "entry", "at").distinct()
+        fresh = keep(reduce(lambda d, k: d.where(f"_{k} is null"), range(len(paths.parts())), paths.beside(step)).select("entry", "at"))
         if fresh.isEmpty():
             return found
-        paths = keep(paths.unionByName(fresh))
-        added = keep(across(fresh).join(found, ["src", "dst"], "left_anti"))
-        found = keep(found.unionByName(added))
+        paths.add(fresh)
+        added = keep(across(fresh))
+        if not added.isEmpty():
+            found.add(added)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
     """(node, source) of all values that seeds (node, source) reach on paths whose returns match their calls; of several sources the least.
 
     edges: src, dst, kind (flow, arg, return), site. Every round follows what the last one found; `keep` stores a table and returns it, which
-    cuts the lineage.
+    cuts the lineage. Edges and what has been reached lie in buckets, so that a round moves only what the last one found.
     """
-    same = edges.where("kind = 'flow'").select("src", "dst").unionByName(summaries(edges, keep))
-    modes = F.explode(F.array(F.lit(False), F.lit(True))).alias("inside")
-    moves = same.select("src", "dst", modes).select("src", "inside", "dst", F.col("inside").alias("then"))
-    moves = moves.unionByName(edges.where("kind = 'arg'").select("src", "dst", modes).select("src", "inside", "dst", F.lit(True).alias("then")))
-    moves = keep(moves.unionByName(edges.where("kind = 'return'").select("src", F.lit(False).alias("inside"), "dst", F.lit(False).alias("then"))))
-    least = F.min("source").alias("source")
-    reached = fresh = keep(seeds.select("node", F.lit(False).alias("inside"), "source").groupBy("node", "inside").agg(least))
+    n = _buckets(edges)
+    flow = _dealt(edges.where("kind = 'flow'").select("src", "dst"), n, "src")
+    entries = _dealt(edges.where("kind = 'arg'").select("site", "dst", "src"), n, "site", "dst")
+    exits = _dealt(edges.where("kind = 'return'").select("src", "site", "dst"), n, "src")
+    through = _summaries(flow, entries, exits, n, keep)
+    into = _dealt(entries.select("src", "dst"), n, "src")
+    # Of a value, `outside` is the least source on a path that has entered no function, `least` that on any path. The former may be followed
+    # wherever the latter may, so that one row of a value says all.
+    reached = _Grown(seeds.select("node", F.col("source").alias("outside"), F.col("source").alias("least")), n, keep, ["node"], ["node"])
+    fresh = reached.base
     while not fresh.isEmpty():
-        step = fresh.join(moves.withColumnRenamed("src", "node"), ["node", "inside"]).groupBy(F.col("dst").alias("node"), F.col("then").alias("inside")).agg(least)
-        old = reached.select("node", "inside", F.col("source").alias("_old"))
-        fresh = keep(step.join(old, ["node", "inside"], "left").where("_old is null or source < _old").select("node", "inside", "source"))
-        reached = keep(reached.unionByName(fresh).groupBy("node", "inside").agg(least))
-    return reached.groupBy("node").agg(least)
+        steps = [_along(fresh, "node", e).select("dst", "outside", "least") for e in (flow, *through.parts())]
+        steps.append(_along(fresh.where("least is not null"), "node", into).select("dst", F.lit(None).cast("string").alias("outside"), "least"))
+        steps.append(_along(fresh.where("outside is not null"), "node", exits).select("dst", "outside", F.col("outside").alias("least")))
+        step = reduce(DataFrame.unionByName, steps).withColumnRenamed("dst", "node").repartition(n, "node").groupBy("node").agg(F.min("outside").alias("outside"), F.min("least").alias("least"))
+        parts = range(len(reached.parts()))
+
+        def better(c: str) -> Column:
+            """The source if none as little is known of the value."""
+            return F.when(reduce(lambda x, k: x & (F.col(f"_{k}_{c}").isNull() | (F.col(c) < F.col(f"_{k}_{c}"))), parts, F.col(c).isNotNull()), F.col(c)).alias(c)
+
+        fresh = keep(reached.beside(step).select("node", better("outside"), better("least")).where("outside is not null or least is not null"))
+        reached.add(fresh)
+    return reached.all().select("node", F.least("outside", "least").alias("source"))
 
 
 def findings(reached: DataFrame, calls: DataFrame, limit: int | None = None) -> DataFrame:

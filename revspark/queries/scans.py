@@ -317,6 +317,6 @@ def ssa_taint(spark, sf):
     li, parts = S.table(spark, sf, "lineitem"), S.table(spark, sf, "part")
     uses, calls = (spark.sql(q.replace("FROM lineitem", "FROM {t}"), t=li) for q in (_USES, _CALLS))
     params, returns = (spark.sql(q.replace("FROM part", "FROM {t}"), t=parts) for q in (_PARAMS, _RETURNS))
-    edges = stored(flow.use_edges(uses).unionByName(flow.call_edges(calls, params, returns)).distinct(), "flow-edges")
+    edges = stored(flow.use_edges(uses).unionByName(flow.call_edges(calls, params, returns)), "flow-edges")
     reached = flow.reach(flow.seeds(calls, params), edges, lambda df: stored(df, "flow"))
     return flow.findings(reached, calls)

@@ -187,6 +187,30 @@ def test_programs_are_not_broadcast(spark, tmp_path):
     assert {tuple(x) for x in edges.collect()} == {(1, 20, "arg", 1), (21, 2, "return", 1)}
 
 
+def test_rounds_leave_edges_in_place(spark):
+    """Rounds of reachability neither shuffle nor sort the edges: what the last round found goes to their buckets."""
+    plans = []
+
+    def keep(d):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return stored(d, "t")
+
+    edges = spark.createDataFrame([(1, 10, "arg", 1), (10, 11, "flow", None), (11, 3, "return", 1)], "src long, dst long, kind string, site long")
+    got = flow.reach(spark.createDataFrame([(1, "s")], "node long, source string"), edges, keep)
+    assert {x["node"] for x in got.collect()} == {1, 10, 11, 3}
+    rounds = [p for p in plans if "outside" in p and "Join" in p]
+    assert rounds and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p and "Bucketed: true" in p for p in rounds)
+
+
+def test_names_are_tested_as_literals(spark):
+    """A pattern for all names of a kind, with their dots and brackets as they are; each test works the name out once."""
+    rows = spark.createDataFrame([("x/strings.Join",), ("stringsxJoin",), ("strings.Joined",), ("strings.Join\n",), (None,)], "c string")
+    assert [x[0] for x in rows.select(flow._ends(F.col("c"), flow.PASS_THROUGH)).collect()] == [True, False, False, False, None]
+    rows = spark.createDataFrame([("(*database/sql.DB).QueryRow",), ("database/sql.Query",)], "c string")
+    assert [x[0] for x in rows.select(flow.sink_callee(F.col("c"))).collect()] == [0, None]
+    assert str(flow._ends(F.col("callee"), flow.FILE_CALLS)).count("callee") == 1
+
+
 def test_taint_confidence(spark):
     row = spark.range(1).select(taint.confidence(F.lit("unknown")), taint.confidence(F.lit("os.Args")), taint.confidence(F.lit("x"), F.lit(9))).first()
     assert tuple(row) == (0.6000000000000001, 0.8, 0.0)
