@@ -535,6 +535,24 @@ def test_context_text(spark):
     assert assist.with_context(diffs, contents.where("false")).where("diff_id = 1").first()["enriched"] == raw
 
 
+def test_context_moves_files_not_lines(spark, monkeypatch):
+    """A file is shuffled once as it is, with what is asked of it; blocks stand right when some files are unknown, short or given twice."""
+    plans = []
+
+    def kept(d, *a, **k):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return stored(d, *a, **k)
+
+    monkeypatch.setattr(assist, "stored", kept)
+    raw = "--- a/f\n+++ b/f\n@@ -3 +3 @@\n-x\n@@ -99999999999 +9 @@\n-x\n--- a/u\n+++ b/u\n@@ -2 +2 @@\n-x\n--- a/g\n+++ b/g\n@@ -1 +1 @@\n-x\n@@ -5000 +2 @@\n-x"
+    contents = [(1, "f", "a\nb\nc"), (1, "g", "\n".join(map(str, range(1, 6001)))), (1, "g", "y\n" * 4998)]
+    got = assist.with_context(spark.createDataFrame([(1, raw)], "diff_id long, raw string"), spark.createDataFrame(contents, "diff_id long, path string, content string"), 2).first()["enriched"]
+    head = "\n--- Context before (lines {}) ---\n"
+    want = raw.replace("@@ -3 ", head.format("1-2") + "  1 | a\n  2 | b\n@@ -3 ").replace("@@ -5000", head.format("4998-4999") + "  4998 | 4998\n  4998 | y\n  4999 | 4999\n@@ -5000")
+    assert got == want
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1 and "Join" not in plans[0] and "posexplode" not in plans[0]
+
+
 class Unsure:
     """Fails at random but repeatably, by a file that counts its calls for each prompt; prompts with `never` are refused."""
 
